@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 
@@ -18,6 +19,16 @@ def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(docs, crf)
 
 
+def op8_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by the token CRF, which never sees labels of held-out rows."""
+    from .toxic_spans import THRESHOLD, fit_token_crf, toxic_scores
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    crf = fit_token_crf(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held))
+    return toxic_scores(docs, crf).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
