@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -272,12 +273,10 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame) -> LineCrf:
     """Train on at most TRAIN_DOCS documents of each quality, which `labels` (doc_id, quality) gives."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     key = F.xxhash64(F.lit("line_crf"), "doc_id")
-    texts = docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality", key.alias("h"))
-    picked = None
-    for q in (0, 1):
-        part = texts.where(F.col("quality") == q).orderBy("h").limit(TRAIN_DOCS)
-        picked = part if picked is None else picked.unionByName(part)
-    rows = picked.select("text", "quality").mapInArrow(_training_lines, "quality int, features array<int>").collect()
+    picked = reduce(DataFrame.unionByName, [known.where(F.col("quality") == q).orderBy(key, "doc_id").limit(TRAIN_DOCS) for q in (0, 1)])
+    # the sample's size bounds what is broadcast; the texts stay where they are
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = texts.select("text", "quality").mapInArrow(_training_lines, "quality int, features array<int>").collect()
     shape = len(EDGES)
     found = [(np.array(r.features, np.int16).reshape(-1, shape), 1 - r.quality) for r in rows]
     found.sort(key=lambda s: (s[1], s[0].tobytes()))

@@ -17,6 +17,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ class TokenCrf:
 
 
 def learn_words(toxic: list[list[str]], clean: list[list[str]], least: int = 4, share: float = 0.02, ratio: float = 30.0) -> set[str]:
-    """Keys of toxic words, by greedy cover; one that explains fewer than `least` or `share` of them more is left, as labels err."""
+    """Keys of toxic words, by greedy cover; one held by fewer than `least` or `share` of the toxic documents is left out, as labels err."""
     least = max(least, int(share * len(toxic)))
     common: Counter[str] = Counter()
     for words in clean:
@@ -78,7 +79,7 @@ def learn_words(toxic: list[list[str]], clean: list[list[str]], least: int = 4,
     while able:
         best = max(able, key=lambda k: (len(able[k] & left), len(k), k))
         new = able.pop(best) & left
-        if len(new) < least:
+        if len(new) < 2:
             break
         taken.add(best)
         left -= new
@@ -246,7 +247,11 @@ def toxic_scores(docs: DataFrame, crf: TokenCrf) -> DataFrame:
 def fit_token_crf(docs: DataFrame, labels: DataFrame) -> TokenCrf:
     """Train on at most TRAIN_DOCS documents of each label; labels: (doc_id, toxic), already without held-out rows."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select("text", "toxic", F.xxhash64(F.lit("toxic"), "doc_id").alias("h"))
-    sample = {t: [r.text.encode() for r in texts.where(F.col("toxic") == t).orderBy("h", "text").limit(TRAIN_DOCS).select("text").collect()] for t in (1, 0)}
-    words = {t: [[w.decode() for w in x.split()] for x in found] for t, found in sample.items()}
+    key = F.xxhash64(F.lit("toxic"), "doc_id")
+    picked = reduce(DataFrame.unionByName, [known.where(F.col("toxic") == t).orderBy(key, "doc_id").limit(TRAIN_DOCS) for t in (1, 0)])
+    # the sample's size bounds what is broadcast; the texts stay where they are
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "toxic").collect()
+    words: dict[int, list[list[str]]] = {1: [], 0: []}
+    for r in sorted(rows):
+        words[r.toxic].append([w.decode() for w in r.text.encode().split()])
     return train(words[1], words[0])
