@@ -10,6 +10,27 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 
+def tokenizer_file() -> str:
+    """Called on the executors: the vocabulary file is looked up where it is read."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens by fitted length patterns."""
+    from .packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file)
+
+
+def op2_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by path rules, else by mined association rules."""
+    from .url_rules import judge_urls
+
+    return judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict of the line CRF (see line_crf)."""
     from .line_crf import fit_line_crf, line_quality

@@ -79,7 +79,7 @@ def learn_words(toxic: list[list[str]], clean: list[list[str]], least: int = 4,
     while able:
         best = max(able, key=lambda k: (len(able[k] & left), len(k), k))
         new = able.pop(best) & left
-        if len(new) < 2:
+        if len(new) < max(2, share * len(toxic) / 2):
             break
         taken.add(best)
         left -= new
