@@ -31,6 +31,13 @@ def op2_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without the subtrees that recur on its host."""
+    from .html_templates import extract_text
+
+    return extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict of the line CRF (see line_crf)."""
     from .line_crf import fit_line_crf, line_quality

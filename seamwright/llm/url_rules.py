@@ -22,6 +22,8 @@ from .common import materialize
 
 BAD = "label:bad"
 MIN_SUPPORT = 0.001
+#: A rule needs so many labelled urls at least, however few there are.
+MIN_URLS = 25
 MIN_CONFIDENCE = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,9 +67,10 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     bad = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(F.expr("coalesce(quality = 0, false) or coalesce(toxic = 1, false)")).alias("bad"))
     baskets = named.join(bad, "doc_id").select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where("size(items) > 0")
     baskets = materialize(baskets, "baskets")
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < MIN_URLS:
         return pages.select("tokens", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_URLS / n), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("consequent") == 1))
     return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
 
