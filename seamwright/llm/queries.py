@@ -38,6 +38,13 @@ def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every vector whose id is divisible by 50, among all vectors."""
+    from .ann import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict of the line CRF (see line_crf)."""
     from .line_crf import fit_line_crf, line_quality
