@@ -54,7 +54,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, df._scratch_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -147,8 +155,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of `size` consecutive words, whatever text they belong to."""
+def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """Hash of every run of `size` consecutive words, whatever text they belong to; another salt gives an independent hash."""
+    if salt:
+        words = mix(words + np.uint64(salt))
     n = len(words)
     if n < size:
         return np.zeros(0, np.uint64)

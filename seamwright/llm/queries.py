@@ -64,6 +64,14 @@ def op8_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(docs, crf).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in every document once the repeated 35-word windows are gone."""
+    from .substring_dedup import remove_repeats
+
+    out = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__sd_n_words").alias("n_words"), F.col("__sd_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
