@@ -38,6 +38,13 @@ def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that links of 4-word shingle Jaccard 0.85 join."""
+    from .ngram_join import jaccard_classes
+
+    return jaccard_classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest found of every vector whose id is divisible by 50, among all vectors."""
     from .ann import nearest
