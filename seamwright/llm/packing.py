@@ -18,6 +18,7 @@ gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -35,7 +36,7 @@ CLOSING_ID = 0
 GRAIN = 16
 FILLER = 96
 PATTERN_DOCS = 4
-CACHE_WORDS = 300_000
+CACHE_PIECES = 600_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -47,24 +48,52 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_IDS: dict[str, dict[bytes, bytes]] = {}
+class FastTokens:
+    """The ids that the tokenizer in `path` gives, by its own model, piece by piece.
 
+    Normalizing and splitting with offsets takes most of a tokenizer's time, so they are done here on whole
+    texts and each distinct piece is encoded once. It serves tokenizers that lower-case, split
+    by SPLIT and map bytes to letters; texts that hold a special token go through the tokenizer itself.
+    """
 
-def token_bytes(path: str, texts: list[str]) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, without special tokens added.
+    # The split pattern and special tokens in the vocabulary file.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+
+    def __init__(self, path: str):
+        import regex
+
+        self.whole = _tokenizer(path)
+        self.model = self.whole.model
+        self.find = regex.compile(self.SPLIT).findall
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(other)}
+        self.known: dict[str, bytes] = {}
+
+    def _new(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        self.known[piece] = out
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids, without special tokens added."""
+        if any(x in text for x in self.SPECIAL):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        # the tokenizer lower-cases letter by letter, without a final sigma of its own
+        text = text.lower() if "\u03a3" not in text else "".join([c.lower() for c in text])
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        get, new = self.known.get, self._new
+        return b"".join([get(x) or new(x) for x in self.find(text)])
 
-    This tokenizer's pieces never span white space, so words are encoded once and remembered.
-    """
-    known = _IDS.setdefault(path, {})
-    words = [t.encode().split() for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = list(set().union(*words) - known.keys())
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for w, e in zip(part, _tokenizer(path).encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, w)) for w in words]
+
+@lru_cache(maxsize=2)
+def fast_tokens(path: str) -> FastTokens:
+    return FastTokens(path)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -76,14 +105,13 @@ def pieces_of(docs: DataFrame, tokenizer: str | Callable[[], str], size: int = S
     closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = tokenizer if isinstance(tokenizer, str) else tokenizer()
+        encode = fast_tokens(tokenizer if isinstance(tokenizer, str) else tokenizer()).encode
         for batch, column in rows_of(batches, "text"):
             ids = batch.column(0).to_pylist()
             for lo in range(0, len(ids), 256):
                 rows: list[tuple] = []
-                texts = [t or "" for t in column.slice(lo, 256).to_pylist()]
-                for doc, body in zip(ids[lo : lo + 256], token_bytes(path, texts), strict=True):
-                    body += closing
+                for doc, text in zip(ids[lo : lo + 256], column.slice(lo, 256).to_pylist(), strict=True):
+                    body = encode(text or "") + closing
                     for k, at in enumerate(range(0, len(body), 4 * size)):
                         part = body[at : at + 4 * size]
                         rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
