@@ -38,6 +38,13 @@ def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in all documents where a license template stands, with matched coverage and spans."""
+    from .license_scan import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents that links of 4-word shingle Jaccard 0.85 join."""
     from .ngram_join import jaccard_classes

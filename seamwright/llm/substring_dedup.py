@@ -167,7 +167,7 @@ def _in(values: np.ndarray, owner: np.ndarray, held: np.ndarray, holder: np.ndar
     return out
 
 
-def _strip(schema_names: list[str], text_at: int):
+def _strip(schema_names: list[str], text_at: int, keep_form: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, windows = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
@@ -188,6 +188,9 @@ def _strip(schema_names: list[str], text_at: int):
                 data, starts, ends, first = chunk.data.tobytes(), chunk.starts.tolist(), chunk.ends.tolist(), chunk.first
                 kept = [b" ".join([data[starts[k] : ends[k]] for k in (np.flatnonzero(~removed[a:b]) + a).tolist()]).decode("utf-8", "replace") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 sums = np.concatenate([[0], np.cumsum(removed)])
+                if keep_form:
+                    whole = sums[first[1:]] == sums[first[:-1]]
+                    kept = [t if same else k for t, k, same in zip(batch.column(text_at).slice(lo, hi - lo).to_pylist(), kept, whole.tolist(), strict=True)]
                 part = batch.slice(lo, hi - lo)
                 columns = [part.column(k) for k in range(len(schema_names))]
                 columns[text_at] = pa.array(kept, pa.string())
@@ -197,8 +200,11 @@ def _strip(schema_names: list[str], text_at: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """docs (doc_id, text, ...) with text made of its kept words joined by one space, and __sd_n_words, __sd_n_removed."""
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, keep_form: bool = False) -> DataFrame:
+    """docs (doc_id, text, ...) with text made of its kept words joined by one space, and __sd_n_words, __sd_n_removed.
+
+    keep_form: texts that lose nothing stay as they are, white space and nulls included.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -225,4 +231,4 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     source = docs.withColumn("text", F.col("text").cast("string"))
     joined = source.join(both, source["doc_id"].eqNullSafe(both["__sd_id"]), "left").drop("__sd_id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return joined.mapInArrow(_strip(source.columns, source.columns.index("text")), f"{fields}, __sd_n_words long, __sd_n_removed long")
+    return joined.mapInArrow(_strip(source.columns, source.columns.index("text"), keep_form), f"{fields}, __sd_n_words long, __sd_n_removed long")
