@@ -2,9 +2,10 @@
 
 A text's set holds its distinct shingles of SHINGLE words. Equal sets become one node. Tokens are ordered by an
 estimate of their frequency (any order is right; rare ones first is fast), and a node of n tokens has
-the prefixes of n - ceil(t n) + l tokens for l = 1 .. LONGEST: two linked nodes share l tokens of these.
-Each node takes the l of least estimated cost, its posting lists' lengths over l, and a pair is a
-candidate if it shares min(l, l') tokens of the two prefixes.
+the prefixes of n - ceil(t n) + l tokens for l = n / 16 and n / 10 (SHARES, rounded up): two linked nodes share l
+tokens of these. Each node takes the l of least estimated cost, its posting lists' lengths over l, and a pair
+is a candidate if it shares min(l, l') tokens of the two prefixes. As linked sets are of like size, a node that
+shares too few tokens with all others together goes before any set is read.
 
 Posting lists are never paired off within groups of near copies. The first node of a list leads it; nodes point to
 the leader they share most tokens with, and pointers end in roots. For nodes near their root
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import Texts, discard, inside, materialize, mix, rows_of, signed, small_batches, text_chunks, window_hashes
 from .components import components, roots
 
-LONGEST = 4
+#: The lengths of l to choose from: the set's size over these, rounded up.
+SHARES = (16, 10)
 #: Tokens found this often in one batch of texts enter the frequency estimate; the most frequent
 #: HEAVY_TOKENS of them are sent to all tasks. Both only shape the order of tokens.
 HEAVY_IN_BATCH, HEAVY_TOKENS = 3, 1 << 17
@@ -89,7 +91,7 @@ def _prefixes(size: int, percent: int, heavy: np.ndarray, weight: np.ndarray):
                 order = np.lexsort((values, rank, owner))
                 values, owner = values[order], owner[order]
                 place = np.arange(len(values)) - (np.cumsum(n) - n)[owner]
-                keep = place < (n - -(-percent * n // 100) + LONGEST)[owner]
+                keep = place < (n - -(-percent * n // 100) + -(-n // SHARES[-1]))[owner]
                 offsets = np.searchsorted(owner[keep], np.arange(docs + 1)).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values[keep])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(signed(s1)), pa.array(signed(s2)), prefix], ["doc_id", "n", "s1", "s2", "prefix"])
@@ -122,10 +124,11 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(tokens)
     run = _prefixes(size, percent, tokens[by], top["n"].to_numpy(np.int64)[by])
-    heads = materialize(texts.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>"), "heads")
-
-    nodes = heads.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
+    whole = materialize(texts.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>"), "heads")
+    heads = materialize(whole.select("doc_id", "n", "s1", "s2"), "heads")
+    nodes = whole.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "nodes")
+    discard(whole)
     edges = _links(texts, nodes, size, percent)
     labels = components(edges)
 
@@ -138,17 +141,24 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
 
 def _links(texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Edges (a, b) between linked nodes, enough to join every class."""
-    least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    flat = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    room = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
+    short, long = (F.ceil(F.col("n") / k) for k in SHARES)
+    # a token's place only tells whether the shorter prefix holds it
+    flat = nodes.select("node", (room + short).alias("edge"), F.posexplode("prefix").alias("at", "token")).select("token", "node", (F.col("at") < F.col("edge")).alias("early"))
     shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("leader")).where("many > 1")
     posts = materialize(flat.join(shared, "token"), "posts")
-    # the cheapest l: the posting lists read, over the tokens that a candidate must share
-    room = F.col("n") - least
-    costs = [(F.sum(F.when(F.col("at") < room + k, F.col("many") - 1).otherwise(0)) / k).alias(f"cost{k}") for k in range(1, LONGEST + 1)]
-    cheap = F.array_min(F.array(*[F.struct(F.col(f"cost{k}").alias("cost"), F.lit(k).alias("l")) for k in range(1, LONGEST + 1)]))
-    chosen = posts.groupBy("node").agg(*costs).select("node", cheap["l"].alias("l"))
-    posts2 = materialize(posts.join(chosen, "node").where(F.col("at") < F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + F.col("l")), "prefixes")
+    # the cheaper l: the posting lists read, over the tokens that a candidate must share
+    sizes = nodes.select("node", "n", short.alias("short"), long.alias("long"))
+    costs = posts.groupBy("node").agg(F.sum("many").alias("all"), F.sum(F.when(F.col("early"), F.col("many")).otherwise(0)).alias("some"))
+    chosen = costs.join(sizes, "node").select("node", "n", F.when(F.col("some") / F.col("short") < F.col("all") / F.col("long"), F.col("short")).otherwise(F.col("long")).alias("l"), (F.col("some") / F.col("short") < F.col("all") / F.col("long")).alias("brief"))
+    posts2 = posts.join(chosen, "node").where("early or not brief").select("token", "node", "n", "l", "leader")
+    posts2 = materialize(_enough(posts2, percent), "prefixes")
     discard(posts)
+    # what is left may have lost all its partners, or its leaders
+    again = posts2.drop("leader").join(posts2.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("leader")).where("many > 1").drop("many"), "token")
+    left = materialize(_enough(again, percent), "prefixes")
+    discard(posts2)
+    posts2 = left
 
     votes = posts2.where("leader <> node").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("votes"))
     parents = votes.groupBy("node").agg(F.min_by("leader", F.struct(-F.col("votes"), "leader")).alias("parent"))
@@ -176,6 +186,13 @@ def _links(texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
     return edges
 
 
+def _enough(posts: DataFrame, percent: int) -> DataFrame:
+    """Posts of nodes that share tokens enough for the least l that a partner of like size can have."""
+    least = F.least(F.max("l"), F.ceil(F.ceil(F.max("n") * percent / 100) / SHARES[0]))
+    good = posts.groupBy("node").agg(F.count(F.lit(1)).alias("have"), least.alias("must")).where("have >= must").select("node")
+    return posts.join(good, "node")
+
+
 def _within(differ: DataFrame, percent: int) -> DataFrame:
     """Links between nodes of one root of which one at least isn't linked to it, by common differences."""
     c = (100 - percent) / (100 + percent)
