@@ -19,16 +19,20 @@ other columns are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Texts, discard, inside, materialize, rows_of, signed, small_batches, text_chunks, window_hashes
 
 WINDOW, GRAM = 35, 8
 BATCHES, FANOUT = 2, 4
+#: Candidate windows are verified in so many slices of their hashes, one after the other.
+SLICES = 4
+KEYS = ["doc_id", "t1", "t2"]
 _SPAN = WINDOW - GRAM + 1
 _CHECK = 0x5851F42D4C957F2D
 
@@ -76,7 +80,8 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, chunk in text_chunks(texts):
             position, hashes = selected(chunk.word_hashes(), chunk.first)
             owner = np.searchsorted(chunk.first, position, side="right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(signed(hashes), owner, len(chunk))], ["doc_id", "prints"])
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), _lists(signed(hashes), owner, len(chunk))], [*KEYS, "prints"])
 
 
 class FingerprintLog:
@@ -118,10 +123,10 @@ class FingerprintLog:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verifying hashes of the windows whose fingerprint is repeated. Columns: doc_id, text, prints."""
+    """Verifying hashes of the windows whose fingerprint is repeated. Columns: doc_id, text, t1, t2, prints."""
     kind = pa.struct([("h", pa.int64()), ("c", pa.int64())])
     for batch in batches:
-        known = batch.column(2)
+        known = batch.column(4)
         for lo, hi, chunk in text_chunks(batch.column(1)):
             at = _repeated_windows(chunk, known.slice(lo, hi - lo))
             words = chunk.word_hashes()
@@ -129,7 +134,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = pa.StructArray.from_arrays([pa.array(signed(h[at])), pa.array(signed(c[at]))], fields=list(kind))
             owner = np.searchsorted(chunk.first, at, side="right") - 1
             offsets = pa.array(np.searchsorted(owner, np.arange(len(chunk) + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "windows"])
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.ListArray.from_arrays(offsets, values)], [*KEYS, "windows"])
 
 
 def _per_text(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -170,20 +176,21 @@ def _in(values: np.ndarray, owner: np.ndarray, held: np.ndarray, holder: np.ndar
 def _strip(schema_names: list[str], text_at: int, keep_form: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, windows = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            prints, hits, copied = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
+            copied = np.asarray(copied.fill_null(False), dtype=bool)
             for lo, hi, chunk in text_chunks(batch.column(text_at)):
                 at = _repeated_windows(chunk, prints.slice(lo, hi - lo))
                 gone = np.zeros(len(chunk.starts) + 1, np.int64)
-                flat, of = _per_text(windows.slice(lo, hi - lo))
-                if len(at) and len(flat):
-                    words = chunk.word_hashes()
-                    owner = np.searchsorted(chunk.first, at, side="right") - 1
-                    # both halves of the hash decide, folded into one key after the exact join in Spark
-                    key = window_hashes(words, WINDOW)[at] ^ window_hashes(words, WINDOW, _CHECK)[at]
-                    held = flat.field(0).to_numpy().view(np.uint64) ^ flat.field(1).to_numpy().view(np.uint64)
-                    bad = at[_in(key, owner, held, of)]
-                    np.add.at(gone, bad, 1)
-                    np.add.at(gone, bad + WINDOW, -1)
+                # a hit is the number of a candidate window of its text, in order
+                flat, of = _per_text(hits.slice(lo, hi - lo))
+                before = np.searchsorted(at, chunk.first[:-1])
+                bad = at[before[of] + flat.to_numpy()] if len(flat) else at[:0]
+                for d in np.flatnonzero(copied[lo:hi]).tolist():  # every window of a text that has a copy is repeated
+                    a, b = int(chunk.first[d]), int(chunk.first[d + 1])
+                    if b - a >= WINDOW:
+                        bad = np.concatenate([bad, [a, b - WINDOW], np.arange(a, b - WINDOW, WINDOW)])
+                np.add.at(gone, bad, 1)
+                np.add.at(gone, bad + WINDOW, -1)
                 removed = np.cumsum(gone[:-1]) > 0
                 data, starts, ends, first = chunk.data.tobytes(), chunk.starts.tolist(), chunk.ends.tolist(), chunk.first
                 kept = [b" ".join([data[starts[k] : ends[k]] for k in (np.flatnonzero(~removed[a:b]) + a).tolist()]).decode("utf-8", "replace") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -191,8 +198,7 @@ def _strip(schema_names: list[str], text_at: int, keep_form: bool):
                 if keep_form:
                     whole = sums[first[1:]] == sums[first[:-1]]
                     kept = [t if same else k for t, k, same in zip(batch.column(text_at).slice(lo, hi - lo).to_pylist(), kept, whole.tolist(), strict=True)]
-                part = batch.slice(lo, hi - lo)
-                columns = [part.column(k) for k in range(len(schema_names))]
+                columns = [batch.slice(lo, hi - lo).column(k) for k in range(len(schema_names))]
                 columns[text_at] = pa.array(kept, pa.string())
                 columns += [pa.array(np.diff(first).astype(np.int64)), pa.array((sums[first[1:]] - sums[first[:-1]]).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, [*schema_names, "__sd_n_words", "__sd_n_removed"])
@@ -200,35 +206,58 @@ def _strip(schema_names: list[str], text_at: int, keep_form: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, keep_form: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, keep_form: bool = False, slices: int = SLICES) -> DataFrame:
     """docs (doc_id, text, ...) with text made of its kept words joined by one space, and __sd_n_words, __sd_n_removed.
 
     keep_form: texts that lose nothing stay as they are, white space and nulls included.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"), *_text_keys(text))
+    keys = "doc_id long, t1 long, t2 long"
     log, tables = FingerprintLog(), []
     deal = F.pmod(F.xxhash64(F.lit("batch"), "doc_id"), F.lit(batches))
     for b in range(batches):
-        part = materialize(texts.where(deal == b).mapInArrow(_grams, "doc_id long, prints array<long>").where("size(prints) > 0"), "prints")
+        part = materialize(texts.where(F.coalesce(deal, F.lit(0)) == b).mapInArrow(_grams, f"{keys}, prints array<long>").where("size(prints) > 0"), "prints")
         log.append(part.select(F.explode("prints").alias("print")))
         tables.append(part)
-    held = tables[0]
-    for t in tables[1:]:
-        held = held.unionByName(t)
-    pairs = held.select("doc_id", F.explode("prints").alias("print"))
-    mine = materialize(pairs.join(log.repeated(), "print").groupBy("doc_id").agg(F.collect_set("print").alias("prints")), "known")
+    held = reduce(DataFrame.unionByName, tables)
+
+    # of equal texts one is read further; the others share its fate
+    copies = held.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    first = copies.select(F.col("first").alias("doc_id"), "t1", "t2", (F.col("n") > 1).alias("copied"))
+    ones = held.join(first.select(F.col("doc_id").alias("f_id"), F.col("t1").alias("f1"), F.col("t2").alias("f2")), F.expr("t1 = f1 and t2 = f2 and doc_id <=> f_id")).select(*KEYS, "prints")
+    pairs = ones.select(*KEYS, F.explode("prints").alias("print"))
+    known = materialize(pairs.join(log.repeated(), "print").groupBy(*KEYS).agg(F.collect_set("print").alias("prints")), "known")
+    twins = first.where("copied").select(F.col("t1").alias("f1"), F.col("t2").alias("f2"))
+    copied = materialize(held.select(*KEYS).join(twins, F.expr("t1 = f1 and t2 = f2")).select(*KEYS).distinct(), "copied")
     discard(*tables, *log.runs)
-    named = mine.select(F.col("doc_id").alias("__sd_id"), F.col("prints").alias("__sd_prints"))
-    asked = texts.join(named, texts["doc_id"].eqNullSafe(named["__sd_id"])).select("doc_id", "text", "__sd_prints")
-    windows = materialize(asked.mapInArrow(_candidates, "doc_id long, windows array<struct<h:long,c:long>>").where("size(windows) > 0"), "windows")
-    flat = windows.select("doc_id", F.inline("windows"))
-    twice = flat.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c")
-    found = materialize(flat.join(twice, ["h", "c"]).groupBy("doc_id").agg(F.collect_set(F.struct("h", "c")).alias("windows")), "found")
+
+    asked = texts.join(known.toDF("k_id", "k1", "k2", "prints"), F.expr("t1 = k1 and t2 = k2 and doc_id <=> k_id")).select("doc_id", "text", "t1", "t2", "prints")
+    windows = materialize(asked.mapInArrow(_candidates, f"{keys}, windows array<struct<h:long,c:long>>").where("size(windows) > 0"), "windows")
+    flat = windows.select(*KEYS, F.posexplode("windows").alias("hit", "w")).select(*KEYS, "hit", "w.h", "w.c")
+    parts = []
+    for k in range(slices):  # a slice of hashes at a time bounds what lies between two stages
+        mine = flat.where(F.pmod("h", F.lit(slices)) == k)
+        twice = mine.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c")
+        parts.append(materialize(mine.join(twice, ["h", "c"]).groupBy(*KEYS).agg(F.collect_list("hit").alias("hits")), "hits"))
     discard(windows)
-    both = named.join(found.select(F.col("doc_id").alias("__sd_id2"), F.col("windows").alias("__sd_windows")), F.expr("__sd_id <=> __sd_id2")).select("__sd_id", "__sd_prints", "__sd_windows")
-    source = docs.withColumn("text", F.col("text").cast("string"))
-    joined = source.join(both, source["doc_id"].eqNullSafe(both["__sd_id"]), "left").drop("__sd_id")
+    hits = reduce(DataFrame.unionByName, parts).groupBy(*KEYS).agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    both = known.join(hits.toDF("h_id", "h1", "h2", "hits"), F.expr("t1 = h1 and t2 = h2 and doc_id <=> h_id")).select(*KEYS, "prints", "hits", F.lit(False).alias("copied"))
+    none = F.lit(None).cast("array<long>").alias("prints"), F.lit(None).cast("array<int>").alias("hits"), F.lit(True).alias("copied")
+    marks = both.unionByName(copied.select(*KEYS, *none)).groupBy(*KEYS)
+    marks = marks.agg(F.first("prints", True).alias("__sd_prints"), F.first("hits", True).alias("__sd_hits"), F.max("copied").alias("__sd_copied"))
+
+    source = docs.withColumn("text", text)
+    marked = source.withColumns(dict(zip(("__sd_t1", "__sd_t2"), _text_keys(F.col("text")), strict=True)))
+    named = marks.withColumnsRenamed({"doc_id": "__sd_id", "t1": "__sd_m1", "t2": "__sd_m2"})
+    joined = marked.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("__sd_id")) & F.expr("__sd_t1 = __sd_m1 and __sd_t2 = __sd_m2"), "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return joined.mapInArrow(_strip(source.columns, source.columns.index("text"), keep_form), f"{fields}, __sd_n_words long, __sd_n_removed long")
+    out = joined.select(*[F.col(f"`{c}`") for c in source.columns], "__sd_prints", "__sd_hits", "__sd_copied")
+    return out.mapInArrow(_strip(source.columns, source.columns.index("text"), keep_form), f"{fields}, __sd_n_words long, __sd_n_removed long")
+
+
+def _text_keys(text: Column) -> list[Column]:
+    """Two hashes of a text, together 128 bits."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
