@@ -25,6 +25,8 @@ MIN_SUPPORT = 0.001
 #: A rule needs so many labelled urls at least, however few there are.
 MIN_URLS = 25
 MIN_CONFIDENCE = 0.5
+#: A rule must raise the share of bad urls over that of all by this factor; else tokens of every url would block where bad ones are common.
+MIN_LIFT = 1.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Path rules of the registered query: (verdict, host and path).
@@ -71,7 +73,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     if n < MIN_URLS:
         return pages.select("tokens", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_URLS / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("consequent") == 1))
+    rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("consequent") == 1) & (F.col("lift") >= MIN_LIFT))
     return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
 
 
