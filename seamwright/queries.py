@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import receivers, routes
-from .operators import diff, graph, impact, intent, matching, typecheck
+from .operators import diff, graph, impact, intent, matching, repair, typecheck
 from .plans import report
+from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -455,3 +456,102 @@ def contract_check(spark: SparkSession, d: str) -> DataFrame:
     found = typecheck.compare_flat(fields, _changed_fields(spark, d)).select("kind")
     notes = m.where("server_id is null").select(F.lit("unresolved-route").alias("kind"))
     return found.unionByName(notes).groupBy("kind").agg(F.count(F.lit(1)).alias("findings"))
+
+
+# ---------------------------------------------------------------- sources written from the tables
+def _sources(spark: SparkSession, d: str, lang: str, text: F.Column) -> DataFrame:
+    """One source file for each customer."""
+    ext = {"ts": "ts", "py": "py", "go": "go", "graphql": "graphql"}[lang]
+    return table(spark, d, "customer").select(F.lit("current").alias("snapshot"), F.concat(F.lit("f"), "c_custkey", F.lit(f".{ext}")).alias("path"), F.lit(lang).alias("lang"), text.alias("text"))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    return rows.select("path", "method", "route", "dynamic", F.regexp_count(F.coalesce("schema", F.lit("")), F.lit('"optional"')).alias("n_fields"))
+
+
+@query("""SELECT 'f' || c_custkey || '.ts' AS path, CASE c_custkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'DELETE' END AS method,
+ CASE c_custkey % 3 WHEN 0 THEN '/api/n' || c_nationkey || '/__DYN__' WHEN 1 THEN '/api/v1/c' || c_custkey ELSE '/old/__DYN__' END AS route, c_custkey % 3 <> 1 AS dynamic, CAST(CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n_fields FROM customer""")
+def c1_client_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Calls read from TypeScript written for each customer."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    text = (
+        F.when(k % 3 == 0, F.concat(F.lit("interface R { id: number; nick?: string }\n// fetch('/no')\nconst r = await axios.get<R>(`/api/n"), n, F.lit("/${id}`);")))
+        .when(k % 3 == 1, F.concat(F.lit("const BASE = '/api/v1';\nexport const f = () => api.post<{ ok: boolean }>(BASE + '/c"), k, F.lit("', { a: 1 });")))
+        .otherwise("fetch('/old/' + id, { method: 'delete' }).then((r) => r.text());")
+    )
+    return _parsed(files.client_calls(_sources(spark, d, "ts", text)))
+
+
+@query("""SELECT 'f' || c_custkey || '.ts' AS path, CASE WHEN c_custkey % 2 = 0 THEN 'GET' ELSE 'PUT' END AS method, '/s/' || c_custkey || '/:id' AS route, false AS dynamic, CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_fields FROM customer""")
+def v8_server_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Handlers read from TypeScript written for each customer."""
+    k = F.col("c_custkey")
+    text = F.when(k % 2 == 0, F.concat(F.lit("import express from 'express';\nrouter.get('/s/"), k, F.lit("/:id', auth, (req, res) => { res.json({ id: 1, name: 'x', ...rest }); });"))).otherwise(F.concat(F.lit("fastify.put('/s/"), k, F.lit("/:id', async (req, reply): Promise<{ z: string }> => { return z; });")))
+    return _parsed(files.server_handlers(_sources(spark, d, "ts", text)))
+
+
+@query("""SELECT 'f' || c_custkey || '.py' AS path, 'GET' AS method, '/p' || c_nationkey || '/c/{id}' AS route, false AS dynamic, CAST(2 AS INTEGER) AS n_fields FROM customer""")
+def p7_python_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Handlers read from Python written for each customer."""
+    text = F.concat(F.lit("from pydantic import BaseModel\nr = APIRouter(prefix='/p"), "c_nationkey", F.lit("')\nclass M(BaseModel):\n    a: int\n    b: str | None = None\n@r.get('/c/{id}', response_model=M)\ndef f(id): ...\n"))
+    return _parsed(files.server_handlers(_sources(spark, d, "py", text)))
+
+
+@query("""SELECT 'f' || c_custkey || '.go' AS path, 'POST' AS method, '/v' || c_nationkey || '/g/:id' AS route, false AS dynamic, CAST(2 AS INTEGER) AS n_fields FROM customer""")
+def g6_go_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Handlers read from Go written for each customer."""
+    text = F.concat(F.lit('type O struct {\n\tID string `json:"id"`\n\tAt *int `json:"at,omitempty"`\n\tNo int `json:"-"`\n}\nfunc h(c *gin.Context) {\n\tc.JSON(200, O{})\n}\nfunc main() {\n\tv := router.Group("/v'), "c_nationkey", F.lit('")\n\tv.POST("/g/:id", h)\n}\n'))
+    return _parsed(files.server_handlers(_sources(spark, d, "go", text)))
+
+
+@query("""SELECT 'f' || c_custkey || '.graphql' AS path, 'T' || c_custkey AS type, f.field, f.kind, f.name, f.nullable FROM customer, (VALUES ('id', 'primitive', 'string', false), ('tags', 'array', 'string', true), ('n', 'primitive', 'number', true), ('next', 'reference', 'U', false)) AS f(field, kind, name, nullable)""")
+def q2_graphql_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of GraphQL types written for each customer."""
+    text = F.concat(F.lit("# a: X\ntype T"), "c_custkey", F.lit(" {\n  id: ID!\n  tags: [String!]\n  n(first: Int!): Int\n  next: U! # last: Int\n}\n"))
+    return files.graphql_fields(_sources(spark, d, "graphql", text))
+
+
+@query("""SELECT 'src/app/n' || c_nationkey || '/[id]/route.ts' AS path, '/n' || c_nationkey || '/:id' AS route FROM customer""")
+def v10_app_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Routes of app-router files."""
+    path = F.concat(F.lit("src/app/n"), "c_nationkey", F.lit("/[id]/route.ts"))
+    return table(spark, d, "customer").select(path.alias("path"), files.next_app_route(path).alias("route"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS k, CASE WHEN c_custkey % 2 = 0 THEN 'show(r.mail' || c_custkey || ', r.x)' ELSE 'a.age?.toFixed(' || c_custkey || ')' END AS text FROM customer""")
+def m3_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """M1-M6: renames and optional chains edited into a file of each customer."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    row = lambda text: c.select(F.lit("current").alias("snapshot"), k.cast("string").alias("path"), F.lit("ts").alias("lang"), text.alias("text"))
+    impacts = c.select(k.cast("string").alias("path"), F.lit("BREAKING").alias("severity"), F.lit(True).alias("field_level_match"), F.lit(90.0).alias("confidence"), F.lit(1).alias("ord"))
+    even = repair.repair_files(row(F.concat(F.lit("show(r.email, r.x)"))).where("int(path) % 2 = 0"), impacts, "rename-field", "email", "mail")
+    odd = repair.repair_files(row(F.concat(F.lit("a.age.toFixed("), k, F.lit(")"))).where("int(path) % 2 = 1"), impacts, "widen-optionality", "age")
+    fixed = even.withColumn("text", F.regexp_replace("text", "mail", F.concat(F.lit("mail"), "path")))
+    return fixed.unionByName(odd).select(F.col("path").alias("k"), "text")
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 3 + o_orderkey % 2 > 0 THEN 'FAIL' ELSE 'PASS' END WHEN o_orderkey % 4 = 0 THEN 'FAIL' WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 4 = 1 THEN 'PASS' ELSE 'FAIL' END
+ WHEN o_orderkey % 3 > 0 OR o_orderkey % 2 > 0 THEN 'FAIL' WHEN o_orderkey % 4 = 1 THEN 'PROVEN' ELSE 'REVIEW_REQUIRED' END AS verdict FROM orders""")
+def m8_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """M7, M8: verdicts of receipts."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 4 == 0, "UNVERIFIED").when(k % 4 == 1, "COMPLETE").otherwise("INCOMPLETE")
+    return table(spark, d, "orders").select(k.alias("k"), repair.receipt_verdict(k % 5 != 0, status, k % 3, k % 2, k % 7).alias("verdict"))
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN 'FAIL' WHEN o_orderkey % 5 > 0 OR o_orderkey % 7 > 0 THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS verdict FROM orders""")
+def a3_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """A3: verdicts without an intent."""
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("k"), intent.summary_verdict(k % 3, k % 5, k % 7).alias("verdict"))
+
+
+@query(f"""WITH {SERVERS}, {CLIENTS}, {MATCHED} SELECT m.client_id, 'Client call to ' || c.method || ' r could not be confidently resolved to any server handler' || CASE m.reason WHEN 'no-same-method-candidates' THEN ': no server handler exists for ' || c.method || ' at all.' WHEN 'opaque-dynamic-route' THEN ': every segment of the client path is a runtime value, so there is no literal path evidence to match against (typically a base URL or full URL held in a variable).'
+ WHEN 'no-dynamic-route' THEN ': the client path is static and no exact server match exists (fuzzy matching is only attempted for dynamically-built paths, to avoid guesses like ''/users'' ~ ''/user-settings'').' ELSE '.' END AS message FROM matched m JOIN cli c USING (client_id) WHERE m.reason IS NOT NULL""")
+def d9_unresolved_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The message of each unresolved call."""
+    c = clients_of(spark, d)
+    m = matching.match_routes(c, servers_of(spark, d)).where("reason is not null").select("client_id", "reason").join(c.select("client_id", "method"), "client_id")
+    none = F.lit(None).cast("array<struct<route:string,confidence:double>>")
+    return m.select("client_id", typecheck.unresolved_message(F.col("method"), F.lit("r"), F.col("reason"), none).alias("message"))
