@@ -15,8 +15,10 @@ from . import go_source, python_source, ts_source
 # Folders that hold no source of their own.
 IGNORED = ("node_modules", ".git", "dist", "build", ".next", "__pycache__", ".venv", "venv")
 LANGUAGES = {"ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "py": "py", "go": "go", "graphql": "graphql", "gql": "graphql"}
-CALLS = "id string, method string, route string, dynamic boolean, framework string, schema string, line int, col int"
-FIELDS = ["id", "method", "route", "dynamic", "framework", "schema", "line", "col"]
+CALLS = "id string, method string, route string, dynamic boolean, framework string, schema string, ref string, line int, col int"
+FIELDS = ["id", "method", "route", "dynamic", "framework", "schema", "ref", "line", "col"]
+# What is tried after an import's path, in order.
+SUFFIXES = ("", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx")
 
 
 def read_files(spark: SparkSession, root: str, snapshot: str = "current") -> DataFrame:
@@ -42,7 +44,7 @@ def _apply(files: DataFrame, parsers: dict[str, Callable[[str, str], list[dict]]
     """A row for each parsed item; a file that can't be parsed gives one row with an error and spares the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
         names = ["snapshot", "path", *FIELDS, "error"]
         for batch in batches:
             rows: list[tuple] = []
@@ -53,9 +55,9 @@ def _apply(files: DataFrame, parsers: dict[str, Callable[[str, str], list[dict]]
                     for c in parsers[lang](path, text):
                         key = f"{path}:{c['line']}:{c['col']}:{c['method']}:{c['route']}"
                         schema = None if c.get("schema") is None else json.dumps(c["schema"])
-                        rows.append((snapshot, path, key, c["method"], c["route"], bool(c.get("dynamic")), c["framework"], schema, c["line"], c["col"], None))
+                        rows.append((snapshot, path, key, c["method"], c["route"], bool(c.get("dynamic")), c["framework"], schema, c.get("ref"), c["line"], c["col"], None))
                 except (SyntaxError, ValueError, RecursionError, IndexError, KeyError) as e:
-                    rows.append((snapshot, path, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    rows.append((snapshot, path, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names)
 
     wanted = files.select("snapshot", "path", "lang", "text")
@@ -64,12 +66,61 @@ def _apply(files: DataFrame, parsers: dict[str, Callable[[str, str], list[dict]]
 
 def client_calls(files: DataFrame) -> DataFrame:
     """HTTP calls of TypeScript, Python and Go sources."""
-    return _apply(files, {"ts": ts_source.client_calls, "py": python_source.client_calls, "go": go_source.client_calls}).where("error is null").drop("error")
+    rows = _apply(files, {"ts": ts_source.client_calls, "py": python_source.client_calls, "go": go_source.client_calls})
+    return resolve_imported(rows.where("error is null").drop("error"), files)
 
 
 def server_handlers(files: DataFrame) -> DataFrame:
     """Handlers of TypeScript, Python and Go sources. Prefixes of Python routers are those of their own file."""
-    return _apply(files, {"ts": ts_source.server_handlers, "py": python_source.server_handlers, "go": go_source.server_handlers}).where("error is null").drop("error")
+    rows = _apply(files, {"ts": ts_source.server_handlers, "py": python_source.server_handlers, "go": go_source.server_handlers})
+    return resolve_imported(rows.where("error is null").drop("error"), files)
+
+
+def _names(files: DataFrame, read: Callable[[str, str], list[tuple]], schema: str) -> DataFrame:
+    """snapshot, path and what read finds in each TypeScript file; files that can't be read have nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["snapshot", "path", *[c.split()[0] for c in schema.split(", ")]]
+        for batch in batches:
+            rows: list[tuple] = []
+            for snapshot, path, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                try:
+                    rows += [(snapshot, path, *[v if isinstance(v, str) else json.dumps(v) for v in r]) for r in read(path, text or "")]
+                except (SyntaxError, ValueError, RecursionError, IndexError, KeyError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
+
+    return files.where("lang = 'ts'").select("snapshot", "path", "text").mapInArrow(run, f"snapshot string, path string, {schema}")
+
+
+def ts_imports(files: DataFrame) -> DataFrame:
+    """Snapshot, path, local, specifier, imported."""
+    return _names(files, ts_source.imports, "local string, specifier string, imported string")
+
+
+def ts_declarations(files: DataFrame) -> DataFrame:
+    """Snapshot, path, name, schema of declared object types."""
+    return _names(files, ts_source.declarations, "name string, schema string")
+
+
+def join_path(folder: Column, relative: Column) -> Column:
+    """Folder and a path relative to it, without `.` and `..`."""
+    parts = F.filter(F.split(F.concat_ws("/", folder, relative), "/"), lambda p: ~p.isin("", "."))
+    empty = F.array().cast("array<string>")
+    up = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    return F.array_join(F.aggregate(parts, empty, lambda kept, p: F.when(p == "..", up(kept)).otherwise(F.concat(kept, F.array(p)))), "/")
+
+
+def resolve_imported(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Schemas of types that a relative import brings in, one hop out. Packages are never followed."""
+    named = ts_imports(files).where("startswith(specifier, '.')")
+    target = join_path(F.regexp_replace("path", "/?[^/]*$", ""), F.regexp_replace("specifier", r"\.js$", ""))
+    tried = named.select("snapshot", F.col("path").alias("i_path"), F.col("local").alias("i_ref"), "imported", F.posexplode(F.array(*[F.concat(target, F.lit(x)) for x in SUFFIXES])).alias("rank", "d_path"))
+    declared = ts_declarations(files).select(F.col("snapshot").alias("d_snapshot"), F.col("path").alias("dd_path"), "name", F.col("schema").alias("d_schema"))
+    met = tried.join(declared, F.expr("snapshot = d_snapshot and d_path = dd_path and imported = name"))
+    best = met.groupBy(F.col("snapshot").alias("i_snapshot"), "i_path", "i_ref").agg(F.min_by("d_schema", "rank").alias("i_schema"))
+    out = rows.join(best, F.expr("snapshot = i_snapshot and path = i_path and ref = i_ref"), "left")
+    return out.select(*[F.coalesce("schema", "i_schema").alias("schema") if c == "schema" else F.col(c) for c in rows.columns if c != "ref"])
 
 
 def parse_errors(files: DataFrame) -> DataFrame:

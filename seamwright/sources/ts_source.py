@@ -316,7 +316,7 @@ class Source:
     def expected(self, call: int, inside: int, after: int, close: int) -> dict | None:
         """What a client expects: the call's type argument, the variable's annotation, the names taken apart, a cast of json()."""
         if after > inside:
-            return schema_of(self.type_at(inside)[0])
+            return self.type_at(inside)[0]
         j = call - 1
         while j > 0 and (self.tokens[j].text in ("await", "(", "=>", "async") or self.is_(j, ")")):
             j -= 1
@@ -326,17 +326,17 @@ class Source:
                 k -= 1
             if self.tokens[k].text in ("const", "let", "var"):
                 if self.tokens[k + 1].kind == "name" and self.is_(k + 2, ":"):
-                    return schema_of(self._unwrapped(k + 3))
+                    return self._unwrapped(k + 3)
                 if self.is_(k + 1, "{") and k + 1 in self.match and self.match[k + 1] + 1 == j:
                     names = {}
                     for a, b in self.arguments(k + 1):
                         if self.tokens[a].kind == "name":
                             names[self.tokens[a].text] = field(primitive("unknown"), any(self.is_(x, "=") for x in range(a, b)))
-                    return {"fields": names} if names else None
+                    return obj(names) if names else None
         if self.is_(close + 1, ".") and self.is_(close + 2, "then") and close + 3 in self.match:
             for x in range(close + 3, self.match[close + 3]):
                 if self.is_(x, "json") and self.is_(x + 1, "(") and self.is_(x + 3, "as"):
-                    return schema_of(self._unwrapped(x + 4))
+                    return self._unwrapped(x + 4)
         return None
 
     def _unwrapped(self, k: int) -> dict:
@@ -399,7 +399,31 @@ def _call_at(s: Source, k: int) -> tuple[dict, int] | None:
     if method is None or where is None:
         return None
     route = s.path(*where)
-    return {"method": method, "route": route, "dynamic": DYNAMIC in route, "framework": framework, "schema": s.expected(start, inside, after, close), **s.place(start)}, close
+    shape = s.expected(start, inside, after, close)
+    return {"method": method, "route": route, "dynamic": DYNAMIC in route, "framework": framework, "schema": schema_of(shape), "ref": reference_of(shape), **s.place(start)}, close
+
+
+def reference_of(t: dict | None) -> str | None:
+    """The name of a type that this file doesn't declare."""
+    return t["name"] if t and t["kind"] == "reference" else None
+
+
+def imports(path: str, text: str) -> list[tuple[str, str, str]]:
+    """(local name, specifier, imported name) of named imports; default and namespace imports are left out."""
+    out = []
+    for names, spec in re.findall(r"""\bimport\s+(?:type\s+)?(?:\w+\s*,\s*)?\{([^}]*)\}\s*from\s*["']([^"']+)["']""", text):
+        for part in names.split(","):
+            words = part.replace("type ", " ").split()
+            if words:
+                out.append((words[-1], spec, words[0]))
+    return out
+
+
+def declarations(path: str, text: str) -> list[tuple[str, dict]]:
+    """The object types that a file declares at its top."""
+    s = Source(text)
+    found = [(name, s.declared(name, (name,))) for name in s.types]
+    return [(name, {"fields": t["fields"]}) for name, t in found if t["kind"] == "object"]
 
 
 def _looks_like_path(s: Source, k: int) -> bool:
@@ -423,8 +447,8 @@ def _response(s: Source, lo: int, hi: int) -> dict | None:
     body = next((j for j in range(lo, hi) if s.is_(j, "{") and (s.is_(j - 1, "=>") or s.is_(j - 1, ")") or s.tokens[j - 1].kind == "name" or s.is_(j - 1, ">"))), hi)
     opening = next((j for j in range(lo, hi) if s.is_(j, "(") and j in s.match), None)
     if opening is not None and s.is_(s.match[opening] + 1, ":"):
-        found = schema_of(s._unwrapped(s.match[opening] + 2))
-        if found:
+        found = s._unwrapped(s.match[opening] + 2)
+        if found["kind"] in ("object", "reference"):
             return found
     for j in range(body, hi):
         answer = s.tokens[j].text in ("json", "send") and s.is_(j - 1, ".") and s.is_(j + 1, "(") and j + 1 in s.match
@@ -432,17 +456,21 @@ def _response(s: Source, lo: int, hi: int) -> dict | None:
             a, b = (j + 2, s.match[j + 1]) if answer else (j + 1, s.match.get(j + 1, j + 1) + 1)
             t = s.tokens[a]
             if t.text == "{":
-                return schema_of(s.value_type(a, b))
+                return s.value_type(a, b)
             if answer and t.kind == "name":
                 at = next((x for x in range(lo, j) if s.tokens[x].text in ("const", "let", "var") and s.tokens[x + 1].text == t.text), None)
                 if at is not None and s.is_(at + 2, ":"):
-                    return schema_of(s.type_at(at + 3)[0])
+                    return s.type_at(at + 3)[0]
                 if at is not None and s.is_(at + 2, "="):
-                    return schema_of(s.value_type(at + 3, hi))
+                    return s.value_type(at + 3, hi)
             return None
     return None
 
 
+def _shape(t: dict | None) -> dict:
+    return {"schema": schema_of(t), "ref": reference_of(t)}
+
+
 def server_handlers(path: str, text: str) -> list[dict]:
     """V8, V9: `<x>.<verb>("path", …, handler)`, then exported functions of an app-router file."""
     s, out, kind = Source(text), [], framework_of(text)
@@ -457,12 +485,12 @@ def server_handlers(path: str, text: str) -> list[dict]:
                 lo, hi = s.functions[name], len(s.tokens) - 1
                 hi = next((s.match[j] for j in range(lo, hi) if s.is_(j, "{") and j in s.match), hi)
             start = k - 2
-            out.append({"method": s.tokens[k].text.upper(), "route": s.tokens[args[0][0]].text[1:-1], "framework": kind, "schema": _response(s, lo, hi), **s.place(start)})
+            out.append({"method": s.tokens[k].text.upper(), "route": s.tokens[args[0][0]].text[1:-1], "framework": kind, **_shape(_response(s, lo, hi)), **s.place(start)})
     found = re.search(r"(?:^|/)app/(.*?)/?route\.(?:ts|tsx|js|jsx)$", path)
     if found:
         parts = [re.sub(r"^\[(\w+)\]$", r":\1", p) for p in found[1].split("/") if p]
         for name, k in s.functions.items():
             if name in {v.upper() for v in SERVER_VERBS}:
                 close = next((s.match[j] for j in range(k, len(s.tokens)) if s.is_(j, "{") and j in s.match), len(s.tokens) - 1)
-                out.append({"method": name, "route": "/" + "/".join(parts), "framework": "nextjs", "schema": _response(s, k, close), **s.place(k)})
+                out.append({"method": name, "route": "/" + "/".join(parts), "framework": "nextjs", **_shape(_response(s, k, close)), **s.place(k)})
     return out

@@ -71,6 +71,16 @@ def test_ts_calls():
     assert {k: v["optional"] for k, v in schemas[2]["fields"].items()} == {"first": False, "second": True}
 
 
+def test_types_come_one_import_away(spark):
+    tree = {
+        "web/src/a.ts": "import { User as U, type Other } from './types/user';\nconst x = axios.get<U>('/u');\nconst y: Promise<Other> = fetch('/o');\nconst z = axios.get<Far>('/f');",
+        "web/src/types/user.ts": "export interface User { id: number }\nexport type Other = { b: string };",
+        "web/src/types/user/index.ts": "export interface User { wrong: number }",
+    }
+    got = {r.route: r.schema for r in files.client_calls(files.in_memory(spark, tree)).collect()}
+    assert '"id"' in got["/u"] and '"b"' in got["/o"] and got["/f"] is None
+
+
 def test_ts_handlers():
     text = "import express from 'express';\nfunction one(req, res) { res.json({ a: 1, ...rest, b: { c: [true] } }); }\nrouter.get('/one/:id', auth, one);\nrouter.post('/two', async (req, res): Promise<{ z: string }> => { return other; });\n"
     one, two = ts_source.server_handlers("r.ts", text)
