@@ -12,13 +12,16 @@ def roots(parents: DataFrame) -> DataFrame:
     """(node, root) of (node, parent) with parent <= node; every parent is a node itself or a root."""
     now = materialize(parents.select("node", F.col("parent").alias("root")).where("root <> node"), "roots")
     while True:
-        up = now.select(F.col("node").alias("mid"), F.col("root").alias("top"))
-        nxt = materialize(now.join(up, now["root"] == up["mid"], "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "roots")
+        # two jumps, and a look whether there is a third, in one pass
+        up = [now.select(F.col("node").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in range(3)]
+        hop = now.join(up[0], F.expr("root = n0"), "left").join(up[1], F.expr("r0 = n1"), "left")
+        end = hop.select("node", F.coalesce("r1", "r0", "root").alias("root"))
+        nxt = materialize(end.join(up[2], F.expr("root = n2"), "left").select("node", "root", F.col("r2").isNotNull().alias("more")), "roots")
         discard(now)
-        moved = not nxt.where("moved").isEmpty()
-        now = nxt.drop("moved")
+        more = not nxt.where("more").isEmpty()
+        now = nxt.drop("more")
         now._scratch_path = nxt._scratch_path
-        if not moved:
+        if not more:
             return now
 
 
