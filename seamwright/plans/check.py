@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.routes import parse_route
-from ..operators import matching, typecheck
-from ..sources.files import client_calls, server_handlers
+from ..operators import diff, impact, matching, typecheck
+from ..operators.graph import contract_id
+from ..sources.files import client_calls, server_handlers, usages
 
 
 def check_trees(client_files: DataFrame, server_files: DataFrame, threshold: float = matching.THRESHOLD) -> DataFrame:
@@ -21,3 +22,54 @@ def check_trees(client_files: DataFrame, server_files: DataFrame, threshold: flo
     lost = m.where("server_id is null").select("client_id", "reason").join(c.select("client_id", "method", "route"), "client_id")
     found = typecheck.validate_all(hit, lost.withColumn("candidates", F.lit(None).cast("array<struct<route:string,confidence:double>>")))
     return found.join(c.select("client_id", "file", "line", "column"), "client_id")
+
+
+def contracts(handlers: DataFrame) -> DataFrame:
+    """One row for each contract of a snapshot; of handlers with one contract id the last by place counts."""
+    rows = handlers.select(
+        contract_id(F.col("method"), F.col("route")).alias("contract_id"),
+        F.concat_ws(" ", "method", "route").alias("name"),
+        F.col("path").alias("file"),
+        F.lit(100.0).alias("confidence"),
+        F.when(F.col("schema").isNotNull(), F.concat(F.lit('{"kind":"object",'), F.substring("schema", 2, 1 << 30))).alias("shape"),
+        F.struct("path", "line", "col").alias("ord"),
+    )
+    values = ["name", "file", "confidence", "shape"]
+    return rows.groupBy("contract_id").agg(F.max_by(F.struct(*values), "ord").alias("v")).select("contract_id", "v.*")
+
+
+def _consumers(client_files: DataFrame, handlers: DataFrame, threshold: float) -> DataFrame:
+    """(contract_id, consumer_id, edge and node confidence, resolution, what the call's file reads of its result)."""
+    calls = client_calls(client_files)
+    c = calls.select(F.col("id").alias("client_id"), "method", parse_route(F.col("route")).alias("segments"), "dynamic", F.col("path").alias("file"), "line", "col")
+    s = handlers.select("method", "route", parse_route(F.col("route")).alias("segments"), F.xxhash64("id").alias("server_id"))
+    m = matching.match_routes(c.select("client_id", "method", "segments", "dynamic"), s.select("server_id", "method", "segments"), threshold).where("server_id is not null")
+    u = usages(client_files).select(F.col("path").alias("u_file"), F.col("line").alias("u_line"), F.col("col").alias("u_col"), "accessed", "computed", "unguarded")
+    full = m.join(s.select("server_id", contract_id(F.col("method"), F.col("route")).alias("contract_id")), "server_id").join(c.select("client_id", "dynamic", "file", "line", "col"), "client_id")
+    full = full.join(u, F.expr("file = u_file and line = u_line and col = u_col"), "left")
+    edge = F.col("confidence") * 100
+    return full.select(
+        "contract_id",
+        F.col("client_id").alias("consumer_id"),
+        (F.col("dynamic") | F.coalesce("computed", F.lit(False))).alias("dynamic"),
+        "accessed",
+        "unguarded",
+        F.when(F.col("strategy") == "exact", "exact").otherwise("fuzzy").alias("resolution"),
+        edge.alias("edge_confidence"),
+        edge.alias("node_confidence"),
+    )
+
+
+def impact_trees(client_files: DataFrame, base_server: DataFrame, current_server: DataFrame, base_client: DataFrame | None = None, threshold: float = matching.THRESHOLD) -> DataFrame:
+    """F1, I1, I2 end to end: impacts of the changes between two server snapshots on the calls of a client tree.
+
+    Consumers of a removed contract are looked up in the base, where the dependency existed.
+    """
+    base, current = server_handlers(base_server), server_handlers(current_server)
+    changes = diff.compare_graphs(contracts(base), contracts(current))
+    widened = lambda c: (c["kind"] == "optionality-changed") & F.contains(c["before"], F.lit('"optional": false')) & F.contains(c["after"], F.lit('"optional": true'))
+    listed = F.transform("field_changes", lambda c: F.struct(F.regexp_replace(c["path"], r"^root\.", "").alias("path"), c["kind"].alias("kind"), F.coalesce(widened(c), F.lit(False)).alias("widened")))
+    changed = changes.select("contract_id", F.col("kind").alias("change_kind"), listed.alias("changes"))
+    now = changed.where("change_kind <> 'removed'").join(_consumers(client_files, current, threshold), "contract_id")
+    then = changed.where("change_kind = 'removed'").join(_consumers(base_client if base_client is not None else client_files, base, threshold), "contract_id")
+    return impact.dedupe_impacts(impact.classify_impacts(now.unionByName(then).withColumn("ord", F.lit(0))))

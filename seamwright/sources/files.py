@@ -103,6 +103,13 @@ def ts_declarations(files: DataFrame) -> DataFrame:
     return _names(files, ts_source.declarations, "name string, schema string")
 
 
+def usages(files: DataFrame) -> DataFrame:
+    """B2: snapshot, path, line, col, accessed, computed, unguarded of every TypeScript call."""
+    rows = _names(files, lambda p, t: [(u,) for u in ts_source.usages(p, t)], "u string")
+    kind = "struct<line:int,col:int,accessed:array<string>,computed:boolean,unguarded:array<string>>"
+    return rows.select("snapshot", "path", F.from_json("u", kind).alias("u")).select("snapshot", "path", "u.*")
+
+
 def join_path(folder: Column, relative: Column) -> Column:
     """Folder and a path relative to it, without `.` and `..`."""
     parts = F.filter(F.split(F.concat_ws("/", folder, relative), "/"), lambda p: ~p.isin("", "."))

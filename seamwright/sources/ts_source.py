@@ -494,3 +494,62 @@ def server_handlers(path: str, text: str) -> list[dict]:
                 close = next((s.match[j] for j in range(k, len(s.tokens)) if s.is_(j, "{") and j in s.match), len(s.tokens) - 1)
                 out.append({"method": name, "route": "/" + "/".join(parts), "framework": "nextjs", **_shape(_response(s, k, close)), **s.place(k)})
     return out
+
+
+def usages(path: str, text: str) -> list[dict]:
+    """B2: for each call, what the file reads of the variable it is bound to.
+
+    accessed: property names read by name, and the source names of renamed destructured ones; computed: is any index no string;
+    unguarded: names that are read further (`.x`, `[x]`, a call) without `?.`. Names count file-wide, whatever their scope.
+    """
+    s = Source(text)
+    at = {s.tokens[k].at: k for k in range(len(s.tokens))}
+    out = []
+    for call in client_calls(path, text):
+        start = s.lines[call["line"] - 2] if call["line"] > 1 else 0
+        names, accessed = _bound(s, at[start + call["col"] - 1])
+        computed, unguarded = False, set()
+        for k, t in enumerate(s.tokens):
+            if t.kind != "name" or t.text not in names or s.is_(k - 1, ".") or s.is_(k - 1, "?."):
+                continue
+            if (s.is_(k + 1, ".") or s.is_(k + 1, "?.")) and s.tokens[k + 2].kind == "name":
+                prop, after = s.tokens[k + 2].text, k + 3
+            elif s.is_(k + 1, "[") and k + 1 in s.match:
+                if s.tokens[k + 2].kind != "string" or s.match[k + 1] != k + 3:
+                    computed = True
+                    continue
+                prop, after = s.tokens[k + 2].text[1:-1], k + 4
+            else:
+                continue
+            accessed.add(prop)
+            if s.tokens[after].kind == "mark" and s.tokens[after].text in (".", "[", "("):
+                unguarded.add(prop)
+        out.append({"line": call["line"], "col": call["col"], "accessed": sorted(accessed), "computed": computed, "unguarded": sorted(unguarded)})
+    return out
+
+
+def _bound(s: Source, k: int) -> tuple[set[str], set[str]]:
+    """(names that the declaration around token k binds, source names of renamed ones)."""
+    j = k
+    while j > 0:
+        j -= 1
+        t = s.tokens[j]
+        if t.kind == "mark" and t.text in ")]}":
+            j = s.match.get(j, j)
+        elif t.text == ";" or (t.text == "{" and not s.is_(j - 1, "=>")):
+            return set(), set()
+        elif t.text in ("const", "let", "var"):
+            break
+    else:
+        return set(), set()
+    if s.tokens[j + 1].kind == "name":
+        return {s.tokens[j + 1].text}, set()
+    names, renamed = set(), set()
+    if s.is_(j + 1, "{") and j + 1 in s.match:
+        for a, b in s.arguments(j + 1):
+            if s.is_(a + 1, ":") and s.tokens[a].kind == "name" and a + 2 < b:
+                renamed.add(s.tokens[a].text)
+                names.add(s.tokens[a + 2].text)
+            elif s.tokens[a].kind == "name":
+                names.add(s.tokens[a].text)
+    return names, renamed

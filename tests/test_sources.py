@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from seamwright.plans.check import check_trees
+from seamwright.plans.check import check_trees, impact_trees
 from seamwright.sources import files, go_source, python_source, ts_source
 
 CLIENT = {
@@ -117,3 +117,19 @@ def test_graphql_fields(spark):
 def test_app_routes(spark):
     df = spark.createDataFrame([("src/app/a/[id]/route.ts",), ("app/route.js",)], "p string")
     assert [r[0] for r in df.select(files.next_app_route(F.col("p"))).collect()] == ["/a/:id", "/"]
+
+
+def test_usages():
+    text = 'const { mail: m, other } = await fetch("/a");\nshow(m.x);\nconst r = await axios.get("/b");\nf(r.age.toFixed(0), r.name, r?.opt?.y, r["q"], r[key]);\n'
+    a, b = ts_source.usages("x.ts", text)
+    assert (a["accessed"], a["computed"]) == (["mail", "x"], False)
+    assert (b["accessed"], b["computed"], b["unguarded"]) == (["age", "name", "opt", "q"], True, ["age"])
+
+
+def test_impacts_of_a_rename_and_a_removal(spark):
+    server = lambda body, more="": files.in_memory(spark, {"s.ts": f"router.get('/u', async (req, res): Promise<{{ {body} }}> => {{ return x; }});{more}"})
+    client = files.in_memory(spark, {"a.ts": "const r = await axios.get('/u');\nshow(r.email);", "b.ts": "const q = await axios.get('/u');\nshow(q.name);", "c.ts": "const g = await axios.get('/gone');\nshow(g.x);", "d.ts": "const w = await axios.get('/u');\nshow(w.age);"})
+    base = server("name: string; email: string; age: number", "\nrouter.get('/gone', async (req, res): Promise<{ x: string }> => { return x; });")
+    got = {r.consumer_id.split(":")[0]: r for r in impact_trees(client, base, server("name: string; mail: string; age?: number")).collect()}
+    assert {k: (r.severity, r.category) for k, r in got.items()} == {"a.ts": ("BREAKING", "DIRECT"), "b.ts": ("SAFE", "UNUSED"), "c.ts": ("BREAKING", "DIRECT"), "d.ts": ("SAFE", "DIRECT")}
+    assert got["a.ts"].changed_paths == ["email"] and got["a.ts"].proof_level == "PROVEN"
