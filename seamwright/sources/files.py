@@ -127,7 +127,7 @@ def resolve_imported(rows: DataFrame, files: DataFrame) -> DataFrame:
     met = tried.join(declared, F.expr("snapshot = d_snapshot and d_path = dd_path and imported = name"))
     best = met.groupBy(F.col("snapshot").alias("i_snapshot"), "i_path", "i_ref").agg(F.min_by("d_schema", "rank").alias("i_schema"))
     out = rows.join(best, F.expr("snapshot = i_snapshot and path = i_path and ref = i_ref"), "left")
-    return out.select(*[F.coalesce("schema", "i_schema").alias("schema") if c == "schema" else F.col(c) for c in rows.columns if c != "ref"])
+    return out.select(*[F.coalesce("i_schema", "schema").alias("schema") if c == "schema" else F.col(c) for c in rows.columns if c != "ref"])
 
 
 def parse_errors(files: DataFrame) -> DataFrame:

@@ -448,7 +448,7 @@ def _response(s: Source, lo: int, hi: int) -> dict | None:
     opening = next((j for j in range(lo, hi) if s.is_(j, "(") and j in s.match), None)
     if opening is not None and s.is_(s.match[opening] + 1, ":"):
         found = s._unwrapped(s.match[opening] + 2)
-        if found["kind"] in ("object", "reference"):
+        if found["kind"] == "object":
             return found
     for j in range(body, hi):
         answer = s.tokens[j].text in ("json", "send") and s.is_(j - 1, ".") and s.is_(j + 1, "(") and j + 1 in s.match
@@ -467,8 +467,12 @@ def _response(s: Source, lo: int, hi: int) -> dict | None:
     return None
 
 
-def _shape(t: dict | None) -> dict:
-    return {"schema": schema_of(t), "ref": reference_of(t)}
+def _shape(s: Source, lo: int, hi: int) -> dict:
+    """schema as far as the file tells, and the name of an annotated type from elsewhere, which would win."""
+    answer = _response(s, lo, hi)
+    opening = next((j for j in range(lo, hi) if s.is_(j, "(") and j in s.match), None)
+    named = s._unwrapped(s.match[opening] + 2) if opening is not None and s.is_(s.match[opening] + 1, ":") else None
+    return {"schema": schema_of(answer), "ref": reference_of(named) or reference_of(answer)}
 
 
 def server_handlers(path: str, text: str) -> list[dict]:
@@ -485,14 +489,14 @@ def server_handlers(path: str, text: str) -> list[dict]:
                 lo, hi = s.functions[name], len(s.tokens) - 1
                 hi = next((s.match[j] for j in range(lo, hi) if s.is_(j, "{") and j in s.match), hi)
             start = k - 2
-            out.append({"method": s.tokens[k].text.upper(), "route": s.tokens[args[0][0]].text[1:-1], "framework": kind, **_shape(_response(s, lo, hi)), **s.place(start)})
+            out.append({"method": s.tokens[k].text.upper(), "route": s.tokens[args[0][0]].text[1:-1], "framework": kind, **_shape(s, lo, hi), **s.place(start)})
     found = re.search(r"(?:^|/)app/(.*?)/?route\.(?:ts|tsx|js|jsx)$", path)
     if found:
         parts = [re.sub(r"^\[(\w+)\]$", r":\1", p) for p in found[1].split("/") if p]
         for name, k in s.functions.items():
             if name in {v.upper() for v in SERVER_VERBS}:
                 close = next((s.match[j] for j in range(k, len(s.tokens)) if s.is_(j, "{") and j in s.match), len(s.tokens) - 1)
-                out.append({"method": name, "route": "/" + "/".join(parts), "framework": "nextjs", **_shape(_response(s, k, close)), **s.place(k)})
+                out.append({"method": name, "route": "/" + "/".join(parts), "framework": "nextjs", **_shape(s, k, close), **s.place(k)})
     return out
 
 
