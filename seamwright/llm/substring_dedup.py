@@ -89,19 +89,23 @@ class FingerprintLog:
 
     def __init__(self, fanout: int = FANOUT):
         self.runs: list[DataFrame] = []
+        self.seen: list[DataFrame] = []
         self.fanout = fanout
 
     def append(self, prints: DataFrame) -> DataFrame:
         """Add a batch (a column `print`); returns its prints that earlier runs hold, by merge joins."""
         counted = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("print")
         run = materialize(counted, "run")
-        known = run.select("print").limit(0)
-        for old in self.runs:
-            known = known.unionByName(run.select("print").join(old.select("print"), "print", "left_semi"))
+        if self.runs:
+            met = [run.select("print").join(old.select("print"), "print", "left_semi") for old in self.runs]
+            known = materialize(reduce(DataFrame.unionByName, met).distinct(), "seen")
+            self.seen.append(known)
+        else:
+            known = run.select("print").limit(0)
         self.runs.append(run)
         if len(self.runs) > self.fanout:
             self.compact()
-        return known.distinct()
+        return known
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -117,9 +121,12 @@ class FingerprintLog:
         return out.groupBy("print").agg(F.sum("n").alias("n"))
 
     def repeated(self) -> DataFrame:
-        """Prints seen twice or more over all runs."""
-        self.compact()
-        return self.runs[0].where("n > 1").select("print")
+        """Prints seen twice or more: in one run, or in a batch and an earlier run."""
+        parts = [run.where("n > 1").select("print") for run in self.runs] + self.seen
+        return reduce(DataFrame.unionByName, parts).distinct()
+
+    def drop(self) -> None:
+        discard(*self.runs, *self.seen)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +239,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, keep_form: bool = Fa
     known = materialize(pairs.join(log.repeated(), "print").groupBy(*KEYS).agg(F.collect_set("print").alias("prints")), "known")
     twins = first.where("copied").select(F.col("t1").alias("f1"), F.col("t2").alias("f2"))
     copied = materialize(held.select(*KEYS).join(twins, F.expr("t1 = f1 and t2 = f2")).select(*KEYS).distinct(), "copied")
-    discard(*tables, *log.runs)
+    discard(*tables)
+    log.drop()
 
     asked = texts.join(known.toDF("k_id", "k1", "k2", "prints"), F.expr("t1 = k1 and t2 = k2 and doc_id <=> k_id")).select("doc_id", "text", "t1", "t2", "prints")
     windows = materialize(asked.mapInArrow(_candidates, f"{keys}, windows array<struct<h:long,c:long>>").where("size(windows) > 0"), "windows")
@@ -240,8 +248,10 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, keep_form: bool = Fa
     parts = []
     for k in range(slices):  # a slice of hashes at a time bounds what lies between two stages
         mine = flat.where(F.pmod("h", F.lit(slices)) == k)
-        twice = mine.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c")
+        # written apart, so that the join reads plain shuffles on both sides and a hot window's rows can be split
+        twice = materialize(mine.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c"), "twice")
         parts.append(materialize(mine.join(twice, ["h", "c"]).groupBy(*KEYS).agg(F.collect_list("hit").alias("hits")), "hits"))
+        discard(twice)
     discard(windows)
     hits = reduce(DataFrame.unionByName, parts).groupBy(*KEYS).agg(F.flatten(F.collect_list("hits")).alias("hits"))
     both = known.join(hits.toDF("h_id", "h1", "h2", "hits"), F.expr("t1 = h1 and t2 = h2 and doc_id <=> h_id")).select(*KEYS, "prints", "hits", F.lit(False).alias("copied"))
