@@ -78,6 +78,14 @@ def op8_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(docs, crf).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
+def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic, calibrated probability and decision of every document of the mixture."""
+    from .raking import calibrated
+
+    out = calibrated(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return out.select("doc_id", "source", "lang", F.col("__rake_topic").alias("topic"), F.col("__rake_p").alias("probability"), F.col("__rake_kept").alias("kept"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in every document once the repeated 35-word windows are gone."""
     from .substring_dedup import remove_repeats

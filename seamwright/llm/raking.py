@@ -86,8 +86,8 @@ def scale_for(cells: DataFrame, keep_share: float, steps: int = 40) -> float:
     return high
 
 
-def rake_and_sample(docs: DataFrame, keep_share: float = KEEP_SHARE, temper: float = TEMPER, seed: int = SEED, topic: Column | None = None) -> DataFrame:
-    """The sampled rows of docs (doc_id, text, source, lang, ...), all columns as they were."""
+def calibrated(docs: DataFrame, keep_share: float = KEEP_SHARE, temper: float = TEMPER, seed: int = SEED, topic: Column | None = None) -> DataFrame:
+    """docs (doc_id, text, source, lang, ...) with __rake_topic, __rake_p (the probability of its cell) and __rake_kept."""
     topic = topic_of(F.col("text")) if topic is None else topic
     named = {f"{_PRE}source": F.col("source"), f"{_PRE}lang": F.col("lang"), f"{_PRE}topic": topic}
     tagged = docs.withColumns(named)
@@ -98,4 +98,10 @@ def rake_and_sample(docs: DataFrame, keep_share: float = KEEP_SHARE, temper: flo
     rate = fitted.select(*[F.col(d).alias(f"{_PRE}c_{d}") for d in DIMENSIONS], F.least(F.lit(1.0), F.lit(scale) * F.col("weight") / F.col("tokens")).alias(f"{_PRE}p"))
     match = [F.col(f"{_PRE}{d}").eqNullSafe(F.col(f"{_PRE}c_{d}")) for d in DIMENSIONS]
     draw = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    return tagged.join(rate, match[0] & match[1] & match[2]).where(draw < F.col(f"{_PRE}p")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = tagged.join(rate, match[0] & match[1] & match[2]).withColumn(f"{_PRE}kept", draw < F.col(f"{_PRE}p"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], f"{_PRE}topic", f"{_PRE}p", f"{_PRE}kept")
+
+
+def rake_and_sample(docs: DataFrame, keep_share: float = KEEP_SHARE, temper: float = TEMPER, seed: int = SEED, topic: Column | None = None) -> DataFrame:
+    """The sampled rows of docs (doc_id, text, source, lang, ...), all columns as they were."""
+    return calibrated(docs, keep_share, temper, seed, topic).where(f"{_PRE}kept").select(*[F.col(f"`{c}`") for c in docs.columns])

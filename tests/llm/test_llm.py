@@ -323,6 +323,11 @@ def test_rake_fits_marginals(spark):
             assert sum(r.weight for r in got if r[d] == level) == pytest.approx(share, abs=1e-3)
 
 
+def test_every_row_gets_a_probability(spark, odd):
+    rows = raking.calibrated(odd).collect()
+    assert len(rows) == odd.count() and all(0 < r["__rake_p"] <= 1 for r in rows)
+
+
 def test_sample_keeps_rows_and_share(spark, docs, odd):
     out = raking.rake_and_sample(docs, keep_share=0.7)
     assert out.columns == docs.columns and out.exceptAll(docs).isEmpty()
