@@ -1,11 +1,16 @@
-"""Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
+"""Mixing sources to target weights: bounded iterative proportional fitting, then calibrated sampling.
 
 Documents fall into cells (source, language, topic) with a token total each. The weights of cells
-are raked in turn to the target share of each source, language and topic until the marginals
-fit, and a document of cell c is kept with probability min(1, scale * weight_c / tokens_c),
-decided by a hash of its id, with the scale set so that the expected tokens are `keep_share` of all.
-All of it is aggregation over cells, which are pre-aggregated before any shuffle; nothing is
-collected but the sums of a marginal's error.
+are raked in turn to the target share of each source, language and topic. A cell cannot give more
+than all its tokens: the share it cannot take goes to the uncut cells of its level at once, so
+that the marginals are those of the sample and not of weights that are cut later. A document of cell c is
+kept with its weight's part of the cell, decided by a hash of its id.
+
+Without repeats a level gives at most its own tokens, so targets limit the sample's size: it is the largest at
+which all of them can be met, and at most KEEP_SHARE of all tokens. A caller's `keep_share` fixes the size
+instead; a level whose target is more than it holds at that size is then kept whole, and the rest of its share
+goes to the others in proportion. All of it is aggregation over cells, which are pre-aggregated before any
+shuffle; nothing is collected but the least ratio of own to target share and the largest error of a marginal.
 
 A null source, language or topic is a level of its own. Null or empty texts count as one token, so that
 they can be sampled. Repeated rows share their id's decision. An empty table gives an empty
@@ -14,7 +19,9 @@ result. Columns of the input are kept; internal names are prefixed so that none
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -24,6 +31,9 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.7
 ROUNDS = 6
 KEEP_SHARE = 0.8
+#: Marginals are met if each level is this near its target, as a part of it; else samples smaller by SHRINK are tried,
+#: and as the last of TRIES the largest at which no raked cell is cut.
+TOLERANCE, SHRINK, TRIES = 1e-3, 0.7, 4
 SEED = 11
 _PRE = "__rake_"
 
@@ -51,57 +61,103 @@ def tempered(cells: DataFrame, dimension: str, temper: float = TEMPER) -> DataFr
     return level.crossJoin(F.broadcast(total)).select(dimension, (F.col("want") / F.col("all_want")).alias("share"))  # one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def _factor(group: str, want: Column | str, bound: str, *ties: str) -> Column:
+    """The factor f at which sum(min(bound, f * weight)) over a group is `want`.
+
+    That sum is the least of T + f * Y over all ways to cut the first cells by bound / weight, T being
+    their bounds and Y the other cells' weights: f is the largest of (want - T) / Y.
+    """
+    near = F.coalesce(F.col(bound) / F.when(F.col("weight") > 0, F.col("weight")), F.lit(float("inf")))
+    part = Window.partitionBy(group)
+    before = part.orderBy(near, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    onward = part.orderBy(near.desc(), *[F.desc(t) for t in ties]).rowsBetween(Window.unboundedPreceding, 0)
+    cut, free = F.coalesce(F.sum(bound).over(before), F.lit(0.0)), F.sum("weight").over(onward)
+    want = F.col(want) if isinstance(want, str) else want
+    return (want - cut) / F.when(free > 0, free)
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, size: float | None = None) -> DataFrame:
     """cells (source, lang, topic, tokens) with weight: shares that fit every target marginal.
 
     targets: for each dimension (level, share). A level without a target keeps its weight; one
     with a target but no cell can't be met, and the others are scaled to it by the next marginal.
+    No weight exceeds the cell's share of a sample of `size` of all tokens, if that is given.
     """
     total = cells.agg(F.sum("tokens").alias("all_tokens"))
-    now = cells.crossJoin(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("all_tokens")).drop("all_tokens")
+    own = F.col("tokens") / F.col("all_tokens")
+    bound = F.lit(float("inf")) if size is None else own / F.lit(size)
+    now = cells.crossJoin(F.broadcast(total)).withColumns({"weight": own, "bound": bound}).drop("all_tokens")
+    for d, want in targets.items():
+        want = want.select(F.col(d).alias("level"), F.col("share").alias(f"want_{d}"))
+        now = now.join(F.broadcast(want), now[d].eqNullSafe(want["level"]), "left").drop("level")
     for _ in range(rounds):
-        for d, want in targets.items():
-            have = now.groupBy(d).agg(F.sum("weight").alias("have"))
-            factor = have.join(want, have[d].eqNullSafe(want[d]), "left").select(have[d].alias("level"), F.coalesce(F.col("share") / F.when(F.col("have") > 0, F.col("have")), F.lit(1.0)).alias("factor"))
-            now = now.join(factor, now[d].eqNullSafe(factor["level"]), "left").withColumn("weight", F.col("weight") * F.col("factor")).drop("level", "factor")
+        for d in targets:
+            now = now.withColumn("f", _factor(d, f"want_{d}", "bound", *DIMENSIONS))
+            now = now.withColumn("weight", F.col("weight") * F.coalesce(F.max("f").over(Window.partitionBy(d)), F.lit(1.0))).drop("f")
         now = materialize(now, "rake")
-    return now
+    return now.select(*cells.columns, F.least("weight", "bound").alias("weight"))
 
 
-def scale_for(cells: DataFrame, keep_share: float, steps: int = 40) -> float:
-    """The scale at which sum(tokens * min(1, scale * weight / tokens)) is keep_share of all tokens.
-
-    Bisection on sums over cells; one aggregate evaluates a whole grid of scales at once.
+def shares_of(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, level, own, share): own and target share of each level that has cells; one without a target wants its own share."""
+    total = cells.agg(F.sum("tokens").alias("all_tokens"))
+    out = None
+    for d, want in targets.items():
+        level = cells.groupBy(F.col(d).alias("level")).agg(F.sum("tokens").alias("tokens")).crossJoin(F.broadcast(total))
+        want = want.select(F.col(d).alias("wanted"), F.col("share").alias("raw"))
+        own = F.col("tokens") / F.col("all_tokens")
+        found = level.join(want, level["level"].eqNullSafe(want["wanted"]), "left").select(F.lit(d).alias("dimension"), "level", own.alias("own"), F.coalesce("raw", own).alias("raw"))
+        out = found if out is None else out.unionByName(found)
+    share = F.col("raw") / F.sum("raw").over(Window.partitionBy("dimension"))
+    return out.select("dimension", "level", "own", share.alias("share"))
+
+
+def worst_error(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest error of a level's weight, as a part of its target."""
+    out = None
+    for d, want in targets.items():
+        have = fitted.groupBy(d).agg(F.sum("weight").alias("have"))
+        error = have.join(want, have[d].eqNullSafe(want[d])).select(F.abs(F.col("have") / F.when(F.col("share") > 0, F.col("share")) - 1).alias("error"))
+        out = error if out is None else out.unionByName(error)
+    return out.agg(F.max("error")).first()[0] or 0.0
+
+
+def calibrated(docs: DataFrame, keep_share: float | None = None, temper: float = TEMPER, seed: int = SEED, topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """docs (doc_id, text, source, lang, ...) with __rake_topic, __rake_p (the probability of its cell) and __rake_kept.
+
+    targets: (level, share) by dimension, with columns named as the dimension and `share`; a dimension without any has tempered ones.
     """
-    low, high = 0.0, 1.0
-    row = cells.agg(F.sum("tokens").alias("all"), F.max(F.col("tokens") / F.when(F.col("weight") > 0, F.col("weight"))).alias("top")).first()
-    if row is None or not row["all"] or row["top"] is None:
-        return 1.0
-    high = float(row["top"])
-    for _ in range(3):
-        grid = [low + (high - low) * k / steps for k in range(steps + 1)]
-        sums = cells.agg(*[F.sum(F.least(F.col("tokens"), F.lit(x) * F.col("weight"))).alias(f"s{k}") for k, x in enumerate(grid)]).first()
-        at = next((k for k in range(steps + 1) if sums[f"s{k}"] >= keep_share * row["all"]), steps)
-        low, high = grid[max(0, at - 1)], grid[at]
-    return high
-
-
-def calibrated(docs: DataFrame, keep_share: float = KEEP_SHARE, temper: float = TEMPER, seed: int = SEED, topic: Column | None = None) -> DataFrame:
-    """docs (doc_id, text, source, lang, ...) with __rake_topic, __rake_p (the probability of its cell) and __rake_kept."""
     topic = topic_of(F.col("text")) if topic is None else topic
     named = {f"{_PRE}source": F.col("source"), f"{_PRE}lang": F.col("lang"), f"{_PRE}topic": topic}
     tagged = docs.withColumns(named)
     cells = tagged.groupBy(*named).agg(F.sum(tokens_of(F.col("text"))).alias("tokens"))
     cells = materialize(cells.toDF(*DIMENSIONS, "tokens"), "cells")
-    fitted = rake(cells, {d: tempered(cells, d, temper) for d in DIMENSIONS})
-    scale = scale_for(fitted, keep_share)
-    rate = fitted.select(*[F.col(d).alias(f"{_PRE}c_{d}") for d in DIMENSIONS], F.least(F.lit(1.0), F.lit(scale) * F.col("weight") / F.col("tokens")).alias(f"{_PRE}p"))
+    wanted = {d: (targets or {}).get(d) or tempered(cells, d, temper) for d in DIMENSIONS}
+    shares = materialize(shares_of(cells, wanted), "shares")
+    limit = shares.agg(F.min(F.col("own") / F.when(F.col("share") > 0, F.col("share")))).first()[0]
+    size = keep_share or min(KEEP_SHARE, limit or 1.0)
+    for n in range(TRIES):
+        if n == TRIES - 1:  # weights without bounds tell a size at which none is needed
+            free = rake(cells, fits).crossJoin(F.broadcast(cells.agg(F.sum("tokens").alias("all_tokens"))))
+            size = min(size, free.agg(F.min(F.col("tokens") / F.col("all_tokens") / F.when(F.col("weight") > 0, F.col("weight")))).first()[0] or size)
+        room = shares.withColumns({"weight": F.col("share"), "bound": F.col("own") / F.lit(size)}).withColumn("f", _factor("dimension", F.lit(1.0), "bound", "level"))
+        room = materialize(room.withColumn("share", F.least("bound", F.col("share") * F.max("f").over(Window.partitionBy("dimension")))), "shares")
+        fits = {d: room.where(F.col("dimension") == d).select(F.col("level").alias(d), "share") for d in DIMENSIONS}
+        fitted = rake(cells, fits, size=size)
+        error = worst_error(fitted, fits)
+        if error <= TOLERANCE or keep_share:
+            break
+        size *= SHRINK if n < TRIES - 2 else 1
+    if error > TOLERANCE:
+        warnings.warn(f"raking: a level misses its target by {error:.3f} of it; no sample of {size:.3f} of the tokens met them all", stacklevel=2)
+    rate = fitted.crossJoin(F.broadcast(cells.agg(F.sum("tokens").alias("all_tokens"))))
+    rate = rate.select(*[F.col(d).alias(f"{_PRE}c_{d}") for d in DIMENSIONS], F.least(F.lit(1.0), F.lit(size) * F.col("all_tokens") * F.col("weight") / F.col("tokens")).alias(f"{_PRE}p"))
     match = [F.col(f"{_PRE}{d}").eqNullSafe(F.col(f"{_PRE}c_{d}")) for d in DIMENSIONS]
     draw = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
     joined = tagged.join(rate, match[0] & match[1] & match[2]).withColumn(f"{_PRE}kept", draw < F.col(f"{_PRE}p"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], f"{_PRE}topic", f"{_PRE}p", f"{_PRE}kept")
 
 
-def rake_and_sample(docs: DataFrame, keep_share: float = KEEP_SHARE, temper: float = TEMPER, seed: int = SEED, topic: Column | None = None) -> DataFrame:
+def rake_and_sample(docs: DataFrame, keep_share: float | None = None, temper: float = TEMPER, seed: int = SEED, topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The sampled rows of docs (doc_id, text, source, lang, ...), all columns as they were."""
-    return calibrated(docs, keep_share, temper, seed, topic).where(f"{_PRE}kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return calibrated(docs, keep_share, temper, seed, topic, targets).where(f"{_PRE}kept").select(*[F.col(f"`{c}`") for c in docs.columns])

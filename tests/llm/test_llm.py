@@ -338,6 +338,24 @@ def test_sample_keeps_rows_and_share(spark, docs, odd):
     assert raking.rake_and_sample(odd.limit(0)).count() == 0
 
 
+def test_sample_has_the_target_shares(spark):
+    text = F.when(F.col("id") % 20 == 0, "a | b | c d e").when(F.col("id") % 33 == 0, "licensed to be used so").otherwise("some words that are six")
+    frame = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), text.alias("text"), F.when(F.xxhash64("id") % 10 == 0, "few").when(F.xxhash64("id") % 7 == 0, None).otherwise("most").alias("source"), F.when(F.col("id") % 9 == 0, "de").otherwise("en").alias("lang")
+    )
+    given = {"source": {"most": 0.7, "few": 0.15, None: 0.15}, "lang": {"en": 0.8, "de": 0.2}, "topic": {"table": 0.1, "licence": 0.04, "note": 0.86}}
+    targets = {d: spark.createDataFrame(list(v.items()), f"{d} string, share double") for d, v in given.items()}
+    tokens = lambda f, d: {r[0]: r[1] for r in f.groupBy(d).agg(F.sum(raking.tokens_of(F.col("text")))).collect()}
+    tagged = frame.withColumn("topic", raking.topic_of(F.col("text")))
+    for wanted in (None, targets):
+        out = raking.rake_and_sample(frame, targets=wanted).withColumn("topic", raking.topic_of(F.col("text"))).localCheckpoint()
+        for d in raking.DIMENSIONS:
+            own, got = tokens(tagged, d), tokens(out, d)
+            want = given[d] if wanted else {k: v**raking.TEMPER / sum(x**raking.TEMPER for x in own.values()) for k, v in own.items()}
+            for level, share in want.items():
+                assert got[level] / sum(got.values()) == pytest.approx(share, abs=0.015)
+
+
 # ---------------------------------------------------------------- 10 substrings
 def brute_removed(rows):
     words = [w for _, t in rows for w in [(t or "").encode().split()]]
