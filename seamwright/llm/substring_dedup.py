@@ -2,9 +2,9 @@
 
 The index holds fingerprints of word windows: in each window of WINDOW words the smallest hash of its
 GRAM-word grams stands for it, so equal windows share their fingerprint and only a few grams of a text
-are kept. Each batch of documents becomes an immutable run (fingerprint, n), sorted by fingerprint;
+are kept. Each batch of documents becomes an immutable run (fingerprint, n), bucketed and sorted by fingerprint;
 runs are merge-joined with each new batch to tell what was seen before, and compacted into one
-when there are more than FANOUT. A fingerprint seen twice only makes a window a candidate:
+when there are more than FANOUT. With a lasting log, the documents of later calls are compared with those of earlier ones. A fingerprint seen twice only makes a window a candidate:
 candidates are verified by a 128-bit hash of all their words, counted over the corpus, and windows
 found twice or more lose their words in every text that holds them.
 
@@ -18,18 +18,22 @@ other columns are kept.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, discard, inside, materialize, rows_of, signed, small_batches, text_chunks, window_hashes
+from .common import _remove, Texts, discard, inside, materialize, rows_of, scratch_root, signed, small_batches, text_chunks, window_hashes
 
 WINDOW, GRAM = 35, 8
-BATCHES, FANOUT = 2, 4
+#: A call's documents are appended in BATCHES batches; more than FANOUT runs are compacted.
+BATCHES, FANOUT = 4, 3
 #: Candidate windows are verified in so many slices of their hashes, one after the other.
 SLICES = 4
 KEYS = ["doc_id", "t1", "t2"]
@@ -85,48 +89,110 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintLog:
-    """Sorted immutable runs of (print, n). A run is a table in the shared scratch folder."""
+    """Sorted immutable runs of (print, n), as tables bucketed and sorted by print: merge joins of runs need no shuffle.
 
-    def __init__(self, fanout: int = FANOUT):
+    Without a folder, runs are scratch tables of the session. With one, the log lasts: every version of its list of runs is
+    a small JSON table there, and the documents of each batch (keys, prints, texts) are kept, so that windows of
+    later batches can be verified against them; a log of the same folder goes on where the last one stopped.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
+        self.spark, self.fanout, self.folder = spark, fanout, folder
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[DataFrame] = []
         self.seen: list[DataFrame] = []
-        self.fanout = fanout
+        self.kept: list[str] = []
+        self._paths: list[str] = []
+        self.version = 0
+        if folder is not None:
+            try:
+                last = spark.read.schema("version int, buckets int, runs array<string>, seen array<string>, kept array<string>").json(f"{folder}/versions").orderBy(F.desc("version")).first()
+            except AnalysisException:  # no version has been written
+                last = None
+            if last is not None:
+                self.version, self.buckets, self.kept, self._paths = last["version"], last["buckets"], list(last["kept"]), list(last["runs"])
+                self.runs = [self._table(p) for p in last["runs"]]
+                self.seen = [spark.read.schema("print long").parquet(p) for p in last["seen"]]
+                for df, p in zip(self.seen, last["seen"], strict=True):
+                    df._scratch_path = p
+
+    def _table(self, path: str) -> DataFrame:
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} (print BIGINT, n BIGINT) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _place(self, tag: str) -> str:
+        return f"{self.folder or scratch_root(self.spark) + '/seamwright'}/{tag}-{uuid.uuid4().hex}"
+
+    def _write(self, counted: DataFrame) -> DataFrame:
+        path, name = self._place("run"), f"fingerprints_{uuid.uuid4().hex}"
+        dealt = counted.repartition(self.buckets, "print")
+        dealt.write.bucketBy(self.buckets, "print").sortBy("print").option("path", path).format("parquet").saveAsTable(name)
+        if self.folder is None:
+            atexit.register(_remove, self.spark, path)
+        self._paths.append(path)
+        return self.spark.table(name)
 
     def append(self, prints: DataFrame) -> DataFrame:
         """Add a batch (a column `print`); returns its prints that earlier runs hold, by merge joins."""
-        counted = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("print")
-        run = materialize(counted, "run")
+        run = self._write(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")))
+        known = run.select("print").limit(0)
         if self.runs:
-            met = [run.select("print").join(old.select("print"), "print", "left_semi") for old in self.runs]
-            known = materialize(reduce(DataFrame.unionByName, met).distinct(), "seen")
-            self.seen.append(known)
-        else:
-            known = run.select("print").limit(0)
+            path = self._place("seen")
+            for old in self.runs:
+                run.select("print").join(old.select("print"), "print", "left_semi").write.mode("append").parquet(path)
+            if self.folder is None:
+                atexit.register(_remove, self.spark, path)
+            seen = self.spark.read.schema("print long").parquet(path)
+            seen._scratch_path = path
+            self.seen.append(seen)
+            known = seen.distinct()
         self.runs.append(run)
         if len(self.runs) > self.fanout:
             self.compact()
         return known
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one. In a lasting log the old runs stay, as earlier versions name them."""
         if len(self.runs) > 1:
-            old = self.runs
-            self.runs = [materialize(self._union().sortWithinPartitions("print"), "run")]
-            discard(*old)
+            merged = self._entries().groupBy("print").agg(F.sum("n").alias("n"))
+            old, self._paths = self._paths, []
+            self.runs = [self._write(merged)]
+            if self.folder is None:
+                for path in old:
+                    _remove(self.spark, path)
 
-    def _union(self) -> DataFrame:
-        out = self.runs[0]
-        for run in self.runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("print").agg(F.sum("n").alias("n"))
+    def _entries(self) -> DataFrame:
+        """(print, n) of all runs, read as plain files."""
+        return self.spark.read.schema("print long, n long").parquet(*self._paths)
 
     def repeated(self) -> DataFrame:
         """Prints seen twice or more: in one run, or in a batch and an earlier run."""
-        parts = [run.where("n > 1").select("print") for run in self.runs] + self.seen
-        return reduce(DataFrame.unionByName, parts).distinct()
+        return reduce(DataFrame.unionByName, [self._entries().where("n > 1").select("print"), *self.seen]).distinct()
+
+    def keep(self, held: DataFrame, texts: DataFrame) -> None:
+        """Keep a call's documents (doc_id, t1, t2, prints) and their texts, and write the new version of the log."""
+        path = self._place("batch")
+        held.write.parquet(f"{path}/prints")
+        texts.join(held.select(*[F.col(k).alias(f"k_{k}") for k in KEYS]).distinct(), F.expr("t1 = k_t1 and t2 = k_t2 and doc_id <=> k_doc_id"), "left_semi").write.parquet(f"{path}/texts")
+        self.kept.append(path)
+        self.version += 1
+        row = [(self.version, self.buckets, self._paths, [s._scratch_path for s in self.seen], self.kept)]
+        self.spark.createDataFrame(row, "version int, buckets int, runs array<string>, seen array<string>, kept array<string>").coalesce(1).write.mode("append").json(f"{self.folder}/versions")
+
+    def history(self) -> tuple[DataFrame, DataFrame] | None:
+        """(doc_id, t1, t2, prints) and (doc_id, t1, t2, text) of the documents of earlier calls."""
+        if not self.kept:
+            return None
+        keys = "doc_id long, t1 long, t2 long"
+        return tuple(self.spark.read.schema(f"{keys}, {more}").parquet(*[f"{p}/{kind}" for p in self.kept]) for kind, more in (("prints", "prints array<long>"), ("texts", "text string")))
 
     def drop(self) -> None:
-        discard(*self.runs, *self.seen)
+        """Remove a log without a folder."""
+        if self.folder is None:
+            for path in self._paths:
+                _remove(self.spark, path)
+            discard(*self.seen)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,33 +279,45 @@ def _strip(schema_names: list[str], text_at: int, keep_form: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, keep_form: bool = False, slices: int = SLICES) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, keep_form: bool = False, slices: int = SLICES, log: FingerprintLog | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with text made of its kept words joined by one space, and __sd_n_words, __sd_n_removed.
 
-    keep_form: texts that lose nothing stay as they are, white space and nulls included.
+    keep_form: texts that lose nothing stay as they are, white space and nulls included. log: with a lasting log, windows of
+    earlier calls' documents count too, and these documents join the log; what earlier calls returned stays as it is.
     """
     spark = docs.sparkSession
     small_batches(spark)
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"), *_text_keys(text))
     keys = "doc_id long, t1 long, t2 long"
-    log, tables = FingerprintLog(), []
+    lasting = log is not None and log.folder is not None
+    log, tables = log or FingerprintLog(spark), []
+    earlier = log.history()
     deal = F.pmod(F.xxhash64(F.lit("batch"), "doc_id"), F.lit(batches))
     for b in range(batches):
         part = materialize(texts.where(F.coalesce(deal, F.lit(0)) == b).mapInArrow(_grams, f"{keys}, prints array<long>").where("size(prints) > 0"), "prints")
         log.append(part.select(F.explode("prints").alias("print")))
         tables.append(part)
-    held = reduce(DataFrame.unionByName, tables)
+    held = own = reduce(DataFrame.unionByName, tables)
+    # written apart, so that its join reads plain shuffles on both sides and a hot print's rows can be split
+    repeated = materialize(log.repeated(), "repeated")
+    if earlier is not None:  # documents of earlier calls that share a print with these
+        fresh = own.select(F.explode("prints").alias("print")).distinct().join(repeated, "print", "left_semi")
+        touched = earlier[0].select(*KEYS, F.explode("prints").alias("print")).join(fresh, "print", "left_semi").select(*[F.col(k).alias(f"k_{k}") for k in KEYS]).distinct()
+        held = held.unionByName(earlier[0].join(touched, F.expr("t1 = k_t1 and t2 = k_t2 and doc_id <=> k_doc_id"), "left_semi"))
+        texts = texts.unionByName(earlier[1].select(*texts.columns))
 
     # of equal texts one is read further; the others share its fate
     copies = held.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     first = copies.select(F.col("first").alias("doc_id"), "t1", "t2", (F.col("n") > 1).alias("copied"))
     ones = held.join(first.select(F.col("doc_id").alias("f_id"), F.col("t1").alias("f1"), F.col("t2").alias("f2")), F.expr("t1 = f1 and t2 = f2 and doc_id <=> f_id")).select(*KEYS, "prints")
     pairs = ones.select(*KEYS, F.explode("prints").alias("print"))
-    known = materialize(pairs.join(log.repeated(), "print").groupBy(*KEYS).agg(F.collect_set("print").alias("prints")), "known")
+    known = materialize(pairs.join(repeated, "print").groupBy(*KEYS).agg(F.collect_set("print").alias("prints")), "known")
     twins = first.where("copied").select(F.col("t1").alias("f1"), F.col("t2").alias("f2"))
     copied = materialize(held.select(*KEYS).join(twins, F.expr("t1 = f1 and t2 = f2")).select(*KEYS).distinct(), "copied")
-    discard(*tables)
+    if lasting:
+        log.keep(own, docs.select(F.col("doc_id").cast("long"), text.alias("text"), *_text_keys(text)))
+    discard(*tables, repeated)
     log.drop()
 
     asked = texts.join(known.toDF("k_id", "k1", "k2", "prints"), F.expr("t1 = k1 and t2 = k2 and doc_id <=> k_id")).select("doc_id", "text", "t1", "t2", "prints")

@@ -391,12 +391,37 @@ def test_repeated_windows_go(spark, odd):
 
 
 def test_log_knows_earlier_batches(spark):
-    log = substring_dedup.FingerprintLog(fanout=2)
+    log = substring_dedup.FingerprintLog(spark, fanout=2)
     batch = lambda *x: spark.createDataFrame([(v,) for v in x], "print long")
     assert log.append(batch(1, 2, 3)).count() == 0
     assert {r[0] for r in log.append(batch(3, 4)).collect()} == {3}
     assert {r[0] for r in log.append(batch(4, 1, 9)).collect()} == {1, 4} and len(log.runs) == 1
     assert {r[0] for r in log.repeated().collect()} == {1, 3, 4}
+    assert {(r[0], r[1]) for r in log.runs[0].collect()} == {(1, 2), (2, 1), (3, 2), (4, 2), (9, 1)}
+
+
+def test_runs_are_merge_joined_without_a_shuffle(spark, capsys):
+    log = substring_dedup.FingerprintLog(spark, fanout=4)
+    for k in range(2):
+        log.append(spark.range(k * 500, k * 500 + 1000).select(F.col("id").alias("print")))
+    log.runs[0].hint("merge").join(log.runs[1], "print").explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_a_lasting_log_gives_what_one_call_gives(spark, docs, tmp_path):
+    mine = lambda out: sorted(tuple(r) for r in out.select("doc_id", "__sd_n_words", "__sd_n_removed", F.sha2("text", 256)).collect())
+    frame = docs.select("doc_id", "text")
+    parts = [frame.where(F.col("doc_id") % 3 == k) for k in range(3)]
+    want = {r[0]: r for r in brute_removed([(r.doc_id, r.text) for r in frame.collect()])}
+    last = None
+    for part in parts:  # each call opens the log anew, as another session would
+        log = substring_dedup.FingerprintLog(spark, f"file://{tmp_path}/log", fanout=2)
+        last = mine(substring_dedup.remove_repeats(part, 2, log=log))
+    assert log.version == 3 and len(log.runs) <= 2
+    assert last == sorted(want[i] for i, *_ in last) and any(r[2] for r in last)
+    alone = mine(substring_dedup.remove_repeats(parts[2], 2))
+    assert alone != last
 
 
 # ---------------------------------------------------------------- the pipeline
