@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
+SWEEP = 3.0
+_swept = 0.0
 _SEED = np.random.default_rng(20240607)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -29,12 +32,14 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 # ---------------------------------------------------------------- scratch tables
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where it is unset (tests), one under /tmp."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, one under /tmp on a local master and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if root is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file:///tmp/seamwright-scratch-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -44,15 +49,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: lineage ends there.
 
     Unlike an executor's cache the table survives lost executors. It is removed when the
-    Python process ends; shuffle files behind it can go at once.
+    Python process ends; shuffle files behind it can go at once, which takes a collection on the driver (every SWEEP seconds at most).
     """
+    global _swept
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/seamwright/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _swept > SWEEP:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _swept = time.monotonic()
     atexit.register(_remove, spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path

@@ -139,8 +139,8 @@ class FingerprintLog:
         known = run.select("print").limit(0)
         if self.runs:
             path = self._place("seen")
-            for old in self.runs:
-                run.select("print").join(old.select("print"), "print", "left_semi").write.mode("append").parquet(path)
+            met = [run.select("print").join(old.select("print"), "print", "left_semi") for old in self.runs]
+            reduce(DataFrame.unionByName, met).write.parquet(path)
             if self.folder is None:
                 atexit.register(_remove, self.spark, path)
             seen = self.spark.read.schema("print long").parquet(path)
