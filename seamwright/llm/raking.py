@@ -29,11 +29,11 @@ from .common import materialize
 DIMENSIONS = ("source", "lang", "topic")
 #: A marginal's target share is proportional to its token total to this power: 1 keeps the mix, 0 evens it out.
 TEMPER = 0.7
-ROUNDS = 6
+#: Raking ends when each level is this near its target, as a part of it, or after ROUNDS rounds; the error is taken every CHECK rounds.
+TOLERANCE, ROUNDS, CHECK = 2e-3, 12, 3
 KEEP_SHARE = 0.8
-#: Marginals are met if each level is this near its target, as a part of it; else samples smaller by SHRINK are tried,
-#: and as the last of TRIES the largest at which no raked cell is cut.
-TOLERANCE, SHRINK, TRIES = 1e-3, 0.7, 4
+#: If marginals are not met, samples smaller by SHRINK are tried, and as the last of TRIES the largest at which no raked cell is cut.
+SHRINK, TRIES = 0.7, 3
 SEED = 11
 _PRE = "__rake_"
 
@@ -90,11 +90,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     for d, want in targets.items():
         want = want.select(F.col(d).alias("level"), F.col("share").alias(f"want_{d}"))
         now = now.join(F.broadcast(want), now[d].eqNullSafe(want["level"]), "left").drop("level")
-    for _ in range(rounds):
+    for r in range(rounds):
         for d in targets:
             now = now.withColumn("f", _factor(d, f"want_{d}", "bound", *DIMENSIONS))
             now = now.withColumn("weight", F.col("weight") * F.coalesce(F.max("f").over(Window.partitionBy(d)), F.lit(1.0))).drop("f")
         now = materialize(now, "rake")
+        if r % CHECK == CHECK - 1 and worst_error(now.select(*cells.columns, F.least("weight", "bound").alias("weight")), targets) <= TOLERANCE:
+            break
     return now.select(*cells.columns, F.least("weight", "bound").alias("weight"))
 
 
