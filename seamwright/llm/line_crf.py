@@ -15,6 +15,7 @@ Extra columns of the input are ignored by `line_quality`.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -28,7 +29,7 @@ from .common import Texts, mix, rows_of, small_batches, text_chunks, window_hash
 
 #: At most so many labelled documents of each class, those of smallest id hash, train the CRF.
 TRAIN_DOCS = 600
-#: At most so many lines of each of them, evenly spaced, enter training.
+#: At most so many lines of each of them, one run at a place that a hash of its lines picks, enter training.
 TRAIN_LINES = 64
 LEAST_CONTENT = 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -255,18 +256,19 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, ridge: floa
 # ---------------------------------------------------------------- in Spark
 def _training_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in rows_of(batches, "text"):
-        quality = np.array(batch.column(1).to_pylist())
+        doc_ids, quality = (batch.column(k).to_pylist() for k in (0, 2))
         for lo, _, chunk in text_chunks(texts):
             c = measure(chunk)
             first = np.searchsorted(c.line_doc, np.arange(len(chunk) + 1))
-            q, feats = [], []
+            ids, q, feats = [], [], []
             for d in range(len(chunk)):
                 a, b = first[d], first[d + 1]
                 if b > a:
-                    pick = np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_LINES)).astype(int))
+                    start = a + zlib.crc32(c.features[a:b].tobytes()) % max(1, b - a - TRAIN_LINES + 1)
+                    ids.append(doc_ids[lo + d])
                     q.append(int(quality[lo + d]))
-                    feats.append(c.features[pick].ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(feats, pa.list_(pa.int32()))], ["quality", "features"])
+                    feats.append(c.features[start : min(b, start + TRAIN_LINES)].ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(q, pa.int32()), pa.array(feats, pa.list_(pa.int32()))], ["doc_id", "quality", "features"])
 
 
 def fit_line_crf(docs: DataFrame, labels: DataFrame) -> LineCrf:
@@ -276,7 +278,9 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame) -> LineCrf:
     picked = reduce(DataFrame.unionByName, [known.where(F.col("quality") == q).orderBy(key, "doc_id").limit(TRAIN_DOCS) for q in (0, 1)])
     # the sample's size bounds what is broadcast; the texts stay where they are
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = texts.select("text", "quality").mapInArrow(_training_lines, "quality int, features array<int>").collect()
+    lines = texts.select(F.col("doc_id").cast("long"), "text", "quality").mapInArrow(_training_lines, "doc_id long, quality int, features array<int>")
+    # one text of each id, however often the id recurs: so many rows, of so many lines, are all that is collected
+    rows = lines.groupBy("doc_id", "quality").agg(F.min("features").alias("features")).collect()
     shape = len(EDGES)
     found = [(np.array(r.features, np.int16).reshape(-1, shape), 1 - r.quality) for r in rows]
     found.sort(key=lambda s: (s[1], s[0].tobytes()))
