@@ -14,23 +14,25 @@ An empty table gives an empty result; without labels of both kinds every score i
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, rows_of, small_batches, text_chunks
+from .common import Texts, materialize, rows_of, small_batches, text_chunks
 
 #: At most so many documents of each label, those of smallest id hash, are the training sample.
 TRAIN_DOCS = 800
-#: At most so many stretches of words of each kind (around toxic words, around look-alikes, others).
-TRAIN_STRETCHES = 3000
+#: At most so many stretches of words of each kind (around toxic words, around look-alikes, others), and so many of a document.
+TRAIN_STRETCHES, DOC_STRETCHES = 3000, 50
 STRETCH = 10
+#: A key of toxic words is held by so many toxic sample documents and this share of them, as labels err, and by RATIO times
+#: as large a share of them as of clean ones.
+LEAST_DOCS, LEAST_SHARE, RATIO = 4, 0.02, 30.0
 SLOTS = 1 << 18
 LEAST_MARGINAL = 0.1
 THRESHOLD = 0.3
@@ -62,46 +64,39 @@ class TokenCrf:
         return dict(zip(self.slots.tolist(), self.weights.tolist(), strict=True))
 
 
-def learn_words(toxic: list[list[str]], clean: list[list[str]], least: int = 4, share: float = 0.02, ratio: float = 30.0) -> set[str]:
-    """Keys of toxic words, by greedy cover; one held by fewer than `least` or `share` of the toxic documents is left out, as labels err."""
-    least = max(least, int(share * len(toxic)))
-    common: Counter[str] = Counter()
-    for words in clean:
-        common.update({k for w in set(words) for k in keys_of(w)})
-    holds: defaultdict[str, set[int]] = defaultdict(set)
-    for i, words in enumerate(toxic):
-        for k in {k for w in set(words) for k in keys_of(w)}:
-            holds[k].add(i)
-    p, n = max(len(toxic), 1), max(len(clean), 1)
-    able = {k: d for k, d in holds.items() if len(d) >= least and len(d) / p > ratio * (common[k] + 0.2) / n}
-    taken: set[str] = set()
-    left = set(range(len(toxic)))
+def cover(holds: dict[str, set[int]], documents: int) -> set[str]:
+    """Keys taken greedily while one explains toxic documents that none before it explains. holds: the toxic documents of each able key."""
+    able, taken = dict(holds), set()
+    left = set().union(*able.values()) if able else set()
     while able:
         best = max(able, key=lambda k: (len(able[k] & left), len(k), k))
         new = able.pop(best) & left
-        if len(new) < max(2, share * len(toxic) / 2):
+        if len(new) < max(2, LEAST_SHARE * documents / 2):
             break
         taken.add(best)
         left -= new
     return taken
 
 
-def train(toxic: list[list[str]], clean: list[list[str]], rounds: int = 80, ridge: float = 2e-5) -> TokenCrf:
-    taken = learn_words(toxic, clean)
-    if not taken or not clean:
-        return TokenCrf(np.zeros(0, np.int64), np.zeros(0), -40.0, np.zeros((2, 2)))
+def stretches_of(words: list[str], toxic: bool, taken: set[str]) -> Iterator[tuple[str, list[str], list[bool]]]:
+    """(kind, words, is it a toxic one) of a document's training stretches: at most DOC_STRETCHES of a kind, evenly over the whole document."""
+    even = lambda x: [x[i] for i in np.unique(np.linspace(0, len(x) - 1, min(len(x), DOC_STRETCHES)).astype(int))] if x else []
+    bad = {w: not taken.isdisjoint(keys_of(w)) for w in set(words)}
     heads = {k[3:7] for k in taken if k[0] == "p"} | {k[2:6] for k in taken if k[0] == "w"}
-    is_bad = {w: not taken.isdisjoint(keys_of(w)) for d in toxic for w in d}
-    stretches: list[tuple[list[str], bool]] = []
-    near: list[tuple[list[str], bool]] = []
-    other: list[tuple[list[str], bool]] = []
-    for words in toxic:
-        stretches += [(words[max(0, i - STRETCH) : i + STRETCH + 1], True) for i, w in enumerate(words) if is_bad[w]]
-    for words in clean:
-        near += [(words[max(0, i - STRETCH) : i + STRETCH + 1], False) for i, w in enumerate(words) if w.lower().strip(_STRIP)[:4] in heads][:50]
-        other += [(words[i : i + 2 * STRETCH + 1], False) for i in range(0, len(words), 2 * STRETCH + 1)][:50]
-    even = lambda x: [x[i] for i in np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_STRETCHES)).astype(int))] if x else []
-    chosen = even(stretches) + even(near) + even(other)
+    around = lambda i: words[max(0, i - STRETCH) : i + STRETCH + 1]
+    if toxic:
+        found = [("toxic", around(i)) for i in even([i for i, w in enumerate(words) if bad[w]])]
+    else:
+        found = [("near", around(i)) for i in even([i for i, w in enumerate(words) if w.lower().strip(_STRIP)[:4] in heads])]
+        found += [("other", words[i : i + 2 * STRETCH + 1]) for i in even(list(range(0, len(words), 2 * STRETCH + 1)))]
+    for kind, part in found:
+        yield kind, part, [toxic and bad[w] for w in part]
+
+
+def train(chosen: list[tuple[list[str], list[bool]]], rounds: int = 80, ridge: float = 2e-5) -> TokenCrf:
+    """Maximum likelihood on stretches of words and their labels."""
+    if not any(any(flags) for _, flags in chosen) or all(any(flags) for _, flags in chosen):
+        return TokenCrf(np.zeros(0, np.int64), np.zeros(0), -40.0, np.zeros((2, 2)))
     length = 2 * STRETCH + 1
     n = len(chosen)
     features = np.full((n, length, 4), SLOTS, np.int64)
@@ -111,7 +106,7 @@ def train(toxic: list[list[str]], clean: list[list[str]], rounds: int = 80, ridg
         for j, w in enumerate(words):
             s = slots_of(w)
             features[i, j, : len(s)] = s
-            gold[i, j] = bad and is_bad[w]
+            gold[i, j] = bad[j]
             live[i, j] = True
     used = np.unique(features)
     at = np.searchsorted(used, features)
@@ -244,14 +239,51 @@ def toxic_scores(docs: DataFrame, crf: TokenCrf) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def _text_words(text: str | None) -> list[str]:
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of each document. Columns: number, toxic, text."""
+    for batch in batches:
+        keys = [sorted({k for w in set(_text_words(t)) for k in keys_of(w)}) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.string()))], ["number", "toxic", "keys"])
+
+
 def fit_token_crf(docs: DataFrame, labels: DataFrame) -> TokenCrf:
-    """Train on at most TRAIN_DOCS documents of each label; labels: (doc_id, toxic), already without held-out rows."""
+    """Train on at most TRAIN_DOCS documents of each label; labels: (doc_id, toxic), already without held-out rows.
+
+    Of an id that recurs one text is taken. Keys are counted in Spark; what reaches the driver is which toxic sample
+    documents hold an able key, and at most TRAIN_STRETCHES stretches of each kind.
+    """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     key = F.xxhash64(F.lit("toxic"), "doc_id")
     picked = reduce(DataFrame.unionByName, [known.where(F.col("toxic") == t).orderBy(key, "doc_id").limit(TRAIN_DOCS) for t in (1, 0)])
     # the sample's size bounds what is broadcast; the texts stay where they are
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "toxic").collect()
-    words: dict[int, list[list[str]]] = {1: [], 0: []}
-    for r in sorted(rows):
-        words[r.toxic].append([w.decode() for w in r.text.encode().split()])
-    return train(words[1], words[0])
+    rows = docs.select("doc_id", F.col("text").cast("string")).where("text is not null").join(F.broadcast(picked), "doc_id")
+    sample = materialize(rows.groupBy(F.col("doc_id").cast("long").alias("number"), "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "toxic-sample")
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_toxic or not n_clean:
+        return train([])
+    held = materialize(sample.select("number", "toxic", "text").mapInArrow(_keys, "number long, toxic int, keys array<string>").select("number", "toxic", F.explode("keys").alias("key")), "toxic-keys")
+    counts = held.groupBy("key").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
+    least = max(LEAST_DOCS, int(LEAST_SHARE * n_toxic))
+    able = counts.where((F.col("bad") >= least) & (F.col("bad") / n_toxic > RATIO * (F.col("fine") + 0.2) / n_clean)).select("key")
+    holds: dict[str, set[int]] = {}
+    for r in held.where("toxic = 1").join(able, "key").select("key", "number").collect():
+        holds.setdefault(r["key"], set()).add(r["number"])
+    taken = cover(holds, n_toxic)
+    if not taken:
+        return train([])
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [s for toxic, text in zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True) for s in stretches_of(_text_words(text), toxic == 1, taken)]
+            columns = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_())))]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "words", "flags"])
+
+    found = sample.select("number", "toxic", "text").mapInArrow(stretches, "kind string, words array<string>, flags array<boolean>")
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("words"), "words")
+    chosen = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_STRETCHES).collect()
+    return train([(r["words"], r["flags"]) for r in sorted(chosen, key=lambda r: (r["kind"], r["k"]))])

@@ -300,14 +300,26 @@ def test_toxic_words_are_found(spark, odd):
         t[int(rng.integers(40))] = rng.choice(["grumbo", "snarklo,", "Grumbo"])
         toxic.append(t)
         clean.append(list(rng.choice(plain, 40)))
-    crf = toxic_spans.train(toxic, clean)
+    rows = [(i, " ".join(t), i % 2) for i, t in enumerate(x for pair in zip(clean, toxic, strict=True) for x in pair)]
+    rows += [rows[1]] * 40 + [(rows[3][0], "another text of one id", 1), (None, "grumbo", 1)]
+    learnt, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int"), spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    crf = toxic_spans.fit_token_crf(learnt.drop("toxic"), labels)
     frame = spark.createDataFrame([(1, "p1 p2 snarklo p3"), (2, "p1 p2 p3 p4"), (3, None), (4, " ".join(["p5"] * 400 + ["GRUMBO"] + ["p6"] * 400))], "doc_id long, text string")
     got = {r.doc_id: r for r in toxic_spans.toxic_scores(frame, crf).collect()}
     assert got[1].score > 0.5 and got[4].score > 0.5 and got[2].score < 0.3 and got[3].score == 0
     assert [(s.start, s.end) for s in got[1].spans] == [(6, 13)]
     assert len(toxic_spans.toxic_scores(odd, crf).collect()) == odd.count()
-    none = toxic_spans.train([], [])
-    assert {r.score for r in toxic_spans.toxic_scores(frame, none).collect()} == {0.0}
+    for none in (toxic_spans.train([]), toxic_spans.fit_token_crf(learnt.drop("toxic"), labels.where("toxic = 0")), toxic_spans.fit_token_crf(learnt.drop("toxic").limit(0), labels)):
+        assert {r.score for r in toxic_spans.toxic_scores(frame, none).collect()} == {0.0}
+    assert toxic_spans.toxic_scores(frame.limit(0), crf).count() == 0
+
+
+def test_training_stretches_cover_the_whole_document():
+    words = [f"c{k}" for k in range(20_000)]
+    kinds = list(toxic_spans.stretches_of(words, False, {"w zz"}))
+    assert len(kinds) == toxic_spans.DOC_STRETCHES and kinds[-1][1][-1] == words[-1] and not any(any(f) for *_, f in kinds)
+    kinds = list(toxic_spans.stretches_of([*words, "zz"], True, {"w zz"}))
+    assert [f for *_, f in kinds] == [[False] * 10 + [True]]
 
 
 # ---------------------------------------------------------------- 9 mixing
@@ -348,7 +360,7 @@ def test_sample_has_the_target_shares(spark):
     tokens = lambda f, d: {r[0]: r[1] for r in f.groupBy(d).agg(F.sum(raking.tokens_of(F.col("text")))).collect()}
     tagged = frame.withColumn("topic", raking.topic_of(F.col("text")))
     for wanted in (None, targets):
-        out = raking.rake_and_sample(frame, targets=wanted).withColumn("topic", raking.topic_of(F.col("text"))).localCheckpoint()
+        out = common.materialize(raking.rake_and_sample(frame, targets=wanted).withColumn("topic", raking.topic_of(F.col("text"))), "sample")
         for d in raking.DIMENSIONS:
             own, got = tokens(tagged, d), tokens(out, d)
             want = given[d] if wanted else {k: v**raking.TEMPER / sum(x**raking.TEMPER for x in own.values()) for k, v in own.items()}
