@@ -1,13 +1,14 @@
 """HTML extraction: subtrees that recur across the pages of a host are its template and go.
 
-Every page is parsed once into blocks of text; a block outside the article carries the hashes of the
-element subtrees around it. Spark counts, for each host, the pages on which a subtree hash
-occurs (pre-aggregated, so a hot host is no heavier per task), and subtrees found on
-TEMPLATE_PAGES or more are deleted. An article or main element, and what holds one, is never
-template: copies of an article recur as well. Elements that are no content on any page
-(menus, forms, adverts, comments, scripts) go by tag, role or class, so that hosts of
-one page are served too. What is left of the articles, else of the main element, else
-of the body, is the text.
+Every page is parsed into blocks of text and its element subtrees are hashed bottom-up, by tags and text alone, each once. Spark
+counts for each host on how many distinct pages a hash occurs; pages with the same three longest blocks count as one,
+so that copies of an article are no template. A subtree found on TEMPLATE_PAGES distinct pages of a host or more is
+deleted if these are a share of OUTSIDE of the host's pages, within articles INSIDE. An article or main element, and what
+holds one, is never template as a whole. Counts are pre-aggregated by (host, hash, page), so a hot host is no heavier per task.
+Elements that are no content on any page (menus, forms, adverts, comments, scripts) go by tag, role or class, so
+that hosts of one page are served too. What is left of the articles, else of the main element, else of the body, is the text.
+
+The hashes to delete are sent to all tasks if they number BROADCAST_TREES at most; more are joined to the pages. Results are the same.
 
 Null html is empty; a page without content has an empty text. Repeated rows give equal
 texts. Unclosed and stray tags are repaired as browsers do in the common cases. A null or odd url counts for the
@@ -17,7 +18,9 @@ host ''. An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Container, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
@@ -25,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
 
-TEMPLATE_PAGES = 5
+TEMPLATE_PAGES, OUTSIDE, INSIDE = 5, 0.3, 0.5
+BROADCAST_TREES = 200_000
 
 # Element names of the HTML standard, by their role here.
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video|xmp"
+_RAW = "script|style|noscript|template|textarea|title|iframe|canvas|audio|video"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -42,6 +46,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion reaction recommended related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# Words that only say what kind of box a class names.
+_BOXES = frozenset("area bar block box boxes button buttons container content form icons inner item items link links list main menu outer panel section site top bottom wrap wrapper".split())
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>""",
@@ -52,6 +58,13 @@ _WORD = re.compile(r"[a-z0-9]+")
 _BLANK = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=4096)
+def _is_furniture(name: str) -> bool:
+    """Do all words of a class or id name furniture or a box, and one of them furniture? `related-work` does not, `share-buttons` does."""
+    words = set(_WORD.findall(name))
+    return not _WORDS.isdisjoint(words) and words <= _WORDS | _BOXES
+
+
 def _no_content(tag: str, attrs: str, inside_article: bool) -> bool:
     if tag in _NEVER or (tag == "header" and not inside_article):
         return True
@@ -59,7 +72,7 @@ def _no_content(tag: str, attrs: str, inside_article: bool) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not _WORDS.isdisjoint(_WORD.findall(value)):
+        if name in ("class", "id") and any(_is_furniture(v) for v in value.split()):
             return True
         if name == "role" and value.strip() in _ROLES:
             return True
@@ -69,45 +82,66 @@ def _no_content(tag: str, attrs: str, inside_article: bool) -> bool:
 
 
 class _Node:
-    __slots__ = ("article", "gone", "holds", "main", "number", "start", "tag")
+    __slots__ = ("article", "block", "gone", "has_text", "holds", "main", "number", "parts", "tag")
 
-    def __init__(self, tag: str, start: int, gone: bool, article: bool, main: bool, number: int):
-        self.tag, self.start, self.gone, self.article, self.main, self.number, self.holds = tag, start, gone, article, main, number, False
+    def __init__(self, tag: str, above: _Node | None, gone: bool, article: bool, main: bool, number: int):
+        self.tag, self.gone, self.article, self.main, self.number = tag, gone, article, main, number
+        self.holds = self.has_text = False
+        self.block = above is None or tag in _BLOCK
+        # what a subtree's hash is made of is gathered by the nearest block
+        self.parts: list[bytes] = [] if self.block else above.parts
 
 
 class Page:
     """Blocks of a page in order, and its element subtrees that might be template.
 
-    blocks: (text, within an article, within main, numbers of the subtrees around it); trees: number -> hash.
+    blocks: (text, within an article, within main, number of its subtree); parent: number of the subtree around each;
+    trees: number -> hash, odd if within an article; key: hash of the three longest blocks.
     """
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, bool, bool, int]] = []
         self.trees: dict[int, int] = {}
+        self.parent = [0]
         html = html or ""
-        stack = [_Node("", 0, False, False, False, 0)]
-        parts: list[str] = []
-        count = 0
+        stack = [_Node("", None, False, False, False, 0)]
+        open_tags: defaultdict[str, list[int]] = defaultdict(list)  # tag -> places on the stack
+        open_blocks = [0]
+        texts: list[str] = []
 
         def flush() -> None:
-            if parts:
-                text = _BLANK.sub(" ", unescape("".join(parts))).strip()
-                parts.clear()
+            if texts:
+                text = _BLANK.sub(" ", unescape("".join(texts))).strip()
+                texts.clear()
                 top = stack[-1]
-                if text and not top.gone:
-                    around = () if top.article else tuple(n.number for n in stack[1:] if not n.holds)
-                    self.blocks.append((text, top.article, top.main, around))
+                if text:
+                    top.parts.append(text.encode("utf-8", "replace"))
+                    stack[open_blocks[-1]].has_text = True
+                    if not top.gone:
+                        self.blocks.append((text, top.article, top.main, top.number))
 
-        def pop(end: int) -> None:
+        def pop() -> None:
             node = stack.pop()
-            if node.tag in _BLOCK and not node.article and not node.holds and node.tag not in ("html", "body", "head"):
-                body = _BLANK.sub(" ", html[node.start : end]).strip()
-                self.trees[node.number] = int.from_bytes(blake2b(body.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+            open_tags[node.tag].pop()
+            if not node.block:
+                return
+            open_blocks.pop()
+            digest = blake2b(b"\0".join([node.tag.encode(), *node.parts]), digest_size=8).digest()
+            above = stack[open_blocks[-1]]
+            above.parts.append(digest)
+            above.has_text |= node.has_text
+            if node.has_text and not node.gone and not node.holds and node.tag not in ("html", "body", "head", "article", "main"):
+                self.trees[node.number] = int.from_bytes(digest, "little", signed=True) & ~1 | node.article
+
+        def pop_to(k: int) -> None:
+            flush()
+            while len(stack) > k:
+                pop()
 
         at = 0
         for m in _TOKEN.finditer(html):
             if m.start() > at:
-                parts.append(html[at : m.start()])
+                texts.append(html[at : m.start()])
             at = m.end()
             tag = m[3]
             if tag is None:
@@ -116,62 +150,77 @@ class Page:
             if tag in _BLOCK:
                 flush()
             if m[2]:  # an end tag
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+                k = open_tags[tag][-1] if open_tags[tag] else 0
                 if k and not (stack[-1].article and tag not in ("article", "main", "body", "html") and not stack[k].article):
-                    if tag not in _BLOCK and any(n.tag in _BLOCK for n in stack[k + 1 :]):
+                    if tag not in _BLOCK and open_blocks[-1] > k:
                         continue
-                    flush() if tag in _BLOCK else None
-                    while len(stack) > k:
-                        pop(m.start() if len(stack) > k + 1 else m.end())
+                    if tag in _BLOCK:
+                        pop_to(k)
+                    else:
+                        while len(stack) > k:
+                            pop()
                 continue
             if tag in _VOID:
                 continue
-            if tag in _P_ENDS:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
-                if k and not any(n.tag in ("article", "section", "div", "td", "li") for n in stack[k + 1 :]):
-                    while len(stack) > k:
-                        pop(m.start())
+            if tag in _P_ENDS and open_tags["p"]:
+                k = open_tags["p"][-1]
+                if not any(open_tags[t] and open_tags[t][-1] > k for t in ("article", "section", "div", "td", "li")):
+                    pop_to(k)
             ends = _SELF_ENDS.get(tag)
-            if ends:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in _BLOCK), 0)
-                if k and stack[k].tag in ends:
-                    while len(stack) > k:
-                        pop(m.start())
+            if ends and stack[open_blocks[-1]].tag in ends:
+                pop_to(open_blocks[-1])
             top = stack[-1]
             article, main = top.article or tag == "article", top.main or tag == "main" or 'role="main"' in m[4]
             gone = top.gone or _no_content(tag, m[4], top.article)
             if (tag == "article" or (main and not top.main)) and not gone:
-                for n in stack:
+                for n in reversed(stack):
+                    if n.holds:
+                        break
                     n.holds = True
             if m[4].endswith("/") and tag not in _BLOCK:
                 continue
-            count += 1
-            stack.append(_Node(tag, m.start(), gone, article and not gone, main and not gone, count))
+            self.parent.append(top.number)
+            node = _Node(tag, top, gone, article and not gone, main and not gone, len(self.parent) - 1)
+            open_tags[tag].append(len(stack))
+            if node.block:
+                open_blocks.append(len(stack))
+            else:
+                node.parts.append(tag.encode())
+            stack.append(node)
         if at < len(html):
             tail = html[at:]
             cut = tail.rfind("<")
             if cut >= 0 and ">" not in tail[cut:] and re.match(r"</?[a-zA-Z]", tail[cut:]):
                 tail = tail[:cut]
-            parts.append(tail)
-        flush()
-        while len(stack) > 1:
-            pop(len(html))
+            texts.append(tail)
+        pop_to(1)
+
+    @property
+    def key(self) -> int:
+        longest = sorted(self.blocks, key=lambda b: -len(b[0]))[:3]
+        return int.from_bytes(blake2b("\0".join([b[0] for b in longest]).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
-    def text(self, template: set[int]) -> str:
+    def text(self, template: Container[int]) -> str:
         """The content, without subtrees whose hash is in template."""
-        gone = {n for n, h in self.trees.items() if h in template}
-        kept = [b for b in self.blocks if gone.isdisjoint(b[3])]
+        gone = [False] * len(self.parent)
+        for n in range(1, len(self.parent)):  # a subtree has a larger number than the one around it
+            gone[n] = gone[self.parent[n]] or (n in self.trees and self.trees[n] in template)
         for at in (1, 2):
-            own = [b[0] for b in kept if b[at]]
-            if own:
-                return " ".join(own)
-        return " ".join(b[0] for b in kept)
+            if any(b[at] for b in self.blocks):
+                return " ".join([b[0] for b in self.blocks if b[at] and not gone[b[3]]])
+        return " ".join([b[0] for b in self.blocks if not gone[b[3]]])
+
+
+#: A page itself, among the hashes of its subtrees.
+_WHOLE = 0
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns key, host, html: hashes of each page's subtrees and of its longest blocks."""
     for batch in batches:
-        trees = [sorted(set(Page(h).trees.values())) for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees, pa.list_(pa.int64()))], ["key", "host", "trees"])
+        pages = [Page(h) for h in batch.column(2).to_pylist()]
+        trees = [[_WHOLE, *sorted(set(p.trees.values()))] for p in pages]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.key for p in pages], pa.int64()), pa.array(trees, pa.list_(pa.int64()))], ["key", "host", "page", "trees"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,22 +241,43 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
 
-def template_hashes(keyed: DataFrame, least: int = TEMPLATE_PAGES) -> DataFrame:
-    """(key, template): of each page, the subtree hashes that recur on `least` pages of its host. keyed: (key, host, html)."""
-    rows = keyed.select("key", "host", "html").mapInArrow(_hashes, "key string, host string, trees array<long>").select("key", "host", F.explode("trees").alias("tree"))
-    recurring = rows.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least).select("host", "tree")
-    return rows.join(recurring, ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("template"))
+_TREES = "key string, host long, page long, trees array<long>"
+
+
+def template_hashes(keyed: DataFrame, least: int = TEMPLATE_PAGES, outside: float = OUTSIDE, inside: float = INSIDE) -> DataFrame:
+    """(host, tree): the subtree hashes that recur on `least` distinct pages of a host and on a share of them. keyed: (key, host, html)."""
+    rows = keyed.select(F.lit("").alias("key"), "host", "html").mapInArrow(_hashes, _TREES).select("host", "page", F.explode("trees").alias("tree"))
+    counts = rows.groupBy("host", "tree").agg(F.count_distinct("page").alias("pages")).where((F.col("pages") >= least) | (F.col("tree") == _WHOLE))
+    counts = materialize(counts, "trees")
+    whole = counts.where(F.col("tree") == _WHOLE).select("host", F.col("pages").alias("all"))
+    share = F.when(F.col("tree") % 2 == 0, outside).otherwise(inside)
+    return counts.where(F.col("tree") != _WHOLE).join(whole, "host").where(F.col("pages") >= share * F.col("all")).select("host", "tree")
 
 
-def extract_text(pages: DataFrame, least: int = TEMPLATE_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, least: int = TEMPLATE_PAGES, outside: float = OUTSIDE, inside: float = INSIDE, broadcast_trees: int = BROADCAST_TREES) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     from .url_rules import host_and_path
 
     small_batches(pages.sparkSession)
     host, _ = host_and_path(F.col("url"))
     key = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), 256)
-    keyed = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"), key.alias("key"))
+    keyed = pages.select(F.col("page_id").cast("long"), "url", "html", F.xxhash64(host).alias("host"), key.alias("key"))
+    found = materialize(template_hashes(keyed.select("key", "host", "html"), least, outside, inside), "templates")
+    if found.count() <= broadcast_trees:  # a size that any task can hold
+        of_host: defaultdict[int, set[int]] = defaultdict(set)
+        for r in found.collect():
+            of_host[r["host"]].add(r["tree"])
+
+        def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hosts, html = (batch.column(k).to_pylist() for k in (2, 3))
+                texts = [Page(x).text(of_host.get(h, ())) for h, x in zip(hosts, html, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+        out = keyed.select("page_id", "url", "host", "html").mapInArrow(here, "page_id long, url string, text string")
+        return out.withColumn("n_chars", F.length("text").cast("long"))
+    rows = keyed.select("key", "host", "html").mapInArrow(_hashes, _TREES).select("key", "host", F.explode("trees").alias("tree"))
+    mine = rows.join(found, ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("template"))
     packed = keyed.select("page_id", "url", "key", "html").mapInArrow(_pack, "page_id long, url string, key string, packed binary, size int")
-    found = packed.join(template_hashes(keyed, least), "key", "left").select("page_id", "url", "packed", "size", "template")
-    out = found.mapInArrow(_extract, "page_id long, url string, text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    both = packed.join(mine, "key", "left").select("page_id", "url", "packed", "size", "template")
+    return both.mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

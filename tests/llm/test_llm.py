@@ -142,11 +142,55 @@ def test_site_templates(spark):
     rows.append(rows[0])
     pages = spark.createDataFrame([(*r, "c", "k") for r in rows], "page_id long, url string, html string, template string, key string")
     got = {r.page_id: r for r in html_templates.extract_text(pages).collect()}
-    assert got[3].text == "Top of 1 Story 3 & more bold two lines 3" and got[3].n_chars == len(got[3].text)
+    assert got[3].text == "Story 3 & more bold two lines 3" and got[3].n_chars == len(got[3].text)
     assert [got[k].text for k in (90, 91, 92, 93)] == ["", "", "a b <c", "keep"]
     assert html_templates.extract_text(pages.limit(0)).count() == 0
 
 
+def test_templates_by_brute_force(spark):
+    """Pages with and without an article, a notice of unknown class in each, and copies of one story."""
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(300)]
+    story = lambda: [" ".join(rng.choice(words, 9)) for _ in range(3)]
+    copied, rows, want = story(), [], {}
+    for i in range(48):
+        paragraphs = copied if i % 4 == 3 else story()
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        tag = "article" if i % 3 else "div"
+        rows.append((i, f"http://h{i // 24}.org/{i}", f'<body><div class="zone{i}"><ul><li>Home {i // 24}<li>About</ul></div><{tag}><p class="x9">Our offer {i // 24} ends soon</p>{body}</{tag}><div>Imprint</div></body>'))
+        want[i] = " ".join(paragraphs)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (html_templates.BROADCAST_TREES, 0):
+        got = {r.page_id: r.text for r in html_templates.extract_text(pages, broadcast_trees=limit).collect()}
+        assert got == want
+    off = {r.page_id: r.text for r in html_templates.extract_text(pages, least=10**9).collect()}
+    assert all(off[i] != want[i] for i in want)
+    seen = defaultdict(set)
+    for i, _, h in rows:
+        page = html_templates.Page(h)
+        for t in page.trees.values():
+            seen[i // 24, t].add(page.key)
+    all_of = [len({html_templates.Page(h).key for i, _, h in rows if i // 24 == k}) for k in (0, 1)]
+    brute = {(k, t) for (k, t), p in seen.items() if len(p) >= 5 and len(p) >= (0.5 if t % 2 else 0.3) * all_of[k]}
+    keyed = pages.select(F.lit("").alias("key"), F.xxhash64(F.regexp_extract("url", "//([^/]*)", 1)).alias("host"), "html")
+    assert sorted(r.tree for r in html_templates.template_hashes(keyed).collect()) == sorted(t for _, t in brute)
+
+
+def test_deep_and_long_pages_are_read_in_linear_time():
+    import time
+
+    began = time.time()
+    assert html_templates.Page("<div>" * 50_000 + "x").text(()) == "x"
+    assert html_templates.Page("<p>a<b>" * 30_000).text(()).count("a") == 30_000
+    assert html_templates.Page("<article><section>" * 10_000 + "y" + "<div>z</div>" * 10_000).text(()).count("z") == 10_000
+    assert time.time() - began < 20
+
+
+def test_class_names_of_content_stay():
+    page = '<article><div id="related-work"><p>kept</p></div><div class="share-buttons">gone</div><math><mi>x</mi></math></article>'
+    assert html_templates.Page(page).text(()) == "kept x"
+
+
 def test_extraction_on_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r.page_id: r.text for r in html_templates.extract_text(pages).collect()}
