@@ -2,13 +2,14 @@
 
 A page's label is that of the document whose number ends its url's path: bad where quality is 0 or
 toxic is 1. FP-growth mines the token sets of labelled urls together with the item BAD; rules
-`tokens => BAD` that reach the least support and confidence stay. Rules are indexed under their
+`tokens => BAD` that reach the least support, confidence and odds ratio stay, unless a rule of fewer of their tokens is as
+confident. The odds of bad with the tokens over those without them can be large whatever the share of bad urls is. Rules are indexed under their
 rarest token; a token set is blocked if it holds all tokens of one. Each distinct token set is
-judged once, so that one hot host costs no more than another. Only DataFrame operations and
+judged once, so that one hot host costs no more than another, and verdicts are joined to pages salted. Only DataFrame operations and
 Spark's own FP-growth are used.
 
 A null url, or one without `://`, has an empty host and path and no tokens: it is allowed.
-Repeated rows are judged alike. An empty table gives an empty result, and without labels no rule is mined.
+Repeated rows are judged alike. An empty table gives an empty result, and without labels no rule is mined. Very long urls have more tokens, no more.
 Extra columns are ignored.
 """
 
@@ -21,12 +22,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BAD = "label:bad"
-MIN_SUPPORT = 0.001
-#: A rule needs so many labelled urls at least, however few there are.
-MIN_URLS = 25
-MIN_CONFIDENCE = 0.5
-#: A rule must raise the share of bad urls over that of all by this factor; else tokens of every url would block where bad ones are common.
-MIN_LIFT = 1.5
+#: Shares of the labelled urls, at every size of the table.
+MIN_SUPPORT, MIN_CONFIDENCE = 0.004, 0.5
+#: The odds of bad with a rule's tokens over those without; else tokens of every url would block where bad ones are common.
+MIN_ODDS = 2.0
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Path rules of the registered query: (verdict, host and path).
@@ -64,27 +64,41 @@ def tokens_of(host: Column, path: Column, url: Column) -> Column:
 
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, confidence, support) for BAD. pages: (tokens, path); labels: (doc_id, quality, toxic)."""
-    number = F.regexp_extract("path", "/([0-9]{1,18})[^/]*$", 1)
+    number = F.regexp_extract("path", r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1)
     named = pages.select("tokens", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id is not null")
     bad = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(F.expr("coalesce(quality = 0, false) or coalesce(toxic = 1, false)")).alias("bad"))
     baskets = named.join(bad, "doc_id").select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where("size(items) > 0")
     baskets = materialize(baskets, "baskets")
-    n = baskets.count()
-    if n < MIN_URLS:
-        return pages.select("tokens", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_URLS / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("consequent") == 1) & (F.col("lift") >= MIN_LIFT))
-    return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    rules = model.associationRules.where(F.array_contains("consequent", BAD))
+    all_bad, here = F.col("confidence") / F.col("lift"), F.col("support") / F.col("confidence")
+    odds = F.col("confidence") * (1 - here - all_bad + F.col("support")), MIN_ODDS * (1 - F.col("confidence")) * (all_bad - F.col("support"))
+    # a difference of shares may be off by rounding; urls that all hold the tokens tell nothing
+    found = rules.where((odds[0] >= odds[1]) & (odds[0] > 1e-12)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    return materialize(pruned(materialize(found, "rules")), "rules")
+
+
+def pruned(rules: DataFrame) -> DataFrame:
+    """Rules without those that hold all tokens of another rule at least as confident; found by the rarest-token index, as urls are."""
+    other = rarest(rules).select(F.col("needed").alias("o_tokens"), F.col("confidence").alias("o_confidence"), "token")
+    mine = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
+    part = (F.size("o_tokens") < F.size("tokens")) & (F.col("o_confidence") >= F.col("confidence")) & (F.size(F.array_except("o_tokens", "tokens")) == 0)
+    lesser = mine.join(other, "token").where(part).select("tokens").distinct()
+    return rules.join(lesser, "tokens", "left_anti")
+
+
+def rarest(rules: DataFrame) -> DataFrame:
+    """The inverted index: (needed, confidence, token), each rule under the token that fewest rules hold."""
+    each = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
+    indexed = each.join(each.groupBy("token").count(), "token")
+    return indexed.groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token")).withColumnRenamed("tokens", "needed")
 
 
 def blocked_sets(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct token sets (key, confidence) that hold all tokens of a rule, by the rules' inverted index."""
-    frequency = rules.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    indexed = rules.select("tokens", "confidence", F.explode("tokens").alias("token")).join(frequency, "token")
-    index = indexed.groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token")).withColumnRenamed("tokens", "needed")
+    """Distinct token sets (tokens, confidence) that hold all tokens of a rule, by the rules' inverted index."""
     sets = pages.select("tokens").distinct()
-    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
-    return hits.groupBy(F.array_join("tokens", " ").alias("key")).agg(F.max("confidence").alias("confidence"))
+    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(rarest(rules), "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+    return hits.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = PATH_RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -92,7 +106,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str]
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("tokens", tokens_of(F.col("host"), F.col("path"), F.col("url")))
     blocked = blocked_sets(split, mine(split.select("tokens", "path"), labels, min_support, min_confidence))
+    spread = blocked.select(F.col("tokens").alias("held"), "confidence", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of"))
     chosen = path_rule(F.col("host"), F.col("path"), rules)
-    out = split.select("page_id", "host", "path", chosen.alias("chosen"), F.array_join("tokens", " ").alias("key")).join(blocked, "key", "left")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    out = split.select("page_id", "host", "path", chosen.alias("chosen"), "tokens", salt.alias("salt"))
+    out = out.join(spread, (out["tokens"] == spread["held"]) & (out["salt"] == spread["of"]), "left")
     verdict = F.coalesce(F.col("chosen.verdict"), F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("chosen.rule").alias("rule"), verdict.alias("verdict"), "confidence")

@@ -135,6 +135,48 @@ def test_mined_rules_block(spark):
     assert all(got[i] == ("block" if i % 2 else "allow") for i in range(120))
 
 
+def brute_rules(baskets):
+    """All token sets with the share of bad among the urls that hold them, by enumeration."""
+    from itertools import combinations
+
+    n, bad = len(baskets), sum(b for _, b in baskets)
+    sets = {frozenset(c) for tokens, b in baskets if b for k in range(1, len(tokens) + 1) for c in combinations(sorted(tokens), k)}
+    found = {}
+    for s in sets:
+        held = [b for tokens, b in baskets if s <= tokens]
+        hit, rest = sum(held), n - len(held)
+        good_odds = hit * (rest - (bad - hit)) >= url_rules.MIN_ODDS * (len(held) - hit) * (bad - hit) and hit * (rest - (bad - hit)) > 0
+        if hit / n >= url_rules.MIN_SUPPORT and hit / len(held) >= url_rules.MIN_CONFIDENCE and good_odds:
+            found[s] = hit / len(held)
+    return {s: c for s, c in found.items() if not any(o < s and found[o] >= c for o in found)}
+
+
+@pytest.mark.parametrize("share", [0.2, 0.8])
+def test_rules_are_those_of_enumeration(spark, share):
+    rng = np.random.default_rng(int(share * 10))
+    rows, labels = [], []
+    for i in range(400):
+        bad = rng.random() < share
+        word = rng.choice(["spam", "win", "news"] if bad and rng.random() < 0.7 else ["news", "blog", "shop"])
+        rows.append((i, f"http://{word}.example.net/{rng.choice(['en', 'de', 'fr'])}/{rng.choice(['a', 'b'])}/{i}{rng.choice(['', '/', '.html', '?ref=x&a b=1'])}"))
+        labels.append((i, 0 if bad else 1, 0))
+    rows += [(900, "http://spam.example.net/en/x" + "/y" * 5000), (901, rows[7][1]), (902, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    host, path = url_rules.host_and_path(F.col("url"))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"), "url").withColumn("tokens", url_rules.tokens_of(F.col("host"), F.col("path"), F.col("url")))
+    bad = {i: q == 0 for i, q, _ in labels}
+    numbers = {r.page_id: re.search(r"/([0-9]+)(?:\.[A-Za-z]+)?/?$", r.path) for r in split.collect()}
+    baskets = [(frozenset(r.tokens), bad[int(numbers[r.page_id][1])]) for r in split.collect() if numbers[r.page_id]]
+    want = brute_rules(baskets)
+    got = {frozenset(r.tokens): r.confidence for r in url_rules.mine(split.select("tokens", "path"), marks).collect()}
+    assert set(got) == set(want) and all(got[s] == pytest.approx(c) for s, c in want.items()) and frozenset(["h:spam"]) in want
+    verdicts = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, marks, rules=()).collect()}
+    tokens = {r.page_id: set(r.tokens) for r in split.collect()}
+    assert verdicts == {i: "block" if any(s <= t for s in want) else "allow" for i, t in tokens.items()}
+    assert verdicts[900] == "block" and verdicts[902] == "allow" and "allow" in verdicts.values()
+
+
 # ---------------------------------------------------------------- 3 html
 def test_site_templates(spark):
     page = lambda i, h: f'<html><body><nav>menu</nav><div id="x{i}">Top of {h}</div><section><p>Story {i} &amp; more <b>bo</b>ld</p><p>two<br>lines {i}</p></section><div>Subscribe now</div><div class="comments">no</div></body></html>'
