@@ -1,14 +1,14 @@
 """License scans: winnowed fingerprints pick candidate templates, banded alignment measures them.
 
-Templates are cut into lower-case words; every GRAM-word gram is hashed and winnowed with
-WINNOW, and the fingerprints form an inverted index, small as the templates are given as a
-parameter. A text's own winnowed fingerprints are looked up; for each template hit, the hits' most common diagonals
+Templates (license_texts, or a parameter) are cut into lower-case words; every GRAM-word gram is hashed and winnowed with
+WINNOW, and the fingerprints form an inverted index. Every gram of a text is looked up in it, so that no place of a
+template's fingerprint in the text can be missed; for each template hit, the hits' diagonals
 give the places where it may stand. A banded alignment of words (match 2, mismatch and gap
 -1, band BAND around the diagonal) then yields the matched words of the template and their span in the
 text. Coverage is matched words over the template's words.
 
 Null or empty texts have no match. A template occurring twice is reported at each place that does
-not overlap a better one. Texts shorter than a gram match none; templates shorter than a gram are rejected. Repeated rows
+not overlap a better one; of several templates at one place (a grant and the license that holds it) each is reported. Without templates nothing matches. Texts shorter than a gram match none; templates shorter than a gram are rejected. Repeated rows
 are reported alike; an empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -23,25 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Texts, rows_of, small_batches, text_chunks, window_hashes
+from .license_texts import TEMPLATES
 
 GRAM, WINNOW, BAND = 3, 3, 8
 LEAST_COVERAGE = 0.6
 
-# Short notices and opening passages of public licenses.
-TEMPLATES = {
-    "mit-line": "Released under the MIT License.",
-    "cc-by-nc-line": "Licensed under CC BY-NC 4.0.",
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3-line": "This work is licensed under the GNU General Public License, version 3.",
-    "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "gpl-3-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "all-rights-reserved": "Copyright. All rights reserved. No part may be reproduced without permission.",
-}
-
-
 def _chunk(text: str) -> Texts:
     data = np.frombuffer(text.encode(), np.uint8)
     return Texts(data, np.array([0, len(data)]), lower=True)
@@ -76,8 +62,10 @@ class Index:
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of grams that are in the index. Every gram is looked up, so no offset of the winnowing can be missed."""
+        if not len(hashes) or not len(self.prints):
+            return np.zeros(0, np.int64)
         k = np.minimum(np.searchsorted(self.prints, hashes), len(self.prints) - 1)
-        return np.flatnonzero(self.prints[k] == hashes) if len(hashes) else np.zeros(0, np.int64)
+        return np.flatnonzero(self.prints[k] == hashes)
 
 
 def align(template: list[int], words: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
