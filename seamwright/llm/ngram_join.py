@@ -15,8 +15,8 @@ common differences, so a prefix filter on differences, rare ones first, finds th
 Pairs of different roots are joined by their multi-match prefixes and verified on the whole sets.
 
 Null or empty texts have an empty set, link with nothing and are their own class. Fewer words than a shingle
-make one shingle. Equal rows are one class. A null doc_id has a null class. Rows that share a doc_id count as one
-document in links. An empty table gives an empty result. Extra columns are ignored.
+make one shingle. Equal rows are one class. A null doc_id has a null class. Rows that share a doc_id are one
+document: their texts are of one class. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,11 +129,15 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     nodes = whole.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "nodes")
     discard(whole)
-    edges = _links(texts, nodes, size, percent)
-    labels = components(edges)
-
     ids = nodes.select("s1", "s2", "n", "node")
-    out = heads.select("doc_id", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left")
+    out = materialize(heads.select("doc_id", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left").select("doc_id", "n", "node"), "named")
+    discard(heads)
+    # rows that share a doc_id are one document, whatever their texts
+    shared = out.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    same = out.join(shared, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+    labels = components(_links(texts, nodes, size, percent).unionByName(same))
+    discard(nodes)
+
     named = labels.select(F.col("node").alias("member"), "root")
     out = out.join(named, out["node"] == named["member"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node", "doc_id").alias("component_id"))
@@ -204,12 +208,13 @@ def _within(differ: DataFrame, percent: int) -> DataFrame:
     often = flat.groupBy("root", "token").agg(F.count(F.lit(1)).alias("many"), F.max(~F.col("own")).alias("loose"))
     ranked = flat.join(often, ["root", "token"])
     first = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("many", "token", "loose"))).alias("all"), F.first("root").alias("root"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("size").alias("size"), F.first("length").alias("length"))
-    short = first.select("root", "node", "n", "own", "size", F.explode(F.slice("all", F.lit(1), F.col("length").cast("int"))).alias("t")).where("t.many > 1 and t.loose")
-    short = materialize(short.select("root", "node", "n", "own", "size", F.col("t.token").alias("token")), "short")
-    x = short.where("not own").select("root", "token", *[F.col(k).alias(f"x_{k}") for k in ("node", "n", "size")])
-    y = short.select("root", "token", *[F.col(k).alias(f"y_{k}") for k in ("node", "n", "size", "own")])
+    short = first.select("root", "node", "n", "own", "size", F.posexplode(F.slice("all", F.lit(1), F.col("length").cast("int"))).alias("at", "t")).where("t.many > 1 and t.loose")
+    short = materialize(short.select("root", "node", "n", "own", "size", "at", F.col("t.token").alias("token")), "short")
+    x = short.where("not own").select("root", "token", *[F.col(k).alias(f"x_{k}") for k in ("node", "n", "size", "at")])
+    y = short.select("root", "token", *[F.col(k).alias(f"y_{k}") for k in ("node", "n", "size", "own", "at")])
     overlap = F.ceil((F.col("x_size") + F.col("y_size") - (F.col("x_n") + F.col("y_n")) * c) / 2 - 1e-9)
-    fits = (F.col("x_node") != F.col("y_node")) & (F.col("y_own") | (F.col("x_node") < F.col("y_node"))) & (overlap <= F.least("x_size", "y_size"))
+    fits = (F.col("x_node") != F.col("y_node")) & (F.col("y_own") | (F.col("x_node") < F.col("y_node"))) & (overlap <= F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")))
+    # places bound what two lists can share from their first common token on
     pairs = x.join(y, ["root", "token"]).where(fits).select("x_node", "y_node").distinct()
     dx_, dy_ = (differ.select(F.col("node").alias(f"{s}_node"), F.col("n").alias(f"{s}_n"), F.col("d").alias(f"{s}_d")) for s in "xy")
     checked = pairs.join(dx_, "x_node").join(dy_, "y_node")
