@@ -6,7 +6,7 @@ read again, is the next one's docs. All but the last return the columns of docum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamwright.llm.common import materialize, read_table
@@ -27,10 +27,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of near duplicates; rows that share an id stay together."""
-    classes = jaccard_classes(docs, SHINGLE, PERCENT)
-    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One row of each class of near duplicates: that of smallest doc_id, of repeated rows one.
+
+    Ids that are null or carry several texts are told apart by a hash of id and text, below zero, so that no text goes that is found nowhere else.
+    """
+    text = F.xxhash64(F.col("text").cast("string"))
+    clash = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("__nd_clash"))
+    marked = docs.join(materialize(clash, "clash"), F.col("doc_id") == F.col("__nd_clash"), "left")
+    odd = F.col("doc_id").isNull() | F.col("__nd_clash").isNotNull()
+    own = F.when(odd, -1 - F.pmod(F.xxhash64("doc_id", F.col("text").cast("string")), F.lit(1 << 62))).otherwise(F.col("doc_id").cast("long"))
+    keyed = marked.withColumn("__nd_id", own).drop("__nd_clash")
+    classes = jaccard_classes(keyed.select(F.col("__nd_id").alias("doc_id"), "text"), SHINGLE, PERCENT).select("doc_id", "component_id")
+    ids = classes.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    ids = materialize(ids.where("doc_id <> component_id or rows > 1").select(F.col("doc_id").alias("__nd_of"), (F.col("doc_id") != F.col("component_id")).alias("__nd_gone")), "gone")
+    left = keyed.join(ids, F.col("__nd_id") == F.col("__nd_of"), "left").where("__nd_gone is null or not __nd_gone")
+    once = left.where("__nd_gone is null")
+    # of rows that share id and text only the first of each task is shuffled
+    order = Window.partitionBy("__nd_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    repeated = left.where("__nd_gone is not null").withColumn("__nd_row", F.row_number().over(order)).where("__nd_row = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*columns).unionByName(repeated.select(*columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,12 +249,49 @@ def test_license_places(spark, odd):
     text = f"intro words {noisy} and then Released under the MIT License. end"
     frame = spark.createDataFrame([(1, text), (2, "Released under"), (3, None)], "doc_id long, text string")
     got = {(r.doc_id, r.license): r for r in license_scan.scan_licenses(frame).collect()}
-    assert set(got) == {(1, "mit-grant"), (1, "mit-line")}
+    assert set(got) == {(1, "mit-grant"), (1, "mit-line")} and license_scan.scan_licenses(frame, {}).count() == 0
     r = got[1, "mit-grant"]
     assert r.word_start == 2 and text[r.char_start : r.char_end] == noisy and r.coverage == pytest.approx((len(mit) - 2) / len(mit))
     assert license_scan.scan_licenses(odd).count() == 0 and license_scan.scan_licenses(frame.limit(0)).count() == 0
 
 
+def test_alignments_by_brute_force():
+    """Full local alignment of every template with texts that hold changed copies finds what the index and the band find."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{k}" for k in range(200)]
+    index = license_scan.Index(license_scan.TEMPLATES)
+
+    def whole(a, b):
+        best, row = (0, 0), [(0, 0)] * (len(b) + 1)
+        for x in a:
+            new = [(0, 0)]
+            for j, y in enumerate(b, 1):
+                s, m = row[j - 1]
+                new.append(max((0, 0), (s + 2, m + 1) if x == y else (s - 1, m), (row[j][0] - 1, row[j][1]), (new[-1][0] - 1, new[-1][1])))
+                best = max(best, new[-1])
+            row = new
+        return best[1]
+
+    names = ["mit", "isc", "zlib", "apache-2.0-notice", "gpl-3-line", "unlicense"]
+    for name in names:
+        words = license_scan.TEMPLATES[name].split()
+        for k in sorted(rng.choice(len(words), len(words) // 15, replace=False), reverse=True):  # words changed, lost and added
+            words[k : k + 1] = [[], ["other"], [words[k], "more"]][int(rng.integers(3))]
+        text = " ".join([*rng.choice(vocabulary, 60), *words, *rng.choice(vocabulary, 40)])
+        hashes = license_scan._chunk(text).word_hashes()
+        found = {}
+        for n, coverage, a, b in license_scan.scan(index, hashes, 0.6):
+            found[n] = max(found.get(n, 0), coverage)
+            assert 0 <= a < b <= len(hashes)
+        for t, n in enumerate(index.names):
+            if len(index.words[t]) < 20 and n != name:  # of so short a line a changed copy may share no fingerprint
+                continue
+            coverage = whole(index.words[t], hashes.tolist()) / len(index.words[t])
+            assert (n in found) == (coverage >= 0.6), (name, n, coverage)
+            assert found.get(n, coverage) == pytest.approx(coverage, abs=0.03) or coverage < 0.6
+        assert found[name] > 0.8
+
+
 # ---------------------------------------------------------------- 5 n-gram join
 def brute_classes(rows, size, percent):
     sets = {}
@@ -304,6 +341,13 @@ def test_classes_of_odd_rows(spark, odd):
     assert ngram_join.jaccard_classes(odd.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (5, text("b")), (7, text("c")), (7, text("c")), (None, text("c"))]
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (2, 1), (5, 1), (7, 7), (7, 7), (None, None)], key=str) or got == sorted([(1, 1), (2, 1), (2, 1), (5, 1), (7, 7), (7, 7), (None, 7)], key=str)
+
+
 # ---------------------------------------------------------------- 6 neighbours
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
@@ -535,6 +579,17 @@ def test_pipeline_stages(spark, docs):
     assert packed.select("doc_id").distinct().count() == sizes[-1]
 
 
+def test_one_row_of_each_class_stays(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    rows = [(1, text("a"), "x"), (2, text("a"), "y"), (2, text("b"), "z"), (3, text("c"), "r"), (3, text("c"), "r"), (3, text("c"), "r"), (None, text("d"), None), (None, text("d"), None), (9, text("c") + " more", "q"), (10, None, "n"), (11, "", "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, frame, DATA).collect()), key=str)
+    a = [t for t in got if t[1] == text("a")]
+    assert len(a) == 1 and [t for t in got if t[1] and t[1] != text("a")] == sorted([(2, text("b")), (3, text("c")), (None, text("d"))], key=str)
+    assert {t for t in got if not t[1]} == {(10, None), (11, "")}
+
+
 def test_stages_on_odd_rows(spark, odd):
     pipeline = pytest.importorskip("corpus_pipeline")
     for frame in (odd, odd.limit(0)):
