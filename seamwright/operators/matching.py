@@ -26,28 +26,34 @@ def exact_candidates(clients: DataFrame, servers: DataFrame) -> DataFrame:
 
 
 def fuzzy_ranked(clients: DataFrame, servers: DataFrame, score: Callable[[Column, Column], Column] = route_score) -> DataFrame:
-    """Best and second score, and the best server, of every given client.
+    """Best and second score, and their servers, of every given client.
 
     Scores are computed once for each distinct pair of routes of a method. Ties go to the smaller server id.
     """
     c = clients.select("client_id", "method", "segments")
-    s = servers.groupBy("method", F.col("segments").alias("server_segments")).agg(F.min("server_id").alias("server_id"), F.count(F.lit(1)).alias("twins"))
+    twin = Window.partitionBy("method", "segments").orderBy("server_id")
+    s = servers.withColumn("nth", F.row_number().over(twin)).where("nth <= 2").groupBy("method", F.col("segments").alias("server_segments"))
+    s = s.agg(F.min("server_id").alias("server_id"), F.max(F.when(F.col("nth") == 2, F.col("server_id"))).alias("twin"))
     routes = c.select("method", "segments").distinct()
-    scored = routes.join(s, "method").select("method", "segments", "server_id", "twins", score(F.col("segments"), F.col("server_segments")).alias("score"))
+    scored = routes.join(s, "method").select("method", "segments", "server_id", "twin", score(F.col("segments"), F.col("server_segments")).alias("score"))
     order = Window.partitionBy("method", "segments").orderBy(F.desc("score"), "server_id")
     two = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
     best = two.groupBy("method", "segments").agg(
         F.max(F.when(F.col("rank") == 1, F.col("server_id"))).alias("server_id"),
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best"),
-        F.max(F.when(F.col("rank") == 1, F.col("twins"))).alias("twins"),
+        F.max(F.when(F.col("rank") == 1, F.col("twin"))).alias("twin"),
         F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"),
+        F.max(F.when(F.col("rank") == 2, F.col("server_id"))).alias("second_id"),
     )
-    best = best.withColumn("second", F.when(F.col("twins") > 1, F.col("best")).otherwise(F.col("second"))).drop("twins")
-    return c.join(best, [c["method"].eqNullSafe(best["method"]), c["segments"].eqNullSafe(best["segments"])]).select("client_id", "server_id", "best", "second")
+    best = best.withColumns({"second": F.when(F.col("twin").isNotNull(), F.col("best")).otherwise(F.col("second")), "second_id": F.coalesce("twin", "second_id")}).drop("twin")
+    return c.join(best, [c["method"].eqNullSafe(best["method"]), c["segments"].eqNullSafe(best["segments"])]).select("client_id", "server_id", "best", "second", "second_id")
 
 
-def match_routes(clients: DataFrame, servers: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, score: Callable[[Column, Column], Column] = route_score) -> DataFrame:
-    """One row for each client: server_id, confidence, strategy; or a reason (J5) why it has none."""
+def match_routes(clients: DataFrame, servers: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, score: Callable[[Column, Column], Column] = route_score, candidates: bool = False) -> DataFrame:
+    """One row for each client: server_id, confidence, strategy; or a reason (J5) why it has none.
+
+    candidates: with an array of (server_id, confidence), best first, of a call that scoring left unresolved.
+    """
     exact = exact_candidates(clients, servers)
     base = clients.select("client_id", "method", "segments", "dynamic").join(exact.withColumnRenamed("server_id", "exact_id"), "client_id", "left")
     methods = servers.select(F.col("method").alias("known")).distinct()
@@ -67,6 +73,9 @@ def match_routes(clients: DataFrame, servers: DataFrame, threshold: float = THRE
         .when(close, "ambiguous")
     )
     out = all_.withColumn("reason", reason)
+    scored = F.col("reason").isin("below-threshold", "ambiguous")
+    item = lambda server, value: F.when(F.col(server).isNotNull(), F.struct(F.col(server).alias("server_id"), round_half_up(F.col(value), 3).alias("confidence")))
+    named = [F.when(scored, F.array_compact(F.array(item("server_id", "best"), item("second_id", "second")))).alias("candidates")] if candidates else []
     matched, is_exact = F.col("reason").isNull(), F.col("n_exact") == 1
     return out.select(
         "client_id",
@@ -74,9 +83,25 @@ def match_routes(clients: DataFrame, servers: DataFrame, threshold: float = THRE
         F.when(matched & is_exact, F.lit(1.0)).when(matched, round_half_up(F.col("best"), 3)).alias("confidence"),
         F.when(matched & is_exact, "exact").when(matched, "fuzzy-sequence").alias("strategy"),
         "reason",
+        *named,
     )
 
 
+def candidate_routes(matches: DataFrame, clients: DataFrame, servers: DataFrame) -> DataFrame:
+    """client_id and candidates ARRAY<STRUCT<route, confidence>> of unresolved calls: the two best scored, or all handlers that are exact.
+
+    matches: with candidates. clients: client_id, method, segments. servers: server_id, method, segments, route.
+    """
+    scored = matches.where("candidates is not null").select("client_id", F.posexplode("candidates").alias("at", "c")).select("client_id", "at", F.col("c.server_id").alias("server_id"), F.col("c.confidence").alias("confidence"))
+    scored = scored.join(servers.select("server_id", "route"), "server_id").select("client_id", "at", "route", "confidence")
+    many = matches.where("reason = 'multiple-exact-matches'").select("client_id").join(clients.select("client_id", "method", "segments"), "client_id")
+    keyed = lambda x, *more: x.select(*more, "method", F.size("segments").alias("depth"), exact_key(F.col("segments")).alias("key"))
+    at = F.row_number().over(Window.partitionBy("client_id").orderBy("server_id"))
+    exact = keyed(many, "client_id").join(keyed(servers, "server_id", "route"), ["method", "depth", "key"]).select("client_id", at.alias("at"), "route", F.lit(1.0).alias("confidence"))
+    rows = F.array_sort(F.collect_list(F.struct("at", "route", "confidence")))  # the handlers of one route
+    return scored.unionByName(exact).groupBy("client_id").agg(F.transform(rows, lambda x: F.struct(x["route"].alias("route"), x["confidence"].alias("confidence"))).alias("candidates"))
+
+
 def explain_matches(matches: DataFrame, clients: DataFrame, servers: DataFrame) -> DataFrame:
     """Evidence by segment of every match."""
     c = clients.select("client_id", F.col("segments").alias("cs"))

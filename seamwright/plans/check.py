@@ -9,6 +9,7 @@ from ..functions.routes import parse_route
 from ..operators import diff, impact, matching, typecheck
 from ..operators.graph import contract_id
 from ..sources.files import client_calls, server_handlers, usages
+from .scratch import cut
 
 
 def check_trees(client_files: DataFrame, server_files: DataFrame, threshold: float = matching.THRESHOLD) -> DataFrame:
@@ -17,10 +18,11 @@ def check_trees(client_files: DataFrame, server_files: DataFrame, threshold: flo
     c = calls.select(F.col("id").alias("client_id"), "method", "route", "dynamic", parse_route(F.col("route")).alias("segments"), F.col("schema").alias("client_schema"), F.col("path").alias("file"), "line", F.col("col").alias("column"))
     s = handlers.select(F.col("id").alias("handler"), "method", "route", parse_route(F.col("route")).alias("segments"), F.col("schema").alias("server_schema"))
     s = s.withColumn("server_id", F.xxhash64("handler"))
-    m = matching.match_routes(c, s, threshold)
+    c, s = cut(c), cut(s)
+    m = cut(matching.match_routes(c, s, threshold, candidates=True))
     hit = m.where("server_id is not null").join(c.select("client_id", "client_schema"), "client_id").join(s.select("server_id", "server_schema"), "server_id")
     lost = m.where("server_id is null").select("client_id", "reason").join(c.select("client_id", "method", "route"), "client_id")
-    found = typecheck.validate_all(hit, lost.withColumn("candidates", F.lit(None).cast("array<struct<route:string,confidence:double>>")))
+    found = typecheck.validate_all(hit, lost.join(matching.candidate_routes(m, c, s), "client_id", "left"))
     return found.join(c.select("client_id", "file", "line", "column"), "client_id")
 
 
@@ -40,7 +42,7 @@ def contracts(handlers: DataFrame) -> DataFrame:
 
 def _consumers(client_files: DataFrame, handlers: DataFrame, threshold: float) -> DataFrame:
     """(contract_id, consumer_id, edge and node confidence, resolution, what the call's file reads of its result)."""
-    calls = client_calls(client_files)
+    calls = cut(client_calls(client_files))
     c = calls.select(F.col("id").alias("client_id"), "method", parse_route(F.col("route")).alias("segments"), "dynamic", F.col("path").alias("file"), "line", "col")
     s = handlers.select("method", "route", parse_route(F.col("route")).alias("segments"), F.xxhash64("id").alias("server_id"))
     m = matching.match_routes(c.select("client_id", "method", "segments", "dynamic"), s.select("server_id", "method", "segments"), threshold).where("server_id is not null")
@@ -65,8 +67,12 @@ def impact_trees(client_files: DataFrame, base_server: DataFrame, current_server
 
     Consumers of a removed contract are looked up in the base, where the dependency existed.
     """
-    base, current = server_handlers(base_server), server_handlers(current_server)
-    changes = diff.compare_graphs(contracts(base), contracts(current))
+    base, current = cut(server_handlers(base_server)), cut(server_handlers(current_server))
+    changes = cut(diff.compare_graphs(contracts(base), contracts(current)))
+    return _impacts(changes, client_files, base, current, base_client, threshold)
+
+
+def _impacts(changes: DataFrame, client_files: DataFrame, base: DataFrame, current: DataFrame, base_client: DataFrame | None, threshold: float) -> DataFrame:
     widened = lambda c: (c["kind"] == "optionality-changed") & F.contains(c["before"], F.lit('"optional": false')) & F.contains(c["after"], F.lit('"optional": true'))
     listed = F.transform("field_changes", lambda c: F.struct(F.regexp_replace(c["path"], r"^root\.", "").alias("path"), c["kind"].alias("kind"), F.coalesce(widened(c), F.lit(False)).alias("widened")))
     changed = changes.select("contract_id", F.col("kind").alias("change_kind"), listed.alias("changes"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the reliable checkpoint folder; a folder of its own only where the session names none (tests)."""
+    """df, computed and kept in the reliable checkpoint folder; a folder of its own only where a local session names none."""
     context = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(f"file:///tmp/seamwright-checkpoints-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)

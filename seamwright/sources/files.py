@@ -10,20 +10,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut
 from . import go_source, python_source, ts_source
+from .modules import module_files
+from .python_routers import with_prefixes
+from .types import DYNAMIC
 
 # Folders that hold no source of their own.
 IGNORED = ("node_modules", ".git", "dist", "build", ".next", "__pycache__", ".venv", "venv")
 LANGUAGES = {"ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "py": "py", "go": "go", "graphql": "graphql", "gql": "graphql"}
 CALLS = "id string, method string, route string, dynamic boolean, framework string, schema string, ref string, line int, col int"
 FIELDS = ["id", "method", "route", "dynamic", "framework", "schema", "ref", "line", "col"]
-# What is tried after an import's path, in order.
-SUFFIXES = ("", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx")
 
 
 def read_files(spark: SparkSession, root: str, snapshot: str = "current") -> DataFrame:
     """Snapshot, path (below root), lang, text of every source file below root, in any store Spark reads."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}").load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join([*(f"*.{x}" for x in LANGUAGES), "tsconfig*.json"]) + "}").load(root)
     full = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     base = root.split(":", 1)[-1].rstrip("/")
     path = F.regexp_replace(F.substring_index(full, base.rsplit("/", 1)[-1] + "/", -1), "^/+", "")
@@ -31,12 +33,12 @@ def read_files(spark: SparkSession, root: str, snapshot: str = "current") -> Dat
     inner = F.slice(parts, F.lit(1), F.size(parts) - 1)
     keep = ~F.exists(inner, lambda p: p.isin(*IGNORED) | F.startswith(p, F.lit(".")))
     kinds = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return found.select(F.lit(snapshot).alias("snapshot"), path.alias("path"), kinds[F.regexp_extract("path", r"\.([a-z]+)$", 1)].alias("lang"), F.decode("content", "UTF-8").alias("text")).where(keep)
+    return found.select(F.lit(snapshot).alias("snapshot"), path.alias("path"), F.coalesce(F.try_element_at(kinds, F.regexp_extract("path", r"\.([a-z]+)$", 1)), F.lit("tsconfig")).alias("lang"), F.decode("content", "UTF-8").alias("text")).where(keep)
 
 
 def in_memory(spark: SparkSession, files: dict[str, str], snapshot: str = "current") -> DataFrame:
     """Sources given as path -> text."""
-    rows = [(snapshot, p, LANGUAGES.get(p.rsplit(".", 1)[-1]), t) for p, t in files.items()]
+    rows = [(snapshot, p, "tsconfig" if p.endswith(".json") else LANGUAGES.get(p.rsplit(".", 1)[-1]), t) for p, t in files.items()]
     return spark.createDataFrame(rows, "snapshot string, path string, lang string, text string")
 
 
@@ -53,7 +55,7 @@ def _apply(files: DataFrame, parsers: dict[str, Callable[[str, str], list[dict]]
                     continue
                 try:
                     for c in parsers[lang](path, text):
-                        key = f"{path}:{c['line']}:{c['col']}:{c['method']}:{c['route']}"
+                        key = f"{path}:{c['line']}:{c['col']}:{c['method']}:{ts_source.without_holes(c['route'])}"
                         schema = None if c.get("schema") is None else json.dumps(c["schema"])
                         rows.append((snapshot, path, key, c["method"], c["route"], bool(c.get("dynamic")), c["framework"], schema, c.get("ref"), c["line"], c["col"], None))
                 except (SyntaxError, ValueError, RecursionError, IndexError, KeyError) as e:
@@ -66,14 +68,50 @@ def _apply(files: DataFrame, parsers: dict[str, Callable[[str, str], list[dict]]
 
 def client_calls(files: DataFrame) -> DataFrame:
     """HTTP calls of TypeScript, Python and Go sources."""
-    rows = _apply(files, {"ts": ts_source.client_calls, "py": python_source.client_calls, "go": go_source.client_calls})
-    return resolve_imported(rows.where("error is null").drop("error"), files)
+    rows = parsed(files, "client")
+    return resolve_imported(fill_constants(rows.where("error is null").drop("error"), files), files)
 
 
 def server_handlers(files: DataFrame) -> DataFrame:
-    """Handlers of TypeScript, Python and Go sources. Prefixes of Python routers are those of their own file."""
-    rows = _apply(files, {"ts": ts_source.server_handlers, "py": python_source.server_handlers, "go": go_source.server_handlers})
-    return resolve_imported(rows.where("error is null").drop("error"), files)
+    """Handlers of TypeScript, Python and Go sources, with the prefixes of Python routers that mount theirs."""
+    rows = parsed(files, "server").where("error is null").drop("error")
+    if not files.where("lang = 'py'").isEmpty():
+        rows = with_prefixes(rows, files)
+    return resolve_imported(rows, files)
+
+
+PARSERS = {
+    "client": {"ts": ts_source.client_calls, "py": python_source.client_calls, "go": go_source.client_calls},
+    "server": {"ts": ts_source.server_handlers, "py": python_source.server_handlers, "go": go_source.server_handlers},
+}
+
+
+def parsed(files: DataFrame, side: str) -> DataFrame:
+    """Calls (client) or handlers (server) as their own file tells them, and an error for each file that couldn't be read; parsed once."""
+    return cut(_apply(files, PARSERS[side]))
+
+
+def ts_constants(files: DataFrame) -> DataFrame:
+    """Snapshot, path, name, key, value of string constants at the top of TypeScript files; key is that of an object's property, or empty."""
+    return _names(files, ts_source.constants, "name string, key string, value string")
+
+
+def fill_constants(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Routes whose imported constants are known, one import away; the others' parts are dynamic."""
+    inside = F.regexp_extract_all("route", F.lit(f"{ts_source.HOLE[0]}([^{ts_source.HOLE[1]}]*){ts_source.HOLE[1]}"), F.lit(1))
+    holes = rows.select("snapshot", "path", F.explode(F.array_distinct(inside)).alias("hole")).distinct()
+    holes = holes.withColumns({"head": F.substring_index("hole", ".", 1), "key": F.when(F.contains("hole", F.lit(".")), F.substring_index("hole", ".", -1)).otherwise("")})
+    brought = ts_imports(files).withColumnsRenamed({"snapshot": "i_snapshot", "path": "i_path"})
+    named = holes.join(brought, F.expr("snapshot = i_snapshot and path = i_path and head = local")).select("snapshot", "path", "hole", "key", "specifier", "imported")
+    known = ts_constants(files).withColumnsRenamed({"snapshot": "c_snapshot", "path": "c_path", "key": "c_key"})
+    met = named.join(module_files(named, files), ["snapshot", "path", "specifier"]).join(known, F.expr("snapshot = c_snapshot and file = c_path and imported = name and key = c_key"))
+    values = met.groupBy(F.col("snapshot").alias("v_snapshot"), F.col("path").alias("v_path")).agg(F.collect_set(F.struct("hole", "value")).alias("known"))
+    joined = rows.join(values, F.expr("snapshot = v_snapshot and path = v_path"), "left")
+    of = F.map_from_entries(F.coalesce("known", F.array().cast("array<struct<hole:string,value:string>>")))
+    mark = lambda h: F.concat(F.lit(ts_source.HOLE[0]), h, F.lit(ts_source.HOLE[1]))
+    route = F.aggregate(F.array_distinct(inside), F.col("route"), lambda r, h: F.replace(r, mark(h), F.coalesce(F.try_element_at(of, h), F.lit(DYNAMIC))))
+    filled = joined.withColumn("route", route)
+    return filled.select(*[F.contains("route", F.lit(DYNAMIC)).alias("dynamic") if c == "dynamic" else F.col(c) for c in rows.columns])
 
 
 def _names(files: DataFrame, read: Callable[[str, str], list[tuple]], schema: str) -> DataFrame:
@@ -110,33 +148,21 @@ def usages(files: DataFrame) -> DataFrame:
     return rows.select("snapshot", "path", F.from_json("u", kind).alias("u")).select("snapshot", "path", "u.*")
 
 
-def join_path(folder: Column, relative: Column) -> Column:
-    """Folder and a path relative to it, without `.` and `..`."""
-    parts = F.filter(F.split(F.concat_ws("/", folder, relative), "/"), lambda p: ~p.isin("", "."))
-    empty = F.array().cast("array<string>")
-    up = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
-    return F.array_join(F.aggregate(parts, empty, lambda kept, p: F.when(p == "..", up(kept)).otherwise(F.concat(kept, F.array(p)))), "/")
-
-
 def resolve_imported(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Schemas of types that a relative import brings in, one hop out. Packages are never followed."""
-    named = ts_imports(files).where("startswith(specifier, '.')")
-    target = join_path(F.regexp_replace("path", "/?[^/]*$", ""), F.regexp_replace("specifier", r"\.js$", ""))
-    tried = named.select("snapshot", F.col("path").alias("i_path"), F.col("local").alias("i_ref"), "imported", F.posexplode(F.array(*[F.concat(target, F.lit(x)) for x in SUFFIXES])).alias("rank", "d_path"))
-    declared = ts_declarations(files).select(F.col("snapshot").alias("d_snapshot"), F.col("path").alias("dd_path"), "name", F.col("schema").alias("d_schema"))
-    met = tried.join(declared, F.expr("snapshot = d_snapshot and d_path = dd_path and imported = name"))
-    best = met.groupBy(F.col("snapshot").alias("i_snapshot"), "i_path", "i_ref").agg(F.min_by("d_schema", "rank").alias("i_schema"))
+    """Schemas of types that an import brings in, one hop out, by relative path or alias. Packages are never followed."""
+    wanted = rows.where("ref is not null").select(F.col("snapshot").alias("r_snapshot"), F.col("path").alias("r_path"), F.col("ref").alias("r_ref")).distinct()
+    named = ts_imports(files).join(wanted, F.expr("snapshot = r_snapshot and path = r_path and local = r_ref"), "left_semi")
+    target = module_files(named, files)
+    declared = ts_declarations(files).select(F.col("snapshot").alias("d_snapshot"), F.col("path").alias("d_path"), "name", F.col("schema").alias("i_schema"))
+    met = named.join(target, ["snapshot", "path", "specifier"]).join(declared, F.expr("snapshot = d_snapshot and file = d_path and imported = name"))
+    best = met.groupBy(F.col("snapshot").alias("i_snapshot"), F.col("path").alias("i_path"), F.col("local").alias("i_ref")).agg(F.min("i_schema").alias("i_schema"))
     out = rows.join(best, F.expr("snapshot = i_snapshot and path = i_path and ref = i_ref"), "left")
     return out.select(*[F.coalesce("i_schema", "schema").alias("schema") if c == "schema" else F.col(c) for c in rows.columns if c != "ref"])
 
 
 def parse_errors(files: DataFrame) -> DataFrame:
     """Files that a parser gave up on, and why."""
-    sides = [
-        {"ts": ts_source.client_calls, "py": python_source.client_calls, "go": go_source.client_calls},
-        {"ts": ts_source.server_handlers, "py": python_source.server_handlers, "go": go_source.server_handlers},
-    ]
-    return reduce(DataFrame.unionByName, [_apply(files, s).where("error is not null").select("snapshot", "path", "error") for s in sides]).distinct()
+    return reduce(DataFrame.unionByName, [_apply(files, p).where("error is not null").select("snapshot", "path", "error") for p in PARSERS.values()]).distinct()
 
 
 def graphql_fields(files: DataFrame) -> DataFrame:

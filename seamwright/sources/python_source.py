@@ -115,7 +115,7 @@ def server_handlers(path: str, text: str) -> list[dict]:
                 shape = t["element"] if t["kind"] == "array" else t
                 shape = shape if shape["kind"] == "object" else None
             shape = shape or _returned(f)
-            out.append({"method": d.func.attr.upper(), "route": own.get(d.func.value.id, "") + route, "framework": "fastapi", "schema": schema_of(shape), "line": d.lineno, "col": d.col_offset + 1})
+            out.append({"method": d.func.attr.upper(), "route": own.get(d.func.value.id, "") + route, "framework": "fastapi", "schema": schema_of(shape), "ref": d.func.value.id, "line": d.lineno, "col": d.col_offset + 1})
     return out
 
 

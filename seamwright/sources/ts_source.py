@@ -1,6 +1,6 @@
 """TypeScript and JavaScript sources: calls, handlers and types, by a scanner and small recursive readers.
 
-Types and constants are looked up in the same file. Anything not understood is left unknown, never guessed.
+Types and constants are looked up in the same file; an imported constant leaves a hole in a route, between the marks HOLE, to be filled by joins. Anything not understood is left unknown, never guessed.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ _SCAN = re.compile(
 _KEYWORDS = {"string": "string", "number": "number", "boolean": "boolean", "any": "any", "unknown": "unknown", "null": "null", "undefined": "undefined", "void": "undefined", "never": "unknown", "object": "unknown", "bigint": "number"}
 _NOT_HTTP = ("headers", "searchparams", "map")
 _HTTP = ("axios", "api", "client", "http")
+HOLE = ("\x01", "\x02")
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -48,6 +49,7 @@ class Source:
         self.types: dict[str, int] = {}
         self.consts: dict[str, int] = {}
         self.functions: dict[str, int] = {}
+        self.imported = {name for name, _, _ in imports("", text)}
         depth = 0
         for k, t in enumerate(self.tokens[:-2]):
             if t.text in _OPEN and t.kind == "mark":
@@ -266,7 +268,7 @@ class Source:
         """A module constant's string, or that of a constant object's property; else dynamic."""
         head, _, key = name.partition(".")
         if head not in self.consts or hops <= 0:
-            return DYNAMIC
+            return f"{HOLE[0]}{name}{HOLE[1]}" if head in self.imported and hops > 0 and "." not in key else DYNAMIC
         j = self.consts[head] + 1
         while not self.is_(j, "=") and self.tokens[j].kind != "end" and not self.is_(j, ";"):
             j += 1
@@ -419,6 +421,26 @@ def imports(path: str, text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def without_holes(route: str) -> str:
+    return re.sub(f"{HOLE[0]}[^{HOLE[1]}]*{HOLE[1]}", DYNAMIC, route)
+
+
+def constants(path: str, text: str) -> list[tuple[str, str, str]]:
+    """(name, key, string) of constants at the top of a file, and of the string properties of constant objects."""
+    s, out = Source(text), []
+    for name, k in s.consts.items():
+        j = k + 1
+        while not s.is_(j, "=") and not s.is_(j, ";") and s.tokens[j].kind != "end":
+            j += 1
+        if not s.is_(j, "="):
+            continue
+        if s.tokens[j + 1].kind == "string" and not s.is_(j + 2, "+"):
+            out.append((name, "", s.tokens[j + 1].text[1:-1]))
+        elif s.is_(j + 1, "{"):
+            out += [(name, s.tokens[a].text.strip("\"'"), s.tokens[a + 2].text[1:-1]) for a, b in s.arguments(j + 1) if b - a == 3 and s.is_(a + 1, ":") and s.tokens[a + 2].kind == "string"]
+    return out
+
+
 def declarations(path: str, text: str) -> list[tuple[str, dict]]:
     """The object types that a file declares at its top."""
     s = Source(text)
@@ -497,7 +519,54 @@ def server_handlers(path: str, text: str) -> list[dict]:
             if name in {v.upper() for v in SERVER_VERBS}:
                 close = next((s.match[j] for j in range(k, len(s.tokens)) if s.is_(j, "{") and j in s.match), len(s.tokens) - 1)
                 out.append({"method": name, "route": "/" + "/".join(parts), "framework": "nextjs", **_shape(s, k, close), **s.place(k)})
-    return out
+    return out + _pages_api(s, path)
+
+
+def _pages_api(s: Source, path: str) -> list[dict]:
+    """The default export of a file below pages/api, by the methods its branches name; else one GET.
+
+    The type argument of the second parameter's NextApiResponse wins over what the branches answer.
+    """
+    found = re.search(r"(?:^|/)pages/api/(.*)\.(?:ts|tsx|js|jsx)$", path)
+    k = next((k for k in range(len(s.tokens) - 2) if s.is_(k, "export") and s.is_(k + 1, "default")), None)
+    if not found or k is None:
+        return []
+    k += 2 + s.is_(k + 2, "async")
+    opening = next((j for j in range(k, min(k + 3, len(s.tokens))) if s.is_(j, "(") and j in s.match), None)
+    body = next((j for j in range(s.match[opening] + 1, len(s.tokens)) if s.is_(j, "{") and j in s.match), None) if opening is not None else None
+    if body is None or not (s.is_(k, "function") or s.is_(body - 1, "=>")):
+        return []
+    parts = [re.sub(r"^\[(\w+)\]$", r":\1", p) for p in re.sub(r"/index$", "", found[1]).split("/") if p]
+    declared = _response_argument(s, opening)
+    own = {"schema": schema_of(declared), "ref": reference_of(declared)} if declared else None
+    row = lambda method, lo, hi: {"method": method, "route": "/api/" + "/".join(parts), "framework": "nextjs", **(own or _shape(s, lo, hi)), **s.place(lo)}
+    out = []
+    for j in range(body, s.match[body]):
+        if s.is_(j, "if") and j + 1 in s.match and (method := _method_check(s, j + 1)):
+            then = s.match[j + 1] + 1
+            stop = s.match[then] if s.is_(then, "{") and then in s.match else next((x for x in range(then, s.match[body]) if s.is_(x, ";")), s.match[body])
+            out.append(row(method, j, stop + 1))
+    return out or [row("GET", k, s.match[body])]
+
+
+def _method_check(s: Source, k: int) -> str | None:
+    """The method that the condition in the brackets at k compares req.method with."""
+    inner = s.tokens[k + 1 : s.match[k]]
+    words = " ".join(t.text for t in inner)
+    if not inner or inner[-1].kind != "string" or any(t.text in "&|" and t.kind == "mark" for t in inner) or "req . method" not in words:
+        return None
+    name = inner[-1].text[1:-1].upper()
+    return name if name.lower() in VERBS else "UNKNOWN"
+
+
+def _response_argument(s: Source, k: int) -> dict | None:
+    """T of a second parameter `res: NextApiResponse<T>`; `any` or none tells nothing."""
+    args = s.arguments(k)
+    if len(args) < 2:
+        return None
+    at = next((j for j in range(*args[1]) if s.is_(j, "NextApiResponse")), None)
+    inside, after = s.generic(at + 1) if at is not None else (0, 0)
+    return None if after <= inside or s.is_(inside, "any") else s.type_at(inside)[0]
 
 
 def usages(path: str, text: str) -> list[dict]:
