@@ -150,7 +150,11 @@ def bad_evidence(evidence: Column) -> Column:
 
 
 def validate_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Code, severity and subject of every fault. nodes: id, type, confidence, ord; edges: id, src, dst, relation, confidence, ord."""
+    """Code, severity and subject of every fault. nodes: id, type, confidence, ord; edges: id, src, dst, relation, confidence, ord.
+
+    Either may have evidence ARRAY<STRUCT<file, description, confidence>>. An index of edges by their ends is no part of these
+    tables, as joins find them, so it can't disagree with them.
+    """
     fault = lambda code, severity, subject: [F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.alias("subject")]
     parts = []
     for rows, kind in ((nodes, "node"), (edges, "edge")):
@@ -167,6 +171,9 @@ def validate_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parts.append(full.where(lost).select(*fault("orphan-edge", "error", F.col("id"))))
     whole = full.where(~lost)
     parts.append(whole.where(bad_confidence(F.col("confidence"))).select(*fault("invalid-edge-confidence", "error", F.col("id"))))
+    for rows, kind in ((kept_nodes, "node"), (whole, "edge")):
+        if "evidence" in rows.columns:
+            parts.append(rows.where(bad_evidence(F.coalesce("evidence", F.array().cast(rows.schema["evidence"].dataType)))).select(*fault(f"invalid-{kind}-evidence", "error", F.col("id"))))
     wrong = ((F.col("relation") == "produces") & ~((F.col("src_type") == "producer") & (F.col("dst_type") == "contract"))) | ((F.col("relation") == "consumes") & ~((F.col("src_type") == "contract") & (F.col("dst_type") == "consumer")))
     parts.append(whole.where(wrong).select(*fault("invalid-relation", "error", F.col("id"))))
     return reduce(DataFrame.unionByName, parts)

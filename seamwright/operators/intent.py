@@ -27,8 +27,69 @@ def verdict(contract_changed: Column, mismatches: Column, breaking: Column, unkn
 
 
 def summary_verdict(breaking: Column, warning: Column, unknown: Column) -> Column:
-    """A3: without an intent."""
-    return F.when(breaking > 0, "FAIL").when((warning > 0) | (unknown > 0), "REVIEW_REQUIRED").otherwise("PASS")
+    """A3: without an intent. Warnings don't count."""
+    return F.when(breaking > 0, "FAIL").when(unknown > 0, "REVIEW_REQUIRED").otherwise("PASS")
+
+
+def intent_flag(kind: Column, contract: Column, old: Column, new: Column) -> Column:
+    """The option of the command line that states an intent."""
+    rename = F.concat(F.lit("--rename="), contract, F.lit("."), old, F.lit("->"), contract, F.lit("."), new)
+    return F.when(kind == "widen-optionality", F.concat(F.lit("--widen-optional="), contract, F.lit("."), old)).otherwise(rename)
+
+
+def explanation_text(segments: Column, alignment: Column, depth: Column) -> Column:
+    """One line of a scored match. segments: ARRAY<STRUCT<client, server, kind, score>>."""
+    sign = lambda s: F.when(s["kind"] == "static-exact", "=").when(s["kind"] == "unaligned", "vs").otherwise("≈")
+    one = F.transform(segments, lambda s: F.concat(s["client"], sign(s), s["server"], F.lit("("), s["score"].cast("string"), F.lit(")")))
+    return F.concat(F.array_join(one, " + "), F.format_string(" — alignment %.2f, depth-agreement %.2f", alignment, depth))
+
+
+#: Kinds of intent that a repair exists for.
+REPAIRABLE = ("rename-field", "widen-optionality")
+
+
+def agent_summary(rows: DataFrame) -> DataFrame:
+    """A2-A5: rows with summary_verdict, repair_available and next_actions.
+
+    rows: breaking, warning, unknown (counts), breaking_files, warning_files, unknown_files (hints); kind and flag of the intent, null
+    without one; status of its verification, null before it; applied, patches, skipped (number) and skip_reasons of a repair, null without one.
+    """
+    c, has = F.col, lambda k: F.col(k) > 0
+    repaired, verified = c("kind").isNotNull() & c("patches").isNotNull(), c("kind").isNotNull() & c("patches").isNull() & c("status").isNotNull()
+    able = F.coalesce(c("kind").isin(*REPAIRABLE), F.lit(False))
+    say = lambda text, *cols: F.format_string(text, *[F.col(k) if isinstance(k, str) else k for k in cols])
+    manual = F.when(has("unknown"), say("%d consumers cannot be resolved statically and need a manual review: %s", "unknown", "unknown_files"))
+    plain = F.array_compact(
+        F.array(
+            F.when(has("breaking"), say("%d consumers break; state the change with --rename or --widen-optional to have a repair tried: %s", "breaking", "breaking_files")),
+            manual,
+            F.when(~has("breaking") & ~has("unknown"), F.lit("Nothing to do.")),
+        )
+    )
+    open_ = F.array_compact(
+        F.array(
+            F.when(has("breaking") & able, say("Run `seamwright fix %s --apply` to repair %d breaking consumers: %s", "flag", "breaking", "breaking_files")),
+            F.when(has("breaking") & ~able, say("%d consumers break and no repair exists for %s: %s", "breaking", "kind", "breaking_files")),
+            manual,
+            F.when(has("warning"), say("%d consumers may depend on the contract; review them: %s", "warning", "warning_files")),
+        )
+    )
+    checked = F.when(c("status") == "UNVERIFIED", F.array(F.lit("The intent does not match the observed changes; check the contract and field names."))).when(c("status") == "COMPLETE", F.array(F.lit("Nothing to do: all consumers are compatible."))).otherwise(open_)
+    outcome = F.when(c("applied"), "APPLIED").when(has("patches"), "DRY_RUN").otherwise("NO_REPAIR_AVAILABLE")
+    first = (
+        F.when(outcome == "APPLIED", say("%d files are patched; `seamwright receipt %s` proves the result.", "patches", "flag"))
+        .when(outcome == "DRY_RUN", say("%d patches are ready; run `seamwright receipt %s`, then fix with --apply.", "patches", "flag"))
+        .when(has("skipped"), say("No patch is safe (%d files skipped): %s", "skipped", F.array_join(F.slice("skip_reasons", 1, HINT_CAP), "; ")))
+        .otherwise("Nothing to repair.")
+    )
+    done = F.array_compact(F.array(first, manual))
+    return rows.withColumns(
+        {
+            "summary_verdict": F.when(repaired, outcome).when(verified, c("status")).otherwise(summary_verdict(c("breaking"), c("warning"), c("unknown"))),
+            "repair_available": F.when(repaired, has("patches")).when(verified, able & has("breaking")).otherwise(False),
+            "next_actions": F.when(repaired, done).when(verified, checked).otherwise(plain),
+        }
+    )
 
 
 def counts(impacts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -69,10 +130,10 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def parse_rename(text: str) -> dict[str, str]:
-    """A10: `contract.old=new`; the contract's id ends at the first dot, so ids with dots can't be named."""
-    found = re.fullmatch(r"([^.]+)\.([^=]+)=(.+)", text.strip())
+    """A10: `contract.old->contract.new`, or `contract.old=new`; the contract's id ends at the first dot."""
+    found = re.fullmatch(r"([^.]+)\.(.+?)->[^.]+\.(.+)", text.strip()) or re.fullmatch(r"([^.]+)\.([^=]+)=(.+)", text.strip())
     if not found:
-        raise ValueError(f"rename must read contract.old=new: {text!r}")
+        raise ValueError(f"rename must read contract.old->contract.new: {text!r}")
     return {"kind": "rename-field", "contract_id": found[1], "from": found[2], "to": found[3]}
 
 

@@ -88,13 +88,14 @@ def repair_files(files: DataFrame, impacts: DataFrame, kind: str, old: str, new:
     return rows.mapInArrow(run, "snapshot string, path string, lang string, text string, status string")
 
 
-def receipt_verdict(has_intent: Column, status: Column, new_breaking: Column, still_breaking: Column, patched: Column) -> Column:
-    """M7, M8. status: the intent's verdict after the repair."""
+def receipt_verdict(has_intent: Column, repairable: Column, before: Column, after: Column, breaking: Column, unknown: Column, new_breaking: Column, still_breaking: Column, patched: Column) -> Column:
+    """M7, M8. before and after: the intent's verdict without and with the patches; breaking and unknown: counts of all impacts before."""
+    complete = before == "COMPLETE"
     return (
-        F.when(~has_intent, F.when(new_breaking + still_breaking > 0, "FAIL").otherwise("PASS"))
-        .when(status == "UNVERIFIED", "FAIL")
-        .when(patched == 0, F.when(status == "COMPLETE", "PASS").otherwise("FAIL"))
-        .when((new_breaking > 0) | (still_breaking > 0), "FAIL")
-        .when(status == "COMPLETE", "PROVEN")
+        F.when(~has_intent, F.when(breaking > 0, "FAIL").when(unknown > 0, "REVIEW_REQUIRED").otherwise("PASS"))
+        .when(~repairable, F.when(complete, "PASS").otherwise("REVIEW_REQUIRED"))
+        .when(patched == 0, F.when(complete, "PASS").otherwise("FAIL"))
+        .when((before == "UNVERIFIED") | (new_breaking > 0) | (still_breaking > 0), "FAIL")
+        .when(after == "COMPLETE", "PROVEN")
         .otherwise("REVIEW_REQUIRED")
     )

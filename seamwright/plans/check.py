@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.routes import parse_route
-from ..operators import diff, impact, matching, typecheck
+from ..operators import diff, graph, impact, matching, typecheck
 from ..operators.graph import contract_id
 from ..sources.files import client_calls, server_handlers, usages
 from .scratch import cut
@@ -67,12 +67,34 @@ def impact_trees(client_files: DataFrame, base_server: DataFrame, current_server
 
     Consumers of a removed contract are looked up in the base, where the dependency existed.
     """
+    base, current, changes = snapshot_changes(base_server, current_server)
+    return snapshot_impacts(changes, client_files, base, current, base_client, threshold)
+
+
+def snapshot_changes(base_server: DataFrame, current_server: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Handlers of both snapshots and the changes between them."""
     base, current = cut(server_handlers(base_server)), cut(server_handlers(current_server))
-    changes = cut(diff.compare_graphs(contracts(base), contracts(current)))
-    return _impacts(changes, client_files, base, current, base_client, threshold)
+    return base, current, cut(diff.compare_graphs(contracts(base), contracts(current)))
+
+
+def place_of(consumer_id: Column) -> Column:
+    """STRUCT<path, line, column, key> of a consumer: its call's place."""
+    part = lambda k: F.regexp_extract(consumer_id, r"^(.*?):([0-9]+):([0-9]+):[A-Z]+:", k)
+    return F.struct(part(1).alias("path"), part(2).cast("int").alias("line"), part(3).cast("int").alias("column"), F.concat_ws(":", part(1), part(2), part(3)).alias("key"))
+
+
+def graph_faults(client_files: DataFrame, server_files: DataFrame, threshold: float = matching.THRESHOLD) -> DataFrame:
+    """B1, B11 end to end: faults of the graph that two source trees give."""
+    calls, handlers = cut(client_calls(client_files)), cut(server_handlers(server_files))
+    c = calls.select(F.col("id").alias("client_id"), "method", "route", parse_route(F.col("route")).alias("segments"), "dynamic", F.col("path").alias("file"), F.lit(False).alias("computed"))
+    s = handlers.select(F.xxhash64("id").alias("server_id"), "method", "route", parse_route(F.col("route")).alias("segments"), F.col("path").alias("file"), F.col("schema").alias("shape"))
+    m = cut(matching.match_routes(c, s, threshold))
+    nodes = graph.build_nodes(c, s, m).withColumn("ord", F.xxhash64("origin"))
+    edges = graph.build_edges(s, m).withColumn("ord", F.xxhash64("id"))
+    return graph.validate_graph(nodes, edges)
 
 
-def _impacts(changes: DataFrame, client_files: DataFrame, base: DataFrame, current: DataFrame, base_client: DataFrame | None, threshold: float) -> DataFrame:
+def snapshot_impacts(changes: DataFrame, client_files: DataFrame, base: DataFrame, current: DataFrame, base_client: DataFrame | None, threshold: float) -> DataFrame:
     widened = lambda c: (c["kind"] == "optionality-changed") & F.contains(c["before"], F.lit('"optional": false')) & F.contains(c["after"], F.lit('"optional": true'))
     listed = F.transform("field_changes", lambda c: F.struct(F.regexp_replace(c["path"], r"^root\.", "").alias("path"), c["kind"].alias("kind"), F.coalesce(widened(c), F.lit(False)).alias("widened")))
     changed = changes.select("contract_id", F.col("kind").alias("change_kind"), listed.alias("changes"))

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .check import place_of
+
 # Fixed values of the SARIF format.
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -29,7 +31,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def sarif(findings: DataFrame, tool: str = "seamwright") -> str:
-    """A SARIF log. findings: ord, kind, severity, message, file, line, column; a report is read by people, so it is built on the driver."""
+    """A SARIF log. findings: ord, kind, severity, message, file, line, column; a report is read by people, so it is built on the driver."""
     rules: dict[str, dict] = {}
     results = []
     for r in findings.where("file is not null").orderBy("ord", "file", "line").toLocalIterator():
@@ -41,7 +43,7 @@ def sarif(findings: DataFrame, tool: str = "seamwright") -> str:
 
 
 def markdown(findings: DataFrame, title: str = "Contract check") -> str:
-    """A comment with a marker line; a short one where nothing was found."""
+    """A comment with a marker line; a short one where nothing was found."""
     rows = list(findings.orderBy("ord", "file", "line").toLocalIterator())
     head = [f"<!-- {title.lower().replace(' ', '-')} -->", f"## {title}", ""]
     if not rows:
@@ -52,7 +54,71 @@ def markdown(findings: DataFrame, title: str = "Contract check") -> str:
 
 
 def text(findings: DataFrame) -> str:
-    """S23, S24."""
+    """S23."""
     rows = list(findings.orderBy("ord", "file", "line").toLocalIterator())
     lines = [f"{r.severity.upper():8}{r.kind} {r.file}:{r.line} {r.message}" for r in rows]
     return "\n".join([*lines, f"{len(rows)} finding{'' if len(rows) == 1 else 's'}", ""])
+
+
+def impact_findings(impacts: DataFrame) -> DataFrame:
+    """rule_id, level, message, file, line, column and the impact's own columns of every impact (contract_id, consumer_id, category, severity, ...)."""
+    severity, place = F.col("severity"), place_of(F.col("consumer_id").cast("string"))
+    grade = F.when(severity == "BREAKING", "error").when(severity == "WARNING", "warning").otherwise("note")
+    message = F.format_string("%s [%s, confidence %d%%]", "reason", "category", F.floor(F.coalesce("confidence", F.lit(0.0)) + 0.5).cast("long"))
+    return impacts.select(
+        F.concat(F.lit("impact-"), F.lower(severity)).alias("rule_id"),
+        grade.alias("level"),
+        message.alias("message"),
+        place["path"].alias("file"),
+        F.coalesce(place["line"], F.lit(1)).alias("line"),
+        F.coalesce(place["column"], F.lit(1)).alias("column"),
+        "severity",
+        "category",
+        "reason",
+        "confidence",
+        "proof_level",
+        "contract_id",
+        "consumer_id",
+    )
+
+
+def _ordered(impacts: DataFrame) -> list:
+    return list(impact_findings(impacts).orderBy("contract_id", "file", "line", "column").toLocalIterator())
+
+
+def impact_sarif(impacts: DataFrame, risk: dict, tool: str = "seamwright") -> str:
+    """A SARIF log of impacts, and of the risk (risk_score, risk_level) unless it is low."""
+    rules: dict[str, dict] = {}
+    results = []
+    rule = lambda key, text, level: rules.setdefault(key, {"id": key, "fullDescription": {"text": text}, "defaultConfiguration": {"level": level}})
+    for r in _ordered(impacts):
+        rule(r.rule_id, r.reason, r.level)
+        place = {"physicalLocation": {"artifactLocation": {"uri": r.file}, "region": {"startLine": r.line, "startColumn": r.column}}}
+        results.append({"ruleId": r.rule_id, "level": r.level, "message": {"text": r.message}, "locations": [place], "properties": {"contractId": r.contract_id, "dependencyCategory": r.category, "confidence": r.confidence}})
+    if risk["risk_level"] != "LOW":
+        key, level = f"contract-risk-{risk['risk_level'].lower()}", "error" if risk["risk_level"] == "CRITICAL" else "warning"
+        text = f"Risk score {risk['risk_score']} of 100"
+        rule(key, text, level)
+        results.append({"ruleId": key, "level": level, "message": {"text": text}, "properties": {"riskScore": risk["risk_score"], "riskLevel": risk["risk_level"]}})
+    run = {"tool": {"driver": {"name": tool, "rules": list(rules.values())}}, "results": results}
+    return json.dumps({"$schema": SARIF_SCHEMA, "version": SARIF_VERSION, "runs": [run]}, indent=2)
+
+
+def impact_markdown(impacts: DataFrame, risk: dict, verdict: str, actions: list[str]) -> str:
+    """A comment on impacts, with the verdict and what to do next."""
+    rows = _ordered(impacts)
+    n = {k: sum(r.severity == k for r in rows) for k in ("BREAKING", "WARNING", "SAFE", "UNKNOWN")}
+    worst = next((k for k in ("BREAKING", "WARNING") if n[k]), "CLEAN")
+    lines = ["<!-- seamwright-impact-report -->", f"### {worst}: contract impact", "", f"**Risk:** {risk['risk_level']} ({risk['risk_score']}/100)", "", " · ".join(f"{v} {k.lower()}" for k, v in n.items()), ""]
+    lines += [f"- **{r.severity}** [{r.category}] {r.reason} `{r.file}:{r.line}` (proof: {r.proof_level})" for r in rows]
+    return "\n".join([*lines, "", f"**Verdict:** {verdict}", "", *[f"- {a}" for a in actions], ""])
+
+
+def validation_text(faults: DataFrame) -> str:
+    """Faults of a graph (code, severity, subject), errors first."""
+    rows = list(faults.orderBy("severity", "code", "subject").toLocalIterator())
+    if not rows:
+        return "The contract graph is valid.\n"
+    errors = [r for r in rows if r.severity == "error"]
+    head = [f"Contract graph: {'INVALID' if errors else 'VALID (with warnings)'}", f"{len(errors)} errors, {len(rows) - len(errors)} warnings", ""]
+    return "\n".join([*head, *[f"  {r.severity.upper()} [{r.code}] {r.subject}" for r in rows], ""])

@@ -24,7 +24,10 @@ def test_repair_by_file(spark):
 
 
 def test_verdicts(spark):
-    rows = [(False, None, 1, 0, 0, "FAIL"), (False, None, 0, 0, 0, "PASS"), (True, "UNVERIFIED", 0, 0, 1, "FAIL"), (True, "COMPLETE", 0, 0, 1, "PROVEN"), (True, "COMPLETE", 0, 0, 0, "PASS"), (True, "INCOMPLETE", 0, 0, 1, "REVIEW_REQUIRED"), (True, "COMPLETE", 1, 0, 1, "FAIL")]
-    df = spark.createDataFrame(rows, "i boolean, s string, n int, b int, p int, want string")
-    got = df.select(repair.receipt_verdict(F.col("i"), F.col("s"), F.col("n"), F.col("b"), F.col("p")).alias("v"), "want").collect()
+    plain = (False, True, None, None)
+    rows = [(*plain, 1, 0, 0, 0, 0, "FAIL"), (*plain, 0, 2, 0, 0, 0, "REVIEW_REQUIRED"), (*plain, 0, 0, 0, 0, 0, "PASS")]
+    rows += [(True, False, s, s, 0, 0, 0, 0, 0, w) for s, w in (("COMPLETE", "PASS"), ("INCOMPLETE", "REVIEW_REQUIRED"))]
+    rows += [(True, True, b, a, 1, 0, n, still, p, w) for b, a, n, still, p, w in (("UNVERIFIED", "COMPLETE", 0, 0, 1, "FAIL"), ("INCOMPLETE", "COMPLETE", 0, 0, 1, "PROVEN"), ("COMPLETE", "COMPLETE", 0, 0, 0, "PASS"), ("INCOMPLETE", "INCOMPLETE", 0, 0, 0, "FAIL"), ("INCOMPLETE", "INCOMPLETE", 0, 0, 1, "REVIEW_REQUIRED"), ("INCOMPLETE", "COMPLETE", 1, 0, 1, "FAIL"), ("INCOMPLETE", "COMPLETE", 0, 1, 1, "FAIL"))]
+    df = spark.createDataFrame(rows, "i boolean, r boolean, b string, a string, x int, u int, n int, s int, p int, want string")
+    got = df.select(repair.receipt_verdict(*[F.col(k) for k in ("i", "r", "b", "a", "x", "u", "n", "s", "p")]).alias("v"), "want").collect()
     assert [r.v for r in got] == [r.want for r in got]
