@@ -531,22 +531,187 @@ def m3_repairs(spark: SparkSession, d: str) -> DataFrame:
     return fixed.unionByName(odd).select(F.col("path").alias("k"), "text")
 
 
-@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 3 + o_orderkey % 2 > 0 THEN 'FAIL' ELSE 'PASS' END WHEN o_orderkey % 4 = 0 THEN 'FAIL' WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 4 = 1 THEN 'PASS' ELSE 'FAIL' END
- WHEN o_orderkey % 3 > 0 OR o_orderkey % 2 > 0 THEN 'FAIL' WHEN o_orderkey % 4 = 1 THEN 'PROVEN' ELSE 'REVIEW_REQUIRED' END AS verdict FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 <> 0 AS has_intent, o_orderkey % 11 <> 0 AS repairable, CASE o_orderkey % 4 WHEN 0 THEN 'UNVERIFIED' WHEN 1 THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS b, CASE WHEN o_orderkey % 3 = 1 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS a FROM orders)
+SELECT k, CASE WHEN NOT has_intent THEN CASE WHEN k % 2 > 0 THEN 'FAIL' WHEN k % 3 > 0 THEN 'REVIEW_REQUIRED' ELSE 'PASS' END WHEN NOT repairable THEN CASE WHEN b = 'COMPLETE' THEN 'PASS' ELSE 'REVIEW_REQUIRED' END
+ WHEN k % 7 = 0 THEN CASE WHEN b = 'COMPLETE' THEN 'PASS' ELSE 'FAIL' END WHEN b = 'UNVERIFIED' OR k % 13 = 1 OR k % 17 = 1 THEN 'FAIL' WHEN a = 'COMPLETE' THEN 'PROVEN' ELSE 'REVIEW_REQUIRED' END AS verdict FROM o""")
 def m8_receipts(spark: SparkSession, d: str) -> DataFrame:
-    """M7, M8: verdicts of receipts."""
+    """M8: verdicts of receipts."""
     k = F.col("o_orderkey")
-    status = F.when(k % 4 == 0, "UNVERIFIED").when(k % 4 == 1, "COMPLETE").otherwise("INCOMPLETE")
-    return table(spark, d, "orders").select(k.alias("k"), repair.receipt_verdict(k % 5 != 0, status, k % 3, k % 2, k % 7).alias("verdict"))
+    before = F.when(k % 4 == 0, "UNVERIFIED").when(k % 4 == 1, "COMPLETE").otherwise("INCOMPLETE")
+    after = F.when(k % 3 == 1, "INCOMPLETE").otherwise("COMPLETE")
+    one = lambda m: F.when(k % m == 1, 1).otherwise(0)
+    return table(spark, d, "orders").select(k.alias("k"), repair.receipt_verdict(k % 5 != 0, k % 11 != 0, before, after, k % 2, k % 3, one(13), one(17), k % 7).alias("verdict"))
 
 
-@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN 'FAIL' WHEN o_orderkey % 5 > 0 OR o_orderkey % 7 > 0 THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS verdict FROM orders""")
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN 'FAIL' WHEN o_orderkey % 7 > 0 THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS verdict FROM orders""")
 def a3_summaries(spark: SparkSession, d: str) -> DataFrame:
     """A3: verdicts without an intent."""
     k = F.col("o_orderkey")
     return table(spark, d, "orders").select(k.alias("k"), intent.summary_verdict(k % 3, k % 5, k % 7).alias("verdict"))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 AS br, o_orderkey % 2 AS wa, o_orderkey % 5 AS un, CASE o_orderkey % 4 WHEN 1 THEN 'rename-field' WHEN 2 THEN 'widen-optionality' WHEN 3 THEN 'remove-field' END AS kind,
+ CASE o_orderkey % 7 WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'UNVERIFIED' ELSE 'INCOMPLETE' END AS status, CASE WHEN o_orderkey % 11 < 4 THEN o_orderkey % 11 % 2 END AS patches, o_orderkey % 11 = 1 AS applied FROM orders)
+SELECT k, CASE WHEN kind IS NOT NULL AND patches IS NOT NULL THEN CASE WHEN applied THEN 'APPLIED' WHEN patches > 0 THEN 'DRY_RUN' ELSE 'NO_REPAIR_AVAILABLE' END WHEN kind IS NOT NULL THEN status WHEN br > 0 THEN 'FAIL' WHEN un > 0 THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS verdict,
+ CASE WHEN kind IS NOT NULL AND patches IS NOT NULL THEN patches > 0 WHEN kind IS NOT NULL THEN kind <> 'remove-field' AND br > 0 ELSE FALSE END AS repair_available,
+ CAST(CASE WHEN kind IS NOT NULL AND patches IS NOT NULL THEN 1 + CAST(un > 0 AS INT) WHEN kind IS NOT NULL THEN CASE WHEN status <> 'INCOMPLETE' THEN 1 ELSE CAST(br > 0 AS INT) + CAST(un > 0 AS INT) + CAST(wa > 0 AS INT) END
+  ELSE CAST(br > 0 AS INT) + CAST(un > 0 AS INT) + CAST(br = 0 AND un = 0 AS INT) END AS INTEGER) AS n_actions,
+ coalesce(kind = 'rename-field' AND patches IS NULL AND status = 'INCOMPLETE' AND br > 0, FALSE) AS names_fix FROM o""")
+def a2_agent_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """A2-A5: summaries without an intent, after its verification, and after a repair."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 4 == 1, "rename-field").when(k % 4 == 2, "widen-optionality").when(k % 4 == 3, "remove-field")
+    status = F.when(k % 7 == 0, "COMPLETE").when(k % 7 == 1, "UNVERIFIED").otherwise("INCOMPLETE")
+    flag = intent.intent_flag(kind, F.lit("c"), F.lit("a"), F.lit("b"))
+    hints = [F.lit("x.ts").alias(f"{n}_files") for n in ("breaking", "warning", "unknown")]
+    rows = table(spark, d, "orders").select(
+        k.alias("k"), (k % 3).alias("breaking"), (k % 2).alias("warning"), (k % 5).alias("unknown"), *hints, kind.alias("kind"), F.when(kind.isNotNull(), flag).alias("flag"), F.when(kind.isNotNull(), status).alias("status"),
+        F.when(k % 11 < 4, k % 11 % 2).alias("patches"), F.when(k % 11 < 4, k % 11 == 1).alias("applied"), F.lit(0).alias("skipped"), F.array().cast("array<string>").alias("skip_reasons"),
+    )
+    out = intent.agent_summary(rows)
+    names = F.exists("next_actions", lambda x: F.contains(x, F.lit("fix --rename=c.a->c.b --apply")))
+    return out.select("k", F.col("summary_verdict").alias("verdict"), F.col("repair_available"), F.size("next_actions").alias("n_actions"), names.alias("names_fix"))
+
+
+@query(f"""WITH {IMPACTS_SQL} SELECT contract_id, consumer_id, 'impact-' || lower(severity) AS rule_id, CASE severity WHEN 'BREAKING' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'note' END AS level, '[' || category || ', confidence ' || CAST(floor(confidence + 0.5) AS BIGINT) || '%]' AS ending FROM imp""")
+def s20_impact_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Rule, level and message of every impact."""
+    found = report.impact_findings(impact.dedupe_impacts(impact.classify_impacts(_impact_pairs(spark, d))))
+    return found.select("contract_id", "consumer_id", "rule_id", "level", F.regexp_extract("message", r"(\[[A-Z]+, .*)$", 1).alias("ending"))
+
+
+@query(f"""WITH {IMPACTS_SQL} SELECT contract_id, count(*) FILTER (severity = 'BREAKING') AS breaking, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'SAFE') AS safe, count(*) FILTER (severity = 'UNKNOWN') AS unknown FROM imp GROUP BY contract_id""")
+def a7_impact_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Impacts of each contract by severity."""
+    return intent.counts(impact.dedupe_impacts(impact.classify_impacts(_impact_pairs(spark, d))), ("contract_id",))
+
+
+@query("SELECT p_partkey, CASE WHEN p_brand IN ('Brand#11', 'Brand#23') THEN CAST(25 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS points FROM part")
+def k4_sensitive_fields(spark: SparkSession, d: str) -> DataFrame:
+    """K4: points of changed paths whose leaf is a sensitive field."""
+    paths = F.array(F.lit("user.x"), F.concat(F.lit("user."), "p_brand"))
+    return table(spark, d, "part").select("p_partkey", impact.sensitive_points(paths, ["Brand#11", "Brand#23"]).alias("points"))
+
+
+@query(f"""WITH {SERVERS}, {CLIENTS}, {MATCHED} SELECT r.client_id, CAST(r.k AS INTEGER) AS place, r.server_id, floor(r.score * 1000 + 0.5) / 1000 AS confidence FROM ranked r JOIN judged j USING (client_id) WHERE r.k <= 2 AND j.reason IN ('below-threshold', 'ambiguous')""")
+def d9_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The two best handlers of every call that scoring left unresolved."""
+    m = matching.match_routes(clients_of(spark, d), servers_of(spark, d), candidates=True)
+    return m.select("client_id", F.posexplode("candidates").alias("at", "c")).select("client_id", (F.col("at") + 1).alias("place"), F.col("c.server_id").alias("server_id"), F.col("c.confidence").alias("confidence"))
+
+
+@query(f"""WITH {SERVERS}, {CLIENTS}, {MATCHED} SELECT 'contract' AS kind, count(*) AS n, CAST(count(*) * 100 AS BIGINT) AS confidence FROM srv UNION ALL SELECT 'producer', count(*), CAST(count(*) * 100 AS BIGINT) FROM srv
+UNION ALL SELECT 'consumer', count(*), CAST(sum(floor(coalesce(confidence, 0) * 100 + 0.5)) AS BIGINT) FROM matched UNION ALL SELECT 'produces', count(*), CAST(count(*) * 100 AS BIGINT) FROM srv UNION ALL SELECT 'consumes', count(*), CAST(floor(sum(confidence) * 100 + 0.5) AS BIGINT) FROM matched WHERE server_id IS NOT NULL""")
+def b1_contract_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges of the graph of customers' calls, counted, with their confidence."""
+    c, s = clients_of(spark, d).withColumns({"file": F.lit("c"), "computed": F.lit(False)}), servers_of(spark, d).withColumns({"file": F.lit("s"), "shape": F.lit(None).cast("string")})
+    m = matching.match_routes(c, s)
+    total = F.floor(F.sum("confidence") + 0.5).cast("long").alias("confidence")
+    nodes = graph.build_nodes(c, s, m).groupBy(F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), total)
+    return nodes.unionByName(graph.build_edges(s, m).groupBy(F.col("relation").alias("kind")).agg(F.count(F.lit(1)).alias("n"), total))
+
+
+@query("""SELECT 'invalid-node-evidence' AS code, 'error' AS severity, 'o' || o_orderkey AS subject FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 UNION ALL SELECT 'invalid-edge-evidence', 'error', 'e' || o_orderkey FROM orders WHERE o_orderkey % 13 = 0""")
+def b12_evidence_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Blank or out-of-range evidence of nodes and edges."""
+    k, o = F.col("o_orderkey"), table(spark, d, "orders")
+    fine = F.struct(F.lit("a.ts").alias("file"), F.lit("call").alias("description"), F.lit(90.0).alias("confidence"))
+    proof = F.struct(F.when(k % 5 == 0, "").otherwise("b.ts").alias("file"), F.when(k % 7 != 0, "read").alias("description"), F.when(k % 11 == 0, 101.0).otherwise(50.0).alias("confidence"))
+    nodes = o.select(F.concat(F.lit("o"), k).alias("id"), F.lit("symbol").alias("type"), F.lit(80.0).alias("confidence"), k.alias("ord"), F.array(fine, proof).alias("evidence"))
+    seen = F.when(k % 13 == 0, F.array(F.struct(F.lit("a.ts").alias("file"), F.lit("x").alias("description"), F.lit(float("nan")).alias("confidence"))))
+    edges = o.select(F.concat(F.lit("e"), k).alias("id"), F.concat(F.lit("o"), k).alias("src"), F.concat(F.lit("o"), k).alias("dst"), F.lit("references").alias("relation"), F.lit(90.0).alias("confidence"), k.alias("ord"), seen.alias("evidence"))
+    return graph.validate_graph(nodes, edges)
+
+
+# ---------------------------------------------------------------- sources of several files
+def _source_files(*parts: DataFrame) -> DataFrame:
+    """(path, text) parts as a table of files."""
+    out = parts[0].select("path", "text")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("path", "text"))
+    kinds = F.when(F.endswith("path", F.lit(".py")), "py").when(F.endswith("path", F.lit(".json")), "tsconfig").otherwise("ts")
+    return out.select(F.lit("current").alias("snapshot"), "path", kinds.alias("lang"), "text")
+
+
+@query("""SELECT 'routes/n' || n_nationkey || '.py' AS path, CASE WHEN n_nationkey % 4 = 0 THEN 'POST' ELSE 'GET' END AS method,
+ CASE n_regionkey % 3 WHEN 0 THEN '/v1' WHEN 1 THEN '/beta' ELSE '' END || '/' || lower(replace(r_name, ' ', '-')) || CASE WHEN n_nationkey % 2 = 0 THEN '/even' ELSE '' END || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE '/n' || n_nationkey END || '/items/{id}' AS route FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def p13_mounted_routers(spark: SparkSession, d: str) -> DataFrame:
+    """A router of each nation, mounted by its region's, mounted by the application."""
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    own = F.when(k % 3 == 0, "APIRouter()").otherwise(F.concat(F.lit("APIRouter(prefix='/n"), k, F.lit("')")))
+    verb = F.when(k % 4 == 0, "post").otherwise("get")
+    text = F.concat(F.lit("from fastapi import APIRouter\n\nrouter = "), own, F.lit("\n\n\n@router."), verb, F.lit("('/items/{id}')\nasync def item(id: int) -> dict:\n    return {'id': id}\n"))
+    routes_ = n.select(F.concat(F.lit("routes/n"), k, F.lit(".py")).alias("path"), text.alias("text"))
+    # three ways to name a router: a module's member, a symbol, a symbol by another name
+    brought = F.when(k % 3 == 0, F.concat(F.lit("from app.routes import n"), k)).when(k % 3 == 1, F.concat(F.lit("from app.routes.n"), k, F.lit(" import router as x"), k)).otherwise(F.concat(F.lit("import app.routes.n"), k, F.lit(" as m"), k))
+    name = F.when(k % 3 == 0, F.concat(F.lit("n"), k, F.lit(".router"))).when(k % 3 == 1, F.concat(F.lit("x"), k)).otherwise(F.concat(F.lit("m"), k, F.lit(".router")))
+    mount = F.concat(F.lit("area.include_router("), name, F.when(k % 2 == 0, ", prefix='/even'").otherwise(""), F.lit(")"))
+    lines = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
+    areas = n.groupBy("n_regionkey").agg(F.concat(lines(brought), F.lit("\nfrom fastapi import APIRouter\n\narea = APIRouter()\n"), lines(mount), F.lit("\n")).alias("text"))
+    areas = areas.select(F.concat(F.lit("areas/a"), "n_regionkey", F.lit("/__init__.py")).alias("path"), "text")
+    r = table(spark, d, "region")
+    j = F.col("r_regionkey")
+    prefix = F.when(j % 3 == 0, "settings.V1").when(j % 3 == 1, "settings.BETA").otherwise("settings.MISSING")
+    area = F.concat(F.lit("/"), F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))))
+    hub = F.concat(F.lit("hub"), j)
+    mounts = F.concat(hub, F.lit(" = APIRouter()\n"), hub, F.lit(".include_router(a"), j, F.lit(".area, prefix='"), area, F.lit("')\napp.include_router("), hub, F.lit(", prefix="), prefix, F.lit(")"))
+    main = r.agg(F.concat(F.lit("from fastapi import APIRouter, FastAPI\nfrom app.core import settings\n"), lines(F.concat(F.lit("from app.areas import a"), j)), F.lit("\napp = FastAPI()\n"), lines(mounts), F.lit("\n")).alias("text")).select(F.lit("main.py").alias("path"), "text")
+    core = spark.createDataFrame([("core.py", "class Settings:\n    V1: str = '/v1'\n    BETA = '/beta'\n\n\nsettings = Settings()\n")], "path string, text string")
+    return files.server_handlers(_source_files(routes_, areas, main, core)).select("path", "method", "route")
+
+
+@query("""SELECT 'web/r' || n_regionkey || '/n' || n_nationkey || '.ts' AS path, CASE n_nationkey % 5 WHEN 0 THEN '/r' || n_regionkey || '/nation/' || n_nationkey WHEN 1 THEN '/list/r' || n_regionkey WHEN 2 THEN '/r' || n_regionkey || '/by' WHEN 3 THEN '__DYN__/x' ELSE '/plain/' || n_nationkey END AS route,
+ n_nationkey % 5 = 3 AS dynamic, CASE WHEN n_nationkey % 2 = 0 THEN 'id,r' || n_regionkey ELSE '' END AS fields FROM nation""")
+def x5_aliased_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Constants and types brought in by alias, by extended settings and by relative path."""
+    n, k, j = table(spark, d, "nation"), F.col("n_nationkey"), F.col("n_regionkey")
+    brought = (
+        F.when(k % 5 == 0, F.concat(F.lit("import { BASE } from '@shared/r"), j, F.lit("';\n")))
+        .when(k % 5 == 1, F.concat(F.lit("import { PATHS as all } from '@shared/r"), j, F.lit("';\n")))
+        .when(k % 5 == 2, F.concat(F.lit("import {BASE} from '../../shared/r"), j, F.lit("';\n")))
+        .when(k % 5 == 3, "import { BASE } from 'elsewhere';\n")
+        .otherwise("")
+    )
+    url = F.when(k % 5 == 0, F.concat(F.lit("`${BASE}/nation/"), k, F.lit("`"))).when(k % 5 == 1, "all.list").when(k % 5 == 2, "BASE + '/by'").when(k % 5 == 3, "`${BASE}/x`").otherwise(F.concat(F.lit("'/plain/"), k, F.lit("'")))
+    shape = F.when(k % 2 == 0, F.concat(F.lit("import type { Shape } from '@shared/r"), j, F.lit("';\nexport const got: Shape = await axios.get("))).otherwise("axios.get(")
+    calls = n.select(F.concat(F.lit("web/r"), j, F.lit("/n"), k, F.lit(".ts")).alias("path"), F.concat(brought, shape, url, F.lit(");\n")).alias("text"))
+    r, i = table(spark, d, "region"), F.col("r_regionkey")
+    shared = r.select(F.concat(F.lit("shared/r"), i, F.when(i % 2 == 0, ".ts").otherwise("/index.ts")).alias("path"), F.concat(F.lit("export const BASE = '/r"), i, F.lit("';\nexport const PATHS = { list: '/list/r"), i, F.lit("', other: 1 };\nexport interface Shape { id: number; r"), i, F.lit(": string }\n")).alias("text"))
+    base = '{\n  // shared by all\n  "compilerOptions": { "baseUrl": "..", "paths": { "elsewhere": ["nowhere"], "@shared/*": ["lib/*", "shared/*"], }, },\n}'
+    settings = spark.createDataFrame([("config/tsconfig.base.json", base), ("web/tsconfig.json", '{ "extends": "../config/tsconfig.base" /* no paths here */ }')], "path string, text string")
+    out = files.client_calls(_source_files(calls, shared, settings))
+    names = F.array_join(F.array_sort(F.map_keys(F.from_json(F.get_json_object("schema", "$.fields"), "map<string,string>"))), ",")
+    return out.select("path", "route", "dynamic", F.coalesce(names, F.lit("")).alias("fields"))
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, '/api/r' || n_regionkey || CASE n_nationkey % 4 WHEN 0 THEN '/n' || n_nationkey || '/:id' ELSE '/n' || n_nationkey END AS route FROM nation)
+SELECT route, 'GET' AS method, CASE k % 3 WHEN 0 THEN 'pong' WHEN 1 THEN 'list,n' || k ELSE 'one' END AS fields FROM n UNION ALL SELECT route, 'POST', 'done' FROM n WHERE k % 3 = 1""")
+def v11_pages_api(spark: SparkSession, d: str) -> DataFrame:
+    """A pages-router file of each nation: a declared response, branches by method, or a plain answer."""
+    n, k, j = table(spark, d, "nation"), F.col("n_nationkey"), F.col("n_regionkey")
+    place = F.concat(F.lit("app1/pages/api/r"), j, F.lit("/n"), k, F.when(k % 4 == 0, "/[id].ts").when(k % 4 == 1, "/index.ts").otherwise(".tsx"))
+    declared = "interface Pong { pong: boolean }\nexport default async function handler(req: NextApiRequest, res: next.NextApiResponse<Pong>) {\n  res.status(200).json({ other: 1 });\n}\n"
+    branches = F.concat(F.lit("export default (req, res: NextApiResponse<any>) => {\n  if (req.method === 'GET') {\n    const n = 1;\n    return res.json({ list: [], n"), k, F.lit(": n });\n  } else if ('x' == req.body && req.method === 'PUT') { return res.json({ never: 1 }); }\n  if (req.method === 'POST') return res.status(201).json({ done: true });\n};\n"))
+    plain = "export default function (req, res) { res.send({ one: 1 }) }\n"
+    text = F.when(k % 3 == 0, declared).when(k % 3 == 1, branches).otherwise(plain)
+    out = files.server_handlers(_source_files(n.select(place.alias("path"), text.alias("text"))))
+    names = F.array_join(F.array_sort(F.map_keys(F.from_json(F.get_json_object("schema", "$.fields"), "map<string,string>"))), ",")
+    return out.select("route", "method", names.alias("fields"))
+
+
+@query("""SELECT 'PROVEN' AS verdict, count(*) FILTER (n_nationkey % 4 < 2) AS fixed, CAST(0 AS BIGINT) AS still, CAST(0 AS BIGINT) AS new, count(*) FILTER (n_nationkey % 4 < 2) AS patched FROM nation""")
+def m7_receipt(spark: SparkSession, d: str) -> DataFrame:
+    """A field renamed between two snapshots of a server; half of the clients read it, and their repair is proven."""
+    from .plans.receipt import build_receipt
+
+    k = F.col("n_nationkey")
+    read = F.when(k % 4 == 0, "show(res.email, res.name);").when(k % 4 == 1, "show(res['email']);").otherwise("show(res.name);")
+    client = _source_files(table(spark, d, "nation").select(F.concat(F.lit("n"), k, F.lit(".ts")).alias("path"), F.concat(F.lit("const res = await axios.get('/api/user');\n"), read).alias("text")))
+    server = lambda name: _source_files(spark.createDataFrame([("s.ts", f"app.get('/api/user', (req, res) => {{ res.json({{ id: 1, name: 'x', {name}: 'y' }}) }});")], "path string, text string"))
+    made = build_receipt(client, server("email"), server("emailAddress"), intent.parse_rename("contract:GET:/api/user.email->contract:GET:/api/user.emailAddress"))
+    return made.summary.select("verdict", "fixed", "still", "new", F.col("patched").cast("long").alias("patched"))
+
+
 @query(f"""WITH {SERVERS}, {CLIENTS}, {MATCHED} SELECT m.client_id, 'Client call to ' || c.method || ' r could not be confidently resolved to any server handler' || CASE m.reason WHEN 'no-same-method-candidates' THEN ': no server handler exists for ' || c.method || ' at all.' WHEN 'opaque-dynamic-route' THEN ': every segment of the client path is a runtime value, so there is no literal path evidence to match against (typically a base URL or full URL held in a variable).'
  WHEN 'no-dynamic-route' THEN ': the client path is static and no exact server match exists (fuzzy matching is only attempted for dynamically-built paths, to avoid guesses like ''/users'' ~ ''/user-settings'').' ELSE '.' END AS message FROM matched m JOIN cli c USING (client_id) WHERE m.reason IS NOT NULL""")
 def d9_unresolved_messages(spark: SparkSession, d: str) -> DataFrame:

@@ -466,7 +466,7 @@ def framework_of(text: str) -> str:
 
 def _response(s: Source, lo: int, hi: int) -> dict | None:
     """V2-V7: a handler's return type, else its first literal answer."""
-    body = next((j for j in range(lo, hi) if s.is_(j, "{") and (s.is_(j - 1, "=>") or s.is_(j - 1, ")") or s.tokens[j - 1].kind == "name" or s.is_(j - 1, ">"))), hi)
+    body = next((j for j in range(lo, hi) if s.is_(j, "{") and (s.is_(j - 1, "=>") or s.is_(j - 1, ")") or s.tokens[j - 1].kind == "name" or s.is_(j - 1, ">"))), lo)
     opening = next((j for j in range(lo, hi) if s.is_(j, "(") and j in s.match), None)
     if opening is not None and s.is_(s.match[opening] + 1, ":"):
         found = s._unwrapped(s.match[opening] + 2)

@@ -158,6 +158,7 @@ def test_risk_golden(spark):
 
 def test_intents():
     assert intent.parse_rename("contract:GET:/u.email=mail") == {"kind": "rename-field", "contract_id": "contract:GET:/u", "from": "email", "to": "mail"}
+    assert intent.parse_rename("c.a.b->c.x") == {"kind": "rename-field", "contract_id": "c", "from": "a.b", "to": "x"}
     assert intent.parse_widen("c.a.b")["field"] == "a.b"
     with pytest.raises(ValueError):
         intent.parse_rename("nothing")
@@ -171,3 +172,25 @@ def test_reports(spark):
     assert "| error | missing-field | a.ts:3 | gone |" in report.markdown(f)
     assert "No contract violations" in report.markdown(f.limit(0))
     assert report.text(f).endswith("2 findings\n")
+
+
+def test_impact_reports(spark):
+    cols = "contract_id string, consumer_id string, severity string, category string, reason string, confidence double, proof_level string"
+    rows = spark.createDataFrame([("c", "a/b.ts:3:7:GET:/x", "BREAKING", "DIRECT", "gone", 89.5, "PROVEN"), ("c", "z.ts:1:1:GET:/x", "SAFE", "UNUSED", "fine", 100.0, "PROVEN")], cols)
+    log = json.loads(report.impact_sarif(rows, {"risk_score": 80, "risk_level": "CRITICAL"}))["runs"][0]
+    assert [(r["ruleId"], r["level"]) for r in log["results"]] == [("impact-breaking", "error"), ("impact-safe", "note"), ("contract-risk-critical", "error")]
+    assert log["results"][0]["message"]["text"] == "gone [DIRECT, confidence 90%]" and log["results"][0]["locations"][0]["physicalLocation"]["region"] == {"startLine": 3, "startColumn": 7}
+    assert len(json.loads(report.impact_sarif(rows, {"risk_score": 1, "risk_level": "LOW"}))["runs"][0]["results"]) == 2
+    text = report.impact_markdown(rows, {"risk_score": 80, "risk_level": "CRITICAL"}, "FAIL", ["mend it"])
+    assert "### BREAKING" in text and "`a/b.ts:3`" in text and "**Verdict:** FAIL" in text and "- mend it" in text
+    faults = spark.createDataFrame([("orphan-edge", "error", "e1"), ("duplicate-node-id", "warning", "n1")], "code string, severity string, subject string")
+    assert report.validation_text(faults).splitlines()[:2] == ["Contract graph: INVALID", "1 errors, 1 warnings"] and "valid" in report.validation_text(faults.limit(0))
+    assert "VALID (with warnings)" in report.validation_text(faults.where("severity = 'warning'"))
+
+
+def test_explanations(spark):
+    from pyspark.sql import functions as F
+
+    s = "array<struct<client:string,server:string,kind:string,score:double>>"
+    row = spark.createDataFrame([([("users", "users", "static-exact", 1.0), (":id", ":userId", "dynamic", 0.85), ("x", "y", "unaligned", 0.0)], 0.93, 1.0)], f"s {s}, a double, d double")
+    assert row.select(intent.explanation_text(F.col("s"), F.col("a"), F.col("d")).alias("t")).first().t == "users=users(1.0) + :id≈:userId(0.85) + xvsy(0.0) — alignment 0.93, depth-agreement 1.00"

@@ -133,3 +133,24 @@ def test_impacts_of_a_rename_and_a_removal(spark):
     got = {r.consumer_id.split(":")[0]: r for r in impact_trees(client, base, server("name: string; mail: string; age?: number")).collect()}
     assert {k: (r.severity, r.category) for k, r in got.items()} == {"a.ts": ("BREAKING", "DIRECT"), "b.ts": ("SAFE", "UNUSED"), "c.ts": ("BREAKING", "DIRECT"), "d.ts": ("SAFE", "DIRECT")}
     assert got["a.ts"].changed_paths == ["email"] and got["a.ts"].proof_level == "PROVEN"
+
+
+def test_routers_mounted_twice_and_in_a_cycle(spark):
+    from seamwright.sources import python_routers
+
+    edge = lambda k, mounting, mounted, prefix: ("s", ("m.py", k), "m.py", mounting, "m.py", mounted, prefix)
+    kinds = "snapshot string, ord struct<path:string,ord:int>, mounting_file string, mounting string, mounted_file string, mounted string, prefix string"
+    rows = [edge(1, "app", "a", "/v1"), edge(2, "app", "b", "/v2"), edge(3, "a", "c", "/x"), edge(4, "b", "c", "/y")]
+    got = {r.router: r.prefix for r in python_routers.router_prefixes(spark.createDataFrame(rows, kinds)).collect()}
+    assert got == {"a": "/v1", "b": "/v2", "c": "/v1/x/v2/y"}
+    loop = [edge(1, "a", "b", "/b"), edge(2, "b", "a", "/a")]
+    assert python_routers.router_prefixes(spark.createDataFrame(loop, kinds), 3).count() == 2
+
+
+def test_nearest_settings_win_and_packages_are_never_followed(spark):
+    from seamwright.sources import files, modules
+
+    tree = files.in_memory(spark, {"tsconfig.json": '{"compilerOptions": {"paths": {"@a/*": ["x/*"]}}}', "p/tsconfig.json": "{}", "p/q/c.ts": "", "c.ts": "", "x/b.ts": "", "x/d/index.tsx": "", "broken/tsconfig.json": "{", "broken/e.ts": ""})
+    asked = spark.createDataFrame([("current", p, s) for p, s in (("c.ts", "@a/b"), ("c.ts", "@a/d"), ("p/q/c.ts", "@a/b"), ("p/q/c.ts", "../../x/b.js"), ("c.ts", "react"), ("broken/e.ts", "@a/b"), ("c.ts", "./nothing"))], "snapshot string, path string, specifier string")
+    got = {(r.path, r.specifier): r.file for r in modules.module_files(asked, tree).collect()}
+    assert got == {("c.ts", "@a/b"): "x/b.ts", ("c.ts", "@a/d"): "x/d/index.tsx", ("p/q/c.ts", "../../x/b.js"): "x/b.ts"}
