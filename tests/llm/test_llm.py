@@ -371,6 +371,24 @@ def test_neighbours(spark):
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_recall_on_the_embeddings(spark):
+    from seamwright.llm.queries import op6_multiprobe_neighbours
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    assert ann.fit_sample(unit, len(unit)).visit < 3 ** ann.HASHES[0]
+    found = defaultdict(set)
+    for r in op6_multiprobe_neighbours(spark, "/root/testdata/sf0.1").collect():
+        found[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        close = unit @ unit[q]
+        close[q] = -2
+        hit += len(found[int(ids[q])] & set(ids[np.argsort(-close)[:5]].tolist()))
+    assert hit >= 0.9 * 5 * len(found)
+
+
 # ---------------------------------------------------------------- 7 quality
 def test_base_counts(spark, docs, odd):
     crf = line_crf.train([])
