@@ -53,7 +53,8 @@ class FastTokens:
 
     Normalizing and splitting with offsets takes most of a tokenizer's time, so they are done here on whole
     texts and each distinct piece is encoded once. It serves tokenizers that lower-case, split
-    by SPLIT and map bytes to letters; texts that hold a special token go through the tokenizer itself.
+    by SPLIT and map bytes to letters; texts that hold a special token, or a character that this Python's Unicode tables
+    don't assign (the tokenizer's may), go through the tokenizer itself.
     """
 
     # The split pattern and special tokens in the vocabulary file.
@@ -70,6 +71,7 @@ class FastTokens:
         other = [b for b in range(256) if b not in plain]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(other)}
         self.known: dict[str, bytes] = {}
+        self.assigned: set[str] = set()
 
     def _new(self, piece: str) -> bytes:
         spelled = piece.encode().decode("latin-1").translate(self.letters)
@@ -77,9 +79,16 @@ class FastTokens:
         self.known[piece] = out
         return out
 
+    def _all_assigned(self, text: str) -> bool:
+        new = set(text) - self.assigned
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return False
+        self.assigned |= new
+        return True
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, without special tokens added."""
-        if any(x in text for x in self.SPECIAL):
+        if any(x in text for x in self.SPECIAL) or not (text.isascii() or self._all_assigned(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -113,6 +114,18 @@ def test_special_tokens_and_scripts():
         assert fast.encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_every_code_point_is_split_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file()
+    tokenizer, fast = Tokenizer.from_file(path), packing.fast_tokens(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    points += ["\u1c89", "\ua7cb", "\U000323b0", "\u0378", "\ue000"]  # the first three came with later versions of Unicode
+    texts = [f"a{c}b 1{c}" for c in points]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert fast.encode(text) == np.array(want.ids, "<u4").tobytes(), ascii(text)
+
+
 # ---------------------------------------------------------------- 2 urls
 def test_url_rules(spark):
     urls = [None, "", "no scheme/x", "http://A.Example.ORG/es/1?x#y", "http://example.org", "https://m.example.org/en/12", "x://b.com/fr/", "x://bcom/de/", "x://b.com/de/z", "p://h?q=/a", "a://b://c/d"]
