@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Texts, materialize, rows_of, small_batches, text_chunks
@@ -29,6 +29,7 @@ from .common import Texts, materialize, rows_of, small_batches, text_chunks
 TRAIN_DOCS = 800
 #: At most so many stretches of words of each kind (around toxic words, around look-alikes, others), and so many of a document.
 TRAIN_STRETCHES, DOC_STRETCHES = 3000, 50
+KINDS = ("near", "other", "toxic")
 STRETCH = 10
 #: A key of toxic words is held by so many toxic sample documents and this share of them, as labels err, and by RATIO times
 #: as large a share of them as of clean ones.
@@ -284,6 +285,7 @@ def fit_token_crf(docs: DataFrame, labels: DataFrame) -> TokenCrf:
             yield pa.RecordBatch.from_arrays(columns, ["kind", "words", "flags"])
 
     found = sample.select("number", "toxic", "text").mapInArrow(stretches, "kind string, words array<string>, flags array<boolean>")
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("words"), "words")
-    chosen = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_STRETCHES).collect()
-    return train([(r["words"], r["flags"]) for r in sorted(chosen, key=lambda r: (r["kind"], r["k"]))])
+    found = materialize(found.withColumn("h", F.xxhash64("words")), "toxic-stretches")
+    # each task keeps its own smallest, so no kind is ever sorted in one
+    chosen = [r for kind in KINDS for r in found.where(F.col("kind") == kind).orderBy("h", "words", "flags").limit(TRAIN_STRETCHES).collect()]
+    return train([(r["words"], r["flags"]) for r in chosen])
