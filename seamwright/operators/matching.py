@@ -6,6 +6,7 @@ kept on neither side; join them back by id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,17 +26,28 @@ def exact_candidates(clients: DataFrame, servers: DataFrame) -> DataFrame:
     return c.join(s, ["method", "depth", "key"]).select("client_id", "n_exact", "server_id")
 
 
-def fuzzy_ranked(clients: DataFrame, servers: DataFrame, score: Callable[[Column, Column], Column] = route_score) -> DataFrame:
+def least_ratio(least: float) -> float:
+    """The depth ratio r below which no pair scores `least`: segments score 1 at most, so a pair's score is at most r x (0.7 + 0.3 r)."""
+    return (math.sqrt(0.49 + 1.2 * max(least, 0.0)) - 0.7) / 0.6 - 1e-9
+
+
+def fuzzy_ranked(clients: DataFrame, servers: DataFrame, score: Callable[[Column, Column], Column] = route_score, least: float | None = None) -> DataFrame:
     """Best and second score, and their servers, of every given client.
 
     Scores are computed once for each distinct pair of routes of a method. Ties go to the smaller server id.
+    With `least` (for route_score only) pairs of depths that can't reach it are not formed; a client all of whose pairs are such has no row.
     """
     c = clients.select("client_id", "method", "segments")
     twin = Window.partitionBy("method", "segments").orderBy("server_id")
     s = servers.withColumn("nth", F.row_number().over(twin)).where("nth <= 2").groupBy("method", F.col("segments").alias("server_segments"))
     s = s.agg(F.min("server_id").alias("server_id"), F.max(F.when(F.col("nth") == 2, F.col("server_id"))).alias("twin"))
     routes = c.select("method", "segments").distinct()
-    scored = routes.join(s, "method").select("method", "segments", "server_id", "twin", score(F.col("segments"), F.col("server_segments")).alias("score"))
+    keys = ["method"]
+    if least is not None:
+        r, depth = least_ratio(least), F.size("segments")
+        routes = routes.withColumn("depth", F.explode(F.sequence(F.ceil(depth * r).cast("int"), F.floor(depth / F.lit(r)).cast("int"))))
+        s, keys = s.withColumn("depth", F.size("server_segments")), ["method", "depth"]
+    scored = routes.join(s, keys).select("method", "segments", "server_id", "twin", score(F.col("segments"), F.col("server_segments")).alias("score"))
     order = Window.partitionBy("method", "segments").orderBy(F.desc("score"), "server_id")
     two = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
     best = two.groupBy("method", "segments").agg(
@@ -52,7 +64,8 @@ def fuzzy_ranked(clients: DataFrame, servers: DataFrame, score: Callable[[Column
 def match_routes(clients: DataFrame, servers: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, score: Callable[[Column, Column], Column] = route_score, candidates: bool = False) -> DataFrame:
     """One row for each client: server_id, confidence, strategy; or a reason (J5) why it has none.
 
-    candidates: with an array of (server_id, confidence), best first, of a call that scoring left unresolved.
+    candidates: with an array of (server_id, confidence), best first, of a call that scoring left unresolved. Without them only
+    pairs that may score threshold - margin are formed, as no other can be accepted or make an accepted one ambiguous.
     """
     exact = exact_candidates(clients, servers)
     base = clients.select("client_id", "method", "segments", "dynamic").join(exact.withColumnRenamed("server_id", "exact_id"), "client_id", "left")
@@ -60,7 +73,8 @@ def match_routes(clients: DataFrame, servers: DataFrame, threshold: float = THRE
     base = base.join(methods, base["method"] == methods["known"], "left")
     opaque = ~F.exists("segments", lambda x: x["kind"] == "static")
     open_ = base.where(F.col("known").isNotNull() & ~opaque & F.col("n_exact").isNull() & F.col("dynamic"))
-    fuzzy = fuzzy_ranked(open_, servers, score)
+    bounded = not candidates and score is route_score and threshold - margin > 0.01
+    fuzzy = fuzzy_ranked(open_, servers, score, threshold - margin if bounded else None)
     all_ = base.join(fuzzy, "client_id", "left")
     close = F.col("second").isNotNull() & (F.col("best") - F.col("second") < margin)
     reason = (
@@ -69,7 +83,7 @@ def match_routes(clients: DataFrame, servers: DataFrame, threshold: float = THRE
         .when(F.col("n_exact") > 1, "multiple-exact-matches")
         .when(F.col("n_exact") == 1, F.lit(None).cast("string"))
         .when(~F.col("dynamic"), "no-dynamic-route")
-        .when(F.col("best") < threshold, "below-threshold")
+        .when(F.coalesce("best", F.lit(0.0)) < threshold, "below-threshold")
         .when(close, "ambiguous")
     )
     out = all_.withColumn("reason", reason)

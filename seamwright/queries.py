@@ -234,7 +234,19 @@ def f5_name_similarity(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("new_key") == F.col("old_key") + 1).select("old_key", "new_key", F.when(s == 1.0, F.lit(1.0)).otherwise(routes.round_half_up(s, 3)).alias("similarity"))
 
 
-@query()
+SIMILAR = "CASE WHEN x = y THEN CAST(1 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) - CAST(levenshtein(x, y) AS DOUBLE) / greatest(length(x), length(y), 1)) END"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT CAST(floor(p_partkey / 10.0) AS BIGINT) AS contract_id, 'root.' || p_name || '_' || p_partkey AS path, p_partkey % 2 = 0 AS gone, substr(p_type, 1, 1) AS t FROM part),
+named AS (SELECT *, regexp_replace(lower(path), '[_-]', '', 'g') AS plain FROM p),
+pairs AS (SELECT r.contract_id, r.path AS old_path, a.path AS new_path, r.plain AS x, a.plain AS y FROM named r JOIN named a ON r.contract_id = a.contract_id AND r.t = a.t WHERE r.gone AND NOT a.gone),
+scored AS (SELECT contract_id, old_path, new_path, {SIMILAR} AS score FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY score DESC, old_path, new_path) AS k FROM scored),
+walk AS (SELECT contract_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS old_path, CAST(NULL AS VARCHAR) AS new_path, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT contract_id FROM ranked)
+ UNION ALL SELECT r.contract_id, r.k, CASE WHEN list_contains(w.used, r.old_path) OR list_contains(w.used, r.new_path) THEN w.used ELSE list_append(list_append(w.used, r.old_path), r.new_path) END,
+  CASE WHEN list_contains(w.used, r.old_path) OR list_contains(w.used, r.new_path) THEN NULL ELSE r.old_path END, r.new_path, r.score
+ FROM walk w JOIN ranked r ON r.contract_id = w.contract_id AND r.k = w.k + 1)
+SELECT contract_id, old_path, new_path, CAST(floor(60 + score * 40 + 0.5) AS INTEGER) AS confidence, CASE WHEN floor(60 + score * 40 + 0.5) >= 80 THEN 'STRONG' ELSE 'POTENTIAL' END AS proof_level FROM walk WHERE old_path IS NOT NULL""")
 def f7_renames(spark: SparkSession, d: str) -> DataFrame:
     """greedy pairs of removed and added part names in each group of ten."""
     p = table(spark, d, "part").select((F.col("p_partkey") / 10).cast("long").alias("contract_id"), F.concat(F.lit("root."), "p_name", F.lit("_"), "p_partkey").alias("path"), (F.col("p_partkey") % 2 == 0).alias("gone"), "p_type")

@@ -19,13 +19,19 @@ from .types import DYNAMIC
 # Folders that hold no source of their own.
 IGNORED = ("node_modules", ".git", "dist", "build", ".next", "__pycache__", ".venv", "venv")
 LANGUAGES = {"ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "py": "py", "go": "go", "graphql": "graphql", "gql": "graphql"}
+SOURCES = "{" + ",".join([*(f"*.{x}" for x in LANGUAGES), "tsconfig*.json"]) + "}"
 CALLS = "id string, method string, route string, dynamic boolean, framework string, schema string, ref string, line int, col int"
 FIELDS = ["id", "method", "route", "dynamic", "framework", "schema", "ref", "line", "col"]
 
 
 def read_files(spark: SparkSession, root: str, snapshot: str = "current") -> DataFrame:
     """Snapshot, path (below root), lang, text of every source file below root, in any store Spark reads."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join([*(f"*.{x}" for x in LANGUAGES), "tsconfig*.json"]) + "}").load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", SOURCES).load(root)
+    return named_files(found, root).select(F.lit(snapshot).alias("snapshot"), "path", "lang", "text")
+
+
+def named_files(found: DataFrame, root: str) -> DataFrame:
+    """path (below root), lang and text of binaryFile rows (path, content); no file in an ignored folder."""
     full = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     base = root.split(":", 1)[-1].rstrip("/")
     path = F.regexp_replace(F.substring_index(full, base.rsplit("/", 1)[-1] + "/", -1), "^/+", "")
@@ -33,7 +39,7 @@ def read_files(spark: SparkSession, root: str, snapshot: str = "current") -> Dat
     inner = F.slice(parts, F.lit(1), F.size(parts) - 1)
     keep = ~F.exists(inner, lambda p: p.isin(*IGNORED) | F.startswith(p, F.lit(".")))
     kinds = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return found.select(F.lit(snapshot).alias("snapshot"), path.alias("path"), F.coalesce(F.try_element_at(kinds, F.regexp_extract("path", r"\.([a-z]+)$", 1)), F.lit("tsconfig")).alias("lang"), F.decode("content", "UTF-8").alias("text")).where(keep)
+    return found.select(path.alias("path"), F.coalesce(F.try_element_at(kinds, F.regexp_extract("path", r"\.([a-z]+)$", 1)), F.lit("tsconfig")).alias("lang"), F.decode("content", "UTF-8").alias("text")).where(keep)
 
 
 def in_memory(spark: SparkSession, files: dict[str, str], snapshot: str = "current") -> DataFrame:

@@ -1,4 +0,0 @@
-"""No operator of this domain is a stream: sources are snapshots, compared in pairs.
-
-An incremental mode would take the files table as a stream and run plans.check in foreachBatch.
-"""

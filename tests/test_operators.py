@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -47,6 +48,17 @@ def test_every_reason(spark):
     assert {e.kind for e in matching.explain_matches(m, c, s).where("client_id = 7").collect()} == {"static-fuzzy", "dynamic-compatible"}
 
 
+def test_depths_that_cannot_win_change_no_match(spark):
+    words = ["users", "user", "orders", "order", "items", ":id", ":key", "v1", "v2"]
+    rng = random.Random(5)
+    route = lambda: "/" + "/".join(rng.choice(words) for _ in range(rng.randint(1, 7)))
+    c = spark.createDataFrame([(k, rng.choice(["GET", "POST"]), route(), True) for k in range(120)], "client_id long, method string, route string, dynamic boolean").withColumn("segments", routes.parse_route(F.col("route")))
+    s = spark.createDataFrame([(k, rng.choice(["GET", "POST"]), route()) for k in range(40)], "server_id long, method string, route string").withColumn("segments", routes.parse_route(F.col("route")))
+    for threshold, margin in ((0.6, 0.05), (0.3, 0.1), (1.0, 0.0)):
+        pruned, full = (matching.match_routes(c, s, threshold, margin, candidates=k).drop("candidates") for k in (False, True))
+        assert sorted(map(str, pruned.collect())) == sorted(map(str, full.collect()))
+
+
 def test_validator_rules():
     assert kinds({"a": FIELD(P("string"))}, {}) == [("missing-field", "a")]
     assert kinds({"a": FIELD(P("string"), optional=True)}, {}) == []
@@ -116,6 +128,26 @@ def test_greedy_renames():
     assert diff.detect_renames(changes) == []
 
 
+def test_rename_rounds_are_the_greedy_order(spark):
+    rng = random.Random(7)
+    rows = [(f"c{k}", f"o{i}", f"n{j}", rng.choice([0.2, 0.5, 0.5, 0.9])) for k in range(4) for i in range(6) for j in range(5)]
+    want = set()
+    for contract, old, new, _ in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if not any(c == contract and (o == old or n == new) for c, o, n in want):
+            want.add((contract, old, new))
+    schema = "contract_id string, old_path string, new_path string, score double"
+    got = diff.pair_renames(spark.createDataFrame([*rows, rows[0], (None, "o", "n", 1.0)], schema)).collect()
+    assert len(got) == len(want) and {(r.contract_id, r.old_path, r.new_path) for r in got} == want
+    assert diff.pair_renames(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_equal_schemas_are_probed_only_for_unions(spark):
+    schema = lambda t: json.dumps({"fields": {"a": FIELD(t)}})
+    texts = [(1, schema(P("string")), schema(P("string"))), (2, schema(UNION(P("string"), P("number"))), schema(UNION(P("string"), P("number")))), (3, None, schema(P("string"))), (4, schema(P("string")), schema(P("number")))]
+    got = typecheck.validate_matches(spark.createDataFrame([(k, k, a, b) for k, a, b in texts], "client_id int, server_id int, client_schema string, server_schema string")).collect()
+    assert sorted((r.client_id, r.kind) for r in got) == sorted((k, v["kind"]) for k, a, b in texts for v in typecheck.compare_schemas(a, b))
+
+
 def edges(spark, rows):
     return spark.createDataFrame(rows, "id string, src string, dst string, relation string, confidence double, resolution string")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from seamwright.plans.check import check_trees, impact_trees
 from seamwright.sources import files, go_source, python_source, ts_source
+from seamwright.streaming.landing import keep_parsed
 
 CLIENT = {
     "src/user.ts": 'import axios from "axios";\nexport interface Person { id: number; name: string; email: string; age: number; role: "admin" | "guest" }\nexport const one = async (id: string) => (await axios.get<Person>(`/api/v1/people/${id}`)).data;\nexport const all = async () => axios.get<{ people: Person[] }>("/api/v1/people");\nexport const purge = () => axios.delete<{ ok: boolean }>("/api/v1/old");\n',
@@ -154,3 +155,16 @@ def test_nearest_settings_win_and_packages_are_never_followed(spark):
     asked = spark.createDataFrame([("current", p, s) for p, s in (("c.ts", "@a/b"), ("c.ts", "@a/d"), ("p/q/c.ts", "@a/b"), ("p/q/c.ts", "../../x/b.js"), ("c.ts", "react"), ("broken/e.ts", "@a/b"), ("c.ts", "./nothing"))], "snapshot string, path string, specifier string")
     got = {(r.path, r.specifier): r.file for r in modules.module_files(asked, tree).collect()}
     assert got == {("c.ts", "@a/b"): "x/b.ts", ("c.ts", "@a/d"): "x/d/index.tsx", ("p/q/c.ts", "../../x/b.js"): "x/b.ts"}
+
+
+def test_landed_snapshots_are_parsed_once(spark, tmp_path):
+    landing, table, marks = tmp_path / "landing", str(tmp_path / "calls"), str(tmp_path / "marks")
+    for snapshot in ("one", "two"):
+        _write(landing / snapshot, CLIENT)
+        keep_parsed(spark, str(landing), "client", table, marks).awaitTermination()
+    keep_parsed(spark, str(landing), "client", table, marks).awaitTermination()
+    rows = spark.read.parquet(table)
+    want = {(r.path, r.route) for r in files.client_calls(files.in_memory(spark, {k: v for k, v in CLIENT.items() if "node_modules" not in k})).collect()}
+    for snapshot in ("one", "two"):
+        got = rows.where(F.col("snapshot") == snapshot).collect()
+        assert len(got) == len(want) and {(r.path, r.route) for r in got} == want
