@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import LEAST
 from .url_rules import MIN_CONFIDENCE, MIN_ODDS, MIN_SUPPORT, PATH_RULES
 
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -69,4 +70,16 @@ SELECT page_id, host, path, c.rule AS rule, coalesce(c.verdict, CASE WHEN hit.co
 FROM chosen LEFT JOIN hit ON chosen.tokens = hit.tokens
 """
 
-ORACLES = {"op2_url_association_rules": URL_RULES, "op5_ngram_jaccard": NGRAM_JACCARD, "op10_substring_dedup": SUBSTRING_DEDUP}
+#: Documents of every line key; lines of keys in ten or more go.
+LINE_DEDUP = f"""
+WITH
+d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p FROM d),
+k AS (SELECT doc_id, line, p, {LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM x),
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= {LEAST}),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text, count(*) AS n FROM k ANTI JOIN common USING (key) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(kept.n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+ORACLES = {"op2_url_association_rules": URL_RULES, "op5_ngram_jaccard": NGRAM_JACCARD, "op10_substring_dedup": SUBSTRING_DEDUP, "op13_line_dedup": LINE_DEDUP}
