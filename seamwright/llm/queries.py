@@ -94,6 +94,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__sd_n_words").alias("n_words"), F.col("__sd_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def aligned_files() -> tuple[str, str]:
+    """Called on the executors, like tokenizer_file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least common groups of two tokenizers' tokens in every document, and how its links rank in the corpus."""
+    from .cross_tokens import align_tokens
+
+    return align_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), aligned_files)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines left in every document once those found in ten documents or more are gone."""
     from .line_dedup import drop_common_lines
