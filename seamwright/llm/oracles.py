@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 from .line_dedup import LEAST
+from .spelling import LETTERS, RATIO, SLIP, TIMES
 from .url_rules import MIN_CONFIDENCE, MIN_ODDS, MIN_SUPPORT, PATH_RULES
 
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -82,4 +85,27 @@ SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(kept.
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-ORACLES = {"op2_url_association_rules": URL_RULES, "op5_ngram_jaccard": NGRAM_JACCARD, "op10_substring_dedup": SUBSTRING_DEDUP, "op13_line_dedup": LINE_DEDUP}
+_CRC = [functools.reduce(lambda c, _: c >> 1 ^ 0xEDB88320 * (c & 1), range(8), k) for k in range(256)]
+_BYTES = "flatten(list_transform(string_split({0}, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [CAST(ord(ch) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(ord(ch) - 64 AS BIGINT)] END))"
+_CRC32 = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_BYTES}), lambda c, b: xor((CAST({_CRC} AS BIGINT[]))[(xor(c, b) & 255) + 1], c >> 8)), CAST(4294967295 AS BIGINT))"
+
+#: Near words by their texts without one letter: the same rest at the same place, or a rest that is a word.
+SPELLING = f"""
+WITH RECURSIVE
+r AS (SELECT doc_id, {LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))")} AS w FROM documents),
+g AS (SELECT doc_id, w, count(*) AS n FROM r WHERE length(w) >= {LETTERS} GROUP BY ALL),
+h AS (SELECT w, n, {_CRC32.format("(doc_id || ':' || w)")} AS h FROM g),
+s AS (SELECT n, CASE WHEN h % {SLIP} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= {LETTERS} GROUP BY word HAVING sum(n) >= {TIMES}),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+more AS (SELECT DISTINCT cut.word AS a, words.word AS b FROM cut JOIN words ON cut.rest = words.word),
+near AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION ALL SELECT a, b FROM more UNION ALL SELECT b, a FROM more),
+ranked AS (SELECT near.a, near.b, words.n, count(*) OVER (PARTITION BY near.a) AS n_near, row_number() OVER (PARTITION BY near.a ORDER BY words.n DESC, near.b) AS k FROM near JOIN words ON words.word = near.b),
+form AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN ranked.n >= {RATIO} * words.n THEN b END AS form, CASE WHEN ranked.n >= {RATIO} * words.n THEN ranked.n END AS form_n
+         FROM words LEFT JOIN ranked ON ranked.a = words.word AND k = 1),
+walk AS (SELECT word, word AS here, 0 AS k FROM form UNION ALL SELECT walk.word, form.form, k + 1 FROM walk JOIN form ON form.word = walk.here WHERE form.form IS NOT NULL),
+root AS (SELECT word, arg_max(here, k) AS root FROM walk GROUP BY word)
+SELECT form.word, form, root, n, n_near, form_n FROM form JOIN root ON root.word = form.word
+"""
+
+ORACLES = {"op2_url_association_rules": URL_RULES, "op5_ngram_jaccard": NGRAM_JACCARD, "op10_substring_dedup": SUBSTRING_DEDUP, "op11_spelling_variants": SPELLING, "op13_line_dedup": LINE_DEDUP}

@@ -94,6 +94,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__sd_n_words").alias("n_words"), F.col("__sd_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent near word that each is a variant of."""
+    from .spelling import spelling_forms
+
+    return spelling_forms(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def aligned_files() -> tuple[str, str]:
     """Called on the executors, like tokenizer_file."""
     import public_tokenizers
