@@ -1,21 +1,25 @@
 """Directional structural subtyping of response schemas.
 
 A type is JSON: {"kind": primitive | literal | array | object | union | enum | reference, ...}; a field is
-{"type", "optional", "nullable"}, a schema {"name"?, "fields"}. Two evaluators:
+{"type", "optional", "nullable"}, a schema {"name"?, "fields"}.
 
-* compare_schemas: recursive, in Arrow batches, for any types (unions have to be probed);
-* compare_flat: one left outer join of flattened fields, for non-union types, all in SQL.
+* validate_matches: any types. A pair of schemas becomes pairs of nodes, level by level, in rows; what a pair of leaves can't
+  agree on is a finding. Below unions findings only count as verdicts: an AND/OR tree of them (every option of the server's,
+  any of the client's) is folded from the innermost unions out.
+* compare_flat: one left outer join of flattened primitive fields.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import re
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut
+from .type_pairs import below, label_parts, literal_kind, parent, parsed, part, rows_of, same_literal, strings, struct_of, unfold, write_labels
+
 # The wording of findings.
 MESSAGES = {
     "object": "Client expects an object at '{path}' but server now returns {actual}.",
@@ -41,139 +45,144 @@ UNRESOLVED_BASE = "Client call to {method} {route} could not be confidently reso
 OPEN_NAMES = ("any", "unknown")
 
 
-def widened(t: dict) -> str | None:
+_FIELDS = ["kind", "severity", "path", "message", "expected", "actual"]
+_KEYS = ["client_id", "server_id", "pair"]
+#: A pair of nodes. c, s: their JSON; owner: the option of a union that it is a part of, if any, and nest: the number of unions around it; words: what was found, or how a union's options count.
+_COLUMNS = {"id": "array<int>", "path": "string", "state": "string", "c": "string", "s": "string", "owner": "array<int>", "nest": "int", "words": "string", "detail": "string", "got": "string"}
+_NONE = f"CAST(array() AS {rows_of(_COLUMNS)})"
+
+
+def unverifiable(t: str) -> str:
+    """References and names that say nothing; so is what can't be read."""
+    names = ", ".join(f"'{n}'" for n in OPEN_NAMES)
+    return f"coalesce({t}.kind = 'reference' OR ({t}.kind = 'primitive' AND {t}.name IN ({names})), true)"
+
+
+def widened(t: str) -> str:
     """The primitive that a leaf type belongs to."""
-    if t["kind"] == "primitive":
-        return t["name"]
-    if t["kind"] == "enum":
-        return "string"
-    if t["kind"] != "literal":
-        return None
-    value = t["value"]
-    return "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
-
-
-def unverifiable(t: dict) -> bool:
-    """D2."""
-    return t["kind"] == "reference" or (t["kind"] == "primitive" and t["name"] in OPEN_NAMES)
-
-
-def label(t: dict) -> str:
-    """D3: how a type reads in a finding."""
-    show = {
-        "primitive": lambda: t["name"],
-        "reference": lambda: t["name"],
-        "literal": lambda: json.dumps(t["value"], ensure_ascii=False, separators=(",", ":")),
-        "array": lambda: label(t["element"]) + "[]",
-        "object": lambda: "{ " + ", ".join(t["fields"]) + " }",
-        "union": lambda: " | ".join(map(label, t["options"])),
-        "enum": lambda: "enum(" + " | ".join(t["variants"]) + ")",
-    }
-    return show[t["kind"]]()
-
-
-def _finding(kind: str, path: str, words: str, severity: str = "error", expected: str | None = None, actual: str | None = None, **more: str) -> dict:
-    text = MESSAGES[words].format(path=path, expected=expected, actual=actual, **more)
-    return {"kind": kind, "severity": severity, "path": path, "message": text, "expected": expected, "actual": actual}
-
-
-def _mutation(words: str, path: str, client: dict, server: dict, **more: str) -> dict:
-    return _finding("type-mutation", path, words, expected=label(client), actual=label(server), **more)
-
-
-def _same_literal(a: dict, b: dict) -> bool:
-    x, y = a["value"], b.get("value")
-    return b["kind"] == "literal" and isinstance(x, bool) == isinstance(y, bool) and isinstance(x, str) == isinstance(y, str) and x == y
-
-
-def check_type(client: dict, server: dict, path: str) -> Iterator[dict]:
-    """Findings where a value of the server's type may not be one of the client's."""
-    kind, other = client["kind"], server["kind"]
-    if unverifiable(client) or unverifiable(server):
-        return
-    if kind in ("object", "array"):
-        if other != kind:
-            yield _mutation(kind, path, client, server)
-        elif kind == "object":
-            yield from check_fields(client["fields"], server["fields"], path)
-        else:
-            yield from check_type(client["element"], server["element"], path + "[]")
-    elif kind == "enum" and other == "enum":
-        for variant in server["variants"]:
-            if variant not in client["variants"]:
-                yield _finding("enum-variant-added", path, "enum-variant-added", expected=label(client), actual=label(server), variant=variant)
-    elif kind == "enum" and other == "literal":
-        if server["value"] not in client["variants"] or not isinstance(server["value"], str):
-            yield _mutation("enum", path, client, server)
-    elif kind == "enum" and widened(server) == "string":
-        return
-    elif kind == "literal":
-        if not _same_literal(client, server):
-            yield _mutation("literal", path, client, server)
-    elif kind == "union":
-        if not any(accepts(option, server, path) for option in client["options"]):
-            yield _mutation("union", path, client, server)
-    elif other == "union":
-        refused = [label(option) for option in server["options"] if not accepts(client, option, path)]
-        if refused:
-            yield _mutation("server-union", path, client, server, offers=" or ".join(refused))
-    else:
-        want, got = widened(client), widened(server)
-        if want and got and want != got and {want, got} != {"null", "undefined"}:
-            yield _finding("type-mutation", path, "primitive", expected=want, actual=got)
-
-
-def accepts(client: dict, server: dict, path: str) -> bool:
-    return next(check_type(client, server, path), None) is None
-
-
-def check_fields(client: dict, server: dict, base: str = "") -> Iterator[dict]:
-    """Field by field in the client's order; fields that only the server has don't count."""
-    for name, want in client.items():
-        path = f"{base}.{name}" if base else name
-        got = server.get(name)
-        if got is None:
-            if not want.get("optional"):
-                yield _finding("missing-field", path, "missing-field", expected=label(want["type"]))
-            continue
-        if got.get("nullable") and not want.get("nullable"):
-            yield _finding("nullability-introduced", path, "nullability-introduced", "warning")
-        if got.get("optional") and not want.get("optional"):
-            yield _finding("optionality-introduced", path, "optionality-introduced")
-        yield from check_type(want["type"], got["type"], path)
-
-
-def compare_schemas(client: str | None, server: str | None) -> list[dict]:
-    """Findings of two schemas as JSON; none where one is unknown."""
-    if client is None or server is None:
-        return []
-    return list(check_fields(json.loads(client)["fields"], json.loads(server)["fields"]))
+    return f"CASE {t}.kind WHEN 'primitive' THEN {t}.name WHEN 'enum' THEN 'string' WHEN 'literal' THEN {literal_kind(f'{t}.value')} END"
 
 
-_FIELDS = ["kind", "severity", "path", "message", "expected", "actual"]
-VIOLATIONS = "array<struct<kind:string,severity:string,path:string,message:string,expected:string,actual:string>>"
+def _node(state: str, ident: str = "id", path: str = "path", **more: str) -> str:
+    """A node with the given columns; it belongs to the option that its row belongs to, unless told otherwise."""
+    return struct_of(_COLUMNS, {"owner": "owner", "nest": "nest"} | more | {"id": ident, "path": path, "state": f"'{state}'"})
 
 
-def validate_matches(matches: DataFrame) -> DataFrame:
-    """matches (client_id, server_id, client_schema, server_schema as JSON) with one row for each finding, in order."""
-    kind = pa.list_(pa.struct([(f, pa.string()) for f in _FIELDS]))
+def _found(words: str, **more: str) -> str:
+    return f"array({_node('found', words=f"'{words}'", c='c', s='s', **more)})"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            found = [compare_schemas(x, y) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["client_id", "server_id", "v"])
 
-    # only a union can differ from itself; equal texts without one need no probing, and unknown schemas have no findings
-    probed = F.col("client_schema").isNotNull() & F.col("server_schema").isNotNull() & ((F.col("client_schema") != F.col("server_schema")) | F.contains("client_schema", F.lit('"union"')))
-    ids = matches.select("client_id", "server_id", "client_schema", "server_schema").where(probed)
-    types = {f.name: f.dataType.simpleString() for f in ids.schema}
-    out = ids.mapInArrow(run, f"client_id {types['client_id']}, server_id {types['server_id']}, v {VIOLATIONS}")
-    return out.select("client_id", "server_id", F.posexplode("v").alias("ord", "x")).select("client_id", "server_id", "ord", "x.*")
+def _union(words: str, options: str, client: str, server: str) -> str:
+    """A union and its options (o, at place i), each of which has a verdict of its own."""
+    option = _node("type", below("id", "i"), c=client, s=server, owner=below("id", "i"), nest="nest + 1")
+    return f"concat(array({_node('union', words=f"'{words}'", c='c', s='s')}), transform({strings(options)}, (o, i) -> {option}))"
+
+
+#: D4, its rules in order: the nodes that a pair of types becomes. x, y: the client's type and the server's, read.
+_TYPES = f"""CASE WHEN {unverifiable("x")} OR {unverifiable("y")} THEN {_NONE}
+WHEN x.kind = 'object' AND y.kind = 'object' THEN coalesce(transform(map_entries(x.fields), (e, i) -> {_node("field", below("id", "i"), "CASE WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END", c="e.value", s="try_element_at(y.fields, e.key)")}), {_NONE})
+WHEN x.kind = 'object' THEN {_found("object")}
+WHEN x.kind = 'array' AND y.kind = 'array' THEN array({_node("type", below("id", 0), "concat(path, '[]')", c="x.element", s="y.element")})
+WHEN x.kind = 'array' THEN {_found("array")}
+WHEN x.kind = 'enum' AND y.kind = 'enum' THEN transform(filter({strings("y.variants")}, v -> NOT array_contains({strings("x.variants")}, v)), (v, i) -> {_node("found", below("id", "i"), words="'enum-variant-added'", c="c", s="s", detail="v")})
+WHEN x.kind = 'enum' AND y.kind = 'literal' THEN CASE WHEN {literal_kind("y.value")} = 'string' AND array_contains({strings("x.variants")}, try_variant_get(y.value, '$', 'string')) THEN {_NONE} ELSE {_found("enum")} END
+WHEN x.kind = 'enum' AND coalesce({widened("y")}, '') = 'string' THEN {_NONE}
+WHEN x.kind = 'literal' THEN CASE WHEN y.kind = 'literal' AND {same_literal("x.value", "y.value")} THEN {_NONE} ELSE {_found("literal")} END
+WHEN x.kind = 'union' THEN {_union("union", "x.options", "o", "s")}
+WHEN y.kind = 'union' THEN {_union("server-union", "y.options", "c", "o")}
+WHEN {widened("x")} <> {widened("y")} AND NOT ({widened("x")} IN ('null', 'undefined') AND {widened("y")} IN ('null', 'undefined')) THEN {_found("primitive", detail=widened("x"), got=widened("y"))}
+ELSE {_NONE} END"""
+
+#: The nodes that a client's field and the server's of its name become.
+_FIELD_PAIR = f"""CASE WHEN s IS NOT NULL THEN array_compact(array(
+  CASE WHEN coalesce(y.nullable, false) AND NOT coalesce(x.nullable, false) THEN {_node("found", below("id", 0), words="'nullability-introduced'")} END,
+  CASE WHEN coalesce(y.optional, false) AND NOT coalesce(x.optional, false) THEN {_node("found", below("id", 1), words="'optionality-introduced'")} END,
+  {_node("type", below("id", 2), c="x.type", s="y.type")}))
+WHEN coalesce(x.optional, false) THEN {_NONE} ELSE array({_node("found", c="x.type", words="'missing-field'")}) END"""
+
+_DEEPER = f"CASE state WHEN 'type' THEN {_TYPES} WHEN 'field' THEN {_FIELD_PAIR} ELSE array({struct_of(_COLUMNS, {k: k for k in _COLUMNS})}) END"
+
+
+def _deeper(rows: DataFrame) -> DataFrame:
+    """One level of all open pairs; others stay as they are."""
+    read = lambda c: F.expr(f"CASE WHEN state IN ('type', 'field') THEN {parsed(c)} END")
+    return rows.withColumns({"x": read("c"), "y": read("s")}).select(*_KEYS, F.explode(F.expr(_DEEPER)).alias("n")).select(*_KEYS, "n.*")
 
 
-def widened_column(kind: Column, name: Column, literal_type: Column) -> Column:
-    return F.when(kind == "primitive", name).when(kind == "enum", "string").when(kind == "literal", literal_type)
+_REFUSED = "array<int>"
+
+
+def _fold(nodes: DataFrame, nest: int) -> DataFrame:
+    """Unions that the other side is not compatible with: verdicts on options make those on the unions around them.
+
+    A client's union has to have an option that takes all, of a server's every option has to be taken. refused: places of the options that aren't.
+    """
+    bad: DataFrame | None = None  # parts of options that are not compatible
+    tops: list[DataFrame] = []
+    for level in range(nest, -1, -1):
+        here = nodes.where(F.col("nest") == level)
+        unions = here.where("state = 'union'").withColumn("n", F.when(F.col("words") == "union", F.size(F.expr(f"{parsed('c')}.options"))))
+        if bad is None:
+            unions = unions.withColumn("refused", F.array().cast(_REFUSED))
+        else:
+            met = bad.groupBy(F.col("pair").alias("p"), parent(F.col("owner")).alias("up")).agg(F.array_sort(F.collect_set(F.element_at("owner", -1))).alias("refused"))
+            unions = unions.join(met, F.expr("pair = p and id = up"), "left").drop("p", "up").withColumn("refused", F.coalesce("refused", F.array().cast(_REFUSED)))
+        wrong = cut(unions.where(F.when(F.col("words") == "union", F.size("refused") == F.coalesce("n", F.lit(0))).otherwise(F.size("refused") > 0)).drop("n"))
+        tops.append(wrong.where("owner is null"))
+        bad = here.where("state = 'found'").select("pair", "owner").unionByName(wrong.select("pair", "owner")).where("owner is not null")
+    return reduce(DataFrame.unionByName, tops)
+
+
+def _message() -> Column:
+    """The message of a finding, by its words; what stands in braces are columns."""
+
+    def filled(template: str) -> Column:
+        parts = [F.coalesce(F.col(p), F.lit("None")) if k % 2 else F.lit(p) for k, p in enumerate(re.split(r"{(\w+)}", template))]
+        return F.concat(*parts)
+
+    cases = [F.when(F.col("words") == words, filled(template)) for words, template in MESSAGES.items()]
+    return F.coalesce(*cases)
+
+
+def validate_matches(matches: DataFrame) -> DataFrame:
+    """Matches (client_id, server_id, client_schema, server_schema as JSON) with one row for each finding, in order.
+
+    Matches with an unknown schema have no findings. Equal rows have equal findings, once for each row.
+    """
+    # only a union can differ from itself; equal texts without one need no probing
+    probed = F.col("client_schema").isNotNull() & F.col("server_schema").isNotNull() & ((F.col("client_schema") != F.col("server_schema")) | F.contains("client_schema", F.lit('"union"')))
+    own = [F.col(c) for c in ("client_id", "server_id", "client_schema", "server_schema")]
+    keyed = matches.where(probed).withColumn("pair", F.struct(F.xxhash64(*own).alias("x"), F.xxhash64(F.lit("second"), *own).alias("y")))
+    shape = lambda c: f"""concat('{{"kind":"object","fields":', coalesce(get_json_object({c}, '$.fields'), '{{}}'), '}}')"""
+    root = _node("type", "array()", "''", c=shape("client_schema"), s=shape("server_schema"), owner="NULL", nest="0")
+    nodes = unfold(keyed.select(*_KEYS, F.expr(root).alias("n")).select(*_KEYS, "n.*"), _deeper)
+    found = nodes.where("state = 'found' and owner is null").withColumn("refused", F.array().cast(_REFUSED))
+    nest = nodes.where("state = 'union'").agg(F.max("nest")).first()[0]
+    if nest is not None:
+        found = found.unionByName(_fold(nodes, nest + 1).select(*found.columns))
+    labelled = ["object", "array", "enum-variant-added", "enum", "literal", "union", "server-union"]
+    offers = f"""flatten(transform(refused, (r, i) -> CASE WHEN i > 0 THEN array({part("' or '")}, {part("y.options[r]", True)}) ELSE {label_parts("y.options[r]")} END))"""
+    words = lambda names: ", ".join(f"'{n}'" for n in names)
+    side = lambda c, plain, names: F.expr(f"CASE WHEN words IN ({words(names)}) THEN {label_parts(c)} WHEN words = 'primitive' THEN array({part(plain)}) END")
+    told = found.withColumn("y", F.expr(f"CASE WHEN words = 'server-union' THEN {parsed('s')} END")).select(
+        *_KEYS,
+        "id",
+        "path",
+        "words",
+        F.col("detail").alias("variant"),
+        side("c", "detail", [*labelled, "missing-field"]).alias("expected"),
+        side("s", "got", labelled).alias("actual"),
+        F.expr(f"CASE WHEN words = 'server-union' THEN {offers} END").alias("offers"),
+    )
+    out = write_labels(told, "expected", "actual", "offers")
+    own = ["missing-field", "nullability-introduced", "optionality-introduced", "enum-variant-added"]
+    kind = F.when(F.col("words").isin(*own), F.col("words")).otherwise("type-mutation")
+    severity = F.when(F.col("words") == "nullability-introduced", "warning").otherwise("error")
+    listed = out.select(*_KEYS, F.struct("id", kind.alias("kind"), severity.alias("severity"), "path", _message().alias("message"), "expected", "actual").alias("v"))
+    # the findings of a pair of schemas, in order; those of equal rows come together, each as often as there are rows
+    grouped = listed.groupBy(*_KEYS).agg(F.collect_list("v").alias("all")).withColumn("v", F.array_sort(F.array_distinct("all")))
+    each = grouped.select("client_id", "server_id", "v", F.explode(F.sequence(F.lit(1), (F.size("all") / F.size("v")).cast("int"))))
+    return each.select("client_id", "server_id", F.posexplode("v").alias("ord", "x")).select("client_id", "server_id", "ord", *[f"x.{f}" for f in _FIELDS])
 
 
 def compare_flat(client: DataFrame, server: DataFrame) -> DataFrame:

@@ -181,19 +181,123 @@ def d6_field_violations(spark: SparkSession, d: str) -> DataFrame:
     return typecheck.compare_flat(_base_fields(spark, d).drop("k"), _changed_fields(spark, d))
 
 
-def _schemas(fields: DataFrame, name: str) -> DataFrame:
-    """Flattened primitive fields folded into a schema as JSON."""
-    one = F.struct("path", F.struct(F.struct("kind", "name").alias("type"), "optional", "nullable").alias("field"))
-    rows = F.array_sort(F.collect_list(one))
-    return fields.groupBy("match_id").agg(F.to_json(F.struct(F.map_from_entries(rows).alias("fields"))).alias(name))
+# Nested types of every kind. The same expressions are read by Spark and by DuckDB.
+_LEAF = '{"kind":"primitive","name":"%s"}'
+_FIELD = '{"type":%s,"optional":%s,"nullable":%s}'
+_OBJECT = '{"kind":"object","fields":{%s}}'
+_P, _Q = '"p":' + _FIELD % (_LEAF % "string", "false", "false"), '"q":' + _FIELD % ('{"kind":"array","element":' + _LEAF % "number" + "}", "true", "false")
+TYPES = [
+    _LEAF % "string",
+    _LEAF % "number",
+    '{"kind":"literal","value":"on"}',
+    '{"kind":"literal","value":7}',
+    '{"kind":"enum","name":"E","variants":["on","b"]}',
+    '{"kind":"enum","name":"E","variants":["b","c","d"]}',
+    '{"kind":"array","element":' + _OBJECT % _P + "}",
+    _OBJECT % f"{_P},{_Q}",
+    _OBJECT % f"{_Q},{_P}",
+    '{"kind":"union","options":[' + ",".join(_LEAF % n for n in ("string", "number", "null")) + "]}",
+    '{"kind":"union","options":[' + ",".join((_LEAF % "number", '{"kind":"array","element":' + _OBJECT % _P + "}", '{"kind":"literal","value":"on"}')) + "]}",
+    '{"kind":"reference","name":"R"}',
+    _OBJECT % ('"p":' + _FIELD % (_LEAF % "number", "true", "true") + ',"r":' + _FIELD % ('{"kind":"union","options":[' + _LEAF % "string" + "," + _LEAF % "null" + "]}", "false", "false")),
+]
+_TYPE_CASE = "CASE {0} " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES)) + " END"
+_FLAG = "CASE WHEN {0} THEN 'true' ELSE 'false' END"
+
+
+def _field_case(i: str, optional: str, nullable: str) -> str:
+    return f"""concat('{{"type":', {_TYPE_CASE.replace('{0}', i)}, ',"optional":', {_FLAG.format(optional)}, ',"nullable":', {_FLAG.format(nullable)}, '}}')"""
+
+
+#: Of a line item: its field in a client's schema and in a server's, which is named anew where 17 divides its part's key.
+_CLIENT_FIELD = _field_case(f"k % {len(TYPES)}", "k % 5 = 0", "k % 7 = 0")
+_SERVER_FIELD = _field_case(f"CASE WHEN k % 17 = 0 THEN CASE k % {len(TYPES)} WHEN 7 THEN 8 ELSE k % {len(TYPES)} END ELSE CAST(floor(k / {len(TYPES)}) AS BIGINT) % {len(TYPES)} END", "k % 3 = 0", "k % 4 = 0")
+_SERVER_NAME = "CASE WHEN k % 17 = 0 THEN concat(path, 'x') ELSE path END"
+
+
+def _nested_fields(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
+    f = f.select(F.col("l_orderkey").alias("match_id"), F.concat(F.lit("f"), "l_linenumber").alias("path"), "k")
+    return f.select("match_id", "path", F.expr(_CLIENT_FIELD).alias("c"), F.expr(_SERVER_NAME).alias("s_path"), F.expr(_SERVER_FIELD).alias("s"))
+
+
+def _nested_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """(match_id, client_schema, server_schema) of the orders, as JSON."""
+    folded = lambda name, c: F.concat(F.lit('{"fields":{'), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col(name), F.lit('":'), F.col(c)))), ","), F.lit("}}"))
+    return _nested_fields(spark, d).groupBy("match_id").agg(folded("path", "c").alias("client_schema"), folded("s_path", "s").alias("server_schema"))
+
+
+_K = "json_extract_string({0}, '$.kind')"
+_X = "json_extract({0}, '$.{1}')"
+_OPEN_SQL = f"(coalesce({_K}, 'reference') = 'reference' OR ({_K} = 'primitive' AND json_extract_string({{0}}, '$.name') IN ('any','unknown')))"
+_WIDE_SQL = f"CASE {_K} WHEN 'primitive' THEN json_extract_string({{0}}, '$.name') WHEN 'enum' THEN 'string' WHEN 'literal' THEN CASE json_type({_X.format('{0}', 'value')}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END END"
+
+
+def _label_sql(x: str, deep: int = 3) -> str:
+    """The label of a type, for types so many levels deep."""
+    inner = lambda y: _label_sql(y, deep - 1) if deep else "'?'"
+    return f"""CASE {_K.format(x)} WHEN 'literal' THEN CAST({_X.format(x, "value")} AS VARCHAR) WHEN 'array' THEN {inner(_X.format(x, "element"))} || '[]' WHEN 'object' THEN '{{ ' || array_to_string(json_keys({_X.format(x, "fields")}), ', ') || ' }}'
+ WHEN 'union' THEN array_to_string(list_transform(range(CAST(json_array_length({_X.format(x, "options")}) AS BIGINT)), lambda l{deep}: {inner(f"json_extract({x}, '$.options[' || l{deep} || ']')")}), ' | ')
+ WHEN 'enum' THEN 'enum(' || array_to_string(json_extract_string({x}, '$.variants[*]'), ' | ') || ')' ELSE json_extract_string({x}, '$.name') END"""
+
+
+def _kid(ident: str, path: str, state: str, c: str, s: str, owner: str = "owner", uid: str = "uid", nest: str = "nest") -> str:
+    return f"{{'id': {ident}, 'path': {path}, 'state': '{state}', 'c': CAST({c} AS VARCHAR), 's': CAST({s} AS VARCHAR), 'owner': {owner}, 'uid': {uid}, 'nest': {nest}}}"
+
+
+def _options_sql(x: str, c: str, s: str) -> str:
+    return f"list_transform(range(CAST(json_array_length({_X.format(x, 'options')}) AS BIGINT)), lambda i: {_kid("id || '|' || i", 'path', 'type', c, s, "id || '|' || i", 'id', 'nest + 1')})"
+
+
+_FLAGGED = "coalesce(CAST(json_extract({0}, '$.{1}') AS BOOLEAN), false)"
+_IS_ANY = f"(state = 'type' AND NOT {_OPEN_SQL.format('c')} AND NOT {_OPEN_SQL.format('s')} AND {_K.format('c')} = 'union')"
+_IS_ALL = f"(state = 'type' AND NOT {_OPEN_SQL.format('c')} AND NOT {_OPEN_SQL.format('s')} AND {_K.format('c')} IN ('primitive', 'enum') AND {_K.format('s')} = 'union')"
+NESTED_SQL = f"""li AS (SELECT l_orderkey AS match_id, 'f' || l_linenumber AS path, min(l_partkey) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber),
+cf AS (SELECT match_id, path, {_CLIENT_FIELD} AS f FROM li), sf AS (SELECT match_id, {_SERVER_NAME} AS path, {_SERVER_FIELD} AS f FROM li)"""
+VALIDATED_SQL = f"""{NESTED_SQL},
+n AS (SELECT cf.match_id, cf.path AS id, cf.path, 'field' AS state, cf.f AS c, sf.f AS s, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS VARCHAR) AS uid, CAST(0 AS BIGINT) AS nest FROM cf LEFT JOIN sf ON cf.match_id = sf.match_id AND cf.path = sf.path
+ UNION ALL SELECT match_id, k.id, k.path, k.state, k.c, k.s, k.owner, k.uid, k.nest FROM (SELECT match_id, unnest(
+  CASE WHEN state = 'field' THEN CASE WHEN s IS NULL THEN [] ELSE [{_kid("id || '.t'", "path", "type", _X.format("c", "type"), _X.format("s", "type"))}] END
+   WHEN {_OPEN_SQL.format("c")} OR {_OPEN_SQL.format("s")} THEN []
+   WHEN {_K.format("c")} = 'object' AND {_K.format("s")} = 'object' THEN list_transform(json_keys({_X.format("c", "fields")}), lambda f: {_kid("id || '.' || f", "path || '.' || f", "field", "json_extract(c, '$.fields.' || f)", "json_extract(s, '$.fields.' || f)")})
+   WHEN {_K.format("c")} = 'array' AND {_K.format("s")} = 'array' THEN [{_kid("id || '[]'", "path || '[]'", "type", _X.format("c", "element"), _X.format("s", "element"))}]
+   WHEN {_IS_ANY} THEN {_options_sql("c", "json_extract(c, '$.options[' || i || ']')", "s")}
+   WHEN {_IS_ALL} THEN {_options_sql("s", "c", "json_extract(s, '$.options[' || i || ']')")}
+   ELSE [] END) AS k FROM n)),
+judged AS (SELECT *, {_IS_ANY} AS is_any, {_IS_ALL} AS is_all, CASE
+  WHEN state = 'field' THEN list_filter([CASE WHEN s IS NULL AND NOT {_FLAGGED.format("c", "optional")} THEN 'missing-field' END, CASE WHEN {_FLAGGED.format("s", "nullable")} AND NOT {_FLAGGED.format("c", "nullable")} THEN 'nullability-introduced' END,
+   CASE WHEN {_FLAGGED.format("s", "optional")} AND NOT {_FLAGGED.format("c", "optional")} THEN 'optionality-introduced' END], lambda v: v IS NOT NULL)
+  WHEN {_OPEN_SQL.format("c")} OR {_OPEN_SQL.format("s")} THEN []
+  WHEN {_K.format("c")} IN ('object', 'array') THEN CASE WHEN {_K.format("c")} = {_K.format("s")} THEN [] ELSE ['type-mutation'] END
+  WHEN {_K.format("c")} = 'enum' AND {_K.format("s")} = 'enum' THEN list_transform(list_filter(json_extract_string(s, '$.variants[*]'), lambda v: NOT list_contains(json_extract_string(c, '$.variants[*]'), v)), lambda v: 'enum-variant-added')
+  WHEN {_K.format("c")} = 'enum' AND {_K.format("s")} = 'literal' THEN CASE WHEN json_type({_X.format("s", "value")}) = 'VARCHAR' AND list_contains(json_extract_string(c, '$.variants[*]'), json_extract_string(s, '$.value')) THEN [] ELSE ['type-mutation'] END
+  WHEN {_K.format("c")} = 'enum' AND {_WIDE_SQL.format("s")} = 'string' THEN []
+  WHEN {_K.format("c")} = 'literal' THEN CASE WHEN c = s THEN [] ELSE ['type-mutation'] END
+  WHEN {_K.format("c")} = 'union' OR {_K.format("s")} = 'union' THEN []
+  WHEN {_WIDE_SQL.format("c")} <> {_WIDE_SQL.format("s")} AND NOT ({_WIDE_SQL.format("c")} IN ('null', 'undefined') AND {_WIDE_SQL.format("s")} IN ('null', 'undefined')) THEN ['primitive'] ELSE [] END AS found FROM n),
+unions AS (SELECT *, CASE WHEN is_any THEN CAST(json_array_length({_X.format("c", "options")}) AS BIGINT) END AS options FROM judged WHERE is_any OR is_all),
+bad2 AS (SELECT match_id, uid, count(DISTINCT owner) AS refused FROM judged WHERE nest = 2 AND len(found) > 0 GROUP BY match_id, uid),
+wrong1 AS (SELECT u.* FROM unions u JOIN bad2 b ON u.match_id = b.match_id AND u.id = b.uid WHERE u.nest = 1 AND (u.is_all OR refused = options)),
+bad1 AS (SELECT match_id, uid, count(DISTINCT owner) AS refused FROM (SELECT match_id, uid, owner FROM judged WHERE nest = 1 AND len(found) > 0 UNION ALL SELECT match_id, uid, owner FROM wrong1) GROUP BY match_id, uid),
+wrong0 AS (SELECT u.* FROM unions u JOIN bad1 b ON u.match_id = b.match_id AND u.id = b.uid WHERE u.nest = 0 AND (u.is_all OR refused = options)),
+plain AS (SELECT match_id, path, c, s, unnest(found) AS word FROM judged WHERE owner IS NULL UNION ALL SELECT match_id, path, c, s, 'type-mutation' FROM wrong0)"""
+
+
+@query(f"""WITH RECURSIVE {VALIDATED_SQL} SELECT match_id, path, CASE WHEN word = 'primitive' THEN 'type-mutation' ELSE word END AS kind, CASE WHEN word = 'nullability-introduced' THEN 'warning' ELSE 'error' END AS severity,
+ CASE WHEN word = 'missing-field' THEN {_label_sql(_X.format("c", "type"))} WHEN word = 'primitive' THEN {_WIDE_SQL.format("c")} WHEN word IN ('type-mutation', 'enum-variant-added') THEN {_label_sql("c")} END AS expected,
+ CASE WHEN word = 'primitive' THEN {_WIDE_SQL.format("s")} WHEN word IN ('type-mutation', 'enum-variant-added') THEN {_label_sql("s")} END AS actual FROM plain""")
+def d8_schema_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of nested schemas with types of all kinds, unions among them."""
+    m = _nested_schemas(spark, d).withColumns({"client_id": F.col("match_id"), "server_id": F.col("match_id")})
+    return typecheck.validate_matches(m).select(F.col("client_id").alias("match_id"), "path", "kind", "severity", "expected", "actual")
 
 
-@query(ORACLES["d6_field_violations"])
-def d8_schema_violations(spark: SparkSession, d: str) -> DataFrame:
-    """The recursive validator on the same fields; the two must agree."""
-    c, s = _schemas(_base_fields(spark, d).drop("k"), "client_schema"), _schemas(_changed_fields(spark, d), "server_schema")
-    m = c.join(s, "match_id").select(F.col("match_id").alias("client_id"), F.col("match_id").alias("server_id"), "client_schema", "server_schema")
-    return typecheck.validate_matches(m).select(F.col("client_id").alias("match_id"), "path", "kind", "severity")
+@query(f"WITH RECURSIVE {VALIDATED_SQL} SELECT CASE WHEN word = 'primitive' THEN 'type-mutation' ELSE word END AS kind, count(*) AS findings, count(DISTINCT match_id) AS matches, max(length(path) - length(replace(path, '.', ''))) AS deepest FROM plain GROUP BY ALL")
+def d7_finding_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of nested schemas by kind, and how deep they lie."""
+    found = d8_schema_violations(spark, d)
+    deep = F.length("path") - F.length(F.translate("path", ".", ""))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("match_id").alias("matches"), F.max(deep.cast("long")).alias("deepest"))
 
 
 @query(
@@ -208,20 +312,33 @@ def f2_field_diff(spark: SparkSession, d: str) -> DataFrame:
     return diff.diff_flat(flat(_base_fields(spark, d)), flat(_changed_fields(spark, d)))
 
 
-@query(
-    f"""WITH {FIELDS_SQL}, j AS (SELECT coalesce(b.match_id, c.match_id) AS id, b.match_id IS NULL AS no_b, c.match_id IS NULL AS no_c, b.name AS bn, c.name AS cn, b.optional AS bo, c.optional AS co, b.nullable AS bu, c.nullable AS cu FROM b FULL JOIN c ON b.match_id = c.match_id AND b.path = c.path)
-SELECT 'contract:' || id AS contract_id, 'modified' AS kind, CAST(sum(CASE WHEN no_b OR no_c THEN 1 ELSE (CASE WHEN bo <> co OR bu <> cu THEN 1 ELSE 0 END) + (CASE WHEN bn <> cn THEN 1 ELSE 0 END) END) AS INTEGER) AS n_changes FROM j GROUP BY id HAVING n_changes > 0"""
-)
-def f1_contract_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Contract changes of two snapshots by the recursive differ."""
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    """(contract_id, before, after) of the orders: shapes as JSON."""
+    shape = lambda c: F.concat(F.lit('{"kind":"object",'), F.substring(c, 2, 1 << 30))
+    return _nested_schemas(spark, d).select(F.concat(F.lit("contract:"), "match_id").alias("contract_id"), shape("client_schema").alias("before"), shape("server_schema").alias("after"))
 
-    def contracts(fields: DataFrame) -> DataFrame:
-        s = _schemas(fields, "schema")
-        shape = F.concat(F.lit('{"kind":"object",'), F.substring("schema", 2, 1 << 30))
-        return s.select(F.concat(F.lit("contract:"), "match_id").alias("contract_id"), F.lit("c").alias("name"), F.lit("f").alias("file"), F.lit(100.0).alias("confidence"), shape.alias("shape"))
 
-    out = diff.compare_graphs(contracts(_base_fields(spark, d).drop("k")), contracts(_changed_fields(spark, d)))
-    return out.select("contract_id", "kind", F.size("field_changes").alias("n_changes"))
+_JSON_FLAGS = "'{{\"nullable\":' || CAST(json_extract({0}, '$.nullable') AS VARCHAR) || ',\"optional\":' || CAST(json_extract({0}, '$.optional') AS VARCHAR) || '}}'"
+CHANGES_SQL = f"""{NESTED_SQL},
+n AS (SELECT 'contract:' || coalesce(cf.match_id, sf.match_id) AS contract_id, 'root.' || coalesce(cf.path, sf.path) AS path, 'field' AS state, cf.f AS b, sf.f AS c FROM cf FULL JOIN sf ON cf.match_id = sf.match_id AND cf.path = sf.path
+ UNION ALL SELECT contract_id, k.path, k.state, k.b, k.c FROM (SELECT contract_id, unnest(
+  CASE WHEN b IS NULL OR c IS NULL THEN [] WHEN state = 'field' THEN [{{'path': path, 'state': 'type', 'b': CAST({_X.format("b", "type")} AS VARCHAR), 'c': CAST({_X.format("c", "type")} AS VARCHAR)}}]
+   WHEN {_K.format("b")} <> {_K.format("c")} THEN []
+   WHEN {_K.format("b")} = 'array' THEN [{{'path': path || '[]', 'state': 'type', 'b': CAST({_X.format("b", "element")} AS VARCHAR), 'c': CAST({_X.format("c", "element")} AS VARCHAR)}}]
+   WHEN {_K.format("b")} = 'object' THEN list_transform(list_distinct(json_keys({_X.format("b", "fields")}) || json_keys({_X.format("c", "fields")})), lambda f: {{'path': path || '.' || f, 'state': 'field', 'b': CAST(json_extract(b, '$.fields.' || f) AS VARCHAR), 'c': CAST(json_extract(c, '$.fields.' || f) AS VARCHAR)}})
+   ELSE [] END) AS k FROM n)),
+changes AS (SELECT contract_id, path, 'added' AS kind, CAST(NULL AS VARCHAR) AS before, c AS after FROM n WHERE state = 'field' AND b IS NULL
+ UNION ALL SELECT contract_id, path, 'removed', b, NULL FROM n WHERE state = 'field' AND c IS NULL
+ UNION ALL SELECT contract_id, path, 'optionality-changed', {_JSON_FLAGS.format("b")}, {_JSON_FLAGS.format("c")} FROM n WHERE state = 'field' AND b IS NOT NULL AND c IS NOT NULL AND {_JSON_FLAGS.format("b")} <> {_JSON_FLAGS.format("c")}
+ UNION ALL SELECT contract_id, path, 'type-changed', b, c FROM n WHERE state = 'type' AND ({_K.format("b")} <> {_K.format("c")} OR ({_K.format("b")} = 'union' AND {_K.format("c")} = 'union' AND json_array_length({_X.format("b", "options")}) <> json_array_length({_X.format("c", "options")})))
+ UNION ALL SELECT contract_id, path, 'type-changed', CAST({_X.format("b", "name")} AS VARCHAR), CAST({_X.format("c", "name")} AS VARCHAR) FROM n WHERE state = 'type' AND {_K.format("b")} = {_K.format("c")} AND {_K.format("b")} IN ('primitive', 'reference') AND b <> c
+ UNION ALL SELECT contract_id, path, 'type-changed', CAST({_X.format("b", "value")} AS VARCHAR), CAST({_X.format("c", "value")} AS VARCHAR) FROM n WHERE state = 'type' AND {_K.format("b")} = 'literal' AND {_K.format("c")} = 'literal' AND b <> c)"""
+
+
+@query(f"WITH RECURSIVE {CHANGES_SQL} SELECT contract_id, path, kind, before, after FROM changes")
+def f1_contract_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What changed between two snapshots of nested shapes, field by field."""
+    return diff.field_changes(_shapes(spark, d)).select("contract_id", "path", "kind", "before", "after")
 
 
 @query("""SELECT a.p_partkey AS old_key, b.p_partkey AS new_key, CASE WHEN x = y THEN CAST(1 AS DOUBLE) ELSE floor(greatest(CAST(0 AS DOUBLE), 1 - CAST(levenshtein(x, y) AS DOUBLE) / greatest(length(x), length(y), 1)) * 1000 + 0.5) / 1000 END AS similarity
@@ -256,6 +373,25 @@ def f7_renames(spark: SparkSession, d: str) -> DataFrame:
     return diff.pair_renames(pairs)
 
 
+_LEAF_NAME = "regexp_extract({0}, '[^.]*$')"
+
+
+@query(f"""WITH RECURSIVE {CHANGES_SQL},
+typed AS (SELECT contract_id, path, kind, regexp_replace(path, '\\.[^.]*$', '') AS up, lower({_LEAF_NAME.format("path")}) AS leaf, replace(CAST({_X.format("coalesce(before, after)", "type")} AS VARCHAR), '{TYPES[8]}', '{TYPES[7]}') AS t FROM changes WHERE kind IN ('added', 'removed')),
+pairs AS (SELECT r.contract_id, r.path AS old_path, a.path AS new_path, r.leaf AS x, a.leaf AS y FROM typed r JOIN typed a ON r.contract_id = a.contract_id AND r.up = a.up AND r.t = a.t WHERE r.kind = 'removed' AND a.kind = 'added'),
+scored AS (SELECT contract_id, old_path, new_path, {SIMILAR} AS score FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY score DESC, old_path, new_path) AS k FROM scored),
+walk AS (SELECT contract_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS old_path, CAST(NULL AS VARCHAR) AS new_path, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT contract_id FROM ranked)
+ UNION ALL SELECT r.contract_id, r.k, CASE WHEN list_contains(w.used, r.old_path) OR list_contains(w.used, r.new_path) THEN w.used ELSE list_append(list_append(w.used, r.old_path), r.new_path) END,
+  CASE WHEN list_contains(w.used, r.old_path) OR list_contains(w.used, r.new_path) THEN NULL ELSE r.old_path END, r.new_path, r.score
+ FROM walk w JOIN ranked r ON r.contract_id = w.contract_id AND r.k = w.k + 1)
+SELECT contract_id, old_path, new_path, CAST(floor(60 + score * 40 + 0.5) AS INTEGER) AS confidence, CASE WHEN floor(60 + score * 40 + 0.5) >= 80 THEN 'STRONG' ELSE 'POTENTIAL' END AS proof_level FROM walk WHERE old_path IS NOT NULL""")
+def f7_field_renames(spark: SparkSession, d: str) -> DataFrame:
+    """Renames among the changes of nested shapes; types are equal by their Merkle hashes, whatever the order of their fields."""
+    found = diff.renames_of(diff.field_changes(_shapes(spark, d)))
+    return found.select("contract_id", "old_path", "new_path", "confidence", "proof_level")
+
+
 # ---------------------------------------------------------------- graph
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """region -> nation -> customer -> order, and an edge back from every third order to its region."""
