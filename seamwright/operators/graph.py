@@ -71,25 +71,49 @@ def producers(edges: DataFrame) -> DataFrame:
 
 
 def shortest_paths(sources: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(source, node, hops, path of edge ids) of every node reachable from each source, itself left out.
+    """(source, node, hops, edge, pred) of every node reachable from each source, itself left out: a tree of shortest paths.
 
-    Breadth first by frontiers: each round joins new nodes to their outgoing edges and drops what was
-    reached before, so it ends on cycles. Of equally short paths that of the smallest
-    sequence of edge ids is kept, as discovery in the order of sorted edges gives it.
+    Breadth first by frontiers: each round joins new nodes to their outgoing edges and drops what was reached before, so it ends on
+    cycles. Of equally short paths that of the smallest sequence of edge ids counts, as discovery in the order of sorted edges gives it.
+    Sequences of a round compare as (rank of the predecessor, edge id), and sorting by these ranks the round's nodes for the
+    next; so a row is of one width, however long its path. path_hops rebuilds the paths that are asked for.
     """
     step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("id").alias("edge"))
-    front = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.array().cast("array<string>").alias("path")))
-    seen, hops, rounds = front.select("source", "node"), front.select("source", "node", F.lit(0).alias("hops"), "path").where("false"), 0
+    front = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("rank")).distinct())
+    seen, rounds = front.select("source", "node"), 0
+    tree = front.select("source", "node", F.lit(0).alias("hops"), F.col("node").cast("string").alias("edge"), F.col("node").alias("pred")).where("false")
     while not front.isEmpty() and (most is None or rounds < most):
         rounds += 1
-        moved = front.join(step, front["node"] == step["at"]).select("source", F.col("next").alias("node"), F.concat("path", F.array("edge")).alias("path"))
-        new = moved.groupBy("source", "node").agg(F.min("path").alias("path"))
-        front = cut(new.join(seen, ["source", "node"], "left_anti").select("source", "node", "path"))
+        moved = front.select("source", "node", "rank").join(step, F.col("node") == F.col("at")).select("source", F.col("next").alias("node"), F.struct("rank", "edge", F.col("at").alias("pred")).alias("by"))
+        new = moved.groupBy("source", "node").agg(F.min("by").alias("by")).join(seen, ["source", "node"], "left_anti")
+        # numbers in the order of a distributed sort: only their order counts
+        ranked = new.orderBy("source", "by.rank", "by.edge", "node").withColumn("rank", F.monotonically_increasing_id())
+        front = cut(ranked.select("source", "node", "rank", "by.edge", "by.pred"))
         seen = seen.unionByName(front.select("source", "node"))
-        hops = hops.unionByName(front.select("source", "node", F.lit(rounds).alias("hops"), "path"))
+        tree = tree.unionByName(front.select("source", "node", F.lit(rounds).alias("hops"), "edge", "pred"))
         if rounds % 8 == 0:
-            seen, hops = cut(seen), cut(hops)
-    return hops
+            seen, tree = cut(seen), cut(tree)
+    return tree
+
+
+def path_hops(asked: DataFrame, tree: DataFrame) -> DataFrame:
+    """(source, node, hops, at, edge) of the asked (source, node): a row for each hop of its path, `at` from 0.
+
+    By pointer jumping: a table of ancestors 2, 4, 8, ... hops up is made by joining the one before with itself, and every hop finds its
+    node by the bits of its distance, so the rounds grow with the logarithm of the longest path.
+    """
+    tree = cut(tree)
+    up = tree.select(F.col("source").alias("js"), F.col("node").alias("jn"), F.col("pred").alias("up"))
+    rows = asked.select("source", "node").distinct().join(tree.select("source", "node", "hops"), ["source", "node"])
+    rows = rows.withColumns({"left": F.explode(F.sequence(F.lit(0), F.col("hops") - 1)), "here": F.col("node")})
+    longest = tree.agg(F.coalesce(F.max("hops"), F.lit(0))).first()[0]
+    for bit in range(max(longest - 1, 0).bit_length()):
+        asks = (F.shiftright("left", bit) % 2 == 1) & (F.col("source") == F.col("js")) & (F.col("here") == F.col("jn"))
+        rows = rows.join(up, asks, "left").withColumn("here", F.coalesce("up", "here")).drop("js", "jn", "up")
+        second = up.select(F.col("js").alias("s2"), F.col("jn").alias("n2"), F.col("up").alias("further"))
+        up = cut(up.join(second, F.expr("js = s2 and up = n2")).select("js", "jn", F.col("further").alias("up")))
+    edge = tree.select(F.col("source").alias("es"), F.col("node").alias("en"), "edge")
+    return rows.join(edge, F.expr("source = es and here = en")).select("source", "node", "hops", (F.col("hops") - 1 - F.col("left")).alias("at"), "edge")
 
 
 def transitive_consumers(contracts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -121,11 +145,11 @@ def proof_rank(level: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level) - 1
 
 
-def classify_paths(paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Category, weakest proof level and rendering of (source, node, hops, path)."""
+def classify_paths(asked: DataFrame, tree: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Category, weakest proof level and rendering of the paths to the asked (source, node) in a tree of shortest paths."""
     e = edges.select(F.col("id").alias("edge"), F.col("dst").alias("to"), "relation", "resolution", proof_rank(proof_level(F.col("resolution"), F.col("confidence"), F.lit(False), F.lit(False))).alias("rank"))
     names = nodes.select(F.col("id").alias("nid"), "name")
-    hop = paths.select("source", "node", "hops", F.posexplode("path").alias("at", "edge")).join(e, "edge").join(names, F.col("to") == F.col("nid"), "left")
+    hop = path_hops(asked, tree).join(e, "edge").join(names, F.col("to") == F.col("nid"), "left")
     grouped = hop.groupBy("source", "node", "hops").agg(
         F.min("rank").alias("weakest"),
         F.max(F.col("resolution").isin("fuzzy", "heuristic")).alias("loose"),

@@ -18,7 +18,7 @@ from ..plans.scratch import cut
 #: Types and fields have different keys, so one schema reads both; nested ones stay JSON text.
 PARSED = "kind string, name string, element string, fields map<string,string>, options array<string>, variants array<string>, value variant, type string, optional boolean, nullable boolean"
 #: Levels taken between two looks whether any node is still open.
-STRIDE = 4
+STRIDE = 3
 PARTS = "array<struct<open:boolean,text:string>>"
 
 

@@ -438,8 +438,52 @@ def b16_path_categories(spark: SparkSession, d: str) -> DataFrame:
     """Category and rendering of the path from each region to its orders."""
     sources = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"))
     edges = _edges(spark, d)
-    paths = graph.shortest_paths(sources, edges, 3).where("node like 'o%'")
-    return graph.classify_paths(paths, edges, _nodes(spark, d)).select("source", "node", "hops", "category", "explanation")
+    tree = graph.shortest_paths(sources, edges, 3)
+    return graph.classify_paths(tree.where("node like 'o%'"), tree, edges, _nodes(spark, d)).select("source", "node", "hops", "category", "explanation")
+
+
+#: How far the graph of customers is searched in SQL; its paths are shorter on all tables.
+_ROUNDS = 18
+_RELATION = "CASE {0} % 3 WHEN 0 THEN 'consumes' WHEN 1 THEN 'aliases' ELSE 'references' END"
+_RESOLUTION = "CASE {0} % 7 WHEN 0 THEN 'fuzzy' WHEN 1 THEN 'symbol' ELSE 'exact' END"
+CYCLES_SQL = f"""m AS (SELECT count(*) AS n FROM customer), c AS (SELECT c_custkey AS k, c_custkey % n AS spot, n FROM customer, m),
+e AS (SELECT 'd' || spot AS id, 'c' || spot AS src, 'c' || ((2 * spot + 1) % n) AS dst, spot AS k FROM c UNION ALL SELECT 't' || spot, 'c' || spot, 'c' || ((3 * spot + 2) % n), spot + 1 FROM c UNION ALL SELECT 's' || spot, 'c' || spot, 'c' || ((spot + 5) % n), spot + 2 FROM c
+ UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey, 'c' || ((r_regionkey * 37) % n), 0 FROM region, m),
+typed AS (SELECT *, {_RELATION.format("k")} AS relation, {_RESOLUTION.format("k")} AS resolution, CAST(50 + k % 50 AS DOUBLE) AS confidence FROM e),
+w0 AS (SELECT 'r' || r_regionkey AS source, 'r' || r_regionkey AS node, CAST([] AS VARCHAR[]) AS path FROM region), seen0 AS (SELECT source, node FROM w0),
+""" + ",\n".join(
+    f"w{k} AS MATERIALIZED (SELECT source, e.dst AS node, min(list_append(path, e.id)) AS path FROM w{k - 1} JOIN e ON e.src = node ANTI JOIN seen{k - 1} ON seen{k - 1}.source = w{k - 1}.source AND seen{k - 1}.node = e.dst GROUP BY ALL), seen{k} AS MATERIALIZED (SELECT * FROM seen{k - 1} UNION ALL SELECT source, node FROM w{k})"
+    for k in range(1, _ROUNDS + 1)
+)
+
+
+def _cycles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sources and edges of a graph of customers, each with three edges by arithmetic, that regions lead into: many cycles, many ties."""
+    customer, region = table(spark, d, "customer"), table(spark, d, "region")
+    n = customer.agg(F.count(F.lit(1)).alias("n"))
+    # a count beside every row
+    c = customer.join(F.broadcast(n)).select((F.col("c_custkey") % F.col("n")).alias("at"), "n")
+    name = lambda prefix, k: F.concat(F.lit(prefix), k)
+    at, total = F.col("at"), F.col("n")
+    edge = lambda prefix, to, k: c.select(name(prefix, at).alias("id"), name("c", at).alias("src"), name("c", to % total).alias("dst"), k.alias("k"))
+    start = region.join(F.broadcast(n)).select(name("r", F.col("r_regionkey")).alias("id"), name("r", F.col("r_regionkey")).alias("src"), name("c", F.col("r_regionkey") * 37 % total).alias("dst"), F.lit(0).cast("long").alias("k"))
+    e = edge("d", 2 * at + 1, at).unionByName(edge("t", 3 * at + 2, at + 1)).unionByName(edge("s", at + 5, at + 2)).unionByName(start)
+    typed = e.withColumns({"relation": F.expr(_RELATION.format("k")), "resolution": F.expr(_RESOLUTION.format("k")), "confidence": (F.lit(50) + F.col("k") % 50).cast("double")})
+    return region.select(name("r", F.col("r_regionkey")).alias("id")), typed
+
+
+@query(f"""WITH {CYCLES_SQL},
+found AS ({" UNION ALL ".join(f"SELECT source, node, {k} AS hops, path FROM w{k}" for k in range(1, _ROUNDS + 1))}),
+hop AS (SELECT source, node, hops, unnest(path) AS edge, unnest(range(1, hops + 1)) AS spot FROM found),
+told AS (SELECT source, hop.node, hops, spot, dst, relation, resolution, CASE WHEN resolution = 'exact' THEN CASE WHEN confidence >= 95 THEN 3 WHEN confidence >= 80 THEN 2 ELSE 1 END WHEN resolution = 'symbol' THEN CASE WHEN confidence >= 80 THEN 2 WHEN confidence >= 40 THEN 1 ELSE 0 END ELSE CASE WHEN confidence >= 40 THEN 1 ELSE 0 END END AS rank FROM hop JOIN typed ON typed.id = edge)
+SELECT source, node, CAST(hops AS INTEGER) AS hops, CASE WHEN min(rank) = 0 THEN 'UNKNOWN' WHEN bool_or(resolution = 'fuzzy') OR min(rank) = 1 THEN 'POTENTIAL' WHEN hops = 1 AND max(relation) = 'consumes' THEN 'DIRECT' ELSE 'TRANSITIVE' END AS category,
+ CASE min(rank) WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'POTENTIAL' WHEN 2 THEN 'STRONG' ELSE 'PROVEN' END AS proof_level, source || ' -> ' || string_agg(dst, ' -> ' ORDER BY spot) AS explanation FROM told GROUP BY source, node, hops""")
+def b17_explained_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest path from every region to each customer of a graph with cycles and ties, hop by hop."""
+    sources, edges = _cycles(spark, d)
+    tree = graph.shortest_paths(sources, edges)
+    nodes = edges.select(F.col("dst").alias("id"), F.col("dst").alias("name")).distinct()
+    return graph.classify_paths(tree, tree, edges, nodes)
 
 
 @query("""WITH e AS (SELECT event_id, value AS c, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'exact' WHEN 2 THEN 'fuzzy' WHEN 3 THEN 'symbol' WHEN 4 THEN 'type' WHEN 5 THEN 'heuristic' ELSE 'inferred' END AS m, event_id % 5 = 0 AS inferred, event_id % 11 = 0 AS dynamic FROM events)

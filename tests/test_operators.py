@@ -160,7 +160,7 @@ def test_paths(spark):
     sources = spark.createDataFrame([("c",), ("d",), ("w",), ("lone",)], "id string")
     e = edges(spark, rows)
     paths = graph.shortest_paths(sources, e)
-    got = {(r.source, r.node): r for r in graph.classify_paths(paths, e, nodes).collect()}
+    got = {(r.source, r.node): r for r in graph.classify_paths(paths, paths, e, nodes).collect()}
     assert (got["c", "x"].category, got["c", "x"].proof_level, got["c", "x"].explanation) == ("DIRECT", "PROVEN", "C -> X")
     assert (got["d", "y"].category, got["d", "y"].hops) == ("TRANSITIVE", 3)
     assert got["w", "z"].category == "POTENTIAL"
@@ -169,6 +169,29 @@ def test_paths(spark):
     assert {(r.contract, r.consumer) for r in reached} == {("c", "x"), ("d", "y"), ("w", "z")}
 
 
+def test_paths_of_cyclic_graphs(spark):
+    rng = random.Random(9)
+    for n, m in ((12, 20), (30, 45), (6, 40)):
+        rows = [(f"e{k:03d}" if rng.random() < 0.9 else f"e{k}", f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", "consumes", 90.0, "exact") for k in range(m)]
+        rows += [(f"x{k}", f"n{k}", f"n{k + 1}", "aliases", 90.0, "exact") for k in range(n - 1)]
+        sources = [f"n{k}" for k in range(3)]
+        want = {}
+        for source in sources:  # breadth first, edges in order
+            queue, path = [source], {source: []}
+            for here in queue:
+                for edge, _, to, *_ in sorted(r for r in rows if r[1] == here):
+                    if to not in path:
+                        path[to] = [*path[here], edge]
+                        queue.append(to)
+            want |= {(source, node): p for node, p in path.items() if node != source}
+        tree = graph.shortest_paths(spark.createDataFrame([(s,) for s in sources], "id string"), edges(spark, rows))
+        assert tree.columns == ["source", "node", "hops", "edge", "pred"] and max(map(len, want.values())) >= 2
+        got = {}
+        for r in sorted(graph.path_hops(tree, tree).collect(), key=lambda r: r.at):
+            got.setdefault((r.source, r.node), []).append(r.edge)
+        assert got == want
+
+
 def test_graph_build(spark):
     clients = spark.createDataFrame([(1, "GET", "/u/__DYN__", "a.ts", True, False), (2, "GET", "/none", "a.ts", False, False)], "client_id long, method string, route string, file string, dynamic boolean, computed boolean")
     servers = spark.createDataFrame([(7, "GET", "/u/:id", "s.ts", None)], "server_id long, method string, route string, file string, shape string")
