@@ -6,7 +6,9 @@ so that copies of an article are no template. A subtree found on TEMPLATE_PAGES
 deleted if these are a share of OUTSIDE of the host's pages, within articles INSIDE. An article or main element, and what
 holds one, is never template as a whole. Counts are pre-aggregated by (host, hash, page), so a hot host is no heavier per task.
 Elements that are no content on any page (menus, forms, adverts, comments, scripts) go by tag, role or class, so
-that hosts of one page are served too. What is left of the articles, else of the main element, else of the body, is the text.
+that hosts of one page are served too; a class names such an element if its last word does, apart from words for boxes
+(`user-comments`, `site-footer-v2`). What is left of the articles is the text if it is a share of ARTICLE of what is left of the main
+element, or of the body if there is none; else the page's articles are only teasers, and all of that is the text.
 
 The hashes to delete are sent to all tasks if they number BROADCAST_TREES at most; more are joined to the pages. Results are the same.
 
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 
 TEMPLATE_PAGES, OUTSIDE, INSIDE = 5, 0.3, 0.5
+ARTICLE = 0.25
 BROADCAST_TREES = 200_000
 
 # Element names of the HTML standard, by their role here.
@@ -47,36 +50,54 @@ _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion reaction recommended related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 # Words that only say what kind of box a class names.
-_BOXES = frozenset("area bar block box boxes button buttons container content form icons inner item items link links list main menu outer panel section site top bottom wrap wrapper".split())
+_BOXES = frozenset("area bar block body bottom box boxes button buttons col column container content form group holder icons inline inner item items left link links list main menu outer panel right row section site slot thread top tree unit wrap wrapper".split())
+# Parts of an article that a heading or closing belongs to, and words that turn a name into a remark on the page.
+_PARTS, _REMARKS = frozenset("article entry post story title".split()), frozenset("has is no with without hide show".split())
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+_ATTR = re.compile(r"""\b(class|id|role)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z0-9]+")
 _BLANK = re.compile(r"\s+")
 
 
+def _split(word: str) -> list[str]:
+    """`commentlist` as its two words, if both are known; others as they are."""
+    for k in range(2, len(word) - 1):
+        if word[:k] in _WORDS and word[k:] in _WORDS | _BOXES:
+            return [word[:k], word[k:]]
+    return [word]
+
+
 @lru_cache(maxsize=4096)
 def _is_furniture(name: str) -> bool:
-    """Do all words of a class or id name furniture or a box, and one of them furniture? `related-work` does not, `share-buttons` does."""
-    words = set(_WORD.findall(name))
-    return not _WORDS.isdisjoint(words) and words <= _WORDS | _BOXES
+    """Is the last word of a class or id that isn't a box or a number a word for furniture? `related-work`'s isn't, `share-buttons`'s is."""
+    spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower()
+    words = [w for word in _WORD.findall(spaced) for w in ([word] if word in _WORDS | _BOXES else _split(word)) if not re.fullmatch(r"v?\d+", w)]
+    if not words or words[0] in _REMARKS:
+        return False
+    if _WORDS.isdisjoint(words):
+        return False
+    while words[-1] in _BOXES - _WORDS:
+        words.pop()
+        if not words:
+            return False
+    # an article's own header and footer hold its title and author
+    return words[-1] in _WORDS and not (words[-1] in ("header", "footer", "masthead") and not _PARTS.isdisjoint(words))
 
 
 def _no_content(tag: str, attrs: str, inside_article: bool) -> bool:
     if tag in _NEVER or (tag == "header" and not inside_article):
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "main"):
         return False
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id") and any(_is_furniture(v) for v in value.split()):
             return True
-        if name == "role" and value.strip() in _ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
+        if name == "role" and value.strip().lower() in _ROLES:
             return True
     return False
 
@@ -205,10 +226,13 @@ class Page:
         gone = [False] * len(self.parent)
         for n in range(1, len(self.parent)):  # a subtree has a larger number than the one around it
             gone[n] = gone[self.parent[n]] or (n in self.trees and self.trees[n] in template)
-        for at in (1, 2):
-            if any(b[at] for b in self.blocks):
-                return " ".join([b[0] for b in self.blocks if b[at] and not gone[b[3]]])
-        return " ".join([b[0] for b in self.blocks if not gone[b[3]]])
+        left = [b for b in self.blocks if not gone[b[3]]]
+        around = [b for b in left if b[2]] if any(b[2] for b in self.blocks) else left
+        # an article may stand beside a main element, too
+        article = [b for b in left if b[1]]
+        size = lambda blocks: sum(len(b[0]) for b in blocks)
+        chosen = article if any(b[1] for b in self.blocks) and size(article) >= ARTICLE * size(around) else around
+        return " ".join([b[0] for b in chosen])
 
 
 #: A page itself, among the hashes of its subtrees.

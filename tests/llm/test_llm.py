@@ -246,6 +246,18 @@ def test_class_names_of_content_stay():
     assert html_templates.Page(page).text(()) == "kept x"
 
 
+def test_comments_teasers_and_hidden_text():
+    text = lambda body: html_templates.Page(f"<body>{body}</body>").text(())
+    assert text('<article><p>Body text.</p><article class="comment"><p>Nice post!</p></article></article>') == "Body text."
+    assert text("<h1>Title</h1><p>" + "A long story told here. " * 8 + '</p><div><article><a href="/x">Card</a></article></div>') == "Title " + ("A long story told here. " * 8).strip() + " Card"
+    assert text("<article><p>The story</p></article><p>and a line</p>") == "The story"
+    assert text('<article><p hidden>one</p><p aria-hidden="true">two</p><p style="display: none">three</p></article>') == "one two three"
+    for name in ("user-comments", "commentlist", "site-footer-v2", "userComments", "post-comments", "ad-slot-3", "comment-thread", "sidebar right"):
+        assert text(f'<article><p>kept</p><div class="{name}">gone</div></article>') == "kept", name
+    for name in ("related-work", "entry-header", "post-footer", "comments-open", "has-sidebar", "content", "main", "headers-explained", "adventure"):
+        assert text(f'<article><p>kept</p><div class="{name}">too</div></article>') == "kept too", name
+
+
 def test_extraction_on_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r.page_id: r.text for r in html_templates.extract_text(pages).collect()}
