@@ -14,6 +14,7 @@ from .functions import receivers, routes
 from .operators import diff, graph, impact, intent, matching, repair, typecheck
 from .plans import report
 from .sources import files
+from .sources import modules as modules_
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,11 +143,20 @@ def r8_route_scores(spark: SparkSession, d: str) -> DataFrame:
     return c.join(s, "method").select("method", F.substring(routes.exact_key(F.col("segments")), 2, 1000).alias("client_key"), "server_id", score.alias("score"))
 
 
-@query("SELECT event_id, CASE WHEN upper(event_type) IN ('GET','POST','PUT','PATCH','DELETE','OPTIONS','HEAD') THEN upper(event_type) ELSE 'UNKNOWN' END AS method, regexp_matches(lower(event_type), '(axios|api|client|http)') AS is_http, (lower(event_type) IN ('headers','searchparams','map') OR regexp_matches(lower(event_type), '\\.(headers|searchparams|map)$')) AS is_other FROM events")
+#: Verbs and receivers that meet each branch of the rules, as events name them by their numbers.
+_VERBS = ["get", "POST", "Put", "patch", "DELETE", "options", "Head", "fetch", "trace", ""]
+_RECEIVERS = ["axios", "this.httpClient", "apiService", "headers", "res.headers", "url.searchParams", "new Map", "map", "items.map", "clientHeaders", "router", "searchParamsOf"]
+_PICK = lambda names, k: f"CASE {k} % {len(names)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+_VERB, _RECEIVER = _PICK(_VERBS, "event_id"), _PICK(_RECEIVERS, f"CAST(floor(event_id / {len(_VERBS)}) AS BIGINT)")
+
+
+@query(f"""WITH e AS (SELECT event_id, {_VERB} AS verb, {_RECEIVER} AS receiver FROM events)
+SELECT event_id, CASE WHEN upper(verb) IN ('GET','POST','PUT','PATCH','DELETE','OPTIONS','HEAD') THEN upper(verb) ELSE 'UNKNOWN' END AS method, regexp_matches(lower(receiver), '(axios|api|client|http)') AS is_http,
+ (lower(receiver) IN ('headers','searchparams','map') OR regexp_matches(lower(receiver), '\\.(headers|searchparams|map)$')) AS is_other FROM e""")
 def c13_methods_and_receivers(spark: SparkSession, d: str) -> DataFrame:
     """Method names and receivers told apart."""
-    t = F.col("event_type")
-    return table(spark, d, "events").select("event_id", routes.normalize_method(t).alias("method"), receivers.looks_like_http(t).alias("is_http"), receivers.looks_like_other(t).alias("is_other"))
+    verb, receiver = F.expr(_VERB), F.expr(_RECEIVER)
+    return table(spark, d, "events").select("event_id", routes.normalize_method(verb).alias("method"), receivers.looks_like_http(receiver).alias("is_http"), receivers.looks_like_other(receiver).alias("is_other"))
 
 
 # ---------------------------------------------------------------- fields
@@ -559,16 +569,26 @@ def i2_impacts(spark: SparkSession, d: str) -> DataFrame:
     return impact.dedupe_impacts(impact.classify_impacts(_impact_pairs(spark, d))).select("contract_id", "consumer_id", "category", "severity", "confidence", "proof_level")
 
 
-@query(f"""WITH {IMPACTS_SQL}, s AS (SELECT contract_id, count(*) FILTER (severity = 'BREAKING') AS breaking, count(*) FILTER (severity = 'UNKNOWN') AS unknown, count(*) FILTER (category = 'TRANSITIVE') AS transitive, count(*) FILTER (severity = 'WARNING') AS warning, count(*) AS n FROM imp GROUP BY contract_id),
-t AS (SELECT *, CASE contract_id % 4 WHEN 0 THEN 1.5 WHEN 1 THEN 1.2 WHEN 2 THEN 1.0 ELSE 0.7 END AS m FROM s)
-SELECT contract_id, breaking, unknown, CAST(least(100, floor(breaking * m * 16 / 100 + 0.5) * 0 + floor(CAST(breaking AS DOUBLE) * 16 * CAST(m AS DOUBLE) + 0.5) + floor(CAST(unknown AS DOUBLE) * 10 * CAST(m AS DOUBLE) + 0.5) + CASE WHEN contract_id % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN transitive > 3 THEN 25 ELSE 0 END + CASE WHEN breaking > 0 THEN 4 ELSE 0 END) AS INTEGER) AS risk_score, CAST(warning AS DOUBLE) / n AS potential_breaking FROM t""")
+#: Weights under which the scores of customers spread over all levels.
+_RISK = {"breaking": 9.0, "unknown": 3.0, "public_bonus": 7.0, "transitive_threshold": 2, "transitive_bonus": 11.0, "levels": (60, 35, 15)}
+
+
+@query(f"""WITH {IMPACTS_SQL}, o AS (SELECT o_orderkey, o_custkey FROM orders),
+s AS (SELECT o_custkey AS customer, count(*) FILTER (severity = 'BREAKING') AS breaking, count(*) FILTER (severity = 'UNKNOWN') AS unknown, count(*) FILTER (category = 'TRANSITIVE') AS transitive, count(*) FILTER (severity = 'WARNING') AS warning, count(*) AS n FROM imp JOIN o ON o_orderkey = consumer_id GROUP BY o_custkey),
+t AS (SELECT *, CAST(CASE customer % 5 WHEN 0 THEN 1.5 WHEN 1 THEN 1.2 WHEN 2 THEN 1.0 WHEN 3 THEN 0.7 ELSE 1.0 END AS DOUBLE) AS m FROM s),
+p AS (SELECT *, floor(breaking * {_RISK["breaking"]} * m + CAST(0.5 AS DOUBLE)) + floor(unknown * {_RISK["unknown"]} * m + CAST(0.5 AS DOUBLE)) + CASE WHEN customer % 2 = 0 THEN {_RISK["public_bonus"]} ELSE 0 END + CASE WHEN transitive > {_RISK["transitive_threshold"]} THEN {_RISK["transitive_bonus"]} ELSE 0 END
+ + CASE WHEN customer % 3 = 0 AND breaking > 0 THEN floor({_RISK["breaking"]} * CAST(0.25 AS DOUBLE) + CAST(0.5 AS DOUBLE)) ELSE 0 END + CASE WHEN customer % 7 = 0 THEN 5 ELSE 0 END AS points FROM t)
+SELECT customer, breaking, unknown, CAST(least(100, points) AS INTEGER) AS risk_score, CASE WHEN points >= {_RISK["levels"][0]} THEN 'CRITICAL' WHEN points >= {_RISK["levels"][1]} THEN 'HIGH' WHEN points >= {_RISK["levels"][2]} THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+ least(CAST(1 AS DOUBLE), CAST(breaking AS DOUBLE) / n) AS confirmed_breaking, CAST(warning AS DOUBLE) / n AS potential_breaking, CAST(n AS DOUBLE) / (n + 5) AS total_consumers FROM p""")
 def k1_risk(spark: SparkSession, d: str) -> DataFrame:
-    """Summary and risk of each changed nation."""
-    s = impact.summarize(i2_impacts(spark, d), ("contract_id",))
-    k = F.col("contract_id")
-    tier = F.element_at(F.array(*[F.lit(t) for t in impact.TIERS]), (k % 4 + 1).cast("int"))
-    full = s.withColumns({"tier": tier, "is_public": k % 2 == 0, "environment": F.lit("production")})
-    return impact.risk(full).select("contract_id", "breaking", "unknown", "risk_score", "potential_breaking")
+    """Summary and risk of each customer's orders, with a rule of the caller's own."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("customer"))
+    s = impact.summarize(i2_impacts(spark, d).join(o, F.col("consumer_id") == F.col("o_orderkey")), ("customer",))
+    k = F.col("customer")
+    tier = F.element_at(F.array(*[F.lit(t) for t in (*impact.TIERS, "TIER_UNHEARD_OF")]), (k % 5 + 1).cast("int"))
+    full = s.withColumns({"tier": tier, "is_public": k % 2 == 0, "environment": F.when(k % 3 == 0, "production").otherwise("staging")})
+    own = F.when(k % 7 == 0, 5.0).otherwise(0.0)
+    return impact.risk(full, impact.RiskConfig(**_RISK), own).select("customer", "breaking", "unknown", "risk_score", "risk_level", "confirmed_breaking", "potential_breaking", "total_consumers")
 
 
 @query("""SELECT c_custkey AS key, CASE WHEN c_mktsegment = 'BUILDING' THEN 'building' WHEN c_custkey % 9 = 0 THEN 'machines' END AS service, CASE WHEN c_mktsegment = 'BUILDING' THEN 'TIER_0_CRITICAL' WHEN c_custkey % 9 = 0 THEN 'TIER_3_LOW' ELSE 'TIER_2_MEDIUM' END AS tier, coalesce(c_mktsegment = 'BUILDING', false) AS is_public FROM customer""")
@@ -876,6 +896,25 @@ def x5_aliased_imports(spark: SparkSession, d: str) -> DataFrame:
     return out.select("path", "route", "dynamic", F.coalesce(names, F.lit("")).alias("fields"))
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, CAST(floor(c_custkey / 10.0) AS BIGINT) AS g FROM customer), f AS (SELECT k, 'p' || g || '/src/f' || k || '.ts' AS path, g FROM c)
+SELECT path, '@m/f' || k AS specifier, path AS file FROM f UNION ALL SELECT path, '@m/deep/f' || k, path FROM f UNION ALL SELECT f.path, 'first', o.path FROM f JOIN f o ON o.k = f.g * 10
+UNION ALL SELECT path, '@m/f' || k || '.gen', path FROM f WHERE k % 2 = 0 UNION ALL SELECT f.path, './f' || (f.k + 1), o.path FROM f JOIN f o ON o.k = f.k + 1 AND o.g = f.g""")
+def x6_module_files(spark: SparkSession, d: str) -> DataFrame:
+    """Where the imports of every customer's file lead, by aliases of its project's settings (one for ten customers) or by relative path."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k.alias("k"), F.floor(k / 10).alias("g"), F.concat(F.lit("p"), F.floor(k / 10)).alias("p"))
+    own = F.concat(F.lit("src/f"), "k", F.lit(".ts"))
+    text = F.concat(F.lit('{"compilerOptions":{"baseUrl":".","paths":{"@m/*":["src/*"],"other/*":["none/*"],"@m/deep/*":["deep/*","src/*"], // one file\n"first":["src/f'), F.col("g") * 10, F.lit('.ts"],"@m/*.gen":["gen/*","src/*"],},}}'))
+    here = F.lit("now").alias("snapshot")
+    modules = c.select(here, F.concat_ws("/", "p", own).alias("path"), F.lit("ts").alias("lang"), F.lit("").alias("text"))
+    settings = c.select("p", "g").distinct().select(here, F.concat("p", F.lit("/tsconfig.json")).alias("path"), F.lit("tsconfig").alias("lang"), text.alias("text"))
+    name = F.concat(F.lit("f"), "k")
+    generated = F.when(F.col("k") % 2 == 0, F.concat(F.lit("@m/"), name, F.lit(".gen")))
+    specifiers = F.array(F.concat(F.lit("@m/"), name), F.concat(F.lit("@m/deep/"), name), F.lit("first"), generated, F.concat(F.lit("./f"), F.col("k") + 1), F.lit("@m/nothing"), F.lit("@n/x"))
+    asked = c.select(here, F.concat_ws("/", "p", own).alias("path"), F.explode(F.array_compact(specifiers)).alias("specifier"))
+    return modules_.module_files(asked, modules.unionByName(settings)).select("path", "specifier", "file")
+
+
 @query("""WITH n AS (SELECT n_nationkey AS k, '/api/r' || n_regionkey || CASE n_nationkey % 4 WHEN 0 THEN '/n' || n_nationkey || '/:id' ELSE '/n' || n_nationkey END AS route FROM nation)
 SELECT route, 'GET' AS method, CASE k % 3 WHEN 0 THEN 'pong' WHEN 1 THEN 'list,n' || k ELSE 'one' END AS fields FROM n UNION ALL SELECT route, 'POST', 'done' FROM n WHERE k % 3 = 1""")
 def v11_pages_api(spark: SparkSession, d: str) -> DataFrame:

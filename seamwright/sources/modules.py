@@ -71,7 +71,10 @@ def nearest_settings(folders: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def module_files(asked: DataFrame, files: DataFrame) -> DataFrame:
-    """Asked (snapshot, path, specifier) with file, the module's source, where it is one of the table's."""
+    """Asked (snapshot, path, specifier) with file, the module's source, where it is one of the table's.
+
+    Of a settings file's aliases an import only meets those whose letters before the star it starts with.
+    """
     asked = asked.select("snapshot", "path", "specifier").distinct()
     endings = lambda base: F.transform(F.array(*[F.lit(x) for x in SUFFIXES]), lambda x: F.concat(base, x))
     zero = F.lit(0)
@@ -79,13 +82,17 @@ def module_files(asked: DataFrame, files: DataFrame) -> DataFrame:
     near = asked.where("startswith(specifier, '.')").select("snapshot", "path", "specifier", zero.alias("pattern"), zero.alias("target"), F.posexplode(endings(relative)).alias("ending", "file"))
     bare = asked.where("not startswith(specifier, '.')").withColumn("folder", folder_of(F.col("path")))
     of = nearest_settings(bare.select("snapshot", "folder").distinct(), files)
-    known = aliases(files).withColumnRenamed("path", "settings")
-    each = bare.join(of, ["snapshot", "folder"]).join(known, ["snapshot", "settings"]).select("snapshot", "path", "specifier", "base", F.posexplode("paths").alias("pattern", "entry"))
-    key, spec = F.col("entry.key"), F.col("specifier")
-    star = F.locate("*", key)
-    head, tail = F.when(star > 0, F.substr(key, F.lit(1), star - 1)).otherwise(key), F.when(star > 0, F.substr(key, star + 1)).otherwise(F.lit(""))
-    fits = F.when(star > 0, F.startswith(spec, head) & F.endswith(spec, tail) & (F.length(spec) >= F.length(head) + F.length(tail))).otherwise(spec == key)
-    part = F.when(star > 0, F.substr(spec, F.length(head) + 1, F.length(spec) - F.length(head) - F.length(tail))).otherwise(F.lit(""))
+    known = aliases(files).select("snapshot", F.col("path").alias("settings"), "base", F.posexplode("paths").alias("pattern", "entry"))
+    star = F.locate("*", F.col("entry.key"))
+    known = known.withColumn("star", star > 0).withColumn("head", F.when(star > 0, F.substr("entry.key", F.lit(1), star - 1)).otherwise(F.col("entry.key")))
+    known = known.withColumn("tail", F.when(star > 0, F.substr("entry.key", star + 1)).otherwise(F.lit("")))
+    # an index of patterns by their first letters: an import asks for its own beginnings, of lengths that some pattern has
+    sizes = known.groupBy("snapshot", "settings").agg(F.collect_set(F.length("head")).alias("sizes"))
+    spec, head, tail, star = F.col("specifier"), F.col("head"), F.col("tail"), F.col("star")
+    asks = bare.join(of, ["snapshot", "folder"]).join(sizes, ["snapshot", "settings"]).withColumn("size", F.explode(F.filter("sizes", lambda n: n <= F.length("specifier"))))
+    each = asks.withColumn("head", F.substr("specifier", F.lit(1), F.col("size"))).join(known, ["snapshot", "settings", "head"])
+    fits = F.when(star, F.endswith(spec, tail) & (F.length(spec) >= F.length(head) + F.length(tail))).otherwise(spec == head)
+    part = F.when(star, F.substr(spec, F.length(head) + 1, F.length(spec) - F.length(head) - F.length(tail))).otherwise(F.lit(""))
     hit = each.where(fits).select("snapshot", "path", "specifier", "base", "pattern", part.alias("part"), F.posexplode("entry.value").alias("target", "to"))
     at = F.locate("*", F.col("to"))
     filled = F.when(at > 0, F.concat(F.substr(F.col("to"), F.lit(1), at - 1), "part", F.substr(F.col("to"), at + 1))).otherwise(F.col("to"))
