@@ -23,12 +23,6 @@ from .sources.files import parse_errors, read_files
 FORMATS = ("text", "json", "markdown", "sarif")
 
 
-def _render(findings: DataFrame, kind: str) -> str:
-    if kind == "json":
-        return json.dumps([json.loads(r) for r in findings.orderBy("file", "line", "ord").toJSON().toLocalIterator()], indent=2)
-    return {"text": report.text, "markdown": report.markdown, "sarif": report.sarif}[kind](findings)
-
-
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="seamwright", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -60,10 +54,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     settings = config.load(".")
     spark = spark or SparkSession.builder.appName("seamwright").getOrCreate()
     text, code = (_trees if args.command in ("check", "validate") else _snapshots)(args, settings, spark, parser)
-    if args.out:
-        Path(args.out).write_text(text)
-    else:
-        print(text)
+    report.deliver(text, args.out)
     return code
 
 
@@ -71,7 +62,7 @@ def _read(spark: SparkSession, folder: str) -> DataFrame:
     return read_files(spark, str(Path(folder).resolve()))
 
 
-def _trees(args: argparse.Namespace, settings: config.Config, spark: SparkSession, parser: argparse.ArgumentParser) -> tuple[str, int]:
+def _trees(args: argparse.Namespace, settings: config.Config, spark: SparkSession, parser: argparse.ArgumentParser) -> tuple[report.Report | str, int]:
     """H15, H17."""
     roots = config.project_roots(".") or (None, None)
     client, server = args.client or settings.client or roots[0], args.server or settings.server or roots[1]
@@ -83,13 +74,13 @@ def _trees(args: argparse.Namespace, settings: config.Config, spark: SparkSessio
             print(f"seamwright: {r.path} could not be read: {r.error}", file=sys.stderr)
     if args.command == "validate":
         faults = cut(graph_faults(*trees, args.threshold))
-        text = json.dumps([r.asDict() for r in faults.orderBy("severity", "code", "subject").toLocalIterator()], indent=2) if args.format == "json" else report.validation_text(faults)
+        text = report.json_rows(faults, "severity", "code", "subject") if args.format == "json" else report.validation_text(faults)
         return text, int(not faults.where("severity = 'error'").isEmpty() or (args.strict and not faults.isEmpty()))
     found = cut(check_trees(*trees, args.threshold))
-    return _render(found, args.format), int(not found.where("severity = 'error'").isEmpty())
+    return report.render(found, args.format), int(not found.where("severity = 'error'").isEmpty())
 
 
-def _snapshots(args: argparse.Namespace, settings: config.Config, spark: SparkSession, parser: argparse.ArgumentParser) -> tuple[str, int]:
+def _snapshots(args: argparse.Namespace, settings: config.Config, spark: SparkSession, parser: argparse.ArgumentParser) -> tuple[report.Report | str, int]:
     """H14, H16, H18."""
     if args.rename and args.widen_optional:
         parser.error("--rename and --widen-optional exclude each other")
@@ -135,9 +126,10 @@ def _snapshots(args: argparse.Namespace, settings: config.Config, spark: SparkSe
         text = report.impact_markdown(rows, summary, told["summary_verdict"], told["next_actions"])
     else:
         whole = {"summary": summary, "verdict": told["summary_verdict"], "repair_available": told["repair_available"], "next_actions": told["next_actions"], **extra}
-        if args.format == "json" and args.command == "impact":
-            whole["impacts"] = [r.asDict() for r in rows.orderBy("contract_id", "consumer_id").toLocalIterator()]
         text = json.dumps(whole, indent=2) if args.format == "json" else "\n".join([f"{told['summary_verdict']}: {n.first().asDict()}", *[f"NEXT: {a}" for a in told["next_actions"]]])
+        if args.format == "json" and args.command == "impact":
+            listed = report.json_rows(rows, "contract_id", "consumer_id")
+            text = listed._replace(head=text.removesuffix("\n}") + ',\n  "impacts": ' + listed.head, tail="\n]}\n")
     code = {"impact": summary["breaking"] > 0, "agent-check": extra.get("status") != "COMPLETE", "fix": bool(extra.get("skipped")) and not extra.get("patched")}[args.command]
     return text, int(code)
 

@@ -1,19 +1,69 @@
-"""Reports (S19-S26): rows ordered and folded to JSON, Markdown or text."""
+"""Reports (S19-S26): findings as ordered lines, rendered in Spark and streamed from there.
+
+A Report is a head, lines in an order that tasks share by ranges, and a tail; head and tail come from counts. Lines are written as
+text by the tasks, and `emit` passes them on one by one, so no report has to fit on the driver. SARIF logs of
+many files, one by each task, are written by the data source of sources/sarif.py.
+"""
 
 from __future__ import annotations
 
+import io
 import json
+import sys
+import uuid
+from collections.abc import Callable
+from typing import NamedTuple, TextIO
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .check import place_of
+from .scratch import cut, scratch_root
 
 # Fixed values of the SARIF format.
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 
+class Report(NamedTuple):
+    """lines: one column `value`, in order, without line feeds; between: what stands between two lines, before the line feed."""
+
+    head: str
+    lines: DataFrame
+    tail: str
+    between: str = ""
+
+
+def emit(report: Report, out: TextIO) -> None:
+    """Write a report. Its lines are computed and written by the tasks; here they are only copied, one at a time."""
+    folder = f"{scratch_root(report.lines.sparkSession)}/seamwright/report-{uuid.uuid4().hex}"
+    report.lines.write.text(folder)
+    store, at = fs.FileSystem.from_uri(folder)
+    try:
+        out.write(report.head)
+        first = True
+        for part in sorted(f.path for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.startswith("part-")):
+            with store.open_input_stream(part) as raw:
+                for line in io.TextIOWrapper(raw, "utf-8", newline="\n"):
+                    out.write(("" if first else f"{report.between}\n") + line.removesuffix("\n"))
+                    first = False
+        out.write(report.tail)
+    finally:
+        store.delete_dir(at)
+
+
+def written(report: Report) -> str:
+    """A small report as a string."""
+    out = io.StringIO()
+    emit(report, out)
+    return out.getvalue()
+
+
+def one_line(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\r\n]+", " ")
+
+
 def relative(path: Column, base: str) -> Column:
     """POSIX path below base; one outside it stays as it is."""
     clean = F.regexp_replace(path, r"\\", "/")
@@ -30,34 +80,60 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return rows.select(F.col("kind").alias("rule_id"), "results", level(F.col("kind")).alias("level"))
 
 
-def sarif(findings: DataFrame, tool: str = "seamwright") -> str:
-    """A SARIF log. findings: ord, kind, severity, message, file, line, column; a report is read by people, so it is built on the driver."""
-    rules: dict[str, dict] = {}
-    results = []
-    for r in findings.where("file is not null").orderBy("ord", "file", "line").toLocalIterator():
-        rules.setdefault(r.kind, {"id": r.kind, "defaultConfiguration": {"level": "note" if r.kind == "unresolved-route" else "error"}})
-        place = {"physicalLocation": {"artifactLocation": {"uri": r.file}, "region": {"startLine": r.line, "startColumn": r.column}}}
-        results.append({"ruleId": r.kind, "level": r.severity, "message": {"text": r.message}, "locations": [place]})
-    run = {"tool": {"driver": {"name": tool, "rules": list(rules.values())}}, "results": results}
-    return json.dumps({"$schema": SARIF_SCHEMA, "version": SARIF_VERSION, "runs": [run]}, indent=2)
+def _log(results: DataFrame, rules: list[dict], tool: str) -> Report:
+    """One SARIF log of results (value: JSON, in order)."""
+    driver = json.dumps({"name": tool, "rules": rules})
+    head = f'{{"$schema": {json.dumps(SARIF_SCHEMA)}, "version": "{SARIF_VERSION}", "runs": [{{"tool": {{"driver": {driver}}}, "results": [\n'
+    return Report(head, results, "\n]}]}\n", ",")
+
+
+def _place() -> Column:
+    region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"))
+    return F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
 
 
-def markdown(findings: DataFrame, title: str = "Contract check") -> str:
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """Findings (ord, kind, severity, message, file, line, column) that have a place, as rows of the SARIF source: rule_id, level, message, file, line, column."""
+    ordered = findings.where("file is not null").orderBy("ord", "file", "line", "column", "kind")
+    return ordered.select(F.col("kind").alias("rule_id"), F.col("severity").alias("level"), "message", "file", F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"))
+
+
+def sarif(findings: DataFrame, tool: str = "seamwright") -> Report:
+    """A SARIF log of findings."""
+    rules = [{"id": r["rule_id"], "defaultConfiguration": {"level": r["level"]}} for r in sarif_rules(findings).orderBy("rule_id").collect()]  # one for each kind of finding
+    body = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), _place().alias("locations"))
+    return _log(sarif_results(findings).select(F.to_json(body).alias("value")), rules, tool)
+
+
+def _sorted(findings: DataFrame) -> DataFrame:
+    return findings.orderBy("ord", "file", "line", "column", "kind")
+
+
+def _at() -> Column:
+    return F.concat(F.coalesce("file", F.lit("None")), F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("None")))
+
+
+def markdown(findings: DataFrame, title: str = "Contract check") -> Report:
     """A comment with a marker line; a short one where nothing was found."""
-    rows = list(findings.orderBy("ord", "file", "line").toLocalIterator())
-    head = [f"<!-- {title.lower().replace(' ', '-')} -->", f"## {title}", ""]
-    if not rows:
-        return "\n".join([*head, "No contract violations found.", ""])
-    body = ["| Severity | Kind | Place | Message |", "|---|---|---|---|"]
-    body += [f"| {r.severity} | {r.kind} | {r.file}:{r.line} | {r.message} |" for r in rows]
-    return "\n".join([*head, *body, ""])
+    head = f"<!-- {title.lower().replace(' ', '-')} -->\n## {title}\n\n"
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "severity", "kind", _at(), one_line(F.col("message"))), F.lit(" |"))
+    lines = _sorted(findings).select(line.alias("value"))
+    if findings.isEmpty():
+        return Report(head + "No contract violations found.\n", lines, "")
+    return Report(head + "| Severity | Kind | Place | Message |\n|---|---|---|---|\n", lines, "\n")
 
 
-def text(findings: DataFrame) -> str:
+def text(findings: DataFrame) -> Report:
     """S23."""
-    rows = list(findings.orderBy("ord", "file", "line").toLocalIterator())
-    lines = [f"{r.severity.upper():8}{r.kind} {r.file}:{r.line} {r.message}" for r in rows]
-    return "\n".join([*lines, f"{len(rows)} finding{'' if len(rows) == 1 else 's'}", ""])
+    n = findings.count()
+    line = F.concat(F.rpad(F.upper("severity"), 8, " "), "kind", F.lit(" "), _at(), F.lit(" "), one_line(F.col("message")))
+    return Report("", _sorted(findings).select(line.alias("value")), ("\n" if n else "") + f"{n} finding{'' if n == 1 else 's'}\n")
+
+
+def json_rows(rows: DataFrame, *order: str) -> Report:
+    """Rows as one JSON list."""
+    ordered = rows.orderBy(*order)
+    return Report("[\n", ordered.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("value")), "\n]\n", ",")
 
 
 def impact_findings(impacts: DataFrame) -> DataFrame:
@@ -82,43 +158,60 @@ def impact_findings(impacts: DataFrame) -> DataFrame:
     )
 
 
-def _ordered(impacts: DataFrame) -> list:
-    return list(impact_findings(impacts).orderBy("contract_id", "file", "line", "column").toLocalIterator())
+def _ordered(impacts: DataFrame) -> DataFrame:
+    return cut(impact_findings(impacts)).orderBy("contract_id", "file", "line", "column", "consumer_id")
 
 
-def impact_sarif(impacts: DataFrame, risk: dict, tool: str = "seamwright") -> str:
+def impact_sarif(impacts: DataFrame, risk: dict, tool: str = "seamwright") -> Report:
     """A SARIF log of impacts, and of the risk (risk_score, risk_level) unless it is low."""
-    rules: dict[str, dict] = {}
-    results = []
-    rule = lambda key, text, level: rules.setdefault(key, {"id": key, "fullDescription": {"text": text}, "defaultConfiguration": {"level": level}})
-    for r in _ordered(impacts):
-        rule(r.rule_id, r.reason, r.level)
-        place = {"physicalLocation": {"artifactLocation": {"uri": r.file}, "region": {"startLine": r.line, "startColumn": r.column}}}
-        results.append({"ruleId": r.rule_id, "level": r.level, "message": {"text": r.message}, "locations": [place], "properties": {"contractId": r.contract_id, "dependencyCategory": r.category, "confidence": r.confidence}})
-    if risk["risk_level"] != "LOW":
-        key, level = f"contract-risk-{risk['risk_level'].lower()}", "error" if risk["risk_level"] == "CRITICAL" else "warning"
-        text = f"Risk score {risk['risk_score']} of 100"
-        rule(key, text, level)
-        results.append({"ruleId": key, "level": level, "message": {"text": text}, "properties": {"riskScore": risk["risk_score"], "riskLevel": risk["risk_level"]}})
-    run = {"tool": {"driver": {"name": tool, "rules": list(rules.values())}}, "results": results}
-    return json.dumps({"$schema": SARIF_SCHEMA, "version": SARIF_VERSION, "runs": [run]}, indent=2)
-
-
-def impact_markdown(impacts: DataFrame, risk: dict, verdict: str, actions: list[str]) -> str:
+    rows = _ordered(impacts)
+    used = rows.groupBy("rule_id").agg(F.min(F.struct("contract_id", "file", "line", "column", "consumer_id", "reason", "level")).alias("x")).orderBy("rule_id").collect()  # one for each severity
+    rules = [{"id": r["rule_id"], "fullDescription": {"text": r["x"]["reason"]}, "defaultConfiguration": {"level": r["x"]["level"]}} for r in used]
+    own = F.struct(F.col("contract_id").alias("contractId"), F.col("category").alias("dependencyCategory"), "confidence")
+    body = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), _place().alias("locations"), own.alias("properties"))
+    log = _log(rows.select(F.to_json(body).alias("value")), rules, tool)
+    if risk["risk_level"] == "LOW":
+        return log
+    key, level = f"contract-risk-{risk['risk_level'].lower()}", "error" if risk["risk_level"] == "CRITICAL" else "warning"
+    told = f"Risk score {risk['risk_score']} of 100"
+    rules.append({"id": key, "fullDescription": {"text": told}, "defaultConfiguration": {"level": level}})
+    last = json.dumps({"ruleId": key, "level": level, "message": {"text": told}, "properties": {"riskScore": risk["risk_score"], "riskLevel": risk["risk_level"]}})
+    log = _log(log.lines, rules, tool)
+    return log._replace(tail=("" if rows.isEmpty() else ",\n") + last + log.tail)
+
+
+def impact_markdown(impacts: DataFrame, risk: dict, verdict: str, actions: list[str]) -> Report:
     """A comment on impacts, with the verdict and what to do next."""
     rows = _ordered(impacts)
-    n = {k: sum(r.severity == k for r in rows) for k in ("BREAKING", "WARNING", "SAFE", "UNKNOWN")}
+    n = dict.fromkeys(("BREAKING", "WARNING", "SAFE", "UNKNOWN"), 0) | {r["severity"]: r["n"] for r in rows.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).collect()}
     worst = next((k for k in ("BREAKING", "WARNING") if n[k]), "CLEAN")
-    lines = ["<!-- seamwright-impact-report -->", f"### {worst}: contract impact", "", f"**Risk:** {risk['risk_level']} ({risk['risk_score']}/100)", "", " · ".join(f"{v} {k.lower()}" for k, v in n.items()), ""]
-    lines += [f"- **{r.severity}** [{r.category}] {r.reason} `{r.file}:{r.line}` (proof: {r.proof_level})" for r in rows]
-    return "\n".join([*lines, "", f"**Verdict:** {verdict}", "", *[f"- {a}" for a in actions], ""])
+    head = ["<!-- seamwright-impact-report -->", f"### {worst}: contract impact", "", f"**Risk:** {risk['risk_level']} ({risk['risk_score']}/100)", "", " · ".join(f"{v} {k.lower()}" for k, v in n.items()), "", ""]
+    line = F.concat(F.lit("- **"), "severity", F.lit("** ["), "category", F.lit("] "), one_line(F.coalesce("reason", F.lit(""))), F.lit(" `"), _at(), F.lit("` (proof: "), F.coalesce("proof_level", F.lit("None")), F.lit(")"))
+    return Report("\n".join(head), rows.select(line.alias("value")), "\n".join(["", "", f"**Verdict:** {verdict}", "", *[f"- {a}" for a in actions], ""]))
 
 
-def validation_text(faults: DataFrame) -> str:
+def validation_text(faults: DataFrame) -> Report:
     """Faults of a graph (code, severity, subject), errors first."""
-    rows = list(faults.orderBy("severity", "code", "subject").toLocalIterator())
-    if not rows:
-        return "The contract graph is valid.\n"
-    errors = [r for r in rows if r.severity == "error"]
-    head = [f"Contract graph: {'INVALID' if errors else 'VALID (with warnings)'}", f"{len(errors)} errors, {len(rows) - len(errors)} warnings", ""]
-    return "\n".join([*head, *[f"  {r.severity.upper()} [{r.code}] {r.subject}" for r in rows], ""])
+    n, errors = faults.agg(F.count(F.lit(1)), F.count_if(F.col("severity") == "error")).first()
+    line = F.concat(F.lit("  "), F.upper("severity"), F.lit(" ["), "code", F.lit("] "), one_line(F.col("subject")))
+    lines = faults.orderBy("severity", "code", "subject").select(line.alias("value"))
+    if not n:
+        return Report("The contract graph is valid.\n", lines, "")
+    return Report(f"Contract graph: {'INVALID' if errors else 'VALID (with warnings)'}\n{errors} errors, {n - errors} warnings\n\n", lines, "\n")
+
+
+def render(findings: DataFrame, kind: str) -> Report:
+    """Findings in one of the formats of the command line."""
+    if kind == "json":
+        return json_rows(findings, "file", "line", "ord", "kind")
+    forms: dict[str, Callable[[DataFrame], Report]] = {"text": text, "markdown": markdown, "sarif": sarif}
+    return forms[kind](findings)
+
+
+def deliver(report: Report | str, path: str | None) -> None:
+    """To a file, else to standard output."""
+    if path is None:
+        (print(report) if isinstance(report, str) else emit(report, sys.stdout))
+        return
+    with open(path, "w", encoding="utf-8") as out:
+        (out.write(report) if isinstance(report, str) else emit(report, out))

@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the reliable checkpoint folder; a folder of its own only where a local session names none."""
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context._jsc.sc().getCheckpointDir().isDefined():
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a folder of its own only where a local session names none."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and context._jsc.sc().getCheckpointDir().isDefined():
+        root = context._jsc.sc().getCheckpointDir().get()
+    if root is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(f"file:///tmp/seamwright-checkpoints-{uuid.uuid4().hex}")
+        root = f"file:///tmp/seamwright-checkpoints-{uuid.uuid4().hex}"
+        context.setCheckpointDir(root)
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the reliable checkpoint folder."""
+    scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)

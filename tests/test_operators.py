@@ -224,25 +224,25 @@ def test_intents():
 
 def test_reports(spark):
     f = spark.createDataFrame([(0, "missing-field", "error", "gone", "a.ts", 3, 1), (1, "unresolved-route", "note", "lost", None, None, None)], "ord int, kind string, severity string, message string, file string, line int, column int")
-    log = json.loads(report.sarif(f))
+    log = json.loads(report.written(report.sarif(f)))
     assert log["version"] == "2.1.0" and [r["ruleId"] for r in log["runs"][0]["results"]] == ["missing-field"]
-    assert "| error | missing-field | a.ts:3 | gone |" in report.markdown(f)
-    assert "No contract violations" in report.markdown(f.limit(0))
-    assert report.text(f).endswith("2 findings\n")
+    assert "| error | missing-field | a.ts:3 | gone |" in report.written(report.markdown(f))
+    assert "No contract violations" in report.written(report.markdown(f.limit(0)))
+    assert report.written(report.text(f)).endswith("2 findings\n")
 
 
 def test_impact_reports(spark):
     cols = "contract_id string, consumer_id string, severity string, category string, reason string, confidence double, proof_level string"
     rows = spark.createDataFrame([("c", "a/b.ts:3:7:GET:/x", "BREAKING", "DIRECT", "gone", 89.5, "PROVEN"), ("c", "z.ts:1:1:GET:/x", "SAFE", "UNUSED", "fine", 100.0, "PROVEN")], cols)
-    log = json.loads(report.impact_sarif(rows, {"risk_score": 80, "risk_level": "CRITICAL"}))["runs"][0]
+    log = json.loads(report.written(report.impact_sarif(rows, {"risk_score": 80, "risk_level": "CRITICAL"})))["runs"][0]
     assert [(r["ruleId"], r["level"]) for r in log["results"]] == [("impact-breaking", "error"), ("impact-safe", "note"), ("contract-risk-critical", "error")]
     assert log["results"][0]["message"]["text"] == "gone [DIRECT, confidence 90%]" and log["results"][0]["locations"][0]["physicalLocation"]["region"] == {"startLine": 3, "startColumn": 7}
-    assert len(json.loads(report.impact_sarif(rows, {"risk_score": 1, "risk_level": "LOW"}))["runs"][0]["results"]) == 2
-    text = report.impact_markdown(rows, {"risk_score": 80, "risk_level": "CRITICAL"}, "FAIL", ["mend it"])
+    assert len(json.loads(report.written(report.impact_sarif(rows, {"risk_score": 1, "risk_level": "LOW"})))["runs"][0]["results"]) == 2
+    text = report.written(report.impact_markdown(rows, {"risk_score": 80, "risk_level": "CRITICAL"}, "FAIL", ["mend it"]))
     assert "### BREAKING" in text and "`a/b.ts:3`" in text and "**Verdict:** FAIL" in text and "- mend it" in text
     faults = spark.createDataFrame([("orphan-edge", "error", "e1"), ("duplicate-node-id", "warning", "n1")], "code string, severity string, subject string")
-    assert report.validation_text(faults).splitlines()[:2] == ["Contract graph: INVALID", "1 errors, 1 warnings"] and "valid" in report.validation_text(faults.limit(0))
-    assert "VALID (with warnings)" in report.validation_text(faults.where("severity = 'warning'"))
+    assert report.written(report.validation_text(faults)).splitlines()[:2] == ["Contract graph: INVALID", "1 errors, 1 warnings"] and "valid" in report.written(report.validation_text(faults.limit(0)))
+    assert "VALID (with warnings)" in report.written(report.validation_text(faults.where("severity = 'warning'")))
 
 
 def test_explanations(spark):
