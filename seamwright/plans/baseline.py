@@ -1,15 +1,13 @@
-"""Files of a git revision as the table of files (S16, H14): read by git, never checked out."""
+"""Files of a git revision as the table of files (S16, H14): read by git in tasks, never checked out."""
 
 from __future__ import annotations
 
-import io
 import subprocess
-import tarfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.files import IGNORED, LANGUAGES, in_memory
+from ..sources import git
 
 
 def git_root(folder: str | Path = ".") -> Path:
@@ -22,23 +20,12 @@ def package_root() -> Path:
 
 
 def files_of(spark: SparkSession, ref: str, folder: str | Path, root: str | Path | None = None) -> DataFrame:
-    """Files below `folder` as they were at `ref`; EMPTY, or an id of zeros only, is an empty tree. The folder must lie in the repository.
-
-    A repository fits on the driver that holds it; its sources become rows of the files table there.
-    """
+    """Files below `folder` as they were at `ref`; EMPTY, or an id of zeros only, is an empty tree. The folder must lie in the repository."""
     root = Path(root) if root is not None else git_root()
     target = Path(folder).resolve()
     if not target.is_relative_to(root.resolve()):
         raise ValueError(f"{folder} is not in the git repository")
     below = target.relative_to(root.resolve()).as_posix()
-    found: dict[str, str] = {}
-    if ref != "EMPTY" and set(ref) != {"0"}:
-        packed = subprocess.run(["git", "-C", str(root), "archive", ref, *([] if below == "." else ["--", below])], check=True, capture_output=True).stdout
-        with tarfile.open(fileobj=io.BytesIO(packed)) as tar:
-            for entry in tar:
-                path = Path(entry.name).relative_to(below)
-                hidden = any(p in IGNORED or p.startswith(".") for p in path.parts[:-1])
-                kept = path.suffix[1:] in LANGUAGES or (path.name.startswith("tsconfig") and path.suffix == ".json")
-                if entry.isfile() and kept and not hidden:
-                    found[path.as_posix()] = tar.extractfile(entry).read().decode("utf-8", "replace")
-    return in_memory(spark, found, ref)
+    git.register(spark)
+    options = {"repository": str(root.resolve()), "revision": ref, "folder": "" if below == "." else below}
+    return spark.read.format("git_files").options(**options).load()
