@@ -88,6 +88,29 @@ def repair_files(files: DataFrame, impacts: DataFrame, kind: str, old: str, new:
     return rows.mapInArrow(run, "snapshot string, path string, lang string, text string, status string")
 
 
+def repair_versions(files: DataFrame, impacts: DataFrame) -> DataFrame:
+    """M5, M6 for many intents: folder, path, lang, text, status of each file that an intent's first BREAKING impact there names.
+
+    impacts: folder (of the intent), path, severity, field_level_match, confidence, ord, and the intent's kind, old and new.
+    """
+    order = F.struct("ord", "field_level_match", "confidence", "kind", "old", "new")
+    first = impacts.where("severity = 'BREAKING'").groupBy("folder", "path").agg(F.min(order).alias("x"))
+    able = F.col("x.field_level_match") & (F.col("x.confidence") >= LEAST_CONFIDENCE)
+    judged = first.select("folder", F.col("path").alias("p"), able.alias("able"), "x.kind", "x.old", "x.new")
+    rows = files.join(judged, F.col("path") == F.col("p")).select("folder", "path", "lang", "text", "able", "kind", "old", "new")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, status = [], []
+            for text, able, kind, old, new in zip(*(batch.column(k).to_pylist() for k in range(3, 8)), strict=True):
+                out = TRANSFORMS[kind](text, old, new) if able and text is not None and kind in TRANSFORMS else text
+                texts.append(out)
+                status.append("skipped: not certain enough" if not able else "patched" if out != text else "skipped: nothing to edit")
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(texts, pa.string()), pa.array(status, pa.string())], ["folder", "path", "lang", "text", "status"])
+
+    return rows.mapInArrow(run, "folder string, path string, lang string, text string, status string")
+
+
 def receipt_verdict(has_intent: Column, repairable: Column, before: Column, after: Column, breaking: Column, unknown: Column, new_breaking: Column, still_breaking: Column, patched: Column) -> Column:
     """M7, M8. before and after: the intent's verdict without and with the patches; breaking and unknown: counts of all impacts before."""
     complete = before == "COMPLETE"

@@ -95,8 +95,7 @@ def graph_faults(client_files: DataFrame, server_files: DataFrame, threshold: fl
 
 
 def snapshot_impacts(changes: DataFrame, client_files: DataFrame, base: DataFrame, current: DataFrame, base_client: DataFrame | None, threshold: float) -> DataFrame:
-    widened = lambda c: (c["kind"] == "optionality-changed") & F.contains(c["before"], F.lit('"optional":false')) & F.contains(c["after"], F.lit('"optional":true'))
-    listed = F.transform("field_changes", lambda c: F.struct(F.regexp_replace(c["path"], r"^root\.", "").alias("path"), c["kind"].alias("kind"), F.coalesce(widened(c), F.lit(False)).alias("widened")))
+    listed = F.transform("field_changes", lambda c: F.struct(F.regexp_replace(c["path"], r"^root\.", "").alias("path"), c["kind"].alias("kind"), diff.widened(c).alias("widened")))
     changed = changes.select("contract_id", F.col("kind").alias("change_kind"), listed.alias("changes"))
     now = changed.where("change_kind <> 'removed'").join(_consumers(client_files, current, threshold), "contract_id")
     then = changed.where("change_kind = 'removed'").join(_consumers(base_client if base_client is not None else client_files, base, threshold), "contract_id")

@@ -943,6 +943,26 @@ def m7_receipt(spark: SparkSession, d: str) -> DataFrame:
     return made.summary.select("verdict", "fixed", "still", "new", F.col("patched").cast("long").alias("patched"))
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS m FROM customer) SELECT k AS intent_id, CASE m WHEN 0 THEN 'INCOMPLETE' WHEN 1 THEN 'UNVERIFIED' WHEN 2 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS before, CASE m WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'UNVERIFIED' WHEN 2 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS after,
+ CAST(CASE WHEN m IN (0, 2) THEN 1 ELSE 0 END AS BIGINT) AS fixed, CAST(0 AS BIGINT) AS still, CAST(0 AS BIGINT) AS new, CAST(CASE WHEN m IN (0, 2) THEN 1 ELSE 0 END AS BIGINT) AS patched, CASE m WHEN 0 THEN 'PROVEN' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS verdict FROM c""")
+def m7_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """A1, M5-M8: one rename per customer's route, all proven or refuted in one analysis."""
+    from .plans.receipt import build_receipts
+
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k.alias("k"), (k % 4).alias("m"))
+    path = lambda prefix, end: F.concat(F.lit(prefix), "k", F.lit(end))
+    call = F.concat(F.lit("import { API } from './shared';\nconst res = await axios.get(`${API}/c"), "k", F.lit("`);\n"))
+    reads = F.when(F.col("m") == 3, "show(res.name);\n").otherwise("show(res.email, res.name);\n")
+    clients = c.select(path("web/a", ".ts").alias("path"), F.concat(call, reads).alias("text"))
+    odd = c.where("m = 2").select(path("web/b", ".ts").alias("path"), F.concat(call, F.lit("show(res[key]);\n")).alias("text"))
+    shared = spark.createDataFrame([("web/shared.ts", "export const API = '/api';\n")], "path string, text string")
+    server = lambda name: _source_files(c.select(path("s", ".ts").alias("path"), F.concat(F.lit("app.get('/api/c"), "k", F.lit("', (req, res) => { res.json({ id: 1, name: 'x', "), name, F.lit(": 'y' }) });")).alias("text")))
+    now = F.when(F.col("m") == 1, "email").otherwise("emailAddress")
+    asked = c.select(F.col("k").alias("intent_id"), F.lit("rename-field").alias("kind"), path("contract:GET:/api/c", "").alias("contract_id"), F.lit("email").alias("old"), F.lit("emailAddress").alias("new"))
+    return build_receipts(_source_files(clients, odd, shared), server(F.lit("email")), server(now), asked)
+
+
 @query(f"""WITH {SERVERS}, {CLIENTS}, {MATCHED} SELECT m.client_id, 'Client call to ' || c.method || ' r could not be confidently resolved to any server handler' || CASE m.reason WHEN 'no-same-method-candidates' THEN ': no server handler exists for ' || c.method || ' at all.' WHEN 'opaque-dynamic-route' THEN ': every segment of the client path is a runtime value, so there is no literal path evidence to match against (typically a base URL or full URL held in a variable).'
  WHEN 'no-dynamic-route' THEN ': the client path is static and no exact server match exists (fuzzy matching is only attempted for dynamically-built paths, to avoid guesses like ''/users'' ~ ''/user-settings'').' ELSE '.' END AS message FROM matched m JOIN cli c USING (client_id) WHERE m.reason IS NOT NULL""")
 def d9_unresolved_messages(spark: SparkSession, d: str) -> DataFrame:
