@@ -971,3 +971,44 @@ def d9_unresolved_messages(spark: SparkSession, d: str) -> DataFrame:
     m = matching.match_routes(c, servers_of(spark, d)).where("reason is not null").select("client_id", "reason").join(c.select("client_id", "method"), "client_id")
     none = F.lit(None).cast("array<struct<route:string,confidence:double>>")
     return m.select("client_id", typecheck.unresolved_message(F.col("method"), F.lit("r"), F.col("reason"), none).alias("message"))
+
+
+@query(f"""WITH {SERVERS}, {CLIENTS}, {MATCHED}, r AS (SELECT client_id, k, route, replace(CAST(floor(score * 1000 + 0.5) / 1000 AS VARCHAR) || '|', '.0|', '|') AS shown FROM ranked JOIN srv USING (server_id)),
+u AS (SELECT j.client_id, j.reason, a.route AS r1, replace(a.shown, '|', '') AS s1, b.route AS r2, replace(b.shown, '|', '') AS s2 FROM judged j JOIN r a ON a.client_id = j.client_id AND a.k = 1 LEFT JOIN r b ON b.client_id = j.client_id AND b.k = 2 WHERE j.reason IN ('below-threshold', 'ambiguous'))
+SELECT client_id, CASE reason WHEN 'below-threshold' THEN ': closest candidate was ' || r1 || ' at confidence ' || s1 || ', below the acceptance threshold.' ELSE ': top two candidates were too close to call — ' || r1 || ' (' || s1 || ') vs ' || r2 || ' (' || s2 || ').' END AS ending FROM u""")
+def d9_candidate_messages(spark: SparkSession, d: str) -> DataFrame:
+    """How the messages of calls end that scoring left unresolved, with the routes and scores of their candidates."""
+    c, s = clients_of(spark, d), servers_of(spark, d)
+    m = matching.match_routes(c, s, candidates=True).where("candidates is not null")
+    told = m.select("client_id", "reason").join(matching.candidate_routes(m, c, s), "client_id")
+    message = typecheck.unresolved_message(F.lit("GET"), F.lit("r"), F.col("reason"), F.col("candidates"))
+    base = typecheck.UNRESOLVED_BASE.replace("{method}", "GET").replace("{route}", "r")
+    return told.select("client_id", F.substring(message, len(base) + 1, 1 << 20).alias("ending"))
+
+
+@query("SELECT DISTINCT 'c' || o_custkey AS contract, 'o' || o_orderkey AS consumer FROM orders")
+def b7_direct_consumers(spark: SparkSession, d: str) -> DataFrame:
+    """Consumers of each contract."""
+    return graph.direct_consumers(_edges(spark, d))
+
+
+@query("""SELECT DISTINCT 'o' || (CASE WHEN o_orderkey % 40 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey + 1 END) AS contract, 'o' || o_orderkey AS producer FROM orders WHERE o_orderkey % 10 = 0""")
+def b9_producers(spark: SparkSession, d: str) -> DataFrame:
+    """Producers of each contract."""
+    return graph.producers(_faulty(spark, d)[1])
+
+
+@query("""WITH n AS (SELECT o_orderkey AS k, 'o' || (CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey - 1 ELSE o_orderkey END) AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'contract' ELSE 'consumer' END AS type, CAST(CASE WHEN o_orderkey % 90 = 7 THEN -1 ELSE 80 END AS DOUBLE) AS confidence FROM orders)
+SELECT id, arg_max(type, k) AS type, arg_max(confidence, k) AS confidence, count(*) - 1 AS repeats FROM n GROUP BY id""")
+def b4_last_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Of nodes with one id the last written counts."""
+    return graph.last_write(_faulty(spark, d)[0]).select("id", "type", "confidence", "repeats")
+
+
+@query("""SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN '--widen-optional=contract:GET:/' || c_mktsegment || '.f' || c_nationkey ELSE '--rename=contract:GET:/' || c_mktsegment || '.f' || c_nationkey || '->contract:GET:/' || c_mktsegment || '.g' || c_custkey END AS flag FROM customer""")
+def a9_intent_flags(spark: SparkSession, d: str) -> DataFrame:
+    """The option that states each intent."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 2 == 0, "widen-optionality").otherwise("rename-field")
+    flag = intent.intent_flag(kind, F.concat(F.lit("contract:GET:/"), "c_mktsegment"), F.concat(F.lit("f"), "c_nationkey"), F.concat(F.lit("g"), k))
+    return table(spark, d, "customer").select(k.alias("key"), flag.alias("flag"))
