@@ -5,7 +5,8 @@ WINNOW, and the fingerprints form an inverted index. Every gram of a text is loo
 template's fingerprint in the text can be missed; for each template hit, the hits' diagonals
 give the places where it may stand. A banded alignment of words (match 2, mismatch and gap
 -1, band BAND around the diagonal) then yields the matched words of the template and their span in the
-text. Coverage is matched words over the template's words.
+text. Coverage is matched words over the template's words. Places whose words, counted, can't make up the least coverage in any order are
+not aligned; stretches as long as the template are looked at first, then single places.
 
 Null or empty texts have no match. A template occurring twice is reported at each place that does
 not overlap a better one; of several templates at one place (a grant and the license that holds it) each is reported. Without templates nothing matches. Texts shorter than a gram match none; templates shorter than a gram are rejected. Repeated rows
@@ -49,6 +50,7 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words: list[list[int]] = []
+        self.counts: list[tuple[np.ndarray, np.ndarray]] = []
         self.places: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, name in enumerate(self.names):
             words = _chunk(templates[name]).word_hashes()
@@ -56,6 +58,7 @@ class Index:
                 raise ValueError(f"template {name} has fewer than {GRAM} words")
             grams = window_hashes(words, GRAM)
             self.words.append(words.tolist())
+            self.counts.append(np.unique(words, return_counts=True))
             for p in winnow(grams).tolist():
                 self.places[int(grams[p])].append((t, p))
         self.prints = np.array(sorted(self.places), np.uint64)
@@ -91,6 +94,32 @@ def align(template: list[int], words: list[int], diagonal: int, band: int = BAND
     return best[1], best[2], best[3]
 
 
+class Bag:
+    """How many words of a template a stretch of a text can match at most, whatever their order."""
+
+    def __init__(self, counts: tuple[np.ndarray, np.ndarray], words: np.ndarray):
+        distinct, self.counts = counts
+        k = np.minimum(np.searchsorted(distinct, words), len(distinct) - 1)
+        self.local = np.where(distinct[k] == words, k, len(distinct))
+
+    def bound(self, lo: int, hi: int) -> int:
+        held = np.bincount(self.local[max(0, lo) : max(0, hi)], minlength=len(self.counts) + 1)[: len(self.counts)]
+        return int(np.minimum(held, self.counts).sum())
+
+
+def _possible(bag: Bag, places: list[int], size: int, need: float) -> Iterator[int]:
+    """The places (in bands) at which a template of `size` words may match `need` of them."""
+    at = 0
+    while at < len(places):
+        end = at + 1
+        while end < len(places) and (places[end] - places[at]) * BAND <= size:
+            end += 1
+        reach = lambda a, b: (a * BAND - 2 * BAND, b * BAND + size + 3 * BAND)
+        if bag.bound(*reach(places[at], places[end - 1])) >= need:
+            yield from (d for d in places[at:end] if bag.bound(*reach(d, d)) >= need)
+        at = end
+
+
 def scan(index: Index, words: np.ndarray, least: float) -> list[tuple[str, float, int, int]]:
     """(template, coverage, first word, word after the last), disjoint for each template, best first."""
     grams = window_hashes(words, GRAM)
@@ -101,7 +130,7 @@ def scan(index: Index, words: np.ndarray, least: float) -> list[tuple[str, float
     out = []
     for t, diagonals in votes.items():
         template, found = index.words[t], []
-        for d in sorted(diagonals):
+        for d in _possible(Bag(index.counts[t], words), sorted(diagonals), len(template), least * len(template)):
             lo = max(0, d * BAND - 2 * BAND)
             part = words[lo : d * BAND + len(template) + 3 * BAND].tolist()
             matched, a, b = align(template, part, d * BAND + BAND // 2 - lo, 2 * BAND)

@@ -317,6 +317,28 @@ def test_alignments_by_brute_force():
         assert found[name] > 0.8
 
 
+def test_places_that_cannot_match_are_not_aligned(monkeypatch):
+    import time
+
+    index = license_scan.Index(license_scan.TEMPLATES)
+    began = time.time()
+    assert license_scan.scan(index, license_scan._chunk("of the software and " * 50_000).word_hashes(), 0.6) == []
+    assert time.time() - began < 5
+    # nothing is lost by it
+    rng = np.random.default_rng(4)
+    vocabulary = [w for t in license_scan.TEMPLATES.values() for w in t.split()]
+    names = sorted(license_scan.TEMPLATES, key=lambda n: len(license_scan.TEMPLATES[n]))[:6]
+    for name in names:
+        own = license_scan.TEMPLATES[name].split()[:300]
+        edited = [w if rng.random() > 0.2 else str(rng.choice(vocabulary)) for w in own]
+        text = " ".join([*rng.choice(vocabulary, 60), *edited, *rng.choice(vocabulary, 60), *own[: len(own) * 2 // 3]])
+        words = license_scan._chunk(text).word_hashes()
+        pruned = license_scan.scan(index, words, 0.6)
+        with monkeypatch.context() as m:
+            m.setattr(license_scan, "_possible", lambda bag, places, size, need: places)
+            assert license_scan.scan(index, words, 0.6) == pruned
+
+
 # ---------------------------------------------------------------- 5 n-gram join
 def brute_classes(rows, size, percent):
     sets = {}
