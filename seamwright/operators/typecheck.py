@@ -100,12 +100,15 @@ _FIELD_PAIR = f"""CASE WHEN s IS NOT NULL THEN array_compact(array(
   {_node("type", below("id", 2), c="x.type", s="y.type")}))
 WHEN coalesce(x.optional, false) THEN {_NONE} ELSE array({_node("found", c="x.type", words="'missing-field'")}) END"""
 
-_DEEPER = f"CASE state WHEN 'type' THEN {_TYPES} WHEN 'field' THEN {_FIELD_PAIR} ELSE array({struct_of(_COLUMNS, {k: k for k in _COLUMNS})}) END"
+#: Equal nodes end where they are met: only a union can differ from itself.
+_SAME = """(c = s AND NOT contains(c, '"union"'))"""
+_OPEN = "state IN ('type', 'field')"
+_DEEPER = f"CASE WHEN {_OPEN} AND {_SAME} THEN {_NONE} WHEN state = 'type' THEN {_TYPES} WHEN state = 'field' THEN {_FIELD_PAIR} ELSE array({struct_of(_COLUMNS, {k: k for k in _COLUMNS})}) END"
 
 
 def _deeper(rows: DataFrame) -> DataFrame:
     """One level of all open pairs; others stay as they are."""
-    read = lambda c: F.expr(f"CASE WHEN state IN ('type', 'field') THEN {parsed(c)} END")
+    read = lambda c: F.expr(f"CASE WHEN {_OPEN} AND NOT coalesce({_SAME}, false) THEN {parsed(c)} END")
     return rows.withColumns({"x": read("c"), "y": read("s")}).select(*_KEYS, F.explode(F.expr(_DEEPER)).alias("n")).select(*_KEYS, "n.*")
 
 
