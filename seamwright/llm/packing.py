@@ -18,6 +18,7 @@ gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -37,6 +38,8 @@ GRAIN = 16
 FILLER = 96
 PATTERN_DOCS = 4
 CACHE_PIECES = 600_000
+#: Of pieces and their ids that a task remembers; a run of letters has no longest length, so their number alone bounds nothing.
+CACHE_BYTES = 1 << 27
 
 
 # ---------------------------------------------------------------- tokens
@@ -71,12 +74,19 @@ class FastTokens:
         other = [b for b in range(256) if b not in plain]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(other)}
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.assigned: set[str] = set()
 
     def _new(self, piece: str) -> bytes:
         spelled = piece.encode().decode("latin-1").translate(self.letters)
         out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
-        self.known[piece] = out
+        cost = sys.getsizeof(piece) + sys.getsizeof(out) + 100
+        if cost <= CACHE_BYTES:
+            if self.held + cost > CACHE_BYTES or len(self.known) >= CACHE_PIECES:
+                self.known.clear()
+                self.held = 0
+            self.known[piece] = out
+            self.held += cost
         return out
 
     def _all_assigned(self, text: str) -> bool:
@@ -94,8 +104,6 @@ class FastTokens:
             text = unicodedata.normalize("NFC", text)
         # the tokenizer lower-cases letter by letter, without a final sigma of its own
         text = text.lower() if "\u03a3" not in text else "".join([c.lower() for c in text])
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
         get, new = self.known.get, self._new
         return b"".join([get(x) or new(x) for x in self.find(text)])
 

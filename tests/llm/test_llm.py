@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import sys
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -114,6 +115,17 @@ def test_special_tokens_and_scripts():
         assert fast.encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_remembered_pieces_are_bounded_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 200_000, raising=False)
+    path = tokenizer_file()
+    fast, rng = packing.FastTokens(path), np.random.default_rng(2)
+    for _ in range(20):  # runs of letters without a space, one longer than all that may be kept
+        text = " ".join("".join(map(chr, x)) for x in rng.integers(0x4E00, 0x9FA5, (30, 60))) + " " + "x" * 300_000
+        assert fast.encode(text) == np.array(fast.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in fast.known.items()) <= 200_000
+    assert fast.known
+
+
 def test_every_code_point_is_split_as_the_tokenizer_does():
     from tokenizers import Tokenizer
 
