@@ -33,9 +33,9 @@ from .components import components, roots
 
 #: The lengths of l to choose from: the set's size over these, rounded up.
 SHARES = (16, 10)
-#: Tokens found this often in one batch of texts enter the frequency estimate; the most frequent
-#: HEAVY_TOKENS of them are sent to all tasks. Both only shape the order of tokens.
-HEAVY_IN_BATCH, HEAVY_TOKENS = 3, 1 << 17
+#: Tokens found this often in one batch of texts (in HEAVY_AT_ONCE tokens of it, if it has more) enter the frequency estimate;
+#: the most frequent HEAVY_TOKENS of them are sent to all tasks. These only shape the order of tokens.
+HEAVY_IN_BATCH, HEAVY_TOKENS, HEAVY_AT_ONCE = 3, 1 << 17, 1 << 21
 NEAR = 0.5
 
 
@@ -62,12 +62,21 @@ def token_sets(chunk: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _heavy(size: int):
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
+        often = counts >= HEAVY_IN_BATCH
+        return pa.RecordBatch.from_arrays([pa.array(signed(tokens[often])), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [token_sets(chunk, size)[0] for _, _, chunk in text_chunks(batch.column(0), lower=True)]
-            tokens, counts = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts >= HEAVY_IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(signed(tokens[often])), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+            parts, held = [], 0
+            for _, _, chunk in text_chunks(batch.column(0), lower=True):
+                parts.append(token_sets(chunk, size)[0])
+                held += len(parts[-1])
+                if held >= HEAVY_AT_ONCE:
+                    yield counted(parts)
+                    parts, held = [], 0
+            yield counted(parts)
 
     return run
 

@@ -4,6 +4,7 @@ import hashlib
 import html
 import re
 import sys
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -391,6 +392,20 @@ def test_classes_of_near_copies(spark, size, percent):
     assert got == brute_classes(rows, size, percent)
 
 
+def test_counting_tokens_takes_no_more_memory_for_larger_batches(monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAVY_AT_ONCE", 1 << 16, raising=False)
+    rng, most = np.random.default_rng(5), []
+    for texts in (20, 100):
+        batch = pa.record_batch([pa.array(["a b c d " + " ".join(map(str, rng.integers(0, 10**9, 20_000))) for _ in range(texts)])], ["text"])
+        common.powers(common.CHUNK_BYTES + 1)
+        tracemalloc.start()
+        found = sum(sum(x["n"].to_pylist()) for x in ngram_join._heavy(4)(iter([batch])))
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == texts  # the shingle that all texts share, counted in full
+    assert most[1] < 1.1 * most[0]
+
+
 def test_classes_of_odd_rows(spark, odd):
     got = ngram_join.jaccard_classes(odd).collect()
     assert len(got) == odd.count()
