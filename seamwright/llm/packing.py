@@ -40,6 +40,8 @@ PATTERN_DOCS = 4
 CACHE_PIECES = 600_000
 #: Of pieces and their ids that a task remembers; a run of letters has no longest length, so their number alone bounds nothing.
 CACHE_BYTES = 1 << 27
+#: Pieces are a few numbers each: they are written to so many files for each core, however many partitions the texts come in.
+FILES_PER_CORE = 2
 
 
 # ---------------------------------------------------------------- tokens
@@ -291,7 +293,8 @@ def ranked(pieces: DataFrame, salts: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str | Callable[[], str], size: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (doc_id, text)."""
     spark = docs.sparkSession
-    pieces = materialize(pieces_of(docs, tokenizer, size), "pieces")
+    files = FILES_PER_CORE * spark.sparkContext.defaultParallelism
+    pieces = materialize(pieces_of(docs, tokenizer, size).repartition(files), "pieces")
     histogram = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     slots = Plan(histogram, size).arrays()
     salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -308,7 +311,7 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], size: int = SEQUEN
             columns += [pa.array(sequence[k] + (want - keys[k])), pa.array(offset[k])]
             yield pa.RecordBatch.from_arrays(columns, NAMES)
 
-    return ranked(pieces, salts).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked(pieces, salts).coalesce(files).mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

@@ -127,6 +127,17 @@ def test_remembered_pieces_are_bounded_by_their_bytes(monkeypatch):
     assert fast.known
 
 
+def test_pieces_of_many_partitions_are_written_to_few_files(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(packing, "materialize", lambda df, tag: written.append(out := common.materialize(df, tag)) or out)
+    most = 2 * spark.sparkContext.defaultParallelism
+    docs = spark.range(0, 300, 1, 30).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("word"), F.pmod("id", F.lit(7)).cast("int"))).alias("text"))
+    out = packing.pack(docs, tokenizer_file(), 64)
+    assert len(written[0].inputFiles()) <= most
+    assert out.rdd.getNumPartitions() <= most
+    assert sorted((r.doc_id, r.length) for r in out.collect()) == [(k, k % 7 + 1) for k in range(300)]
+
+
 def test_every_code_point_is_split_as_the_tokenizer_does():
     from tokenizers import Tokenizer
 
