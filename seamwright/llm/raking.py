@@ -83,6 +83,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     with a target but no cell can't be met, and the others are scaled to it by the next marginal.
     No weight exceeds the cell's share of a sample of `size` of all tokens, if that is given.
     """
+    return raked(cells, targets, rounds, size)[0]
+
+
+def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, size: float | None = None) -> tuple[DataFrame, float]:
+    """What rake returns, and the worst error as last taken."""
+    error = float("inf")
     total = cells.agg(F.sum("tokens").alias("all_tokens"))
     own = F.col("tokens") / F.col("all_tokens")
     bound = F.lit(float("inf")) if size is None else own / F.lit(size)
@@ -95,9 +101,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             now = now.withColumn("f", _factor(d, f"want_{d}", "bound", *DIMENSIONS))
             now = now.withColumn("weight", F.col("weight") * F.coalesce(F.max("f").over(Window.partitionBy(d)), F.lit(1.0))).drop("f")
         now = materialize(now, "rake")
-        if r % CHECK == CHECK - 1 and worst_error(now.select(*cells.columns, F.least("weight", "bound").alias("weight")), targets) <= TOLERANCE:
-            break
-    return now.select(*cells.columns, F.least("weight", "bound").alias("weight"))
+        if r % CHECK == CHECK - 1 or r == rounds - 1:
+            error = worst_error(now.withColumn("weight", F.least("weight", "bound")), targets)
+            if error <= TOLERANCE:
+                break
+    return now.select(*cells.columns, F.least("weight", "bound").alias("weight")), error
 
 
 def shares_of(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
@@ -115,13 +123,15 @@ def shares_of(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
 
 
 def worst_error(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
-    """The largest error of a level's weight, as a part of its target."""
-    out = None
-    for d, want in targets.items():
-        have = fitted.groupBy(d).agg(F.sum("weight").alias("have"))
-        error = have.join(want, have[d].eqNullSafe(want[d])).select(F.abs(F.col("have") / F.when(F.col("share") > 0, F.col("share")) - 1).alias("error"))
-        out = error if out is None else out.unionByName(error)
-    return out.agg(F.max("error")).first()[0] or 0.0
+    """The largest error of a level's weight, as a part of its target. fitted: cells with weight and, for each dimension d of targets, want_d.
+
+    All dimensions are summed in one aggregation: the driver plans it for each try again and again.
+    """
+    dims = list(targets)
+    levels = fitted.groupingSets([[F.col(d)] for d in dims], *dims)
+    sums = levels.agg(F.sum("weight").alias("have"), *[F.grouping(d).alias(f"not_{d}") for d in dims], *[F.max(f"want_{d}").alias(f"want_{d}") for d in dims])
+    want = F.coalesce(*[F.when(F.col(f"not_{d}") == 0, F.col(f"want_{d}")) for d in dims])
+    return sums.agg(F.max(F.abs(F.col("have") / F.when(want > 0, want) - 1))).first()[0] or 0.0
 
 
 def calibrated(docs: DataFrame, keep_share: float | None = None, temper: float = TEMPER, seed: int = SEED, topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -145,8 +155,7 @@ def calibrated(docs: DataFrame, keep_share: float | None = None, temper: float =
         room = shares.withColumns({"weight": F.col("share"), "bound": F.col("own") / F.lit(size)}).withColumn("f", _factor("dimension", F.lit(1.0), "bound", "level"))
         room = materialize(room.withColumn("share", F.least("bound", F.col("share") * F.max("f").over(Window.partitionBy("dimension")))), "shares")
         fits = {d: room.where(F.col("dimension") == d).select(F.col("level").alias(d), "share") for d in DIMENSIONS}
-        fitted = rake(cells, fits, size=size)
-        error = worst_error(fitted, fits)
+        fitted, error = raked(cells, fits, size=size)
         if error <= TOLERANCE or keep_share:
             break
         size *= SHRINK if n < TRIES - 2 else 1

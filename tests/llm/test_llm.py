@@ -568,6 +568,35 @@ def test_rake_fits_marginals(spark):
             assert sum(r.weight for r in got if r[d] == level) == pytest.approx(share, abs=1e-3)
 
 
+def test_worst_error_takes_few_jobs(spark):
+    def jobs(name):
+        spark.sparkContext.setJobGroup(name, name)
+        spark.sparkContext.parallelize([0], 1).count()
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    rng = np.random.default_rng(8)
+    wants = [{k: float(x) for k, x in zip(["a", "b", "c", None], rng.random(4), strict=True)} | {"d": 0.0} for _ in raking.DIMENSIONS]
+    levels = ["a", "b", "c", "d", "e", None]  # d wants nothing, e has no target
+    rows = [(*[levels[k] for k in rng.integers(0, 6, 3)], float(rng.random())) for _ in range(200)]
+    rows = [(*r, *[w.get(x) for w, x in zip(wants, r[:3], strict=True)]) for r in rows]
+    names = [*raking.DIMENSIONS, "weight", *[f"want_{d}" for d in raking.DIMENSIONS]]
+    fitted = common.materialize(spark.createDataFrame(rows, ", ".join(f"{n} {'double' if n[0] == 'w' else 'string'}" for n in names)), "fitted")
+    targets = {d: common.materialize(spark.createDataFrame(list(w.items()), f"{d} string, share double"), "want") for d, w in zip(raking.DIMENSIONS, wants, strict=True)}
+    have = [Counter() for _ in wants]
+    for r in rows:
+        for k in range(3):
+            have[k][r[k]] += r[3]
+    # a null level is one of its own, as in rake
+    expected = max(abs(have[k][x] / w[x] - 1) for k, w in enumerate(wants) for x in have[k] if w.get(x) and x is not None)
+    nulls = max(abs(have[k][None] / w[None] - 1) for k, w in enumerate(wants))
+    before = jobs("before")
+    got = raking.worst_error(fitted, targets)
+    used = jobs("after") - before - 1
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert abs(got - max(expected, nulls)) < 1e-9
+    assert used <= 3
+
+
 def test_every_row_gets_a_probability(spark, odd):
     rows = raking.calibrated(odd).collect()
     assert len(rows) == odd.count() and all(0 < r["__rake_p"] <= 1 for r in rows)
