@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import dealt
 from ..sources.ts_source import Source
 
 LEAST_CONFIDENCE = 70
@@ -85,7 +86,7 @@ def repair_files(files: DataFrame, impacts: DataFrame, kind: str, old: str, new:
                 status.append(None if ok is None else "skipped: not certain enough" if not ok else "patched" if out != text else "skipped: nothing to edit")
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(texts, pa.string()), pa.array(status, pa.string())], ["snapshot", "path", "lang", "text", "status"])
 
-    return rows.mapInArrow(run, "snapshot string, path string, lang string, text string, status string")
+    return dealt(rows).mapInArrow(run, "snapshot string, path string, lang string, text string, status string")
 
 
 def repair_versions(files: DataFrame, impacts: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def repair_versions(files: DataFrame, impacts: DataFrame) -> DataFrame:
                 status.append("skipped: not certain enough" if not able else "patched" if out != text else "skipped: nothing to edit")
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(texts, pa.string()), pa.array(status, pa.string())], ["folder", "path", "lang", "text", "status"])
 
-    return rows.mapInArrow(run, "folder string, path string, lang string, text string, status string")
+    return dealt(rows).mapInArrow(run, "folder string, path string, lang string, text string, status string")
 
 
 def receipt_verdict(has_intent: Column, repairable: Column, before: Column, after: Column, breaking: Column, unknown: Column, new_breaking: Column, still_breaking: Column, patched: Column) -> Column:

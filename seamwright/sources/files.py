@@ -48,6 +48,11 @@ def in_memory(spark: SparkSession, files: dict[str, str], snapshot: str = "curre
     return spark.createDataFrame(rows, "snapshot string, path string, lang string, text string")
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """files (with a path), dealt out by path for a scan in Python: a small table of many files is often read by one task."""
+    return files.repartition(2 * files.sparkSession.sparkContext.defaultParallelism, "path")
+
+
 def _apply(files: DataFrame, parsers: dict[str, Callable[[str, str], list[dict]]]) -> DataFrame:
     """A row for each parsed item; a file that can't be parsed gives one row with an error and spares the others."""
 
@@ -68,14 +73,14 @@ def _apply(files: DataFrame, parsers: dict[str, Callable[[str, str], list[dict]]
                     rows.append((snapshot, path, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names)
 
-    wanted = files.select("snapshot", "path", "lang", "text")
+    wanted = dealt(files.select("snapshot", "path", "lang", "text"))
     return wanted.mapInArrow(run, f"snapshot string, path string, {CALLS}, error string")
 
 
 def client_calls(files: DataFrame) -> DataFrame:
     """HTTP calls of TypeScript, Python and Go sources."""
     rows = parsed(files, "client")
-    return resolve_imported(fill_constants(rows.where("error is null").drop("error"), files), files)
+    return fill_constants(resolve_imported(rows.where("error is null").drop("error"), files), files)
 
 
 def server_handlers(files: DataFrame) -> DataFrame:
@@ -108,9 +113,10 @@ def fill_constants(rows: DataFrame, files: DataFrame) -> DataFrame:
     holes = rows.select("snapshot", "path", F.explode(F.array_distinct(inside)).alias("hole")).distinct()
     holes = holes.withColumns({"head": F.substring_index("hole", ".", 1), "key": F.when(F.contains("hole", F.lit(".")), F.substring_index("hole", ".", -1)).otherwise("")})
     brought = ts_imports(files).withColumnsRenamed({"snapshot": "i_snapshot", "path": "i_path"})
-    named = holes.join(brought, F.expr("snapshot = i_snapshot and path = i_path and head = local")).select("snapshot", "path", "hole", "key", "specifier", "imported")
-    known = ts_constants(files).withColumnsRenamed({"snapshot": "c_snapshot", "path": "c_path", "key": "c_key"})
-    met = named.join(module_files(named, files), ["snapshot", "path", "specifier"]).join(known, F.expr("snapshot = c_snapshot and file = c_path and imported = name and key = c_key"))
+    named = cut(holes.join(brought, F.expr("snapshot = i_snapshot and path = i_path and head = local")).select("snapshot", "path", "hole", "key", "specifier", "imported"))
+    target = cut(module_files(named, files))
+    known = ts_constants(among(files, target)).withColumnsRenamed({"snapshot": "c_snapshot", "path": "c_path", "key": "c_key"})
+    met = named.join(target, ["snapshot", "path", "specifier"]).join(known, F.expr("snapshot = c_snapshot and file = c_path and imported = name and key = c_key"))
     values = met.groupBy(F.col("snapshot").alias("v_snapshot"), F.col("path").alias("v_path")).agg(F.collect_set(F.struct("hole", "value")).alias("known"))
     joined = rows.join(values, F.expr("snapshot = v_snapshot and path = v_path"), "left")
     of = F.map_from_entries(F.coalesce("known", F.array().cast("array<struct<hole:string,value:string>>")))
@@ -120,6 +126,12 @@ def fill_constants(rows: DataFrame, files: DataFrame) -> DataFrame:
     return filled.select(*[F.contains("route", F.lit(DYNAMIC)).alias("dynamic") if c == "dynamic" else F.col(c) for c in rows.columns])
 
 
+def among(files: DataFrame, target: DataFrame) -> DataFrame:
+    """The files that imports (snapshot, file) lead to: others needn't be scanned for what they export."""
+    led = target.select(F.col("snapshot").alias("t_snapshot"), F.col("file").alias("t_path")).distinct()
+    return files.join(led, F.expr("snapshot = t_snapshot and path = t_path"), "left_semi")
+
+
 def _names(files: DataFrame, read: Callable[[str, str], list[tuple]], schema: str) -> DataFrame:
     """snapshot, path and what read finds in each TypeScript file; files that can't be read have nothing."""
 
@@ -134,7 +146,7 @@ def _names(files: DataFrame, read: Callable[[str, str], list[tuple]], schema: st
                     continue
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
 
-    return files.where("lang = 'ts'").select("snapshot", "path", "text").mapInArrow(run, f"snapshot string, path string, {schema}")
+    return dealt(files.where("lang = 'ts'").select("snapshot", "path", "text")).mapInArrow(run, f"snapshot string, path string, {schema}")
 
 
 def ts_imports(files: DataFrame) -> DataFrame:
@@ -157,9 +169,11 @@ def usages(files: DataFrame) -> DataFrame:
 def resolve_imported(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Schemas of types that an import brings in, one hop out, by relative path or alias. Packages are never followed."""
     wanted = rows.where("ref is not null").select(F.col("snapshot").alias("r_snapshot"), F.col("path").alias("r_path"), F.col("ref").alias("r_ref")).distinct()
-    named = ts_imports(files).join(wanted, F.expr("snapshot = r_snapshot and path = r_path and local = r_ref"), "left_semi")
-    target = module_files(named, files)
-    declared = ts_declarations(files).select(F.col("snapshot").alias("d_snapshot"), F.col("path").alias("d_path"), "name", F.col("schema").alias("i_schema"))
+    if wanted.isEmpty():
+        return rows.drop("ref")
+    named = cut(ts_imports(files).join(wanted, F.expr("snapshot = r_snapshot and path = r_path and local = r_ref"), "left_semi"))
+    target = cut(module_files(named, files))
+    declared = ts_declarations(among(files, target)).select(F.col("snapshot").alias("d_snapshot"), F.col("path").alias("d_path"), "name", F.col("schema").alias("i_schema"))
     met = named.join(target, ["snapshot", "path", "specifier"]).join(declared, F.expr("snapshot = d_snapshot and file = d_path and imported = name"))
     best = met.groupBy(F.col("snapshot").alias("i_snapshot"), F.col("path").alias("i_path"), F.col("local").alias("i_ref")).agg(F.min("i_schema").alias("i_schema"))
     out = rows.join(best, F.expr("snapshot = i_snapshot and path = i_path and ref = i_ref"), "left")

@@ -2,6 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from seamwright.plans import check
 from seamwright.plans.check import check_trees, impact_trees
 from seamwright.sources import files, go_source, python_source, ts_source
 from seamwright.streaming.landing import keep_parsed
@@ -168,3 +169,28 @@ def test_landed_snapshots_are_parsed_once(spark, tmp_path):
     for snapshot in ("one", "two"):
         got = rows.where(F.col("snapshot") == snapshot).collect()
         assert len(got) == len(want) and {(r.path, r.route) for r in got} == want
+
+
+def test_files_in_one_partition_are_scanned_by_many_tasks(spark):
+    one = files.in_memory(spark, {f"a{k}.ts": f"fetch('/x{k}');\n" for k in range(40)}).coalesce(1)
+    for rows in (files._apply(one, files.PARSERS["client"]), files.usages(one)):
+        assert rows.count() == 40 and rows.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_a_client_is_scanned_once_whatever_changed(spark, monkeypatch):
+    scans = Counter()
+    for name in ("client_calls", "usages"):
+        monkeypatch.setattr(check, name, lambda f, name=name, real=getattr(check, name): scans.update([name]) or real(f))
+    client = files.in_memory(spark, {"a.ts": "const r = await axios.get('/a');\nshow(r.x);\n", "b.ts": "const r = await axios.get('/b');\nshow(r.x);\n"})
+    server = lambda **routes: files.in_memory(spark, {"s.ts": "\n".join(f"app.get('/{k}', (req, res) => {{ res.json({{ {v}: 1 }}) }});" for k, v in routes.items())})
+    got = {r.consumer_id.split(":")[0]: r.severity for r in impact_trees(client, server(a="x", b="x"), server(a="y")).collect()}
+    assert got == {"a.ts": "BREAKING", "b.ts": "BREAKING"} and scans == {"client_calls": 1, "usages": 1}
+
+
+def test_only_files_that_imports_lead_to_are_scanned_for_exports(spark, monkeypatch):
+    scanned = []
+    for name in ("ts_constants", "ts_declarations"):
+        monkeypatch.setattr(files, name, lambda f, real=getattr(files, name): scanned.append({r.path for r in f.collect()}) or real(f))
+    tree = {"a.ts": "import { BASE, T } from './shared';\nconst r: T = await axios.get(`${BASE}/a`);\n", "b.ts": "fetch('/b');\n", "shared.ts": "export const BASE = '/api';\nexport interface T { id: number }\n"}
+    got = {r.route: r.schema for r in files.client_calls(files.in_memory(spark, tree)).collect()}
+    assert set(got) == {"/api/a", "/b"} and '"id"' in got["/api/a"] and scanned == [{"shared.ts"}] * 2
