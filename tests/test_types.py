@@ -127,3 +127,27 @@ def test_renames_of_equal_and_other_types(spark):
     (rename,) = got["c0"].renames
     assert (rename.old_path, rename.new_path, rename.type, rename.confidence, rename.proof_level) == ("root.in.user_id", "root.in.userId", "{ p, q }[]", 100, "STRONG")
     assert got["c1"].renames == []
+
+
+def test_equal_pairs_of_fields_are_judged_once(spark, monkeypatch):
+    p = lambda n: {"kind": "primitive", "name": n}
+    o = lambda **f: {"kind": "object", "fields": {k or "": {"type": t} for k, t in f.items()}}
+    inner, other = {"kind": "object", "fields": {"": {"type": o(q=p("string"))}, "z": {"type": p("string")}}}, {"kind": "object", "fields": {"": {"type": o(q=p("number"))}}}
+    schema = lambda k, t, u: {"fields": {f"f{k}": {"type": t}, "": {"type": t}, "x": {"type": u}}}
+    rows = [(k, k, json.dumps(schema(k, inner, p("string"))), json.dumps(schema(k, other, p("null")))) for k in range(150)]
+    rows += [rows[3], rows[3], (900, 900, json.dumps({"fields": {"a": {"type": p("string")}}}), '{"fields":5}'), (901, 901, json.dumps({"fields": {"a": {"type": p("string")}}}), '{"fields":"x"}'), (902, 902, json.dumps({"fields": {"a": {"type": p("string")}}}), "{}"), (903, 903, '{"fields":{"a":null}}', json.dumps({"fields": {"a": {"type": p("string")}}}))]
+    started = []
+    monkeypatch.setattr(typecheck, "unfold", lambda nodes, step, real=typecheck.unfold: started.append(nodes.count()) or real(nodes, step))
+    want = sorted((c, s, k, v["kind"], v["severity"], v["path"], v["message"], str(v["expected"]), str(v["actual"])) for c, s, a, b in rows[:152] for k, v in enumerate(brute.compare_schemas(a, b)))
+    got = found(spark, rows)[1]
+    assert [r for r in got if r[0] < 900] == want and [(r[0], r[3]) for r in got if r[0] >= 900] == [(900, "missing-field"), (902, "missing-field")]
+    assert started == [5]  # of inner and other, by a name and by none, of the two primitives, and of the fields that one side lacks
+    monkeypatch.setattr(typecheck, "AT_ONCE", -1)
+    frame = spark.createDataFrame(rows, "client_id long, server_id long, client_schema string, server_schema string")
+    assert sorted((r.client_id, r.kind, r.path, r.message) for r in typecheck.findings(frame).collect()) == sorted((r[0], r[3], r[5], r[6]) for r in got)
+
+
+def test_schemas_are_read_once(spark):
+    frame = spark.range(3).selectExpr("id AS client_id", "id AS server_id", "concat('{\"fields\":{\"a\":', id, '}}') AS client_schema", "concat('{\"fields\":{\"b\":', id, '}}') AS server_schema")
+    plan = typecheck._differing(frame, ["client_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 4  # of each side one reading, and another where that found nothing
